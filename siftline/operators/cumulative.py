@@ -16,7 +16,7 @@ from .firsts import first_per_key
 
 
 def match_existing(accepted: DataFrame, stored: DataFrame, rules: RuleSet) -> DataFrame:
-    """``stored_ord`` of the stored row a posting continues, null for a new one.
+    """``stored_key`` of the stored row a posting continues, null for a new one.
 
     Three equality joins instead of one join with OR: by key, else by alt_key, else - only for
     low-priority sources - by company and title. Of equal stored identities the last one counts.
@@ -26,7 +26,8 @@ def match_existing(accepted: DataFrame, stored: DataFrame, rules: RuleSet) -> Da
     stored = stored.withColumn("company_title", companies.company_title_key(F.col("company"), F.col("title"), rules))
 
     def last_by(identity: str) -> DataFrame:
-        return stored.groupBy(F.col(identity).alias(f"_{identity}")).agg(F.max("ord").alias(f"by_{identity}"))
+        last = F.max(F.struct("first_seen", "ord", "key"))["key"]
+        return stored.groupBy(F.col(identity).alias(f"_{identity}")).agg(last.alias(f"by_{identity}"))
 
     out = accepted
     for identity in ("key", "alt_key"):
@@ -39,7 +40,7 @@ def match_existing(accepted: DataFrame, stored: DataFrame, rules: RuleSet) -> Da
     out = out.withColumn("_wanted", F.when(open_row, F.col("company_title")).otherwise(
         F.concat(F.lit("\u0000"), F.col("ord").cast("string"))))
     out = out.join(side, out["_wanted"] == side["_company_title"], "left").drop("_wanted", "_company_title")
-    return (out.withColumn("stored_ord", F.coalesce("by_key", "by_alt_key", "by_company_title"))
+    return (out.withColumn("stored_key", F.coalesce("by_key", "by_alt_key", "by_company_title"))
             .drop("by_key", "by_alt_key", "by_company_title"))
 
 
@@ -48,19 +49,18 @@ def upsert_cumulative(stored: DataFrame, accepted: DataFrame, as_of: Column, rul
 
     Several postings can continue one stored row; as in arrival order, the newest date wins and the
     first known place and the first known experience fill a gap. Title, source, reason and address
-    stay as first seen. New rows get an ``ord`` above all stored ones only in order, never renumbered:
-    they keep their own, which the caller makes unique per run.
+    stay as first seen. ``key`` identifies a stored row; ``ord`` only orders the rows of one run.
     """
     stored = conform(stored, POSTINGS_CURRENT)
     matched = match_existing(accepted, stored, rules)
     order = F.struct("is_low_priority", "ord")
     known_place = F.when(F.col("location") != L.UNKNOWN_PLACE, order)
     known_experience = F.when(text_or_empty(F.col("experience")) != "", order)
-    updates = matched.where("stored_ord is not null").groupBy("stored_ord").agg(
+    updates = matched.where("stored_key is not null").groupBy("stored_key").agg(
         F.max("date_iso").alias("u_date"),
         F.min_by("location", known_place).alias("u_location"),
         F.min_by("experience", known_experience).alias("u_experience"))
-    old = stored.join(updates, stored["ord"] == updates["stored_ord"], "left")
+    old = stored.join(updates, stored["key"] == updates["stored_key"], "left")
     newer = F.col("u_date").isNotNull() & (F.col("date_iso").isNull() | (F.col("u_date") > F.col("date_iso")))
     date = F.when(newer, F.col("u_date")).otherwise(F.col("date_iso"))
     continued = old.select(
@@ -72,9 +72,9 @@ def upsert_cumulative(stored: DataFrame, accepted: DataFrame, as_of: Column, rul
         "reason", "url",
         F.when(newer, date_display(F.col("u_date"))).otherwise(F.col("date_display")).alias("date_display"),
         date.alias("date_iso"), "key", "alt_key", "first_seen",
-        F.when(F.col("stored_ord").isNotNull(), as_of).otherwise(F.col("last_seen")).alias("last_seen"),
+        F.when(F.col("stored_key").isNotNull(), as_of).otherwise(F.col("last_seen")).alias("last_seen"),
         "company_type", "ord", F.lit(False).alias("is_new"))
-    inserted = conform(matched.where("stored_ord is null").withColumns(
+    inserted = conform(matched.where("stored_key is null").withColumns(
         {"first_seen": as_of, "last_seen": as_of}), POSTINGS_CURRENT).withColumn("is_new", F.lit(True))
     return continued.unionByName(inserted)
 
