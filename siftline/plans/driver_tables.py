@@ -56,7 +56,10 @@ def cycle(values: tuple[str, ...], by: Column) -> Column:
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One posting per document: the whole text plus a tail that carries the vocabulary."""
-    doc = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    return postings_of(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id"))
+
+
+def postings_of(doc: DataFrame) -> DataFrame:
     key = F.col("doc_id")
     tail = cycle(TAILS, key)
     return doc.select(
@@ -81,3 +84,55 @@ def rules():
     from ..vocab import starter_rules
 
     return starter_rules().with_(low_priority_sources=(LOW_PRIORITY_SOURCE,))
+
+
+def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.cascade import evaluate
+
+    return evaluate(postings(spark, sf_dir), as_of(), rules())
+
+
+def stored_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cumulative table as an earlier run left it: the documents that carry a label, one row per address."""
+    from .. import labels as L
+    from ..functions import companies, dates, places, urls
+    from ..operators.firsts import first_per_key
+    from ..schemas import POSTINGS_CURRENT, conform
+
+    key, r = F.col("ord"), rules()
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord")).distinct()
+    base = postings(spark, sf_dir).drop("description").join(labelled, "ord", "left_semi")
+    place = F.when(key % 4 == 0, L.UNKNOWN_PLACE).otherwise(F.col("location"))
+    date = F.when(key % 6 != 0, F.date_add(F.lit("2026-08-28").cast("date"), (key % 25).cast("int")))
+    rows = base.select(
+        "title", "company", "source", place.alias("location"),
+        F.when(key % 3 == 0, "").otherwise("2 years").alias("experience"), F.lit("stored").alias("reason"), "url",
+        dates.date_display(date).alias("date_display"), date.alias("date_iso"),
+        urls.canonical_url(F.col("url")).alias("key"),
+        F.concat_ws("|", companies.company_title_key(F.col("company"), F.col("title"), r),
+                    places.location_key(place, r)).alias("alt_key"),
+        F.date_add(F.lit("2026-09-01").cast("date"), (key % 5).cast("int")).alias("first_seen"),
+        F.lit("2026-09-10").cast("date").alias("last_seen"),
+        F.when(key % 2 == 0, "").otherwise(L.MEDIA).alias("company_type"), key.alias("ord"))
+    return conform(first_per_key(rows, ["key"]), POSTINGS_CURRENT)
+
+
+def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One status row per source of the documents and one per order, cycling the four outcomes."""
+    from .. import labels as L
+
+    sources = table(spark, sf_dir, "documents").select("source").distinct()
+    links = sources.select(
+        F.concat(F.lit("https://"), "source", F.lit(".example.com/")).alias("url"), F.col("source").alias("site"),
+        F.lit("list").alias("method"), F.lit(L.OK).alias("status"), F.lit("").alias("error"),
+        F.lit(0).cast("bigint").alias("count"), (-F.substring("source", 4, 9).cast("bigint") - 1).alias("ord"))
+    orders = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("https://o.example.com/"), F.col("o_orderkey").cast("string")).alias("url"),
+        F.when(F.col("o_custkey") % 9 == 0, F.concat(F.lit("Bing "), "o_orderpriority"))
+        .when(F.col("o_custkey") % 2 == 0, F.lower("o_orderpriority")).otherwise(F.col("o_orderpriority")).alias("site"),
+        F.lit("search").alias("method"),
+        F.when(F.col("o_orderstatus") == "O", L.OK).when(F.col("o_orderstatus") == "F", L.FAILED)
+        .when(F.col("o_custkey") % 3 == 0, L.UNREACHABLE).otherwise(L.PARTIAL).alias("status"),
+        F.when(F.col("o_orderstatus") == "P", L.NOT_SCANNED).otherwise("").alias("error"),
+        F.lit(0).cast("bigint").alias("count"), F.col("o_orderkey").alias("ord"))
+    return links.unionByName(orders)
