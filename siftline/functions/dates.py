@@ -132,6 +132,12 @@ def relevant_date(posted: Column, updated: Column, as_of: Column) -> Column:
     return F.when(latest.isNotNull(), F.least(latest, as_of))
 
 
+def latest_date(raws: list[Column], as_of: Column, rules: RuleSet) -> Column:
+    """``relevant_date`` straight from the texts; every text goes through the same expression."""
+    known = F.transform(F.array(*raws), lambda raw: parse_posting_date(raw, as_of, rules))
+    return let(F.array_max(known), lambda latest: relevant_date(latest, latest, as_of))
+
+
 def freshness(date: Column, as_of: Column, days: int) -> Column:
     """True or false for a known date, null when it is unknown."""
     return F.datediff(as_of, date) <= days

@@ -47,6 +47,12 @@ def text_or_empty(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
+def literal_array(values: Iterable[str]) -> Column:
+    """An array of text literals, built in one call."""
+    quoted = (v.replace("\\", "\\\\").replace("'", "\\'") for v in values)
+    return F.expr("array(" + ", ".join(f"'{v}'" for v in quoted) + ")")
+
+
 def let(column: Column, body) -> Column:
     """Evaluate ``column`` once and hand it to ``body``."""
     return F.element_at(F.transform(F.array(column), body), 1)

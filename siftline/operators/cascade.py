@@ -66,9 +66,8 @@ def evaluate(postings: DataFrame, as_of: Column, rules: RuleSet) -> DataFrame:
         .when(fits, places.classify_location(
             F.col("location"), F.col("description"), F.col("url"), F.col("home_context"), rules)))
     placed = F.coalesce(F.col("place.decision").isin(places.HOME, places.UNKNOWN), F.lit(False))
-    step = stage(step, seen_date=F.when(placed, dates.relevant_date(
-        dates.parse_posting_date(F.col("posted_raw"), as_of, rules),
-        dates.parse_posting_date(F.col("updated_raw"), as_of, rules), as_of)))
+    step = stage(step, seen_date=F.when(placed, dates.latest_date(
+        [F.col("posted_raw"), F.col("updated_raw")], as_of, rules)))
     # unknown freshness is kept: only a known 'false' rejects
     fresh = F.coalesce(dates.freshness(F.col("seen_date"), as_of, rules.fresh_days), F.lit(True))
     step = stage(step, accepted=placed & fresh, outcome=(

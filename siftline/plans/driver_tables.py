@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.patterns import literal_array
+
 AS_OF = "2026-09-24"
 
 # value lists, cycled by doc_id; lengths are pairwise coprime so the combinations mix
@@ -51,7 +53,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def cycle(values: tuple[str, ...], by: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (by % len(values) + 1).cast("int"))
+    return F.element_at(literal_array(values), (by % len(values) + 1).cast("int"))
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -305,5 +305,5 @@ SQL = {
       UNION ALL SELECT 'reason', reason, n FROM reasons""",
 }
 # the stream starts from an empty table: everything kept is new
-_EMPTY = STORED.replace("row_number() OVER (PARTITION BY key ORDER BY ord) = 1", "FALSE")
+_EMPTY = STORED.replace("ORDER BY ord) = 1", "ORDER BY ord) = 0")
 SQL["stream_upsert"] = RUN.replace(STORED, _EMPTY) + f" SELECT {CURRENT}, company_type FROM cur"
