@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_text
+from ..operators import vocabulary
 from ..sources import boards, links, pages as P, payloads
 from . import driver_tables as D
 
@@ -49,6 +51,26 @@ def link_dedupe_by_site(spark, sf):
     return links.link_dedupe_by_site(links.link_list(_link_files(spark, sf))).select("identity", "path", "url")
 
 
+# ---------------------------------------------------------------- vocabularies
+def terms_to_matcher(spark, sf):
+    part = D.table(spark, sf, "part")
+    vocab = part.select(c("p_type").alias("list"), F.explode(F.array(
+        c("p_name"), cat(c("p_name"), " & (", c("p_brand"), ")"))).alias("term"))
+    everything = part.select(lit("all").alias("list"), cat(c("p_name"), " ", text("p_partkey")).alias("term"))
+    return vocabulary.terms_to_matcher(vocab.unionByName(everything))
+
+
+def match_terms(spark, sf):
+    """Words and word pairs of the benchmark passages, looked up in all documents."""
+    words = F.split(normalize_text(c("text")), " ")
+    bench = D.table(spark, sf, "benchmark").select(words.alias("w"))
+    pairs = F.transform(F.sequence(lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 2), " "))
+    vocab = bench.select(lit("word").alias("list"), F.explode("w").alias("term")).where(F.length("term") >= 9).unionByName(
+        bench.where(F.size("w") > 1).select(lit("pair").alias("list"), F.explode(pairs).alias("term")))
+    doc = D.spread(D.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return vocabulary.match_terms(doc, "text", vocab, "doc_id", max_words=2)
+
+
 # ---------------------------------------------------------------- payloads
 def flatten_payload_greenhouse(spark, sf):
     o = _orders(spark, sf)
@@ -361,7 +383,7 @@ def posting_from_page(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    src_link_list, link_dedupe_by_site, flatten_payload_greenhouse, flatten_payload_lever, flatten_payload_ashby,
+    terms_to_matcher, match_terms, src_link_list, link_dedupe_by_site, flatten_payload_greenhouse, flatten_payload_lever, flatten_payload_ashby,
     flatten_payload_workable, flatten_payload_smartrecruiters, flatten_payload_comeet, flatten_payload_workday,
     flatten_payload_drushim, flatten_embedded_state_json, boards_in_page, comeet_refs, workday_home_facets, page_route,
     extract_jsonld_posting, jsonld_location, labeled_fields, extract_links, page_yield_status, extract_cards,

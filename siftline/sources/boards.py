@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.patterns import WORD, extract
 from ..functions.places import HOME, classify_location
@@ -171,7 +172,7 @@ def workday_home_facets(payloads: DataFrame, home_pattern: str) -> DataFrame:
             picked = [pick(body) for body in batch["body"]]
             yield batch[kept].assign(facet=[p[0] for p in picked], ids=[p[1] for p in picked])
 
-    schema = payloads.select(*kept).schema.add("facet", "string").add("ids", "array<string>")
+    schema = payloads.select(*kept).schema.add("facet", T.StringType()).add("ids", T.ArrayType(T.StringType()))
     return payloads.mapInPandas(walk, schema).where("facet is not null")
 
 

@@ -157,9 +157,9 @@ def comeet_positions(pages: DataFrame) -> DataFrame:
     """(slug, board_name, body) of company pages: the position list embedded after its marker."""
     tail = F.substring_index("html", COMEET_POSITIONS_MARK, -1)
     found = pages.where(F.contains("html", F.lit(COMEET_POSITIONS_MARK)))
-    # the list ends where the script statement does; text behind it is no JSON
+    # the JSON reader takes the first value and leaves the rest of the script alone
     return found.select("slug", _or_empty(extract(F.col("html"), COMEET_COMPANY)).alias("board_name"),
-                        F.regexp_extract(strip(tail), r"(?s)^(\[.*?\])\s*(?:;|</script>|$)", 1).alias("body"))
+                        strip(tail).alias("body"))
 
 
 def flatten_comeet(payloads: DataFrame, home_code: str = "IL", home_name: str = "Israel") -> DataFrame:

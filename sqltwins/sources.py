@@ -34,7 +34,24 @@ _WORKABLE_PLACE = "CASE WHEN o_custkey % 2 = 0 THEN 'Haifa, Israel | France' ELS
 _LISTING = """lp AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/]*)', 1) AS origin,
   regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) AS pth FROM pages)"""
 
+_QUOTED = S.sub("term", r"([\\.^$|?*+()\[\]{}\-&#])", r"\\\1")
+_WORDS = f"string_split({S.norm('text')}, ' ')"
+
 SQL = {
+    "terms_to_matcher": f"""WITH v0 AS (SELECT p_type AS list, unnest([p_name, p_name || ' & (' || p_brand || ')']) AS term FROM part
+        UNION ALL SELECT 'all', p_name || ' ' || p_partkey FROM part),
+      v AS (SELECT DISTINCT list, {S.norm('term')} AS term FROM v0),
+      s AS (SELECT list, count(*) AS terms FROM v GROUP BY 1),
+      p AS (SELECT list, string_agg({_QUOTED}, '|' ORDER BY length(term) DESC, term) AS body FROM v GROUP BY 1)
+      SELECT list, terms, CASE WHEN terms <= 1000 THEN {lit(f'(?<![{S.W}])(?:')} || body || {lit(f')(?![{S.W}])')} END AS pattern
+      FROM s JOIN p USING (list)""",
+    "match_terms": f"""WITH b AS (SELECT {_WORDS} AS w FROM benchmark),
+      v AS (SELECT DISTINCT 'word' AS list, term FROM (SELECT unnest(w) AS term FROM b) WHERE length(term) >= 9
+        UNION SELECT 'pair', unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM b),
+      d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+      r AS (SELECT DISTINCT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))
+        AS term FROM d)
+      SELECT doc_id, list, term FROM r JOIN v USING (term)""",
     "src_link_list": f"WITH {LINKS} SELECT path, CAST(l.line AS BIGINT) AS line, CAST(l.pos AS BIGINT) AS pos, l.url AS url FROM links",
     "link_dedupe_by_site": f"""WITH {LINKS}, i AS (SELECT path, l.line AS line, l.pos AS pos, l.url AS url, CASE WHEN
         contains(l.url, 'lever.co') THEN {S.canonical('l.url')}
@@ -122,7 +139,11 @@ SQL = {
     "extract_detail_page": f"""WITH {O} SELECT k, 'Do SQL ' || k || {NL} || 'More' AS description, '3 days ago' AS posted_rel,
       CASE WHEN o_orderstatus = 'O' THEN '' ELSE 'Senior' END AS seniority, 'Banking' AS industry, 'Analyst ' || k AS title
       FROM o WHERE o_custkey % 5 <> 0""",
-    "main_content_text": f"SELECT page_id, {S.html_text(S.first('html', '(?s)<article>(.*)</article>'))} AS main_text FROM pages",
+    "main_content_text": f"""WITH m AS (SELECT page_id, html, {S.html_lines(S.first('html', '(?s)<article>(.*)</article>'))} AS a
+        FROM pages)
+      SELECT page_id, CASE WHEN length(array_to_string(a, '')) > 200 THEN {S.sub("array_to_string(a, chr(10))", r"\n{2,}", chr(10))}
+        ELSE {S.html_text(S.sub(S.first('html', '(?s)<body>(.*)</body>'), '(?s)<nav>.*?</nav>|<footer>.*?</footer>', chr(1)))} END
+        AS main_text FROM m""",
     "posting_from_page": f"""SELECT doc_id, 'Analyst ' || doc_id AS title, 'Site ' || doc_id % 9 AS company,
       {S.sub(f"concat_ws({NL}, nullif({S.strip('text')}, ''), trim(repeat('filler ', 40)))", chr(10) + '{2,}', chr(10))}
       AS description, 'Haifa' AS location, '2026-09-20' AS posted_raw, '' AS updated_raw FROM documents""",
