@@ -94,7 +94,9 @@ def flatten_lever(payloads: DataFrame, home_code: str = "IL", home_name: str = "
     sections = F.flatten(F.transform(F.coalesce("j.lists", F.array().cast("array<struct<text:string,content:string>>")),
                                      lambda s: F.array(s["text"], html_to_text(s["content"]))))
     description = join_filled_array(F.concat(F.array("j.descriptionPlain"), sections, F.array("j.additionalPlain")), "\n")
-    jobs = payloads.withColumn("j", F.explode(F.from_json("body", LEVER)))
+    # an object instead of a list is an error answer, not a posting
+    answers = payloads.where(F.ltrim("body").startswith("["))
+    jobs = answers.withColumn("j", F.explode(F.from_json("body", LEVER)))
     return _flat(jobs, board_name=F.col("slug"), title=F.col("j.text"), url=F.col("j.hostedUrl"), location=named,
                  description=description, posted_raw=F.col("j.createdAt").cast("string"), job_id=F.col("j.id"))
 
@@ -164,7 +166,8 @@ def comeet_positions(pages: DataFrame) -> DataFrame:
 
 def flatten_comeet(payloads: DataFrame, home_code: str = "IL", home_name: str = "Israel") -> DataFrame:
     """Positions of a company page or the API; the company of a position wins over the board's."""
-    jobs = payloads.withColumn("p", F.from_json("body", COMEET_POSITIONS)).withColumn("j", F.explode("p"))
+    answers = payloads.where(F.ltrim("body").startswith("["))
+    jobs = answers.withColumn("p", F.from_json("body", COMEET_POSITIONS)).withColumn("j", F.explode("p"))
     country = F.when(F.col("j.location.country") == home_code, home_name).otherwise(F.col("j.location.country"))
     place = F.coalesce(F.nullif(join_filled(", ", F.col("j.location.city"), country), F.lit("")), "j.location.name")
     details = F.when(F.size("j.details") > 0, F.col("j.details")).otherwise(F.col("j.custom_fields.details"))

@@ -139,11 +139,11 @@ SQL = {
     "extract_detail_page": f"""WITH {O} SELECT k, 'Do SQL ' || k || {NL} || 'More' AS description, '3 days ago' AS posted_rel,
       CASE WHEN o_orderstatus = 'O' THEN '' ELSE 'Senior' END AS seniority, 'Banking' AS industry, 'Analyst ' || k AS title
       FROM o WHERE o_custkey % 5 <> 0""",
-    "main_content_text": f"""WITH m AS (SELECT page_id, html, {S.html_lines(S.first('html', '(?s)<article>(.*)</article>'))} AS a
-        FROM pages)
+    "main_content_text": f"""WITH h AS (SELECT page_id, {S.sub('html', '(?s)<nav>.*?(?:</nav>|$)|<footer>.*?(?:</footer>|$)', chr(1))}
+        AS html FROM pages),
+      m AS (SELECT page_id, html, {S.html_lines(S.first('html', '(?s)<article>(.*?)(?:</article>|$)'))} AS a FROM h)
       SELECT page_id, CASE WHEN length(array_to_string(a, '')) > 200 THEN {S.sub("array_to_string(a, chr(10))", r"\n{2,}", chr(10))}
-        ELSE {S.html_text(S.sub(S.first('html', '(?s)<body>(.*)</body>'), '(?s)<nav>.*?</nav>|<footer>.*?</footer>', chr(1)))} END
-        AS main_text FROM m""",
+        ELSE {S.html_text(S.first('html', '(?s)<body>(.*)$'))} END AS main_text FROM m""",
     "posting_from_page": f"""SELECT doc_id, 'Analyst ' || doc_id AS title, 'Site ' || doc_id % 9 AS company,
       {S.sub(f"concat_ws({NL}, nullif({S.strip('text')}, ''), trim(repeat('filler ', 40)))", chr(10) + '{2,}', chr(10))}
       AS description, 'Haifa' AS location, '2026-09-20' AS posted_raw, '' AS updated_raw FROM documents""",
