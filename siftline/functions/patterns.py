@@ -28,6 +28,16 @@ def bounded(body: str) -> str:
     return rf"(?<![{WORD}])(?:{body})(?![{WORD}])"
 
 
+def whole(term: str, letters: str = WORD, prefix: str = "") -> str:
+    """A literal as a whole word, for long texts.
+
+    The literal comes first and its left limit is looked up behind it, so the engine only leaves its
+    fast search where the literal really is. ``prefix`` may stand between the limit and the literal.
+    """
+    literal = quote(term)
+    return rf"{literal}(?<=(?<![{letters}]){prefix}{literal})(?![{letters}])"
+
+
 def alternation(terms: Iterable[str]) -> str:
     """One alternation over literal terms: distinct, longest first (leftmost-first engines need that)."""
     distinct = {t for t in terms if t}

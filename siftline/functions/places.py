@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import labels as L
 from ..vocab import RuleSet
-from .patterns import SPACE, WORD, alternation, bounded, extract, let, text_or_empty, word_matcher
+from .patterns import (SPACE, WORD, alternation, bounded, extract, let, literal_array, text_or_empty,
+                       word_matcher)
 from .text import normalize_text, strip
 
 HOME, EXCLUDED, FOREIGN, UNKNOWN = "israel", "excluded", "foreign", "unknown"
@@ -99,6 +100,12 @@ def classify_location(location: Column, description: Column, url: Column, contex
     home = place_matcher(rules.home_terms, rules)
     foreign = place_matcher(rules.foreign_terms, rules)
     generic = f"^(?:{alternation(rules.generic_places)})$"
+    # a literal test rules most texts out before the pattern runs; a term that holds another needs no guard
+    guards = tuple(t for t in rules.context_terms if not any(o != t and o in t for o in rules.context_terms))
+
+    def named_in(text: Column) -> Column:
+        return let(text, lambda low: F.exists(literal_array(guards), lambda g: F.contains(low, g)))
+
     in_context = f"(?iu){bounded(alternation(rules.context_terms))}"
 
     facts = F.struct(
@@ -118,7 +125,7 @@ def classify_location(location: Column, description: Column, url: Column, contex
                 .when(has(f, FOREIGN) & ~names_home, "abroad")
                 .when(names_home, "home")
                 .when(F.coalesce(context, F.lit(False)) | text_or_empty(url).rlike(rules.home_url_pattern)
-                      | text_or_empty(description).rlike(in_context),
+                      | (named_in(F.lower(text_or_empty(description))) & description.rlike(in_context)),
                       F.when(concrete, "inferred").otherwise("inferred_generic"))
                 .when(concrete, "not_home")
                 .when(opening.rlike(foreign), "context_abroad")

@@ -33,12 +33,20 @@ def role_essence(cls: Column, analytics: Column, engineering: Column) -> Column:
             .otherwise(verdict(False, L.TITLE_NOT_RELEVANT)))
 
 
-def essence_of(cls: Column, description: Column, rules: RuleSet) -> Column:
-    """``role_essence`` over the signals of a description."""
-    return let(F.lower(description), lambda low: let(F.struct(
-        text.signal_score(low, rules.analytics).alias("analytics"),
-        text.signal_score(low, rules.engineering).alias("engineering")),
-        lambda score: role_essence(cls, score["analytics"], score["engineering"])))
+def essence_of(cls: Column, low: Column, rules: RuleSet) -> Column:
+    """``role_essence`` over the signals of a lower-cased description.
+
+    The second list is only looked up where it can change the verdict: for a listed title the analytics
+    signals matter from six engineering signals on, for the others engineering matters from three
+    analytics signals on.
+    """
+    analytics, engineering = text.signal_score(low, rules.analytics), text.signal_score(low, rules.engineering)
+    nothing = F.lit(0)
+    listed = let(engineering, lambda e: let(
+        F.when(e >= 6, analytics).otherwise(nothing), lambda a: role_essence(cls, a, e)))
+    others = let(analytics, lambda a: let(
+        F.when(a >= 3, engineering).otherwise(nothing), lambda e: role_essence(cls, a, e)))
+    return F.when(cls == titles.LISTED, listed).otherwise(others)
 
 
 def description_available(description: Column, rules: RuleSet) -> Column:
@@ -55,10 +63,9 @@ def evaluate(postings: DataFrame, as_of: Column, rules: RuleSet) -> DataFrame:
     step = stage(postings, title_class=titles.title_class(F.col("title"), rules))
     step = stage(step, _open=titles.is_potential(F.col("title_class"))
                  & description_available(F.col("description"), rules))
-    step = stage(step, keywords=F.when(F.col("_open"), text.find_keywords(
-        text.keyword_text(F.col("description"), rules), rules)))
-    step = stage(step, essence=F.when(F.size("keywords") > 0, essence_of(
-        F.col("title_class"), F.col("description"), rules)))
+    step = stage(step, _low=F.when(F.col("_open"), F.lower("description")))
+    step = stage(step, keywords=F.when(F.col("_open"), text.find_keywords(F.col("_low"), rules)))
+    step = stage(step, essence=F.when(F.size("keywords") > 0, essence_of(F.col("title_class"), F.col("_low"), rules)))
     fits = F.coalesce(F.col("essence.ok"), F.lit(False))
     step = stage(step, place=F.when(fits & places.title_says_abroad(F.col("title"), rules), F.struct(
         F.lit(places.FOREIGN).alias("decision"), F.lit("").alias("display"),

@@ -152,7 +152,7 @@ def description_available(spark, sf):
 def find_keywords(spark, sf):
     r = D.rules()
     return _p(spark, sf).select("ord", F.array_join(
-        text.find_keywords(text.keyword_text(c("description"), r), r), ", ").alias("keywords"))
+        text.find_keywords(F.lower("description"), r), ", ").alias("keywords"))
 
 
 def signal_score(spark, sf):
@@ -165,7 +165,7 @@ def signal_score(spark, sf):
 def role_essence(spark, sf):
     r = D.rules()
     return _p(spark, sf).select("ord", cascade.essence_of(
-        titles.title_class(c("title"), r), c("description"), r).alias("e")).select(
+        titles.title_class(c("title"), r), F.lower("description"), r).alias("e")).select(
         "ord", c("e.ok").alias("ok"), c("e.reason").alias("reason"))
 
 

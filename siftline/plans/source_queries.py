@@ -26,7 +26,7 @@ def _pages(spark, sf):
 
 
 def _orders(spark, sf):
-    return D.table(spark, sf, "orders").select(
+    return D.spread(D.table(spark, sf, "orders"), "o_orderkey").select(
         text("o_orderkey").alias("k"), text("o_custkey").alias("cust"), "o_orderkey", "o_custkey", "o_orderstatus",
         "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 

@@ -28,9 +28,9 @@ class Signal:
 
 def word(term: str) -> Signal:
     """A whole-word signal."""
-    from .functions.patterns import bounded, quote
+    from .functions.patterns import whole
 
-    return Signal(term, (term,), bounded(quote(term)))
+    return Signal(term, (term,), whole(term))
 
 
 def part(*terms: str) -> Signal:
@@ -59,6 +59,7 @@ class RuleSet:
     privacy_guards: tuple[str, ...]
     privacy_pattern: str
     applicant_pattern: str
+    not_keywords_guards: tuple[str, ...]
     not_keywords_pattern: str
     # places
     home_terms: tuple[str, ...]
@@ -128,12 +129,13 @@ US_STATES = _words(
 
 
 def starter_rules() -> RuleSet:
-    from .functions.patterns import SPACE, bounded
+    from .functions.patterns import SPACE, bounded, whole
 
-    not_letter = r"(?<![a-z])(?:{})(?![a-z])"
+    # one blank; a run of line breaks is a sentence break and counts as one
+    blank = rf"(?:\n+|{SPACE})"
 
     def tool(name: str) -> Signal:
-        return Signal(name, (name.lower(),), not_letter.format(name.lower()))
+        return Signal(name, (name.lower(),), whole(name.lower(), "a-z"))
 
     return RuleSet(
         listed_titles=_cross(_FIELDS, "analyst") + ("דאטה אנליסט",)
@@ -165,28 +167,28 @@ def starter_rules() -> RuleSet:
         seniority_words=_words("sr, snr, jr, senior, junior, lead, principal, staff, mid, entry level, head"),
         feminine_forms=(("אנליסט", "ית"), ("פיננסי", "ת"), ("עסקי", "ת")),
         keywords=(
-            Signal("SQL", ("sql",), not_letter.format(rf"(?:t-|pl/|ms|my|postgre|spark{SPACE}?|advanced{SPACE}"
-                                                      rf"|complex{SPACE})?sql")),
+            # 'T-SQL', 'PL/SQL' and 'advanced SQL' are whole words already; these prefixes are glued on
+            Signal("SQL", ("sql",), whole("sql", "a-z", "(?:ms|my|postgre|spark)?")),
             Signal("SQL Queries", ("sql",), rf"sql{SPACE}+quer(?:y|ies)"),
             tool("Querying"), tool("Tableau"),
-            Signal("Power BI", ("power",), rf"power{SPACE}?-?bi(?![a-z])"),
+            Signal("Power BI", ("power",), rf"power{blank}?-?bi(?![a-z])"),
             tool("Looker"),
-            Signal("Qlik", ("qlik",), not_letter.format(rf"qlik(?:{SPACE}?sense|view)?")),
+            Signal("Qlik", ("qlik",), rf"qlik(?<=(?<![a-z])qlik)(?:{blank}?sense|view)?(?![a-z])"),
             tool("Python"), tool("Pandas"),
-            Signal("Database", ("database",), not_letter.format("databases?")),
-            Signal("Data Warehouse", ("warehous",), rf"data{SPACE}?-?warehous(?:e|es|ing)"),
+            Signal("Database", ("database",), rf"{whole('database', 'a-z')}|{whole('databases', 'a-z')}"),
+            Signal("Data Warehouse", ("warehous",), rf"data{blank}?-?warehous(?:e|es|ing)"),
             tool("DWH"),
-            Signal("BigQuery", ("query",), rf"big{SPACE}?query"),
+            Signal("BigQuery", ("query",), rf"big{blank}?query"),
             tool("Snowflake"), tool("Redshift"), tool("Teradata"),
-            Signal("Database (מסד/בסיס נתונים)", ("נתונים",), rf"(?:מסד|בסיס)י?{SPACE}?-?נתונים"),
-            Signal("Data Warehouse (מחסן נתונים)", ("מחסן", "מחסנ"), rf"(?:מחסן|מחסני){SPACE}?נתונים"),
+            Signal("Database (מסד/בסיס נתונים)", ("נתונים",), rf"(?:מסד|בסיס)י?{blank}?-?נתונים"),
+            Signal("Data Warehouse (מחסן נתונים)", ("מחסן", "מחסנ"), rf"(?:מחסן|מחסני){blank}?נתונים"),
             part("Python (פייתון)", "פייתון", "פיתון"),
             part("Querying (שאילתות)", "שאילתות", "שאילתא", "שאילתה"),
         ),
         implied_keywords=(("SQL Queries", "SQL"),),
         analytics=(
             part("analys", "analyz"), part("analytic"), part("insight"), part("dashboard"), part("report"),
-            Signal("kpi", ("kpi",), bounded("kpis?")), part("metric"), part("a/b"), part("experiment"),
+            Signal("kpi", ("kpi",), rf"{whole('kpi')}|{whole('kpis')}"), part("metric"), part("a/b"), part("experiment"),
             part("trend"), part("visualis", "visualiz"), part("ad hoc", "ad-hoc"), part("stakeholder"),
             part("business question"), part("data driven", "data-driven"), part("recommendation"), word("sql"),
             part("tableau"), part("power bi", "powerbi"), part("looker"), part("qlik"), part("excel"),
@@ -218,7 +220,8 @@ def starter_rules() -> RuleSet:
                          rf"|קורות ה?חיים{SPACE}+(?:שלך{SPACE}+)?(?:יישמרו|ישמרו|יישמר|נשמרים|יוחזקו)"),
         applicant_pattern=(rf"(?iu)recruit|applica|candida|{bounded('cv')}|resume|résumé|consent|retain|retention"
                            r"|stor(?:ed?|age)|מועמד|קורות ה?חיים|הסכמ|גיוס|מאגר|יישמרו|ישמרו|נשמרים"),
-        not_keywords_pattern=rf"(?iu)search{SPACE}+quer(?:y|ies)|שאילת(?:ות|ה|א){SPACE}+ה?חיפוש",
+        not_keywords_guards=("search", "חיפוש"),
+        not_keywords_pattern=rf"search{SPACE}+quer(?:y|ies)|שאילת(?:ות|ה|א){SPACE}+ה?חיפוש",
         home_terms=_words(
             "israel, ישראל, tel aviv, tel aviv yafo, תל אביב, tlv, jaffa, יפו, ramat gan, רמת גן, givatayim, גבעתיים, "
             "herzliya, herzlia, הרצליה, petah tikva, petach tikva, פתח תקווה, פתח תקוה, raanana, רעננה, kfar saba, "
