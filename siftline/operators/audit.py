@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import labels as L
@@ -57,15 +57,18 @@ def joined_notes(notes: Column, width: int = 500) -> Column:
     return F.substring(F.array_join(F.array_distinct(notes), "; "), 1, width)
 
 
-def status_notes(links: DataFrame, notes: DataFrame) -> DataFrame:
+def status_notes(links: DataFrame, notes: DataFrame, width: int = 500) -> DataFrame:
     """Status and error text per link.
 
     ``links``: url, failure status and message (null when the link did not fail).
     ``notes``: url, note, ord. A note turns 'ok' into 'partial'; a failure keeps its own text.
-    Notes are reduced to the distinct texts of a link, each at its first position, before they are
-    put in a list, so a link with very many equal notes stays small.
+    Notes are reduced to the distinct texts of a link, each at its first position. Every note takes at
+    least one character of the text, so the first ``width`` notes always fill it; the rank limit is
+    applied on the map side too, and a link with very many notes never fills one task.
     """
     distinct = notes.groupBy("url", "note").agg(F.min("ord").alias("ord"))
+    place = F.row_number().over(Window.partitionBy("url").orderBy("ord", "note"))
+    distinct = distinct.where(F.col("note") != "").withColumn("_n", place).where(F.col("_n") <= width)
     listed = distinct.groupBy(F.col("url").alias("_url")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "note"))), lambda n: n["note"]).alias("notes"))
     joined = links.join(listed, links["url"] == listed["_url"], "left").drop("_url")
@@ -73,7 +76,7 @@ def status_notes(links: DataFrame, notes: DataFrame) -> DataFrame:
     return joined.select(
         "url",
         F.when(failed, F.col("failure")).when(F.col("notes").isNotNull(), L.PARTIAL).otherwise(L.OK).alias("status"),
-        F.when(failed, F.col("message")).when(F.col("notes").isNotNull(), joined_notes(F.col("notes")))
+        F.when(failed, F.col("message")).when(F.col("notes").isNotNull(), joined_notes(F.col("notes"), width))
         .otherwise("").alias("error"))
 
 
