@@ -56,6 +56,11 @@ def cycle(values: tuple[str, ...], by: Column) -> Column:
     return F.element_at(literal_array(values), (by % len(values) + 1).cast("int"))
 
 
+def block(key: Column, size: int) -> Column:
+    """Number of the run of ``size`` neighbouring keys, as text."""
+    return F.floor(key / size).cast("string")
+
+
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One posting per document: the whole text plus a tail that carries the vocabulary."""
     return postings_of(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id"))
@@ -65,8 +70,11 @@ def postings_of(doc: DataFrame) -> DataFrame:
     key = F.col("doc_id")
     tail = cycle(TAILS, key)
     return doc.select(
-        cycle(TITLES, key).alias("title"), cycle(COMPANIES, key).alias("company"), "source",
-        F.concat(F.lit("https://www."), "source", F.lit(".example.com/job/"), (key % 150).cast("string"),
+        cycle(TITLES, key).alias("title"),
+        # a third of the rows share few company names, the others get more names as the table grows
+        F.when(key % 3 == 0, cycle(COMPANIES, key)).otherwise(
+            F.concat_ws(" ", cycle(COMPANIES, key), block(key, 500))).alias("company"), "source",
+        F.concat(F.lit("https://www."), "source", F.lit(".example.com/job/"), block(key, 40),
                  cycle(URL_SUFFIXES, key)).alias("url"),
         # a teaser instead of a text where the tail is '-'
         F.when(tail == "-", F.concat(F.lit("Teaser in "), F.col("lang"))).otherwise(
