@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import codecs
-import hashlib
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -16,61 +15,68 @@ from pyspark.sql.types import BinaryType, StringType, StructType
 from .tokenizing import byte_encoder
 
 
-def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    offsets = np.zeros(len(values) + 1, np.int32)
-    np.cumsum([len(x) for x in values], out=offsets[1:])
-    flat = np.concatenate(values) if values else np.empty(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, values)], dtype=np.int32)
+    flat = np.concatenate(values) if values else np.empty(0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text",
-           offsets: bool = True) -> DataFrame:
+ROWS = 1000  # worked on at a time
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text", offsets: bool = True,
+           packed: bool = False) -> DataFrame:
     """(doc_id, ids[, starts, ends]) of every row of ``docs``.
 
     ``ranks`` is the place of the rank file on every executor. No special tokens: their strings are ordinary text. A null
-    or empty text has no ids. ``starts`` and ``ends`` count characters; a token that holds only part of a character's
-    bytes covers that character.
+    or empty text has no ids. ``ids`` are an array, or if ``packed`` little-endian unsigned 32-bit numbers in a binary value.
+    ``starts`` and ``ends`` count characters; a token that holds only part of a character's bytes covers that character.
     """
     names = ["doc_id", "ids", "starts", "ends"][:4 if offsets else 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_encoder(ranks, pattern)
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in encoder.encode(texts)]
-            columns = [batch.column(0), _lists(ids, pa.int32())]
+            data = list(encoder.encode(texts))
+            ids = [np.frombuffer(x, "<u4") for x in data]
+            columns = [batch.column(0), pa.array(data, pa.binary()) if packed else _lists(ids)]
             if offsets:
                 pairs = [encoder.offsets(x, i) for x, i in zip(texts, ids)]
-                columns += [_lists([p[k].astype(np.int32) for p in pairs], pa.int32()) for k in (0, 1)]
+                columns += [_lists([p[k] for p in pairs]) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = ", ".join(f"{name} {'long' if name == 'doc_id' else 'array<int>'}" for name in names)
+    kinds = {"doc_id": "long", "ids": "binary" if packed else "array<int>"}
+    schema = ", ".join(f"{name} {kinds.get(name, 'array<int>')}" for name in names)
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, schema)
 
 
-def decode(rows: DataFrame, ranks: str, pattern: str, ids: str = "ids") -> DataFrame:
-    """``rows`` with ``decoded`` (the bytes) and ``decoded_text``.
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS))
+
+
+def decode(rows: DataFrame, ranks: str, pattern: str, ids: str = "ids", with_text: bool = True) -> DataFrame:
+    """``rows`` with ``decoded`` (the bytes) and, ``with_text``, ``decoded_text``; ``ids`` as ``encode`` gives them.
 
-    Ids may end within a character; in the text, bytes that form no character become U+FFFD. A null array gives
-    nulls, an unknown id an error.
+    Ids may end within a character; in the text, bytes that form no character become U+FFFD. Null ids give nulls, an
+    unknown id an error.
     """
     others = [name for name in rows.columns if name not in ("decoded", "decoded_text")]
     at = others.index(ids)
+    packed = isinstance(rows.schema[ids].dataType, BinaryType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_encoder(ranks, pattern)
-        for batch in batches:
-            column = batch.column(at)
-            flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().fill_null(0).to_numpy())
-            data = [encoder.decode(x) for x in np.split(flat, ends[:-1])]
-            data = [x if known else None for x, known in zip(data, column.is_valid().to_pylist())]
-            texts = [None if x is None else x.decode("utf-8", "replace") for x in data]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary()), pa.array(texts, pa.string())],
-                                             [*others, "decoded", "decoded_text"])
+        for batch in _slices(batches):
+            known = (x if x is None else np.frombuffer(x, "<u4") if packed else np.asarray(x, np.int64) for x in batch.column(at).to_pylist())
+            data = [None if x is None else encoder.decode(x) for x in known]
+            columns = [*batch.columns, pa.array(data, pa.binary())]
+            if with_text:
+                columns.append(pa.array([None if x is None else x.decode("utf-8", "replace") for x in data], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, [*others, "decoded", "decoded_text"][:len(columns)])
 
-    schema = StructType([rows.schema[name] for name in others])
-    schema = schema.add("decoded", BinaryType()).add("decoded_text", StringType())
-    return rows.select(*others).mapInArrow(run, schema)
+    schema = StructType([rows.schema[name] for name in others]).add("decoded", BinaryType())
+    return rows.select(*others).mapInArrow(run, schema.add("decoded_text", StringType()) if with_text else schema)
 
 
 def decode_pieces(rows: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", start: str = "start",
@@ -106,20 +112,3 @@ def _piece_batch(key: int | None, pieces: list[tuple[int | None, str]]) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array([key] * len(pieces), pa.int64()), pa.array(starts, pa.int64()),
                                        pa.array(texts, pa.string())], ["doc_id", "start", "text"])
 
-
-def digests(rows: DataFrame, doc_id: str = "doc_id", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): of the ids as little-endian unsigned 32-bit numbers, and of the bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(1)
-            ends = np.cumsum(column.value_lengths().to_numpy())
-            each = np.split(column.flatten().to_numpy().astype("<u4"), ends[:-1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in each], pa.int64()),
-                 pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in each], pa.string()),
-                 pa.array([hashlib.sha256(x).hexdigest() for x in batch.column(2).to_pylist()], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    narrow = rows.where(F.col(ids).isNotNull()).select(F.col(doc_id).cast("long"), ids, decoded)
-    return narrow.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

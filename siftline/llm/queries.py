@@ -54,8 +54,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), *files, offsets=False)
-    return byte_bpe.digests(byte_bpe.decode(encoded, *files))
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), *files, offsets=False, packed=True)
+    decoded = byte_bpe.decode(encoded, *files, with_text=False)
+    return decoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
+                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Callable, Iterable
+from functools import cached_property
 
 import numpy as np
 import regex
@@ -17,7 +18,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces remembered per worker in each of two generations; the older one goes when the younger is full.
-MEMORY = 400_000
+MEMORY = 200_000
 
 _loaded: dict[tuple, object] = {}
 
@@ -156,13 +157,7 @@ class ByteEncoder(TextEncoder):
 
     def __init__(self, path: str, pattern: str):
         ranks = read_ranks(path)
-        self.character = byte_characters()
-        merges = [(self._mapped(token[:i]), self._mapped(token[i:]))
-                  for token, _ in sorted(ranks.items(), key=lambda x: x[1])
-                  for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
-        vocab = {self._mapped(token): rank for token, rank in ranks.items()}
-        self.tokenizer = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
-        self.tokenizer.pre_tokenizer = pre_tokenizers.Split(" ", "removed")  # a space is no mapped character
+        self.path, self.character = path, byte_characters()
         self.token = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.token[rank] = token
@@ -171,6 +166,18 @@ class ByteEncoder(TextEncoder):
         self.memo = Memo(self._pieces)
         self.matches = Memo(self._matches)
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """Only encoding needs it."""
+        ranks = read_ranks(self.path)
+        merges = [(self._mapped(token[:i]), self._mapped(token[i:]))
+                  for token, _ in sorted(ranks.items(), key=lambda x: x[1])
+                  for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
+        vocab = {self._mapped(token): rank for token, rank in ranks.items()}
+        tokenizer = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
+        tokenizer.pre_tokenizer = pre_tokenizers.Split(" ", "removed")  # a space is no mapped character
+        return tokenizer
+
     def _mapped(self, data: bytes) -> str:
         return data.decode("latin-1").translate(self.character)
 
