@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import written
+from .tokenizing import Memo, once
 
 UNITS = 1 << 14  # rows of the table of vectors; words and shapes share them by hash
-DIMENSIONS = 32
+DIMENSIONS = 16
 NONZERO = 4  # of an index vector
 WINDOW = 2  # neighbours on either side
 GROUPS = 64  # parts in which the table travels
-MEMORY = 500_000  # pieces a worker remembers
+MEMORY = 250_000  # words a worker remembers, twice
+MARKS = ".,;:!?*#$%&|"
 
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -28,30 +31,46 @@ def _hash(word: str, kind: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"), kind) % UNITS
 
 
-def _shape(word: str) -> str:
-    """What a word looks like: runs of small, large and mixed letters, of digits and of each other character."""
-    marks = _LETTERS.sub(lambda m: "a" if m[0].islower() else "A" if m[0].isupper() and len(m[0]) > 1 else "C", word)
-    return regex.sub(r"(.)\1+", r"\1+", regex.sub(r"\p{N}+", "0", marks))
+def _case(letters: str) -> str:
+    return "a" if letters.islower() else "A" if letters.isupper() and len(letters) > 1 else "C"
+
+
+def _marks(text: str) -> str:
+    """What a text looks like: runs of small, large and mixed letters, of digits and of each other character."""
+    marks = regex.sub(r"\p{N}+", "0", _LETTERS.sub(lambda m: _case(m[0]), text))
+    return regex.sub(r"(.)\1+", r"\1+", marks)
 
 
 class Units:
     """Texts to pairs of units: the word in small letters, and its shape (of its own, where it repeats the word before)."""
 
     REPEATED = _hash("", 2)
+    NONE = UNITS  # stands between texts; its index vector is zero
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.memo = Memo(lambda words: list(map(self._both, words)), MEMORY)
+        self.shapes: dict[tuple[str, str], int] = {}
+
+    def _both(self, word: str) -> int:
+        """Both units as one number. Most words are letters with a few marks behind them."""
+        letters = word.rstrip(MARKS)
+        if letters.isalpha():
+            case, rest = _case(letters), word[len(letters):]
+        else:
+            letters, case, rest = "".join(_LETTERS.findall(word)), "", word
+        if len(self.shapes) > MEMORY:
+            self.shapes = {}
+        shape = self.shapes.get((case, rest))
+        if shape is None:
+            shape = self.shapes[case, rest] = _hash(case + _marks(rest), 1)
+        return _hash(letters.lower(), 0) * UNITS + shape
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word units, shape units, number of words of each text)."""
         split = [text.split() for text in texts]
-        if len(self.known) > MEMORY:
-            self.known = {}
-        for word in set().union(*split).difference(self.known):
-            letters = "".join(_LETTERS.findall(word)).lower()
-            self.known[word] = _hash(letters, 0) * UNITS + _hash(_shape(word), 1)
+        known = self.memo.learn(set().union(*split))
         lengths = np.fromiter(map(len, split), np.int64, len(split))
-        both = np.fromiter((self.known[word] for words in split for word in words), np.int64, int(lengths.sum()))
+        both = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
         words, shapes = both // UNITS, both % UNITS
         same = np.zeros(len(both), bool)
         same[1:] = both[1:] == both[:-1]
@@ -71,20 +90,21 @@ def index_vectors() -> np.ndarray:
 
 
 def _contexts(words: np.ndarray, shapes: np.ndarray, lengths: np.ndarray, index: np.ndarray, total: np.ndarray) -> None:
-    """Add to ``total`` (last column: how often) the index vectors of the neighbours of each unit."""
-    own = index[words] + index[shapes]
-    document = np.repeat(np.arange(len(lengths)), lengths)
+    """Add to ``total`` (last row: how often) the index vectors of the neighbours of each unit.
+
+    ``index`` has a column for each unit and a last one of zeros, which stands between texts.
+    """
+    apart = np.repeat(np.cumsum(lengths)[:-1], WINDOW)
+    words, shapes = (np.insert(units, apart, Units.NONE) for units in (words, shapes))
+    own = index[:, words] + index[:, shapes]
     around = np.zeros_like(own)
     for step in range(1, WINDOW + 1):
-        inside = (document[step:] == document[:-step])[:, None]
-        around[step:] += own[:-step] * inside
-        around[:-step] += own[step:] * inside
-    for units, context in ((words, around), (shapes, around)):
-        order = np.argsort(units, kind="stable")
-        sorted_units = units[order]
-        first = np.flatnonzero(np.r_[True, sorted_units[1:] != sorted_units[:-1]])
-        total[sorted_units[first], :-1] += np.add.reduceat(context[order], first, axis=0, dtype=np.float64)
-        total[sorted_units[first], -1] += np.diff(np.r_[first, len(units)])
+        around[:, step:] += own[:, :-step]
+        around[:, :-step] += own[:, step:]
+    for units in (words, shapes):
+        for row, context in zip(total, around):
+            row += np.bincount(units, context, UNITS + 1)
+        total[-1] += np.bincount(units, minlength=UNITS + 1)
 
 
 def unit_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -97,8 +117,8 @@ def unit_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     rows = UNITS // GROUPS
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, index = Units(), index_vectors()
-        total = np.zeros((UNITS, DIMENSIONS + 1))
+        units, index = once(Units), np.c_[index_vectors().T, np.zeros((DIMENSIONS, 1), np.float32)]
+        total = np.zeros((DIMENSIONS + 1, UNITS + 1))
         seen = False
         for batch in batches:
             texts = [x or "" for x in batch.column(0).to_pylist()]
@@ -108,7 +128,7 @@ def unit_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
                     _contexts(words, shapes, lengths, index, total)
                     seen = True
         if seen:
-            yield _parts(dict(enumerate(total.reshape(GROUPS, rows, -1))))
+            yield _parts(dict(enumerate(total[:, :UNITS].T.reshape(GROUPS, rows, -1))))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -145,18 +165,16 @@ def pooled(docs: DataFrame, vectors: np.ndarray, doc_id: str = "doc_id", text: s
     shared = docs.sparkSession.sparkContext.broadcast(vectors)  # UNITS x DIMENSIONS floats: 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, table = Units(), shared.value
+        units, table = once(Units), shared.value
         for batch in batches:
             keys, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
             for at in range(0, len(texts), 256):
                 words, shapes, lengths = units.of(texts[at:at + 256])
-                document = np.repeat(np.arange(len(lengths)), lengths)
                 sums = np.zeros((len(lengths), 2 * DIMENSIONS + 1))
-                if len(words):
-                    first = np.flatnonzero(np.r_[True, document[1:] != document[:-1]])
-                    for k, own in enumerate((words, shapes)):
-                        part = np.add.reduceat(table[own], first, axis=0, dtype=np.float64)
-                        sums[document[first], k * DIMENSIONS:(k + 1) * DIMENSIONS] = part
+                ends = np.cumsum(lengths).tolist()
+                for k, own in enumerate((table[words], table[shapes])):
+                    for row, (first, end) in enumerate(zip([0, *ends], ends)):
+                        sums[row, k * DIMENSIONS:(k + 1) * DIMENSIONS] = own[first:end].sum(axis=0, dtype=np.float64)
                 sums /= np.maximum(lengths, 1)[:, None]
                 sums[:, -1] = np.log1p(lengths) / 10
                 flat = pa.array(sums.astype(np.float32).ravel())
