@@ -118,7 +118,9 @@ def classify_location(location: Column, description: Column, url: Column, contex
     def branch(f: Column) -> Column:
         names_home = f["norm"].rlike(home) | (f["norm"] == rules.home_code.lower())
         concrete = (f["loc"] != "") & ~f["norm"].rlike(generic)
-        opening = F.substring(normalize_text(description), 1, rules.context_chars)
+        opening = normalize_text(description)
+        if rules.context_chars is not None:
+            opening = F.substring(opening, 1, rules.context_chars)
         return (F.when(f["bare"].isNotNull(), "bare")
                 .when(has(f, HOME), "home")
                 .when(has(f, EXCLUDED), "excluded")

@@ -19,13 +19,13 @@ def reason_counts(evaluated: DataFrame, kept: DataFrame) -> DataFrame:
     return counts.unionByName(duplicates.select(F.lit(L.DUPLICATE).alias("reason"), "n"))
 
 
-def foreign_location_audit(evaluated: DataFrame, limit: int = 80, width: int = 60) -> DataFrame:
+def foreign_location_audit(evaluated: DataFrame, limit: int | None = None) -> DataFrame:
     """The most frequent place texts rejected as abroad; ties to the one seen first."""
     abroad = evaluated.where(F.col("outcome").startswith(L.PLACE_PREFIX + L.PLACE_NOT_HOME)
                              | F.col("outcome").startswith(L.PLACE_PREFIX + "מחוץ"))
-    return (abroad.groupBy(F.substring("location", 1, width).alias("location"))
-            .agg(F.count("*").alias("n"), F.min(F.struct("is_low_priority", "ord")).alias("_first"))
-            .orderBy(F.desc("n"), "_first").limit(limit).drop("_first"))
+    counts = abroad.groupBy("location").agg(F.count("*").alias("n"), F.min(F.struct("is_low_priority", "ord")).alias("_first"))
+    ordered = counts.orderBy(F.desc("n"), "_first")
+    return (ordered if limit is None else ordered.limit(limit)).drop("_first")
 
 
 def company_first_site(sightings: DataFrame) -> DataFrame:
@@ -133,6 +133,6 @@ def summary_table(totals: DataFrame, reasons: DataFrame) -> DataFrame:
             .select(F.when(F.col("part") == 0, "total").otherwise("reason").alias("section"), "item", "n"))
 
 
-def history_tail(history: DataFrame, keep: int = 60) -> DataFrame:
+def history_tail(history: DataFrame, keep: int) -> DataFrame:
     """The last runs, oldest first."""
     return history.orderBy(F.desc("run_date"), F.desc("run_id")).limit(keep).orderBy("run_date", "run_id")

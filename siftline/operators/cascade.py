@@ -88,7 +88,7 @@ def evaluate(postings: DataFrame, as_of: Column, rules: RuleSet) -> DataFrame:
         .otherwise(L.ACCEPTED)))
 
     why = F.concat(
-        F.col("essence.reason"), F.lit(L.KEYWORDS_PREFIX), F.array_join(F.slice("keywords", 1, 6), ", "),
+        F.col("essence.reason"), F.lit(L.KEYWORDS_PREFIX), F.array_join("keywords", ", "),
         F.when(F.col("place.note") != "", F.concat(F.lit("; "), F.col("place.note"))).otherwise(""),
         F.when(F.col("seen_date").isNull(), L.DATE_UNKNOWN_SUFFIX).otherwise(""))
     company = text.strip(text_or_empty(F.col("company")))
@@ -98,7 +98,7 @@ def evaluate(postings: DataFrame, as_of: Column, rules: RuleSet) -> DataFrame:
         job_title=text.strip(F.col("title")),
         job_company=F.when(company == "", L.UNKNOWN_COMPANY).otherwise(company),
         job_location=F.when(F.col("place.display") == "", L.UNKNOWN_PLACE).otherwise(F.col("place.display")),
-        experience=F.when(shown, text.extract_experience(F.col("description"), F.col("experience_hint"))),
+        experience=F.when(shown, text.extract_experience(F.col("description"), F.col("experience_hint"), rules)),
         why=F.when(shown, why),
         date_display=F.when(shown, dates.date_display(F.col("seen_date"))),
         is_low_priority=F.coalesce(F.col("source").isin(*rules.low_priority_sources), F.lit(False)))

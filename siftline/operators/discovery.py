@@ -10,7 +10,6 @@ from ..sources.boards import KINDS, OTHER_KINDS
 from .firsts import first_per_key
 
 RECHECK_DAYS = 30
-MAX_PROBES = 400
 
 
 def company_slugs(companies: DataFrame) -> DataFrame:
@@ -29,7 +28,7 @@ def probe_kinds(plan: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     return plan.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
 
 
-def probe_rank_cap(plan: DataFrame, limit: int = MAX_PROBES) -> DataFrame:
+def probe_rank_cap(plan: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` probes: the likeliest slug of every company, then the alternatives."""
     return plan.orderBy("rank", "ord").limit(limit)
 

@@ -8,24 +8,22 @@ from pyspark.sql import functions as F
 from ..functions.patterns import WORD
 from ..functions.text import normalize_text
 
-MAX_TERMS = 1000
+def terms_to_matcher(vocab: DataFrame, chunk_terms: int = 1000) -> DataFrame:
+    """(list, chunk, terms, pattern) of a vocab(list, term) table.
 
-
-def terms_to_matcher(vocab: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
-    """(list, terms, pattern) per list of a vocab(list, term) table.
-
-    Terms are normalised, made distinct and joined longest first, as whole words. A list above
-    ``max_terms`` gets no pattern: an alternation that long is slower than ``match_terms``.
+    Terms are normalised, made distinct and joined longest first, as whole words. A list of more than ``chunk_terms``
+    has several patterns, dealt by a hash of the term, so every term is in one and no list is gathered in one row.
     """
     plain = vocab.select("list", normalize_text(F.col("term")).alias("term")).where("term <> ''").distinct()
     sizes = plain.groupBy("list").agg(F.count("*").alias("terms"))
-    small = plain.join(sizes.where(F.col("terms") <= max_terms).select("list"), "list", "left_semi")
+    chunks = F.ceil(F.col("terms") / chunk_terms)
+    number = F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 6), 16, 10).cast("long")
+    dealt = plain.join(sizes, "list").select("list", "term", (number % chunks).alias("chunk"))
     quoted = F.regexp_replace("term", r"([\\.^$|?*+()\[\]{}\-&#])", r"\\$1")
     ordered = F.array_sort(F.collect_list(F.struct((-F.length("term")).alias("size"), F.col("term"), quoted.alias("q"))))
-    patterns = small.groupBy("list").agg(F.concat(
+    return dealt.groupBy("list", "chunk").agg(F.count("*").alias("terms"), F.concat(
         F.lit(f"(?<![{WORD}])(?:"), F.array_join(F.transform(ordered, lambda t: t["q"]), "|"),
         F.lit(f")(?![{WORD}])")).alias("pattern"))
-    return sizes.join(patterns, "list", "left")
 
 
 def _ngrams(words: Column, size: int) -> Column:

@@ -14,19 +14,19 @@ from ..functions.patterns import literal_array
 AS_OF = "2026-09-24"
 
 # value lists, cycled by doc_id; lengths are pairwise coprime so the combinations mix
-TITLES = ("Senior Data Analyst", "Data Engineer", "BI Developer / Data Analyst", "Reporting Specialist",
-          "Product Analyst (Berlin)", "Driver", "Growth & Web Analyst", "אנליסט/ית נתונים", "Marketing Analytics",
-          "Backend Developer", "Head of Research", "Account Executive", "Insights Coordinator")
+TITLES = ("Senior Kitchen Gardener", "Tree Feller", "Irrigation Fitter / Market Gardener", "Botany Writer", "Rose Gardener (Berlin)",
+          "Pilot", "Orchard Keeper & Gardener", "שותל/ית בוטני", "Palm Gardening", "Landscape Surveyor", "Head of Botany", "Butcher",
+          "Soil Sampler")
 COMPANIES = ("Acme Ltd", "ACME", "Northbank", "Zed Insurance", "Hidden", "Blue Cloud Inc", "Orchard Foods",
              "Orchard Foods Group", "Medline Hospital", "Radio Nine", "Quiet Co")
 LOCATIONS = ("Tel Aviv", "Tel Aviv, Israel", "Haifa", "Jerusalem / Tel Aviv", "Berlin, Germany", "London, GB",
              "Remote", "", "North", "רמת גן", "Austin, TX", "Tel Aviv or Rehovot", "Springfield", "Remote (France)",
              "Israel", "Beer Sheva", "Ness Ziona")
-TAILS = ("SQL and dashboards, insights, KPIs, reports.", "NoSQL only.",
-         "We keep your personal data of candidates in our database.",
-         "Python, Tableau, trends, experiment, forecast.",
-         "Build pipelines with Kafka, Docker, Airflow, ETL and SQL.", "-",
-         "3+ years of experience with a data warehouse.")
+TAILS = ("Pruning and hedges, seedlings, harvests, perennials.", "Budget pruning only.",
+         "We keep your personal file as an applicant with the pruning plans.",
+         "Compost, mulching, blossom, soil, herbs and hedges.",
+         "Lay asphalt with concrete, scaffolds, a crane, diesel and pruning.", "-",
+         "3+ years with a drip irrigation system.")
 POSTED = ("2026-09-20", "2026-09-04", "2026-09-03", "20/09/2026", "1.9.26", "2026-09-20T23:30:00Z", "1790000000000",
           "Sep 17, 2026", "17th September 2026", "Today", "yesterday", "3 days ago", "2 weeks ago", "30+ days ago",
           "a month ago", "לפני שבועיים", "5 ימים", "", "2026-02-30")
@@ -40,16 +40,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a table that is smaller than one file split per core.
+    """Give every core a share of a table that has fewer files than there are cores.
 
     Rule evaluation is bound by CPU, and a small file with one row group would run in one task.
-    Larger tables already come in many splits and are left alone, so nothing is shuffled at scale.
+    A large table has many files and isn't shuffled.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = 128 * 1024 * 1024
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * split else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
 def cycle(values: tuple[str, ...], by: Column) -> Column:

@@ -86,7 +86,7 @@ def probe_plan(spark, sf):
 
 def probe_rank_cap(spark, sf):
     plan = discovery.probe_plan(_slugs(spark, sf), _probed(spark, sf), D.as_of())
-    return discovery.probe_rank_cap(plan).select("company", c("rank").cast("bigint").alias("rank"), "slug")
+    return discovery.probe_rank_cap(plan, 100).select("company", c("rank").cast("bigint").alias("rank"), "slug")
 
 
 def probe_leftover(spark, sf):
@@ -146,7 +146,7 @@ def only_sources(spark, sf):
 
 
 def subscriber_only_split(spark, sf):
-    cards = D.postings(spark, sf).select("ord", "url", (c("title") == "Driver").alias("closed"))
+    cards = D.postings(spark, sf).select("ord", "url", (c("title") == "Pilot").alias("closed"))
     opened, closed = page_ops.subscriber_only_split(cards)
     empty = cascade.evaluate(D.postings(spark, sf), D.as_of(), D.rules()).where("false")
     retracted = cumulative.collect_retractions(empty, closed)
@@ -189,7 +189,7 @@ def reason_counts(spark, sf):
 
 
 def foreign_location_audit(spark, sf):
-    return audit.foreign_location_audit(D.evaluated(spark, sf))
+    return audit.foreign_location_audit(D.evaluated(spark, sf), 3)
 
 
 def _typed_postings(spark, sf):
@@ -277,7 +277,7 @@ def report_order(spark, sf):
 def history_tail(spark, sf):
     runs = D.table(spark, sf, "events").groupBy(c("ts").cast("timestamp_ntz").cast("date").alias("run_date")).agg(
         F.count("*").alias("links"), F.max("event_id").alias("run_id"))
-    return audit.history_tail(runs).select(iso(c("run_date")).alias("run_date"), "links")
+    return audit.history_tail(runs, 10).select(iso(c("run_date")).alias("run_date"), "links")
 
 
 def union_sources(spark, sf):

@@ -87,8 +87,8 @@ def slug_candidates(spark, sf):
 
 def extract_experience(spark, sf):
     hint = F.when(c("ord") % 10 == 0, F.lit(" 5+ yrs ")).otherwise("")
-    body = F.concat_ws(" ", "description", F.when(c("ord") % 3 == 0, F.lit("ניסיון של שנתיים בתפקיד דומה.")))
-    return _p(spark, sf).select("ord", text.extract_experience(body, hint).alias("experience"))
+    body = F.concat_ws(" ", "description", F.when(c("ord") % 3 == 0, F.lit("עם 2 עונות בגינה.")))
+    return _p(spark, sf).select("ord", text.extract_experience(body, hint, D.rules()).alias("experience"))
 
 
 def strip_sentences(spark, sf):

@@ -65,7 +65,7 @@ def match_terms(spark, sf):
     words = F.split(normalize_text(c("text")), " ")
     bench = D.table(spark, sf, "benchmark").select(words.alias("w"))
     pairs = F.transform(F.sequence(lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 2), " "))
-    vocab = bench.select(lit("word").alias("list"), F.explode("w").alias("term")).where(F.length("term") >= 9).unionByName(
+    vocab = bench.select(lit("word").alias("list"), F.explode("w").alias("term")).unionByName(
         bench.where(F.size("w") > 1).select(lit("pair").alias("list"), F.explode(pairs).alias("term")))
     doc = D.spread(D.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return vocabulary.match_terms(doc, "text", vocab, "doc_id", max_words=2)
@@ -308,10 +308,10 @@ def labeled_fields(spark, sf):
 # ---------------------------------------------------------------- links
 def _listing_pages(spark, sf):
     page = text("page_id")
-    good = cat('<a href="/jobs/view-', page, '/">Data Analyst</a><A class="x" HREF=\'/jobs/view-', page,
-               '/#apply\'>Senior <b>Data</b> Analyst</a><a title="BI Analyst" href="../careers/', page, '12345?x=1&amp;y=2"></a>'
-               '<a href="https://other.example.org/job/77777">Data Analyst</a>'
-               '<a href="https://jobs.lever.co/z', page, '/12">Web Analyst</a><a href="//cdn.example.com/job/1">Data Analyst</a>')
+    good = cat('<a href="/jobs/view-', page, '/">Kitchen Gardener</a><A class="x" HREF=\'/jobs/view-', page,
+               '/#apply\'>Senior <b>Kitchen</b> Gardener</a><a title="Rose Gardener" href="../careers/', page, '12345?x=1&amp;y=2"></a>'
+               '<a href="https://other.example.org/job/77777">Kitchen Gardener</a>'
+               '<a href="https://jobs.lever.co/z', page, '/12">Market Gardener</a><a href="//cdn.example.com/job/1">Kitchen Gardener</a>')
     plain = cat('<a href="/jobs/driver-', page, '0000">Driver</a><a href="/jobs/nurse-', page, '0000">Nurse</a>')
     extra = F.when(c("page_id") % 3 == 0, cat(good, plain)).when(c("page_id") % 3 == 1, plain).otherwise("")
     return _pages(spark, sf).select("page_id", "url", cat(c("html"), extra).alias("html"))

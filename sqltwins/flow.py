@@ -144,9 +144,9 @@ SITES = f"""(SELECT arg_min(site, ord) AS site FROM statuses WHERE status IN ({l
 COUNTED = """counted AS (SELECT s.*, coalesce(k.n, 0) AS "count" FROM statuses s
   LEFT JOIN (SELECT listing_url, count(*) AS n FROM kept GROUP BY 1) k ON k.listing_url = s.url)"""
 
-ABROAD = f"""abroad AS (SELECT left(location, 60) AS location, count(*) AS n FROM evaluated WHERE
+ABROAD = f"""abroad AS (SELECT location, count(*) AS n, min({{'a': is_low, 'b': ord}}) AS first FROM evaluated WHERE
     outcome IN ({lit(L.PLACE_PREFIX + L.PLACE_NOT_HOME)}, {lit(L.PLACE_PREFIX + L.PLACE_ABROAD)})
-  GROUP BY 1 ORDER BY n DESC, min({{'a': is_low, 'b': ord}}) LIMIT 80)"""
+  GROUP BY 1 ORDER BY n DESC, min({{'a': is_low, 'b': ord}}))"""
 
 SLUGS = f"""sl0 AS (SELECT replace(s_name, '#', ' ') AS company, s_suppkey AS ord, list_filter(string_split(
     lower(replace(s_name, '#', ' ')), ' '), lambda w: w <> '' AND NOT list_contains({S.arr(SLUG_STOP_WORDS)}, w)) AS ws
@@ -191,7 +191,7 @@ SQL = {
     "detail_join": """SELECT l_partkey, coalesce(p_type, 'missing') AS p_type, count(*) AS n FROM lineitem
       LEFT JOIN (SELECT * FROM part WHERE p_size <= 40) ON l_partkey = p_partkey GROUP BY 1, 2""",
     "probe_plan": f"WITH {SLUGS} SELECT company, rank, slug, unnest({S.arr(KINDS)}) AS kind FROM plan",
-    "probe_rank_cap": f"WITH {SLUGS} SELECT company, rank, slug FROM plan ORDER BY rank, ord LIMIT 400",
+    "probe_rank_cap": f"WITH {SLUGS} SELECT company, rank, slug FROM plan ORDER BY rank, ord LIMIT 100",
     "probe_leftover": f"""WITH {SLUGS} SELECT DISTINCT slug FROM plan WHERE slug NOT IN
       (SELECT 'supplier-' || lpad(CAST(c_custkey * 2 AS VARCHAR), 9, '0') FROM customer)""",
     "union_boards": f"""WITH {CANDIDATES} SELECT via, kind, count(*) AS n, count(DISTINCT lower(slug)) AS slugs FROM cand
@@ -208,8 +208,8 @@ SQL = {
       QUALIFY row_number() OVER (PARTITION BY kind, lower(slug) ORDER BY finder DESC, ord) = 1""",
     "status_counts": f'{BASE}, {STATUSES}, {COUNTED} SELECT url, status, "count" FROM counted',
     "only_sources": f"{P} SELECT ord, source FROM postings WHERE source IN ('src0', 'src1', 'src2', 'src3', 'src4')",
-    "subscriber_only_split": f"""{P} SELECT 'open' AS part, url AS value FROM postings WHERE title <> 'Driver'
-      UNION ALL SELECT 'retracted', {S.canonical('url')} FROM postings WHERE title = 'Driver'""",
+    "subscriber_only_split": f"""{P} SELECT 'open' AS part, url AS value FROM postings WHERE title <> 'Pilot'
+      UNION ALL SELECT 'retracted', {S.canonical('url')} FROM postings WHERE title = 'Pilot'""",
     "drop_without_description": f"""{P} SELECT listing_url, count(*) FILTER (WHERE location <> '') AS kept,
       count(*) FILTER (WHERE location = '') AS missing FROM postings GROUP BY 1""",
     "link_status": f"""WITH log AS (SELECT 'https://l.example.com/' || CAST(l_orderkey AS VARCHAR) AS url,
@@ -237,7 +237,7 @@ SQL = {
     "reason_counts": f"""WITH RECURSIVE {EV}, {KEPT} SELECT outcome AS reason, count(*) AS n FROM evaluated GROUP BY 1
       UNION ALL SELECT {lit(L.DUPLICATE)}, (SELECT count(*) FROM acc) - (SELECT count(*) FROM kept)
       WHERE (SELECT count(*) FROM acc) > (SELECT count(*) FROM kept)""",
-    "foreign_location_audit": f"WITH {EV}, {ABROAD} SELECT location, n FROM abroad",
+    "foreign_location_audit": f"WITH {EV}, {ABROAD} SELECT location, n FROM abroad ORDER BY n DESC, first LIMIT 3",
     "strongest_company_type": f"""{P} SELECT company_key, company_type FROM
       {strongest('postings', industry=_INDUSTRY)}""",
     "apply_company_types": f"""{P}, {STORED}, types AS (SELECT * FROM {strongest(
@@ -278,7 +278,7 @@ SQL = {
     "report_order": f"""{P}, {STORED} SELECT key, company_type FROM stored ORDER BY {SECTOR_RANK}, date_iso DESC NULLS LAST,
       first_seen DESC, ord""",
     "history_tail": """WITH h AS (SELECT CAST(ts AS DATE) AS d, count(*) AS links, max(event_id) AS r FROM events GROUP BY 1),
-      t AS (SELECT * FROM h ORDER BY d DESC, r DESC LIMIT 60) SELECT strftime(d, '%Y-%m-%d') AS run_date, links FROM t""",
+      t AS (SELECT * FROM h ORDER BY d DESC, r DESC LIMIT 10) SELECT strftime(d, '%Y-%m-%d') AS run_date, links FROM t""",
     "union_sources": """SELECT 'documents' AS part, count(*) AS n, 0 AS without_url FROM documents
       UNION ALL SELECT 'conversations', count(*), count(*) FROM conversations UNION ALL SELECT 'lost', 0, 0""",
     "upsert_cumulative": f"""{BASE}, {UPSERTED} SELECT {CURRENT}, CASE WHEN is_new THEN 'new' ELSE company_type END

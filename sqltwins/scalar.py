@@ -53,7 +53,7 @@ evaluated AS (SELECT ord, title, company, source, url, listing_url, is_low, desc
     {S.location_key('display')}) END AS alt_key,
   CASE WHEN outcome = {lit(L.ACCEPTED)} THEN concat_ws('|', {S.company_key('company')}, {S.norm('title')}) END
     AS company_title,
-  CASE WHEN outcome = {lit(L.ACCEPTED)} THEN essence || {lit(L.KEYWORDS_PREFIX)} || array_to_string(kws[1:6], ', ')
+  CASE WHEN outcome = {lit(L.ACCEPTED)} THEN essence || {lit(L.KEYWORDS_PREFIX)} || array_to_string(kws, ', ')
     || CASE WHEN note <> '' THEN '; ' || note ELSE '' END
     || CASE WHEN d IS NULL THEN {lit(L.DATE_UNKNOWN_SUFFIX)} ELSE '' END END AS why,
   CASE WHEN outcome = {lit(L.ACCEPTED)} THEN {S.experience('description', lit(''))} END AS experience,
@@ -141,7 +141,7 @@ SQL = {
         FROM c)
       SELECT p_partkey, generate_subscripts(cs, 1) - 1 AS rank, unnest(cs) AS slug FROM f""",
     "extract_experience": f"""{P}, x AS (SELECT ord, CASE WHEN ord % 10 = 0 THEN ' 5+ yrs ' ELSE '' END AS hint,
-      description || CASE WHEN ord % 3 = 0 THEN {lit(' ניסיון של שנתיים בתפקיד דומה.')} ELSE '' END AS body FROM postings)
+      description || CASE WHEN ord % 3 = 0 THEN {lit(' עם 2 עונות בגינה.')} ELSE '' END AS body FROM postings)
       SELECT ord, {S.experience('body', 'hint')} AS experience FROM x""",
     "strip_sentences": f"{P} SELECT ord, {S.strip_sentences('description')} AS text FROM postings",
     "company_display_name": """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment END AS hint,

@@ -42,11 +42,12 @@ SQL = {
         UNION ALL SELECT 'all', p_name || ' ' || p_partkey FROM part),
       v AS (SELECT DISTINCT list, {S.norm('term')} AS term FROM v0),
       s AS (SELECT list, count(*) AS terms FROM v GROUP BY 1),
-      p AS (SELECT list, string_agg({_QUOTED}, '|' ORDER BY length(term) DESC, term) AS body FROM v GROUP BY 1)
-      SELECT list, terms, CASE WHEN terms <= 1000 THEN {lit(f'(?<![{S.W}])(?:')} || body || {lit(f')(?![{S.W}])')} END AS pattern
-      FROM s JOIN p USING (list)""",
+      c AS (SELECT list, term, CAST('0x' || substr(md5(term), 1, 6) AS BIGINT) % CAST(ceil(terms / 1000) AS BIGINT) AS chunk
+        FROM v JOIN s USING (list))
+      SELECT list, chunk, count(*) AS terms, {lit(f'(?<![{S.W}])(?:')} || string_agg({_QUOTED}, '|' ORDER BY length(term) DESC, term)
+        || {lit(f')(?![{S.W}])')} AS pattern FROM c GROUP BY 1, 2""",
     "match_terms": f"""WITH b AS (SELECT {_WORDS} AS w FROM benchmark),
-      v AS (SELECT DISTINCT 'word' AS list, term FROM (SELECT unnest(w) AS term FROM b) WHERE length(term) >= 9
+      v AS (SELECT DISTINCT 'word' AS list, term FROM (SELECT unnest(w) AS term FROM b) 
         UNION SELECT 'pair', unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM b),
       d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
       r AS (SELECT DISTINCT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))
@@ -124,10 +125,10 @@ SQL = {
     "labeled_fields": """SELECT page_id, CASE WHEN page_id % 3 < 2 THEN 'Town ' || page_id % 11 ELSE '' END AS location,
       CASE WHEN page_id % 3 < 2 THEN (page_id % 20 + 1) || ' days ago' ELSE '' END AS posted FROM pages""",
     "extract_links": f"""WITH {_LISTING}
-      SELECT page_id, origin || '/jobs/view-' || page_id || '/' AS href, 'Senior Data Analyst' AS text FROM lp WHERE page_id % 3 = 0
+      SELECT page_id, origin || '/jobs/view-' || page_id || '/' AS href, 'Senior Kitchen Gardener' AS text FROM lp WHERE page_id % 3 = 0
       UNION ALL SELECT page_id, origin || regexp_replace(regexp_replace(pth, '[^/]*$', ''), '[^/]+/$', '') || 'careers/' || page_id
-        || '12345?x=1&y=2', 'BI Analyst' FROM lp WHERE page_id % 3 = 0
-      UNION ALL SELECT page_id, 'https://jobs.lever.co/z' || page_id || '/12', 'Web Analyst' FROM lp WHERE page_id % 3 = 0""",
+        || '12345?x=1&y=2', 'Rose Gardener' FROM lp WHERE page_id % 3 = 0
+      UNION ALL SELECT page_id, 'https://jobs.lever.co/z' || page_id || '/12', 'Market Gardener' FROM lp WHERE page_id % 3 = 0""",
     "page_yield_status": f"""SELECT page_id, CASE WHEN page_id % 3 = 2 THEN {lit(L.PARTIAL)} ELSE {lit(L.OK)} END AS status,
       CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN {lit(L.NO_RELEVANT_NOW)} ELSE {lit(L.NOT_READABLE)} END AS note FROM pages""",
     "extract_cards": f"""WITH {O} SELECT k, ['linkedin', 'alljobs', 'secret'][o_orderkey % 3 + 1] AS board_name,

@@ -8,9 +8,9 @@ from siftline.operators import audit, cascade, cumulative, dedupe
 from siftline.plans import daily_run
 from siftline.schemas import POSTINGS_CURRENT, POSTINGS_RAW, conform
 
-TEXT = ("You will analyze numbers, build dashboards and reports, define KPIs and share insights with stakeholders. "
-        "Needs 2+ years of experience with SQL and Tableau.")
-BASE = dict(title="Data Analyst", company="Acme", source="Site", url="https://x.com/1", description=TEXT, location="Tel Aviv",
+TEXT = ("You will raise seedlings, cut hedges, bring in the harvest and look after the soil of a large walled garden. "
+        "Needs 2+ years outdoors with pruning and mulching.")
+BASE = dict(title="Kitchen Gardener", company="Acme", source="Site", url="https://x.com/1", description=TEXT, location="Tel Aviv",
             posted_raw="2026-09-20", updated_raw="", job_id="", experience_hint="", home_context=False, listing_url="https://x.com/",
             industry="")
 
@@ -39,11 +39,11 @@ def outcomes(spark, rules, *changes):
 
 def test_every_stage_gives_its_reason(spark, rules):
     assert outcomes(
-        spark, rules, {}, {"title": "Gardener"}, {"title": "Data Engineer"}, {"description": "Too short"}, {"description": None},
-        {"description": TEXT.replace("SQL and Tableau", "spreadsheets")}, {"location": "Haifa"}, {"location": "Berlin, Germany"},
-        {"title": "Data Analyst (London)"}, {"posted_raw": "2026-09-03"}, {"posted_raw": "2026-09-04"}, {"posted_raw": ""},
-        {"posted_raw": "2026-08-01", "updated_raw": "2026-09-20"}, {"title": "ETL Developer / Sales Analyst", "description":
-            "Build pipelines with Kafka, Airflow, Docker, Terraform and ETL for the data platform, plus SQL, all day long."},
+        spark, rules, {}, {"title": "Cook"}, {"title": "Tree Feller"}, {"description": "Too short"}, {"description": None},
+        {"description": TEXT.replace("pruning and mulching", "spreadsheets")}, {"location": "Haifa"}, {"location": "Berlin, Germany"},
+        {"title": "Kitchen Gardener (London)"}, {"posted_raw": "2026-09-03"}, {"posted_raw": "2026-09-04"}, {"posted_raw": ""},
+        {"posted_raw": "2026-08-01", "updated_raw": "2026-09-20"}, {"title": "Irrigation Fitter / Market Gardener", "description":
+            "Lay asphalt and concrete with a crane, a scaffold and diesel excavators by the wall, plus pruning, all day long."},
     ) == [L.ACCEPTED, L.TITLE_NOT_RELEVANT, L.TITLE_NOT_RELEVANT, L.NO_DESCRIPTION, L.NO_DESCRIPTION, L.NO_KEYWORD,
           L.PLACE_PREFIX + L.REGION_NORTH, L.PLACE_PREFIX + L.PLACE_ABROAD, L.PLACE_PREFIX + L.PLACE_TITLE_ABROAD, L.TOO_OLD,
           L.ACCEPTED, L.ACCEPTED, L.ACCEPTED, L.ESSENCE_COMBINED_NO]
@@ -53,9 +53,9 @@ def test_accepted_row(spark, rules):
     out = cascade.evaluate(raw(spark, {"company": " ", "posted_raw": ""}), F.lit("2026-09-24").cast("date"), rules)
     job = cascade.accepted_jobs(out).first()
     assert job.company == L.UNKNOWN_COMPANY and job.date_iso is None and job.date_display == L.UNKNOWN_DATE
-    assert job.experience == "2+ years of experience" and job.location == "Tel Aviv"
-    assert job.reason == L.ESSENCE_LISTED_OK + "; מילות מפתח בתיאור: SQL, Tableau" + L.DATE_UNKNOWN_SUFFIX
-    assert job.key == "https://x.com/1" and job.alt_key.endswith("|data analyst|tel aviv")
+    assert job.experience == "2+ years outdoors" and job.location == "Tel Aviv"
+    assert job.reason == L.ESSENCE_LISTED_OK + "; מילות מפתח בתיאור: Mulching, Pruning" + L.DATE_UNKNOWN_SUFFIX
+    assert job.key == "https://x.com/1" and job.alt_key.endswith("|kitchen gardener|tel aviv")
 
 
 def test_filter_on_outcome_does_not_repeat_the_work(spark, rules):
@@ -65,7 +65,7 @@ def test_filter_on_outcome_does_not_repeat_the_work(spark, rules):
 
 
 def test_three_days(spark, rules):
-    first = run(spark, rules, empty(spark), {"url": "https://x.com/a"}, {"url": "https://x.com/b", "title": "BI Analyst",
+    first = run(spark, rules, empty(spark), {"url": "https://x.com/a"}, {"url": "https://x.com/b", "title": "Rose Gardener",
                                                                        "posted_raw": ""})
     assert first.new_jobs.count() == 2 and first.removed.first().removed == 0
     state = kept_state(first)
@@ -79,19 +79,19 @@ def test_three_days(spark, rules):
     assert later.removed.first().removed == 1
     assert [r.date_iso for r in later.current.collect()] == [None]
     # an old date found later removes the undated row
-    gone = run(spark, rules, kept_state(later), {"url": "https://x.com/b", "title": "BI Analyst", "posted_raw": "2026-08-01"})
+    gone = run(spark, rules, kept_state(later), {"url": "https://x.com/b", "title": "Rose Gardener", "posted_raw": "2026-08-01"})
     assert gone.removed.first().removed == 1 and gone.current.count() == 0
 
 
 def test_low_priority_copy_is_not_new(spark, rules):
-    first = run(spark, rules, empty(spark), {"company": "Port", "location": "Ramat Gan, Israel"})
-    copy = {"company": "Port", "source": "Secret Tel Aviv", "url": "https://s.com/9", "location": "Tel Aviv/ Ramat Gan"}
+    first = run(spark, rules, empty(spark), {"company": "Port", "location": "Holon, Israel"})
+    copy = {"company": "Port", "source": "Secret Tel Aviv", "url": "https://s.com/9", "location": "Netanya/ Holon"}
     assert run(spark, rules, kept_state(first), copy).new_jobs.count() == 0
     assert run(spark, rules, kept_state(first), {**copy, "source": "Other"}).new_jobs.count() == 1
 
 
 def test_in_run_duplicates_and_counts(spark, rules):
-    result = run(spark, rules, empty(spark), {}, {"url": "https://x.com/1?ref=2"}, {"url": "https://y.com/5"}, {"title": "Gardener"})
+    result = run(spark, rules, empty(spark), {}, {"url": "https://x.com/1?ref=2"}, {"url": "https://y.com/5"}, {"title": "Cook"})
     assert {r.reason: r.n for r in result.reasons.collect()} == {L.ACCEPTED: 3, L.DUPLICATE: 2, L.TITLE_NOT_RELEVANT: 1}
     statuses = spark.createDataFrame([("https://x.com/", "A", "m", L.OK, "", 0)], "url string, site string, method string, "
                                                                                   "status string, error string, count long")
