@@ -94,8 +94,8 @@ class WordEncoder(TextEncoder):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.fence = self._whole(FENCE)
-        self.memo = Memo(self._pieces)
-        self.words = Memo(self._words)
+        self.memo = Memo(self._pieces, 2 * MEMORY)
+        self.words = Memo(self._words, 2 * MEMORY)
 
     @staticmethod
     def cut(text: str) -> list[str]:
