@@ -40,6 +40,7 @@ FAILED = "נכשל"
 PARTIAL = "חלקי"
 UNREACHABLE = "לא נגיש"
 NOT_SCANNED = "לא נסרק - הסתיים זמן הסריקה"
+TIME_OVER = "הסריקה נעצרה - הגיע מועד סיום הסריקה"
 PAGES_NOT_LOADED = "עמודי משרה לא נטענו"
 PAGE_WITHOUT_TEXT = "עמוד משרה ללא תיאור"
 NO_RELEVANT_NOW = "אין בעמוד משרות רלוונטיות כרגע"

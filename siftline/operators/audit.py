@@ -60,8 +60,9 @@ def joined_notes(notes: Column, width: int = 500) -> Column:
 def status_notes(links: DataFrame, notes: DataFrame, width: int = 500) -> DataFrame:
     """Status and error text per link.
 
-    ``links``: url, failure status and message (null when the link did not fail).
-    ``notes``: url, note, ord. A note turns 'ok' into 'partial'; a failure keeps its own text.
+    ``links``: url, failure status and message (null when the link did not fail), and ``failed_at``, the failure's
+    place among the notes. ``notes``: url, note, ord. A note turns 'ok' into 'partial'. A failure stays one; its own text
+    gives way to the notes if one comes after it.
     Notes are reduced to the distinct texts of a link, each at its first position. Every note takes at
     least one character of the text, so the first ``width`` notes always fill it; the rank limit is
     applied on the map side too, and a link with very many notes never fills one task.
@@ -71,12 +72,14 @@ def status_notes(links: DataFrame, notes: DataFrame, width: int = 500) -> DataFr
     distinct = distinct.where(F.col("note") != "").withColumn("_n", place).where(F.col("_n") <= width)
     listed = distinct.groupBy(F.col("url").alias("_url")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "note"))), lambda n: n["note"]).alias("notes"))
-    joined = links.join(listed, links["url"] == listed["_url"], "left").drop("_url")
+    last = notes.where(F.col("note") != "").groupBy(F.col("url").alias("_url")).agg(F.max("ord").alias("last"))
+    joined = links.join(listed.join(last, "_url"), links["url"] == F.col("_url"), "left").drop("_url")
     failed = F.col("failure").isNotNull()
+    final = failed & ~F.coalesce(F.col("last") > F.col("failed_at"), F.lit(False))
     return joined.select(
         "url",
         F.when(failed, F.col("failure")).when(F.col("notes").isNotNull(), L.PARTIAL).otherwise(L.OK).alias("status"),
-        F.when(failed, F.col("message")).when(F.col("notes").isNotNull(), joined_notes(F.col("notes"), width))
+        F.when(final, F.col("message")).when(F.col("notes").isNotNull(), joined_notes(F.col("notes"), width))
         .otherwise("").alias("error"))
 
 

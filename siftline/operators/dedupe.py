@@ -26,21 +26,25 @@ def _identities(jobs: DataFrame) -> DataFrame:
             .agg(F.min(rank).alias("rank")))
 
 
-def greedy_survivors(jobs: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """``ord`` of the rows the sequential rule keeps.
+def require_unique(jobs: DataFrame, key: str) -> None:
+    """An error that names a repeated or missing value of ``key``, if there is one."""
+    repeated = jobs.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).first()
+    if repeated is not None:
+        raise ValueError(f"{key} must be unique; {repeated[0]} stands on {repeated[1]} rows")
+
+
+def greedy_survivors(jobs: DataFrame) -> DataFrame:
+    """``ord`` of the rows the sequential rule keeps; a repeated ``ord`` is an error.
 
     Every round keeps the rows that come first in all their groups and drops the rows that share an
     identity with a kept one. The globally first row is always decided, so the rounds end; their
     number is the longest chain of rows linked by alternating identities.
     """
+    require_unique(jobs, "ord")
     open_rows = _cut(_identities(jobs))
     any_low = not open_rows.where("is_low_priority").isEmpty()
     kept: DataFrame | None = None
-    rounds = 0
     while not open_rows.isEmpty():
-        rounds += 1
-        if max_rounds is not None and rounds > max_rounds:
-            raise RuntimeError(f"duplicates still open after {max_rounds} rounds")
         # the first row of each group, found by a grouped minimum (combined on the map side);
         # a row wins when it is the first of both its groups, so the join key is unique
         row = F.struct("rank", "key", "alt_key", "company_title", "is_low_priority")

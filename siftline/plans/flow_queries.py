@@ -222,9 +222,10 @@ def status_notes(spark, sf):
     orders = D.table(spark, sf, "orders")
     url = c("o_orderkey").cast("string")
     links = orders.select(url.alias("url"), F.when(c("o_orderstatus") == "F", L.FAILED).alias("failure"),
-                          F.when(c("o_orderstatus") == "F", "HTTP 500").alias("message"))
+                          F.when(c("o_orderstatus") == "F", "HTTP 500").alias("message"),
+                          (c("o_custkey") % 7 + 1).alias("failed_at"))
     line = D.table(spark, sf, "lineitem")
-    notes = line.where("l_returnflag = 'R'").select(
+    notes = line.select(
         c("l_orderkey").cast("string").alias("url"), F.concat(c("l_linestatus"), F.lit(" not read")).alias("note"),
         c("l_linenumber").cast("bigint").alias("ord"))
     return audit.status_notes(links, notes)
@@ -285,8 +286,7 @@ def union_sources(spark, sf):
     talks = D.table(spark, sf, "conversations")
 
     def conversations():
-        return talks.select(c("role").alias("title"), c("text").alias("description"), F.lit("talk").alias("source"),
-                            (c("conv_id") * 1000 + c("turn")).alias("ord"))
+        return talks.select(c("role").alias("title"), c("text").alias("description"), F.lit("talk").alias("source"))
 
     def missing():
         return spark.read.parquet(f"{sf}/no_such_table.parquet")
@@ -294,9 +294,9 @@ def union_sources(spark, sf):
     rows, broken = fetches.union_sources(
         {"documents": lambda: everything, "conversations": conversations, "lost": missing}, everything)
     out = rows.groupBy(F.when(c("source") == "talk", "conversations").otherwise("documents").alias("part")).agg(
-        F.count("*").alias("n"), F.count_if(c("url") == "").alias("without_url"))
-    return out.unionByName(broken.select(c("site").alias("part"), F.lit(0).cast("bigint").alias("n"),
-                                         F.lit(0).cast("bigint").alias("without_url")))
+        F.count("*").alias("n"), F.count_if(c("url") == "").alias("without_url"), F.count_distinct("ord").alias("ords"))
+    nothing = [F.lit(0).cast("bigint").alias(name) for name in ("n", "without_url", "ords")]
+    return out.unionByName(broken.select(c("site").alias("part"), *nothing))
 
 
 # ---------------------------------------------------------------- state

@@ -149,15 +149,22 @@ def workday_base(url: Column) -> Column:
 def workday_home_facets(payloads: DataFrame, home_pattern: str) -> DataFrame:
     """(payload columns but the body, facet, ids): the one facet that selects postings at home.
 
-    The facet tree nests without a fixed depth, so each payload is walked in an Arrow batch.
+    The facet tree nests without a fixed depth, so each payload is walked in an Arrow batch. A payload that is no
+    JSON object has no facet.
     """
     kept = [c for c in payloads.columns if c != "body"]
     home = re.compile(home_pattern, re.I)
 
-    def pick(body: str) -> tuple[str | None, list[str]]:
+    def pick(body: str | None) -> tuple[str | None, list[str]]:
+        try:
+            payload = json.loads(body or "")
+        except ValueError:
+            return None, []
+        if not isinstance(payload, dict):
+            return None, []
         found: dict[str, list[str]] = {}
         # depth first in document order: children are put on the stack in reverse
-        open_items = [(item, None) for item in reversed((json.loads(body) or {}).get("facets") or [])]
+        open_items = [(item, None) for item in reversed(payload.get("facets") or [])]
         while open_items:
             item, inherited = open_items.pop()
             facet = item.get("facetParameter", inherited)

@@ -13,6 +13,9 @@ from ..schemas import POSTINGS_RAW, SOURCE_STATUS, conform
 # Answer codes that mean 'unreachable', by family of sources.
 UNREACHABLE_CODES = {"page": (401, 403, 404), "board": (404,), "search": (403, 999), "guarded": (401, 403)}
 
+#: Ordinals of one source lie below this; a row's place in its source takes 19 bits of partitions and 33 of rows.
+SOURCE_STEP = 1 << 52
+
 
 def _unreachable(family: Column, code: Column) -> Column:
     return reduce(lambda a, b: a | b, [(family == f) & code.isin(*codes) for f, codes in UNREACHABLE_CODES.items()])
@@ -21,26 +24,32 @@ def _unreachable(family: Column, code: Column) -> Column:
 def link_status(log: DataFrame) -> DataFrame:
     """(url, status, error) per link of a fetch log (url, family, page, code, in_time).
 
-    An error on the first page decides; one on a later page makes the link partial; a link that was
-    not reached in time is partial. ``code`` is 200 for a page that was read.
+    An error on the first page decides; one on a later page makes the link partial. A link whose first page
+    was not reached in time is partial and not scanned; a later page not reached in time stops it there.
+    ``code`` is 200 for a page that was read.
     """
-    failed = F.when(F.col("code") != 200, F.struct("page", "code", "family"))
+    late = ~F.col("in_time")
+    # without a code the page was never asked for
+    failed = F.when(late | (F.col("code") != 200), F.struct("page", F.when(~late, F.col("code")).alias("code"), "family"))
     first = log.groupBy("url").agg(
-        F.bool_and("in_time").alias("in_time"),
         F.min(F.when(F.col("page") == 1, failed)).alias("head"),
         F.min(F.when(F.col("page") > 1, failed)).alias("later"))
-    message = F.concat(F.lit("HTTP "), F.col("head.code").cast("string"))
+    unread = F.col("head").isNotNull() & F.col("head.code").isNull()
+
+    def message(failure: str) -> Column:
+        return F.coalesce(F.concat(F.lit("HTTP "), F.col(f"{failure}.code").cast("string")), F.lit(L.TIME_OVER))
+
     return first.select(
         "url",
-        F.when(~F.col("in_time"), L.PARTIAL)
+        F.when(unread, L.PARTIAL)
         .when(F.col("head").isNotNull(), F.when(
             _unreachable(F.col("head.family"), F.col("head.code")), L.UNREACHABLE).otherwise(L.FAILED))
         .when(F.col("later").isNotNull(), L.PARTIAL).otherwise(L.OK).alias("status"),
-        F.when(~F.col("in_time"), L.NOT_SCANNED)
-        .when(F.col("head").isNotNull(), message)
+        F.when(unread, L.NOT_SCANNED)
+        .when(F.col("head").isNotNull(), message("head"))
         .when(F.col("later").isNotNull(), F.concat(
-            F.lit(L.STOPPED_AT_PAGE + " "), F.col("later.page").cast("string"), F.lit(": HTTP "),
-            F.col("later.code").cast("string"))).otherwise("").alias("error"))
+            F.lit(L.STOPPED_AT_PAGE + " "), F.col("later.page").cast("string"), F.lit(": "), message("later")))
+        .otherwise("").alias("error"))
 
 
 def union_sources(sources: dict[str, object], template: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,14 +57,17 @@ def union_sources(sources: dict[str, object], template: DataFrame) -> tuple[Data
 
     ``sources`` maps a name to a function returning a DataFrame. Only planning errors (a missing path,
     an unknown column) are caught here; an error inside a task fails the job as usual.
+    ``ord`` is unique: the source's place in ``sources``, then its own ``ord``, or the row's place where it has none.
     """
     spark = template.sparkSession
     out, broken = conform(template, POSTINGS_RAW).limit(0), []
-    for name, read in sources.items():
+    for place, (name, read) in enumerate(sources.items()):
         try:
-            out = out.unionByName(conform(read(), POSTINGS_RAW))
+            rows = read()
+            own = F.col("ord") if "ord" in rows.columns else F.monotonically_increasing_id()
+            out = out.unionByName(conform(rows.withColumn("ord", F.lit(place * SOURCE_STEP) + own), POSTINGS_RAW))
         except Exception as error:  # noqa: BLE001 - one broken source must not stop the run
-            text = f"{type(error).__name__}: {str(error).splitlines()[0]}"[:300]
+            text = f"{type(error).__name__}: {str(error).splitlines()[0]}"
             broken.append((f"internal://{name}", name, "", L.FAILED, text, 0, []))
     return out, spark.createDataFrame(broken, SOURCE_STATUS)
 

@@ -78,8 +78,8 @@ def _jobs(payloads: DataFrame, schema: str, array: str) -> DataFrame:
 
 
 def flatten_greenhouse(payloads: DataFrame) -> DataFrame:
-    return _flat(_jobs(payloads, GREENHOUSE, "p.jobs"), board_name=F.col("p.name"), title=F.col("j.title"),
-                 url=F.col("j.absolute_url"), location=F.col("j.location.name"),
+    return _flat(_jobs(payloads, GREENHOUSE, "p.jobs"), board_name=F.coalesce(F.nullif("p.name", F.lit("")), "slug"),
+                 title=F.col("j.title"), url=F.col("j.absolute_url"), location=F.col("j.location.name"),
                  description=html_to_text(F.col("j.content")), posted_raw=F.col("j.first_published"),
                  updated_raw=F.col("j.updated_at"), job_id=F.col("j.id"))
 
@@ -230,13 +230,17 @@ def flatten_embedded_cards(pages: DataFrame, job_url: str = "https://il.indeed.c
                  posted_raw=F.col("j.formattedRelativeTime"), job_id=F.col("j.jobkey"))
 
 
-def detail_join(rows: DataFrame, details: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+def detail_join(rows: DataFrame, details: DataFrame, keys: list[str],
+                fetched: str | None = None) -> tuple[DataFrame, DataFrame]:
     """List rows with their detail, and per slug the number of list rows whose detail is missing.
 
-    Details are reduced to one per key before the join, so a key that was fetched many times adds no rows.
+    Details are reduced to one per key before the join, so a key that was fetched many times adds no rows: the one
+    with the largest value of the column ``fetched`` (which isn't returned), else the smallest detail.
     """
-    payload = [c for c in details.columns if c not in keys]
-    one = details.groupBy(*keys).agg(F.min(F.struct(*payload)).alias("_d"))
+    payload = [c for c in details.columns if c not in (*keys, fetched)]
+    detail = F.struct(*payload)
+    chosen = F.min(detail) if fetched is None else F.max(F.struct(fetched, detail.alias("d")))["d"]
+    one = details.groupBy(*keys).agg(chosen.alias("_d"))
     joined = rows.join(one, keys, "left")
     found = joined.where("_d is not null").select(*rows.columns, "_d.*")
     missing = joined.where("_d is null").groupBy(keys[0]).agg(F.count("*").alias("missing"))

@@ -216,17 +216,18 @@ SQL = {
         {S.cycle(('page', 'board', 'search', 'guarded'), 'l_orderkey')} AS family, l_linenumber AS page,
         CASE WHEN l_discount > 0.05 THEN CAST({S.cycle(('401', '403', '404', '500', '999'), 'l_partkey')} AS INT) ELSE 200 END
           AS code, l_tax < 0.075 AS in_time FROM lineitem),
-      f AS (SELECT url, any_value(family) AS family, bool_and(in_time) AS in_time,
+      f AS (SELECT url, any_value(family) AS family, bool_and(in_time OR page > 1) AS in_time,
         min(code) FILTER (WHERE page = 1 AND code <> 200) AS head,
-        min({{'p': page, 'c': code}}) FILTER (WHERE page > 1 AND code <> 200) AS later FROM log GROUP BY url)
+        min({{'p': page, 'c': CASE WHEN in_time THEN code ELSE 0 END}})
+          FILTER (WHERE page > 1 AND (code <> 200 OR NOT in_time)) AS later FROM log GROUP BY url)
       SELECT url, CASE WHEN NOT in_time THEN {lit(L.PARTIAL)} WHEN head IS NOT NULL THEN CASE WHEN
           (family = 'page' AND head IN (401, 403, 404)) OR (family = 'board' AND head = 404)
           OR (family = 'search' AND head IN (403, 999)) OR (family = 'guarded' AND head IN (401, 403))
           THEN {lit(L.UNREACHABLE)} ELSE {lit(L.FAILED)} END
         WHEN later IS NOT NULL THEN {lit(L.PARTIAL)} ELSE {lit(L.OK)} END AS status,
       CASE WHEN NOT in_time THEN {lit(L.NOT_SCANNED)} WHEN head IS NOT NULL THEN 'HTTP ' || CAST(head AS VARCHAR)
-        WHEN later IS NOT NULL THEN {lit(L.STOPPED_AT_PAGE + ' ')} || CAST(later.p AS VARCHAR) || ': HTTP ' ||
-          CAST(later.c AS VARCHAR) ELSE '' END AS error FROM f""",
+        WHEN later IS NOT NULL THEN {lit(L.STOPPED_AT_PAGE + ' ')} || CAST(later.p AS VARCHAR) || ': ' ||
+          CASE WHEN later.c = 0 THEN {lit(L.TIME_OVER)} ELSE 'HTTP ' || CAST(later.c AS VARCHAR) END ELSE '' END AS error FROM f""",
     "predetail_prune": f"""{P}, p2 AS (SELECT ord, title, location, '' AS description, '' AS url FROM postings),
       {S.title_ctes('postings')}, {S.place_ctes('p2', 'FALSE')}
       SELECT ord, title, location FROM p2 JOIN title_class USING (ord) JOIN place USING (ord)
@@ -254,12 +255,14 @@ SQL = {
       count(*) FILTER (WHERE status NOT IN ({lit(L.OK)}, {lit(L.PARTIAL)})) AS failed FROM statuses""",
     "unique_sites": f"WITH {STATUSES} SELECT site FROM {SITES}",
     "status_notes": f"""WITH n0 AS (SELECT l_orderkey, l_linestatus || ' not read' AS note, min(l_linenumber) AS o FROM lineitem
-        WHERE l_returnflag = 'R' GROUP BY 1, 2),
-      n AS (SELECT l_orderkey, left(string_agg(note, '; ' ORDER BY o, note), 500) AS notes FROM n0 GROUP BY 1)
+        GROUP BY 1, 2),
+      n AS (SELECT l_orderkey, left(string_agg(note, '; ' ORDER BY o, note), 500) AS notes FROM n0 GROUP BY 1),
+      z AS (SELECT l_orderkey AS k, max(l_linenumber) AS last FROM lineitem GROUP BY 1)
       SELECT CAST(o_orderkey AS VARCHAR) AS url, CASE WHEN o_orderstatus = 'F' THEN {lit(L.FAILED)}
         WHEN notes IS NOT NULL THEN {lit(L.PARTIAL)} ELSE {lit(L.OK)} END AS status,
-        CASE WHEN o_orderstatus = 'F' THEN 'HTTP 500' ELSE coalesce(notes, '') END AS error
-      FROM orders LEFT JOIN n ON l_orderkey = o_orderkey""",
+        CASE WHEN o_orderstatus = 'F' AND NOT coalesce(last > o_custkey % 7 + 1, false) THEN 'HTTP 500'
+          ELSE coalesce(notes, '') END AS error
+      FROM orders LEFT JOIN n ON l_orderkey = o_orderkey LEFT JOIN z ON k = o_orderkey""",
     "run_audit": f"""{RUN}, {STATUSES}, {ABROAD}, {_totals()}
       SELECT (SELECT n FROM totals WHERE item = 'raw') AS raw, (SELECT n FROM totals WHERE item = 'accepted') AS accepted,
         (SELECT n FROM totals WHERE item = 'new') AS new, (SELECT n FROM totals WHERE item = 'cumulative') AS cumulative,
@@ -279,8 +282,8 @@ SQL = {
       first_seen DESC, ord""",
     "history_tail": """WITH h AS (SELECT CAST(ts AS DATE) AS d, count(*) AS links, max(event_id) AS r FROM events GROUP BY 1),
       t AS (SELECT * FROM h ORDER BY d DESC, r DESC LIMIT 10) SELECT strftime(d, '%Y-%m-%d') AS run_date, links FROM t""",
-    "union_sources": """SELECT 'documents' AS part, count(*) AS n, 0 AS without_url FROM documents
-      UNION ALL SELECT 'conversations', count(*), count(*) FROM conversations UNION ALL SELECT 'lost', 0, 0""",
+    "union_sources": """SELECT 'documents' AS part, count(*) AS n, 0 AS without_url, count(*) AS ords FROM documents
+      UNION ALL SELECT 'conversations', count(*), count(*), count(*) FROM conversations UNION ALL SELECT 'lost', 0, 0, 0""",
     "upsert_cumulative": f"""{BASE}, {UPSERTED} SELECT {CURRENT}, CASE WHEN is_new THEN 'new' ELSE company_type END
       AS company_type FROM upserted""",
     "expire_cumulative": f"""{P}, {STORED} SELECT key, coalesce({iso('date_iso')}, '') AS date_iso FROM stored

@@ -162,11 +162,14 @@ def test_unique_sites_and_notes(spark):
         ("A", L.OK, "", 1), ("a", L.OK, "", 0), ("B", L.FAILED, "x", 2), ("Bing x", L.OK, "", 3), ("C", L.PARTIAL, L.NOT_SCANNED, 4),
         ("D", L.PARTIAL, "n", 5)], "site string, status string, error string, ord long")
     assert [r.site for r in audit.unique_sites(statuses).collect()] == ["a", "D"]
-    links = spark.createDataFrame([("1", None, None), ("2", L.FAILED, "HTTP 500"), ("3", None, None)],
-                                  "url string, failure string, message string")
-    notes = spark.createDataFrame([("1", "n2", 5), ("1", "n1", 1), ("1", "n2", 2), ("2", "late", 1)], "url string, note string, ord long")
+    links = spark.createDataFrame([("1", None, None, None), ("2", L.FAILED, "HTTP 500", 2), ("3", None, None, None),
+                                   ("4", L.FAILED, "HTTP 500", 2), ("5", L.FAILED, "HTTP 500", None)],
+                                  "url string, failure string, message string, failed_at long")
+    notes = spark.createDataFrame([("1", "n2", 5), ("1", "n1", 1), ("1", "n2", 2), ("2", "early", 1), ("4", "early", 1),
+                                   ("4", "after", 3), ("5", "any", 1)], "url string, note string, ord long")
     out = {r.url: (r.status, r.error) for r in audit.status_notes(links, notes).collect()}
-    assert out == {"1": (L.PARTIAL, "n1; n2"), "2": (L.FAILED, "HTTP 500"), "3": (L.OK, "")}
+    assert out == {"1": (L.PARTIAL, "n1; n2"), "2": (L.FAILED, "HTTP 500"), "3": (L.OK, ""),
+                   "4": (L.FAILED, "early; after"), "5": (L.FAILED, "HTTP 500")}
 
 
 def test_history_tail(spark):
@@ -182,3 +185,13 @@ def test_union_sources_reports_a_broken_one(spark, bad):
     rows, broken = union_sources({"good": lambda: good, bad: lambda: spark.read.parquet("/no/such/path")}, good)
     assert rows.count() == 1
     assert [(r.site, r.status) for r in broken.collect()] == [(bad, L.FAILED)]
+
+
+def test_sources_without_an_order_can_be_deduplicated(spark, rules):
+    from siftline.sources.fetches import union_sources
+
+    first, second = raw(spark, {}, {}).drop("ord"), raw(spark, {"url": "https://other.example.com/1"})
+    rows, _ = union_sources({"first": lambda: first, "second": lambda: second}, first)
+    assert rows.select("ord").distinct().count() == 3
+    jobs = cascade.accepted_jobs(cascade.evaluate(rows, F.lit("2026-09-24").cast("date"), rules))
+    assert dedupe.greedy_dedupe(jobs).count() == 1

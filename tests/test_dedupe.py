@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from siftline.operators import dedupe, firsts
 
 SCHEMA = "ord long, key string, alt_key string, company_title string, is_low_priority boolean"
@@ -66,3 +68,9 @@ def test_visit_once(spark):
     df = spark.createDataFrame([(1, "https://a.com/x?utm_a=1"), (2, "http://www.a.com/x/"), (3, "https://a.com/y")],
                                "ord long, url string")
     assert sorted(r.ord for r in firsts.visit_once(df).collect()) == [1, 3]
+
+
+def test_repeated_order_is_an_error(spark):
+    rows = [(1, "k1", "a1", "t1", False), (1, "k2", "a2", "t2", False)]
+    with pytest.raises(ValueError, match="ord must be unique"):
+        survivors(spark, rows)

@@ -51,11 +51,13 @@ def test_link_status(spark):
     log = spark.createDataFrame([
         ("ok", "page", 1, 200, True), ("gone", "page", 1, 404, True), ("gone", "page", 2, 500, True), ("err", "search", 1, 404, True),
         ("wall", "search", 1, 999, True), ("later", "board", 1, 200, True), ("later", "board", 3, 404, True),
-        ("late", "page", 1, 200, False), ("bot", "guarded", 1, 403, True)], "url string, family string, page int, code int, in_time boolean")
+        ("late", "page", 1, 200, False), ("slow", "page", 1, 200, True), ("slow", "page", 2, 200, False), ("slow", "page", 3, 500, True),
+        ("bot", "guarded", 1, 403, True)], "url string, family string, page int, code int, in_time boolean")
     out = {r.url: (r.status, r.error) for r in fetches.link_status(log).collect()}
     assert out == {"ok": (L.OK, ""), "gone": (L.UNREACHABLE, "HTTP 404"), "err": (L.FAILED, "HTTP 404"),
                    "wall": (L.UNREACHABLE, "HTTP 999"), "later": (L.PARTIAL, L.STOPPED_AT_PAGE + " 3: HTTP 404"),
-                   "late": (L.PARTIAL, L.NOT_SCANNED), "bot": (L.UNREACHABLE, "HTTP 403")}
+                   "late": (L.PARTIAL, L.NOT_SCANNED), "slow": (L.PARTIAL, f"{L.STOPPED_AT_PAGE} 2: {L.TIME_OVER}"),
+                   "bot": (L.UNREACHABLE, "HTTP 403")}
 
 
 def test_discovery(spark):

@@ -173,3 +173,24 @@ def test_lever_payload(spark):
                         "lists": [{"text": "L", "content": "<li>x</li>"}]}])
     row = payloads.flatten_lever(spark.createDataFrame([("s", body), ("s", '{"ok":false}')], "slug string, body string")).collect()
     assert [(r.location, r.description, r.posted_raw) for r in row] == [("Tel Aviv, Israel", "A\nL\nx", "1790000000000")]
+
+
+def test_the_latest_detail_is_taken(spark):
+    rows = spark.createDataFrame([("s", 1)], "slug string, job_id long")
+    details = spark.createDataFrame([("s", 1, "zz old", 1), ("s", 1, "new", 2)], "slug string, job_id long, text string, fetched long")
+    found, _ = payloads.detail_join(rows, details, ["slug", "job_id"], "fetched")
+    assert [tuple(r) for r in found.collect()] == [("s", 1, "new")]
+
+
+def test_anchors_as_a_browser_reads_them(spark):
+    html = ("<a title='a > b' href=/jobs/one>One</a><!-- <a href='/jobs/two'>Two</a> --><a data-href='/x' HREF = \"/jobs/three\">Three</a>"
+            "<script>'<a href=/jobs/four>Four</a>'</script><a name=x>Five</a><a href>Six</a><a x=\"un href='/jobs/seven'>Seven</a>")
+    page = spark.createDataFrame([(1, "https://c.com/", html)], "page_id long, url string, html string")
+    assert [(r.href, r.text) for r in pages.page_anchors(page).orderBy("pos").collect()] == [
+        ("https://c.com/jobs/one", "One"), ("https://c.com/jobs/three", "Three"), ("https://c.com/jobs/seven", "Seven")]
+
+
+def test_payloads_that_are_no_object_have_no_facet(spark):
+    good = '{"facets":[{"facetParameter":"locationCountry","values":[{"id":"x","descriptor":"Haifa"}]}]}'
+    df = spark.createDataFrame([(1, "<html>"), (2, None), (3, "[1]"), (4, good)], "k long, body string")
+    assert [(r.k, r.ids) for r in boards.workday_home_facets(df, "haifa").collect()] == [(4, ["x"])]
