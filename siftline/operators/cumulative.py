@@ -136,15 +136,24 @@ def report_order(current: DataFrame) -> DataFrame:
     return current.orderBy(companies.sector_rank(F.col("company_type")), *newest_first(current))
 
 
-def strongest_company_type(postings: DataFrame, rules: RuleSet, company: str = "job_company") -> DataFrame:
-    """One sector per company: the strongest signal of its postings, ties to the first posting."""
+def with_sector(postings: DataFrame, rules: RuleSet, wanted: Column | None = None) -> DataFrame:
+    """Add ``sector``, what a posting says about its company; null where ``wanted`` doesn't hold."""
     from ..functions.staging import stage
 
-    judged = stage(postings, _sector=companies.company_sector(
-        F.col("company"), F.col("industry"), F.col("listing_url"), F.col("url"), F.col("description"), rules))
+    sector = companies.company_sector(
+        F.col("company"), F.col("industry"), F.col("listing_url"), F.col("url"), F.col("description"), rules)
+    return stage(postings, sector=sector if wanted is None else F.when(wanted, sector))
+
+
+def strongest_company_type(postings: DataFrame, rules: RuleSet, company: str = "job_company") -> DataFrame:
+    """One sector per company: the strongest signal of its postings, ties to the first posting.
+
+    Postings that have their ``sector`` already need no text.
+    """
+    judged = postings if "sector" in postings.columns else with_sector(postings, rules)
     judged = judged.select(
         companies.company_key(F.col(company), rules).alias("company_key"),
-        F.col("_sector.type").alias("type"), companies.strength_rank(F.col("_sector.strength")).alias("strength"),
+        F.col("sector.type").alias("type"), companies.strength_rank(F.col("sector.strength")).alias("strength"),
         "is_low_priority", "ord")
     best = F.max_by("type", F.struct(
         F.col("strength"), (-F.col("is_low_priority").cast("int")).alias("low"), (-F.col("ord")).alias("o")))

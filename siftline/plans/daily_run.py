@@ -5,12 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import audit, cascade, cumulative, dedupe
 from ..session import scratch_path
 from ..vocab import RuleSet
 
 
+# inputs of the cascade that nothing after it reads
+TEXT_COLUMNS = ("description", "industry", "experience_hint", "home_context", "posted_raw", "updated_raw")
+
+
 @dataclass
 class Run:
     evaluated: DataFrame
@@ -33,8 +38,12 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
 
 def run(postings: DataFrame, stored: DataFrame, as_of: Column, rules: RuleSet,
         subscriber_urls: DataFrame | None = None) -> Run:
-    """The cascade runs once and is written; everything after it reads narrow columns of that table."""
-    evaluated = persisted(cascade.evaluate(postings, as_of, rules), "evaluated")
+    """The cascade runs once and is written without the texts; everything after it reads narrow columns of that table.
+
+    What the texts tell about a company is decided in the same pass, for accepted rows only.
+    """
+    judged = cumulative.with_sector(cascade.evaluate(postings, as_of, rules), rules, F.col("accepted"))
+    evaluated = persisted(judged.drop(*TEXT_COLUMNS), "evaluated")
     jobs = cascade.accepted_jobs(evaluated)
     kept = persisted(dedupe.greedy_dedupe(jobs), "kept")
     typed = evaluated.where("accepted").join(kept.select("ord"), "ord", "left_semi")

@@ -1,7 +1,8 @@
 """Posting-shaped inputs derived from the driver's tables.
 
-The prose of the driver tables holds none of the vocabulary, so rule-bearing columns are cycled by
-the id: every row of the table is used, the id only chooses which value it carries.
+The prose of the driver tables holds none of the vocabulary. Titles, places, company names and dates are
+therefore made of the tables' own values (sentences, names, segments, nations, order dates) with words of the
+vocabulary between them; in postings, every row of the documents carries one value of each list.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ POSTED = ("2026-09-20", "2026-09-04", "2026-09-03", "20/09/2026", "1.9.26", "202
 UPDATED = ("", "2026-09-22", "", "2026-08-01", "2027-01-01")
 URL_SUFFIXES = ("/", "?utm_source=feed", "?b=2&a=1&ref=x", "#top")
 LOW_PRIORITY_SOURCE = "src19"
+LEGAL_FORMS = (" Ltd", " Group", "", ", Inc.", " בע\"מ")
+BETWEEN_PLACES = (" | ", "; ", " / ", " or ", ", ")
+# the last order dates end up shortly after AS_OF
+DAYS_MOVED = 10_200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +88,58 @@ def postings_of(doc: DataFrame) -> DataFrame:
         F.lit("").alias("industry"), key.alias("ord"))
 
 
+def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, pos, title): every sentence of every document as a title; a third starts with a title of the list."""
+    doc = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    parts = doc.select("doc_id", F.posexplode(F.split("text", r"[.!?\n]+")).alias("pos", "sentence"))
+    turn = F.col("doc_id") + F.col("pos")
+    return parts.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.when(turn % 3 == 0, F.concat(
+        cycle(TITLES, turn), F.lit(" "), "sentence")).otherwise(F.col("sentence")).alias("title"))
+
+
+def company_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_partkey, company): part and brand names with a legal form by the size."""
+    part = table(spark, sf_dir, "part")
+    return part.select("p_partkey", F.concat("p_name", F.lit(" & "), "p_brand", cycle(LEGAL_FORMS, F.col("p_size")))
+                       .alias("company"))
+
+
+def places_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(c_custkey, c_name, c_nationkey, c_mktsegment, location): a place by the nation, alone or with the nation's
+    and the customer's name."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    place, between = cycle(LOCATIONS, F.col("c_nationkey")), cycle(BETWEEN_PLACES, F.col("c_custkey"))
+    return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey", "c_name", "c_nationkey", "c_mktsegment", F.when(F.col("c_mktsegment") == "HOUSEHOLD", place).otherwise(
+            F.concat(place, between, "n_name", F.lit(" | "), "c_name")).alias("location"))
+
+
+def dated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_orderkey, posted_raw, updated_raw): order dates, moved into the years before the run, in every form."""
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"), "o_orderkey")
+    day = F.date_add(F.col("o_orderdate").cast("date"), DAYS_MOVED)
+    age = F.datediff(as_of(), day)
+    form = F.col("o_custkey") % 12
+
+    def shown(pattern: str) -> Column:
+        return F.date_format(day, pattern)
+
+    def ago(count: Column, unit: str) -> Column:
+        return F.when(count > 0, F.concat(count.cast("string"), F.lit(unit))).otherwise("Today")
+
+    posted = (
+        F.when(form == 0, shown("yyyy-MM-dd")).when(form == 1, shown("dd/MM/yyyy")).when(form == 2, shown("d.M.yy"))
+        .when(form == 3, F.concat(shown("yyyy-MM-dd"), F.lit("T23:30:00Z")))
+        .when(form == 4, (F.unix_date(day).cast("bigint") * 86_400_000 + 82_800_000).cast("string"))
+        .when(form == 5, shown("MMM d, yyyy")).when(form == 6, shown("d MMMM yyyy"))
+        .when(form == 7, ago(age, " days ago")).when(form == 8, ago(F.floor(age / 7), "+ weeks ago"))
+        .when(form == 9, ago(age, " ימים")).when(form == 10, cycle(POSTED, F.col("o_orderkey"))).otherwise(""))
+    updated = F.when(F.col("o_orderstatus") == "O", F.date_format(
+        F.date_add(day, (F.col("o_custkey") % 40).cast("int")), "yyyy-MM-dd"))
+    return o.select("o_orderkey", posted.alias("posted_raw"), updated.alias("updated_raw"))
+
+
 def as_of() -> Column:
     return F.lit(AS_OF).cast("date")
 

@@ -174,11 +174,15 @@ def link_status(spark, sf):
 
 
 def predetail_prune(spark, sf):
-    return payloads.predetail_prune(D.postings(spark, sf), D.rules()).select("ord", "title", "location")
+    rows = D.places_of_customers(spark, sf).select(
+        "c_custkey", "location", F.concat(D.cycle(D.TITLES, c("c_custkey")), F.lit(" "), "c_mktsegment").alias("title"),
+        F.concat(F.lit("https://jobs.example.com/"), "c_name").alias("url"))
+    return payloads.predetail_prune(rows, D.rules()).select("c_custkey", "title", "location")
 
 
 def board_has_home_jobs(spark, sf):
-    rows = D.postings(spark, sf).select(F.lit("lever").alias("kind"), (c("ord") % 97).cast("string").alias("slug"), "location")
+    rows = D.places_of_customers(spark, sf).select(F.lit("lever").alias("kind"), F.concat(
+        F.lower("c_mktsegment"), F.lit("-"), (c("c_custkey") % 97).cast("string")).alias("slug"), "location")
     return boards.board_has_home_jobs(rows, D.rules()).select("kind", "slug", "has_home_jobs")
 
 

@@ -35,17 +35,17 @@ def normalize_text(spark, sf):
 
 
 def fold_gender(spark, sf):
-    return _p(spark, sf).select("ord", text.fold_gender(F.concat_ws(" ", "title", F.lit("מנהל/ת פיננסית")), D.rules())
-                                .alias("folded"))
+    return D.headings(spark, sf).select("doc_id", "pos", text.fold_gender(
+        F.concat_ws(" ", "title", F.lit("מנהל/ת פיננסית")), D.rules()).alias("folded"))
 
 
 def normalize_title(spark, sf):
-    return _p(spark, sf).select("ord", text.normalize_title(c("title"), D.rules()).alias("normal_title"))
+    return D.headings(spark, sf).select("doc_id", "pos", text.normalize_title(c("title"), D.rules()).alias("normal_title"))
 
 
 def fold_place_spelling(spark, sf):
     place = F.concat(F.lit("קרית "), c("location"), F.lit(", בקרית גת"))
-    return _p(spark, sf).select("ord", places.fold_place_spelling(place, D.rules()).alias("folded"))
+    return D.places_of_customers(spark, sf).select("c_custkey", places.fold_place_spelling(place, D.rules()).alias("folded"))
 
 
 def canonical_url(spark, sf):
@@ -59,18 +59,19 @@ def canonical_url(spark, sf):
 
 def split_locations(spark, sf):
     place = F.concat_ws(" | ", "location", F.lit("A / B or C; או"))
-    return _p(spark, sf).select("ord", F.posexplode(places.split_locations(place)).alias("pos", "part")).select(
-        "ord", c("pos").cast("bigint").alias("pos"), "part")
+    parts = F.posexplode(places.split_locations(place)).alias("pos", "part")
+    return D.places_of_customers(spark, sf).select("c_custkey", parts).select(
+        "c_custkey", c("pos").cast("bigint").alias("pos"), "part")
 
 
 def company_key(spark, sf):
-    return _p(spark, sf).select("ord", companies.company_key(c("company"), D.rules()).alias("company_key"))
+    return D.company_names(spark, sf).select(
+        "p_partkey", companies.company_key(c("company"), D.rules()).alias("company_key"))
 
 
 def location_key(spark, sf):
-    return _p(spark, sf).select("ord", places.location_key(
-        F.concat_ws(" ", "location", F.when(c("ord") % 2 == 0, F.lit("Tel Aviv District"))), D.rules()
-    ).alias("location_key"))
+    return D.places_of_customers(spark, sf).select("c_custkey", places.location_key(F.concat_ws(
+        " ", "location", F.when(c("c_mktsegment") == "MACHINERY", F.lit("Tel Aviv District"))), D.rules()).alias("location_key"))
 
 
 def job_keys(spark, sf):
@@ -105,29 +106,29 @@ def company_display_name(spark, sf):
 
 def parse_posting_date(spark, sf):
     r, as_of = D.rules(), D.as_of()
-    return _p(spark, sf).select(
-        "ord", iso(dates.parse_posting_date(c("posted_raw"), as_of, r)).alias("posted"),
+    return D.dated_orders(spark, sf).select(
+        "o_orderkey", iso(dates.parse_posting_date(c("posted_raw"), as_of, r)).alias("posted"),
         iso(dates.parse_posting_date(c("updated_raw"), as_of, r)).alias("updated"))
 
 
 def _dated(spark, sf):
     r, as_of = D.rules(), D.as_of()
-    return _p(spark, sf).select("ord", dates.relevant_date(
+    return D.dated_orders(spark, sf).select("o_orderkey", dates.relevant_date(
         dates.parse_posting_date(c("posted_raw"), as_of, r),
         dates.parse_posting_date(c("updated_raw"), as_of, r), as_of).alias("d"))
 
 
 def relevant_date(spark, sf):
-    return _dated(spark, sf).select("ord", iso(c("d")).alias("relevant"))
+    return _dated(spark, sf).select("o_orderkey", iso(c("d")).alias("relevant"))
 
 
 def freshness(spark, sf):
     fresh = dates.freshness(c("d"), D.as_of(), D.rules().fresh_days)
-    return _dated(spark, sf).select("ord", F.when(fresh, "fresh").when(~fresh, "old").otherwise("unknown").alias("fresh"))
+    return _dated(spark, sf).select("o_orderkey", F.when(fresh, "fresh").when(~fresh, "old").otherwise("unknown").alias("fresh"))
 
 
 def date_display(spark, sf):
-    return _dated(spark, sf).select("ord", dates.date_display(c("d")).alias("shown"))
+    return _dated(spark, sf).select("o_orderkey", dates.date_display(c("d")).alias("shown"))
 
 
 def local_today(spark, sf):
@@ -138,11 +139,13 @@ def local_today(spark, sf):
 
 
 def title_class(spark, sf):
-    return _p(spark, sf).select("ord", F.coalesce(titles.title_class(c("title"), D.rules()), F.lit("-")).alias("class"))
+    return D.headings(spark, sf).select(
+        "doc_id", "pos", F.coalesce(titles.title_class(c("title"), D.rules()), F.lit("-")).alias("class"))
 
 
 def is_potential(spark, sf):
-    return _p(spark, sf).select("ord", titles.is_potential(titles.title_class(c("title"), D.rules())).alias("potential"))
+    return D.headings(spark, sf).select(
+        "doc_id", "pos", titles.is_potential(titles.title_class(c("title"), D.rules())).alias("potential"))
 
 
 def description_available(spark, sf):
@@ -176,9 +179,9 @@ def classify_location(spark, sf):
 
 
 def title_says_abroad(spark, sf):
-    title = F.concat_ws(" ", "title", F.when(c("ord") % 5 == 0, F.lit("(Tel Aviv)")),
-                        F.when(c("ord") % 7 == 0, F.lit("Relocation")))
-    return _p(spark, sf).select("ord", places.title_says_abroad(title, D.rules()).alias("abroad"))
+    title = F.concat_ws(" ", "title", F.when(c("pos") % 5 == 0, F.lit("(Tel Aviv)")),
+                        F.when(c("pos") % 7 == 0, F.lit("Relocation")))
+    return D.headings(spark, sf).select("doc_id", "pos", places.title_says_abroad(title, D.rules()).alias("abroad"))
 
 
 def company_sector(spark, sf):
@@ -214,27 +217,26 @@ def _board_urls():
             "https://example.com/{}", "https://boards.greenhouse.io/embed?x={}", "https://jobs.lever.co/api")
 
 
+def _address(forms):
+    """The customer's name in an address whose form goes by the nation."""
+    return F.replace(D.cycle(forms, c("c_nationkey")), F.lit("{}"), F.lower(F.translate("c_name", "#", "-")))
+
+
 def board_from_url(spark, sf):
-    sup = D.table(spark, sf, "customer")
-    url = F.replace(D.cycle(_board_urls(), c("c_custkey")), F.lit("{}"), F.concat(F.lit("co-"), c("c_custkey").cast("string")))
-    b = boards.board_from_url(url)
-    return sup.select("c_custkey", F.coalesce(b["kind"], F.lit("-")).alias("kind"),
+    b = boards.board_from_url(_address(_board_urls()))
+    return D.table(spark, sf, "customer").select("c_custkey", F.coalesce(b["kind"], F.lit("-")).alias("kind"),
                       F.coalesce(b["slug"], F.lit("-")).alias("slug"))
 
 
 def workday_base(spark, sf):
     forms = ("https://{}.wd3.myworkdayjobs.com/en-US/Careers/job/x", "https://{}.wd5.myworkdayjobs.com/External",
              "https://{}.wd5.myworkdayjobs.com/wday/cxs", "https://{}.example.com/en-US/Careers")
-    cust = D.table(spark, sf, "customer")
-    url = F.replace(D.cycle(forms, c("c_custkey")), F.lit("{}"), F.concat(F.lit("t"), c("c_custkey").cast("string")))
-    return cust.select("c_custkey", F.coalesce(boards.workday_base(url), F.lit("-")).alias("base"))
+    return D.table(spark, sf, "customer").select("c_custkey", F.coalesce(boards.workday_base(_address(forms)), F.lit("-")).alias("base"))
 
 
 def jobvite_rewrite(spark, sf):
     forms = ("https://jobs.jobvite.com/careers/{}/search?q=1", "https://jobs.jobvite.com/{}", "https://x.example.com/{}")
-    cust = D.table(spark, sf, "customer")
-    url = F.replace(D.cycle(forms, c("c_custkey")), F.lit("{}"), F.concat(F.lit("t"), c("c_custkey").cast("string")))
-    return cust.select("c_custkey", boards.jobvite_rewrite(url).alias("url"))
+    return D.table(spark, sf, "customer").select("c_custkey", boards.jobvite_rewrite(_address(forms)).alias("url"))
 
 
 def home_context(spark, sf):
@@ -247,8 +249,7 @@ def home_context(spark, sf):
 
 def search_result_links(spark, sf):
     cust = D.table(spark, sf, "customer")
-    url = F.replace(D.cycle(_board_urls() + ("https://www.comeet.com/jobs/{}/12.34A?x=1",), c("c_custkey")), F.lit("{}"),
-                    F.concat(F.lit("co-"), c("c_custkey").cast("string")))
+    url = _address(_board_urls() + ("https://www.comeet.com/jobs/{}/12.34A?x=1",))
     code = F.regexp_replace(F.translate(F.base64(url.cast("binary")), "+/", "-_"), "[=\r\n]+", "")
     href = F.when(c("c_custkey") % 2 == 0, F.concat(F.lit("https://www.bing.com/ck/a?p=1&u=a1"), code, F.lit("&ntb=1")))\
         .otherwise(url)

@@ -269,7 +269,7 @@ def _ld_pages(spark, sf):
     other = '{"@type":"WebSite","name":"x"}'
     older = '{"@type":["Thing","JobPosting"],"title":"First in list"}'
     body = (F.when(c("page_id") % 4 == 0, posting)
-            .when(c("page_id") % 4 == 1, cat("[", older, ",", other, ",", posting, "]"))
+            .when(c("page_id") % 4 == 1, cat(F.repeat(lit("["), 30), older, ",", other, ",", posting, F.repeat(lit("]"), 30)))
             .when(c("page_id") % 4 == 2, cat('{"@context":"x","@graph":[', older, ",", posting, ",", other, "]}"))
             .otherwise(cat("{broken", posting)))
     script = cat('<script type="application/ld+json">', body, "</script>")
@@ -282,7 +282,7 @@ def extract_jsonld_posting(spark, sf):
 
 
 def jsonld_location(spark, sf):
-    k = text("c_custkey")
+    k = cat(c("c_mktsegment"), " ", text("c_custkey"))
     forms = (
         '{"jobLocation":{"address":{"addressLocality":"Town #","addressRegion":"R","addressCountry":"ISR"}}}',
         '{"jobLocationType":"TELECOMMUTE","applicantLocationRequirements":{"@type":"Country","name":"United States"}}',
@@ -290,7 +290,7 @@ def jsonld_location(spark, sf):
         '{"jobLocationType":"TELECOMMUTE"}', '{"title":"no place"}',
         '{"jobLocation":["Lod",{"address":"Street #"},{"address":[{"addressCountry":["IL","FR"]}]}]}',
         '{"jobLocationType":"TELECOMMUTE","jobLocation":{"address":{"addressLocality":"Eilat"}}}')
-    body = F.parse_json(F.replace(D.cycle(forms, c("c_custkey")), lit("#"), k))
+    body = F.parse_json(F.replace(D.cycle(forms, c("c_nationkey")), lit("#"), k))
     return D.table(spark, sf, "customer").select("c_custkey", P.jsonld_location(body).alias("location"))
 
 

@@ -228,13 +228,13 @@ SQL = {
       CASE WHEN NOT in_time THEN {lit(L.NOT_SCANNED)} WHEN head IS NOT NULL THEN 'HTTP ' || CAST(head AS VARCHAR)
         WHEN later IS NOT NULL THEN {lit(L.STOPPED_AT_PAGE + ' ')} || CAST(later.p AS VARCHAR) || ': ' ||
           CASE WHEN later.c = 0 THEN {lit(L.TIME_OVER)} ELSE 'HTTP ' || CAST(later.c AS VARCHAR) END ELSE '' END AS error FROM f""",
-    "predetail_prune": f"""{P}, p2 AS (SELECT ord, title, location, '' AS description, '' AS url FROM postings),
-      {S.title_ctes('postings')}, {S.place_ctes('p2', 'FALSE')}
-      SELECT ord, title, location FROM p2 JOIN title_class USING (ord) JOIN place USING (ord)
+    "predetail_prune": f"""WITH {S.CUSTOMER_PLACES}, p2 AS (SELECT *, {S.cycle(D.TITLES, 'c_custkey')} || ' ' || c_mktsegment AS title FROM cp),
+      {S.title_ctes('p2', key='c_custkey')}, {S.place_ctes('p2', 'FALSE', 'c_custkey')}
+      SELECT c_custkey, title, location FROM p2 JOIN title_class USING (c_custkey) JOIN place USING (c_custkey)
       WHERE class <> 'excluded' AND decision <> 'foreign'""",
-    "board_has_home_jobs": f"""{P}, p2 AS (SELECT ord, location, '' AS description, '' AS url FROM postings),
-      {S.place_ctes('p2', 'FALSE')} SELECT 'lever' AS kind, CAST(ord % 97 AS VARCHAR) AS slug,
-      bool_or(decision = 'israel') AS has_home_jobs FROM place GROUP BY 2""",
+    "board_has_home_jobs": f"""WITH {S.CUSTOMER_PLACES}, {S.place_ctes('cp', 'FALSE', 'c_custkey')} SELECT 'lever' AS kind,
+      lower(c_mktsegment) || '-' || CAST(c_custkey % 97 AS VARCHAR) AS slug,
+      bool_or(decision = 'israel') AS has_home_jobs FROM place JOIN cp USING (c_custkey) GROUP BY 2""",
     "reason_counts": f"""WITH RECURSIVE {EV}, {KEPT} SELECT outcome AS reason, count(*) AS n FROM evaluated GROUP BY 1
       UNION ALL SELECT {lit(L.DUPLICATE)}, (SELECT count(*) FROM acc) - (SELECT count(*) FROM kept)
       WHERE (SELECT count(*) FROM acc) > (SELECT count(*) FROM kept)""",

@@ -105,12 +105,15 @@ _BOARD = """CASE
 
 
 def _board_slug(sep: str = "") -> str:
-    return (f"CASE WHEN kind = '-' THEN '-' ELSE coalesce(nullif(regexp_extract(u, 'for=(co-[0-9]+)', 1), ''), "
-            f"regexp_extract(u, 'co-[0-9]+{sep}')) END")
+    return (f"CASE WHEN kind = '-' THEN '-' ELSE coalesce(nullif(regexp_extract(u, 'for=(customer-[0-9]+)', 1), ''), "
+            f"regexp_extract(u, 'customer-[0-9]+{sep}')) END")
 
 
-def _urls(forms, key: str, prefix: str) -> str:
-    return f"replace({S.cycle(forms, key)}, '{{}}', '{prefix}' || CAST({key} AS VARCHAR))"
+_NAME = "lower(replace(c_name, '#', '-'))"
+
+
+def _urls(forms) -> str:
+    return f"replace({S.cycle(forms, 'c_nationkey')}, '{{}}', {_NAME})"
 
 
 _SLUG_NAME = "lower(p_name || ' Cafe ' || p_brand || ' ')"
@@ -118,18 +121,18 @@ _SLUG_NAME = "lower(p_name || ' Cafe ' || p_brand || ' ')"
 SQL = {
     "html_to_text": f"SELECT page_id, {S.html_text('html')} AS text FROM pages",
     "normalize_text": f"SELECT doc_id, {S.norm('text')} AS normal FROM documents",
-    "fold_gender": f"{P} SELECT ord, {S.fold_gender(chr(40) + 'title || ' + lit(' מנהל/ת פיננסית') + chr(41))} AS folded "
-                   "FROM postings",
-    "normalize_title": f"{P} SELECT ord, {S.norm_title('title')} AS normal_title FROM postings",
-    "fold_place_spelling": f"{P} SELECT ord, {lit('קריית ')} || location || {lit(', בקרית גת')} AS folded FROM postings",
+    "fold_gender": f"WITH {S.HEADINGS} SELECT doc_id, pos, {S.fold_gender(chr(40) + 'title || ' + lit(' מנהל/ת פיננסית') + chr(41))} AS folded "
+                   "FROM headings",
+    "normalize_title": f"WITH {S.HEADINGS} SELECT doc_id, pos, {S.norm_title('title')} AS normal_title FROM headings",
+    "fold_place_spelling": f"WITH {S.CUSTOMER_PLACES} SELECT c_custkey, {lit('קריית ')} || location || {lit(', בקרית גת')} AS folded FROM cp",
     "canonical_url": f"""WITH u AS (SELECT page_id, unnest([url, url || '&z=%D7%90%20b&a=1+2&blank=',
       'https://il.linkedin.com/jobs/view/x-' || CAST(page_id + 10000000 AS VARCHAR) || '?trk=1']) AS url FROM pages)
       SELECT page_id, url, {S.canonical('url')} AS canonical FROM u""",
-    "split_locations": f"""{P}, s AS (SELECT ord, {S.split_places("(location || ' | A / B or C; או')")} AS parts
-      FROM postings) SELECT ord, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS part FROM s""",
-    "company_key": f"{P} SELECT ord, {S.company_key('company')} AS company_key FROM postings",
-    "location_key": f"""{P} SELECT ord, {S.location_key(
-        "(location || CASE WHEN ord % 2 = 0 THEN ' Tel Aviv District' ELSE '' END)")} AS location_key FROM postings""",
+    "split_locations": f"""WITH {S.CUSTOMER_PLACES}, s AS (SELECT c_custkey, {S.split_places("(location || ' | A / B or C; או')")} AS parts
+      FROM cp) SELECT c_custkey, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS part FROM s""",
+    "company_key": f"WITH {S.NAMES} SELECT p_partkey, {S.company_key('company')} AS company_key FROM names",
+    "location_key": f"""WITH {S.CUSTOMER_PLACES} SELECT c_custkey, {S.location_key(
+        "(location || CASE WHEN c_mktsegment = 'MACHINERY' THEN ' Tel Aviv District' ELSE '' END)")} AS location_key FROM cp""",
     "job_keys": f"""{P} SELECT ord, {S.canonical('url')} AS key, concat_ws('|', {S.company_key('company')},
       {S.norm('title')}, {S.location_key('location')}) AS alt_key,
       concat_ws('|', {S.company_key('company')}, {S.norm('title')}) AS company_title FROM postings""",
@@ -148,20 +151,21 @@ SQL = {
       lower(replace(c_name, '#', '-')) AS slug, c_name FROM customer)
       SELECT c_custkey, coalesce(hint, CASE WHEN c_custkey % 3 = 1 THEN c_name END,
         'Customer ' || substr(slug, 10)) AS company FROM c""",
-    "parse_posting_date": f"""{P} SELECT ord, {iso(S.parse_date('posted_raw'))} AS posted,
-      {iso(S.parse_date('updated_raw'))} AS updated FROM postings""",
-    "title_class": f"{P}, {S.title_ctes('postings')} SELECT ord, coalesce(class, '-') AS class FROM title_class",
-    "is_potential": f"""{P}, {S.title_ctes('postings')} SELECT ord, coalesce(class <> 'excluded', FALSE) AS potential
-      FROM title_class""",
+    "parse_posting_date": f"""WITH {S.DATED_ORDERS} SELECT o_orderkey, {iso(S.parse_date('posted_raw'))} AS posted,
+      {iso(S.parse_date('updated_raw'))} AS updated FROM dated""",
+    "title_class": f"WITH {S.HEADINGS}, {S.title_ctes('headings', key='doc_id, pos')} "
+                   "SELECT doc_id, pos, coalesce(class, '-') AS class FROM title_class",
+    "is_potential": f"""WITH {S.HEADINGS}, {S.title_ctes('headings', key='doc_id, pos')}
+      SELECT doc_id, pos, coalesce(class <> 'excluded', FALSE) AS potential FROM title_class""",
     "description_available": f"{P} SELECT ord, length(description) >= {R.min_description} AS available FROM postings",
     "find_keywords": f"""{P}, t AS (SELECT ord, {S.keyword_text('description')} AS k FROM postings)
       SELECT ord, array_to_string({S.keywords('k')}, ', ') AS keywords FROM t""",
     "signal_score": f"""{P}, t AS (SELECT ord, lower(description) AS low FROM postings)
       SELECT ord, {S.score('low', R.analytics)} AS analytics, {S.score('low', R.engineering)} AS engineering FROM t""",
     "classify_location": f"{P}, {S.place_ctes('postings', 'ord % 4 = 0')} SELECT ord, decision, display, note FROM place",
-    "title_says_abroad": f"""{P}, t AS (SELECT ord, title || CASE WHEN ord % 5 = 0 THEN ' (Tel Aviv)' ELSE '' END
-      || CASE WHEN ord % 7 = 0 THEN ' Relocation' ELSE '' END AS title FROM postings)
-      SELECT ord, {S.title_abroad('title')} AS abroad FROM t""",
+    "title_says_abroad": f"""WITH {S.HEADINGS}, t AS (SELECT doc_id, pos, title || CASE WHEN pos % 5 = 0 THEN ' (Tel Aviv)' ELSE '' END
+      || CASE WHEN pos % 7 = 0 THEN ' Relocation' ELSE '' END AS title FROM headings)
+      SELECT doc_id, pos, {S.title_abroad('title')} AS abroad FROM t""",
     "company_sector": f"""WITH c AS (SELECT c_custkey, {S.cycle(D.COMPANIES, 'c_custkey')} AS name,
       CASE WHEN c_nationkey % 4 = 0 THEN 'https://jobs.lever.co/x' ELSE 'https://x.example.com/' END AS listing_url,
       CASE WHEN c_nationkey % 3 = 0 THEN 'A SaaS startup, our platform is growing' ELSE 'We sell goods' END AS description,
@@ -176,20 +180,20 @@ SQL = {
     "site_name": f"""WITH p AS (SELECT page_id, url, 'https://' || {S.cycle(('www', 'careers', 'il', 'a.b'), 'page_id')}
       || '.' || {S.cycle(tuple(SITE_NAMES) + ('example.com:8080',), 'page_id')} || '/x' AS known FROM pages)
       SELECT page_id, {_known_site('url')} AS site, {_known_site('known')} AS known_site FROM p""",
-    "board_from_url": f"""WITH c AS (SELECT c_custkey, {_urls(_board_urls(), 'c_custkey', 'co-')} AS u FROM customer),
+    "board_from_url": f"""WITH c AS (SELECT c_custkey, {_urls(_board_urls())} AS u FROM customer),
       k AS (SELECT c_custkey, u, {_BOARD} AS kind FROM c)
       SELECT c_custkey, kind, {_board_slug('(?:%20x)?')} AS slug FROM k""",
-    "workday_base": """SELECT c_custkey, CASE c_custkey % 4
-      WHEN 0 THEN 'https://t' || CAST(c_custkey AS VARCHAR) || '.wd3.myworkdayjobs.com/Careers'
-      WHEN 1 THEN 'https://t' || CAST(c_custkey AS VARCHAR) || '.wd5.myworkdayjobs.com/External' ELSE '-' END AS base
+    "workday_base": f"""SELECT c_custkey, CASE c_nationkey % 4
+      WHEN 0 THEN 'https://' || {_NAME} || '.wd3.myworkdayjobs.com/Careers'
+      WHEN 1 THEN 'https://' || {_NAME} || '.wd5.myworkdayjobs.com/External' ELSE '-' END AS base
       FROM customer""",
-    "jobvite_rewrite": """SELECT c_custkey, CASE c_custkey % 3 WHEN 2 THEN 'https://x.example.com/t' ||
-      CAST(c_custkey AS VARCHAR) ELSE 'https://jobs.jobvite.com/t' || CAST(c_custkey AS VARCHAR) || '/jobs' END AS url
+    "jobvite_rewrite": f"""SELECT c_custkey, CASE c_nationkey % 3 WHEN 2 THEN 'https://x.example.com/' || {_NAME}
+      ELSE 'https://jobs.jobvite.com/' || {_NAME} || '/jobs' END AS url
       FROM customer""",
     "home_context": """SELECT page_id, page_id % 3 = 0 AS by_host, page_id % 5 = 0 OR page_id % 3 = 0 AS home_context
       FROM pages""",
     "search_result_links": f"""WITH c AS (SELECT c_custkey, url_decode({_urls(
-        _board_urls() + ('https://www.comeet.com/jobs/{}/12.34A?x=1',), 'c_custkey', 'co-')}) AS u FROM customer),
+        _board_urls() + ('https://www.comeet.com/jobs/{}/12.34A?x=1',))}) AS u FROM customer),
       k AS (SELECT c_custkey, u, CASE WHEN contains(u, 'comeet.com') THEN 'comeet' ELSE {_BOARD} END AS kind FROM c)
       SELECT c_custkey, u AS target, kind, CASE WHEN kind = 'comeet' THEN split_part(u, '?', 1)
         ELSE {_board_slug()} END AS slug FROM k""",
@@ -197,12 +201,13 @@ SQL = {
       FROM events""",
 }
 
-_DATED = f"""{P}, pu AS (SELECT ord, {S.parse_date('posted_raw')} AS p, {S.parse_date('updated_raw')} AS u FROM postings),
-  dd AS (SELECT ord, {S.relevant('p', 'u')} AS d FROM pu)"""
-SQL["relevant_date"] = f"{_DATED} SELECT ord, {iso('d')} AS relevant FROM dd"
-SQL["freshness"] = f"""{_DATED} SELECT ord, CASE WHEN d IS NULL THEN 'unknown'
+_DATED = f"""WITH {S.DATED_ORDERS}, pu AS (SELECT o_orderkey, {S.parse_date('posted_raw')} AS p,
+    {S.parse_date('updated_raw')} AS u FROM dated),
+  dd AS (SELECT o_orderkey, {S.relevant('p', 'u')} AS d FROM pu)"""
+SQL["relevant_date"] = f"{_DATED} SELECT o_orderkey, {iso('d')} AS relevant FROM dd"
+SQL["freshness"] = f"""{_DATED} SELECT o_orderkey, CASE WHEN d IS NULL THEN 'unknown'
   WHEN date_diff('day', d, DATE '{D.AS_OF}') <= {R.fresh_days} THEN 'fresh' ELSE 'old' END AS fresh FROM dd"""
-SQL["date_display"] = f"{_DATED} SELECT ord, coalesce(strftime(d, '%d/%m/%Y'), {lit(L.UNKNOWN_DATE)}) AS shown FROM dd"
+SQL["date_display"] = f"{_DATED} SELECT o_orderkey, coalesce(strftime(d, '%d/%m/%Y'), {lit(L.UNKNOWN_DATE)}) AS shown FROM dd"
 
 _OK, _REASON = S.essence("class", "a", "e")
 SQL["role_essence"] = f"""{P}, {S.title_ctes('postings')},

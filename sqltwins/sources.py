@@ -119,9 +119,9 @@ SQL = {
     "extract_jsonld_posting": f"""SELECT page_id, 'Analyst & more ' || page_id AS title, 'Org ' || page_id % 13 AS company,
       'Do <b>SQL' || {NL} || page_id AS description, 'Haifa, Israel | Paris, France' AS location,
       '2026-09-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') AS posted, '' AS updated FROM pages WHERE page_id % 4 < 3""",
-    "jsonld_location": """SELECT c_custkey, ['Town ' || c_custkey || ', R, Israel', 'Remote (United States)',
-      'Remote (France, Spain ' || c_custkey || ')', 'Remote', '', 'Lod | Street ' || c_custkey || ' | IL, FR', 'Eilat'
-      ][c_custkey % 7 + 1] AS location FROM customer""",
+    "jsonld_location": """SELECT c_custkey, ['Town ' || k || ', R, Israel', 'Remote (United States)',
+      'Remote (France, Spain ' || k || ')', 'Remote', '', 'Lod | Street ' || k || ' | IL, FR', 'Eilat'
+      ][c_nationkey % 7 + 1] AS location FROM (SELECT *, c_mktsegment || ' ' || c_custkey AS k FROM customer)""",
     "labeled_fields": """SELECT page_id, CASE WHEN page_id % 3 < 2 THEN 'Town ' || page_id % 11 ELSE '' END AS location,
       CASE WHEN page_id % 3 < 2 THEN (page_id % 20 + 1) || ' days ago' ELSE '' END AS posted FROM pages""",
     "extract_links": f"""WITH {_LISTING}

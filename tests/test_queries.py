@@ -62,5 +62,21 @@ def test_joins_are_equality_joins(spark, name):
 def test_columns_are_pruned_at_the_scan(spark):
     import __spark_entry__ as entry
 
-    plan = _plan(entry.queries()["title_class"](spark, SF_DIR))
-    assert "ReadSchema: struct<doc_id:bigint>" in plan
+    plan = _plan(entry.queries()["company_key"](spark, SF_DIR))
+    assert "ReadSchema: struct<p_partkey:bigint,p_name:string,p_brand:string,p_size:" in plan
+
+
+@pytest.mark.parametrize("name", [
+    "fold_gender", "normalize_title", "fold_place_spelling", "split_locations", "company_key", "location_key",
+    "parse_posting_date", "relevant_date", "freshness", "date_display", "title_class", "is_potential", "title_says_abroad",
+    "predetail_prune", "board_has_home_jobs", "board_from_url", "workday_base", "jobvite_rewrite", "jsonld_location",
+    "search_result_links"])
+def test_queries_work_on_values_not_only_on_ids(spark, name):
+    import re
+
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    plan += _plan(entry.queries()[name](spark, SF_DIR))
+    scanned = {column for schema in re.findall(r"ReadSchema: struct<([^>]*)>", plan) for column in re.findall(r"(\w+):", schema)}
+    assert scanned - {"doc_id", "c_custkey", "o_orderkey", "p_partkey"}

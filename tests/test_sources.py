@@ -70,10 +70,11 @@ def test_jsonld_order(ask):
     a, b = '{"@type":"JobPosting","title":"A"}', '{"@type":["X","JobPosting"],"title":"B"}'
     rows = [ld(a), ld(f"[{a},{b}]"), ld(f'{{"@graph":[{a},{{"x":1}},[{b},{a}]]}}'), ld("{bad", a), ld('{"@type":"X"}'),
             ld('{"@type":"JobPosting","title":"line\nbreak"}'), ld(f'[[[[{b}]]]]'), "<p>none</p>", None,
-            ld(f'{{"@type":"Org","@graph":{a}}}')]
+            ld(f'{{"@type":"Org","@graph":{a}}}'), ld("[" * 30 + a + "]" * 30),
+            ld('{"@graph":[' * 20 + b + "]}" * 20, a), ld('{"x":"[[[@graph"}', b)]
     out = [r["f"]["title"] if r["f"] else None for r in ask(
         rows, "h string", f=pages.jsonld_fields(pages.jsonld_posting(F.col("h"))))]
-    assert out == ["A", "B", "A", "A", None, "line break", "B", None, None, "A"]
+    assert out == ["A", "B", "A", "A", None, "line break", "B", None, None, "A", "A", "B", "B"]
 
 
 def test_jsonld_locations(ask):
@@ -148,8 +149,14 @@ def test_posting_from_page(spark, rules, as_of):
     own = ('<div class="jobHead__text__titleAndCompName">Orchard Keeper</div><a class="CompanyNameLink">Co</a>'
            '<div class="article__jobBody"><p>Body</p><div class="jobsCategories">junk</div></div>'
            '<div class="jobHead__text__moreInfo">פורסם לפני 3 ימים | x</div>')
+    # a board page without a title of its own, next to a site name and a heading
+    bare = ('<meta property="og:site_name" content="Site"><h1>Heading</h1><div class="article__jobBody">Only a body</div>')
+    marked = ("<header>תיאור משרה</header><p>תיאור משרה</p><p>Plant roses</p><p>Water them</p><p>קטגוריה</p><p>Later</p>"
+              "<footer>End</footer>")
     df = spark.createDataFrame([(1, "https://c.com/1", plain), (2, "https://c.com/2", structured),
-                                (3, "https://www.jobmaster.co.il/3", own)], "i int, url string, html string")
+                                (3, "https://www.jobmaster.co.il/3", own), (4, "https://www.jobmaster.co.il/4", bare + structured),
+                                (5, "https://www.drushim.co.il/5", marked + structured), (6, "https://www.drushim.co.il/6", structured),
+                                (7, "https://www.drushim.co.il/7", marked)], "i int, url string, html string")
     out = {r.i: r for r in pages.posting_from_page(df, F.lit(as_of).cast("date"), rules).collect()}
     assert (out[1].title, out[1].location, out[1].posted_raw, out[1].description) == (
         "Kitchen Gardener", "Lod", "2 days ago", filler.strip())
@@ -157,6 +164,11 @@ def test_posting_from_page(spark, rules, as_of):
         "Rose Gardener", "Acme", "Haifa", "2026-09-20", "Do\nSQL")
     assert (out[3].title, out[3].company, out[3].description, out[3].posted_raw) == (
         "Orchard Keeper", "Co", "Body", "פורסם לפני 3 ימים")
+    assert (out[4].title, out[4].company, out[4].description, out[4].posted_raw, out[4].location) == (
+        "", "", "Only a body", "", "London")
+    assert (out[5].title, out[5].description) == ("Rose Gardener", "Plant roses\nWater them")
+    assert out[6].description == "Do\nSQL"
+    assert "Later" in out[7].description
 
 
 def test_detail_join_counts_the_missing(spark):
