@@ -7,16 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import written
 
-END, REST = 0, 1  # the symbol after a text and before each; that of words with no symbol of their own or by their ending
-ENDING = 3  # longest ending, in bytes, that may be a symbol
+END = 0  # the symbol after a text and before each
 STREAM = 1 << 22  # bytes of text worked on at a time
 WORDS = 400_000  # distinct words a task counts before it passes the counts on
 HEAVY = 1 << 17  # most frequent words whose counts every executor has
+ENTRIES = 1 << 20  # most frequent entries of the model that every executor has
+FILTER = 28  # bits of a key by which an executor tells that the model can't have it
 
 
 def normal(text: bytes) -> list[bytes]:
@@ -28,38 +30,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-class Alphabet:
-    """A bounded number of symbols for any number of words: a frequent word is one, a rare one has its longest frequent ending."""
-
-    def __init__(self, words: list[bytes], endings: list[bytes]):
-        self.words = {word: i for i, word in enumerate(sorted(words), REST + 1)}
-        self.endings = {ending: i for i, ending in enumerate(sorted(endings), REST + 1 + len(words))}
-        self.size = REST + 1 + len(words) + len(endings)
-
-    def symbols(self, words: list[bytes]) -> list[int]:
-        found = list(map(self.words.get, words))
-        for place, symbol in enumerate(found):
-            if symbol is None:
-                found[place] = self._ending(words[place])
-        return found
-
-    def _ending(self, word: bytes) -> int:
-        for n in range(ENDING, 0, -1):
-            if (symbol := self.endings.get(word[-n:])) is not None:
-                return symbol
-        return REST
-
-    def stream(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Symbols of texts in a row, with END before, between and after them."""
-        flat = [END]
-        for words in texts:
-            flat += self.symbols(words)
-            flat.append(END)
-        return np.array(flat, np.int32)
-
-
 class Tree:
-    """All contexts that may matter, as a table ``child[node, symbol]`` (0: none); node 0 is the empty context.
+    """The plain version, for one machine: all contexts that may matter, as a table ``child[node, symbol]`` (0: none); node 0 is the empty context.
 
     A node is the string of symbols read from it, oldest first. The set holds every part of each of its strings, so the
     longest one that ends at a place is found by extending, symbol by symbol, the strings that end one place before.
@@ -149,76 +121,6 @@ def _counted(counts: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
 
-def alphabet(counts: DataFrame, least: float) -> Alphabet:
-    """Words that occur ``least`` times or more, and endings that the other words have as often: of each length at most
-    as many as fit into the text."""
-    words = [bytes(r[0]) for r in counts.where((F.col("c") >= least) & F.col("word").isNotNull()).select("word").toLocalIterator()]
-    rare = counts.where((F.col("c") < least) & F.col("word").isNotNull())
-    size = F.octet_length("word")
-    cut = F.array_distinct(F.array(*[F.when(size <= n, F.col("word")).otherwise(F.expr(f"substring(word, -{n}, {n})"))
-                                     for n in range(1, ENDING + 1)]))
-    endings = rare.select(F.explode(cut).alias("ending"), "c").groupBy("ending").agg(F.sum("c").alias("c"))
-    return Alphabet(words, [bytes(r[0]) for r in endings.where(F.col("c") >= least).select("ending").toLocalIterator()])
-
-
-def symbol_weights(counts: DataFrame, letters: Alphabet) -> np.ndarray:
-    """For each symbol the sum over its words of count + 1, at least 1."""
-    shared = counts.sparkSession.sparkContext.broadcast(letters)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shared.value.size)
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            symbols = np.array([END if w is None else s for w, s in zip(words, shared.value.symbols([w or b"" for w in words]))], np.int64)
-            total += np.bincount(symbols, batch.column(1).to_numpy() + 1.0, minlength=len(total))
-        places = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(total[places])], ["symbol", "weight"])
-
-    parts = counts.select("word", "c").mapInArrow(run, "symbol long, weight double").groupBy("symbol").agg(F.sum("weight").alias("weight"))
-    weights = np.ones(letters.size)
-    for symbol, weight in parts.toLocalIterator():
-        weights[symbol] = weight
-    return weights
-
-
-def likely_contexts(texts: DataFrame, letters: Alphabet, share: float, depth: int, total: int) -> list[bytes]:
-    """A superset, of bounded size, of the contexts that make up at least ``share`` of ``total`` symbols.
-
-    Each portion of the text names those that make up half of ``share`` there. One that isn't named there has less, so a context
-    with ``share`` overall has half of it in the portions that name it; no more than 2 / ``share`` of a length can.
-    """
-    shared = texts.sparkSession.sparkContext.broadcast(letters)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _portions(batches):
-            symbols = shared.value.stream([words for (words,) in rows])
-            yield _counted(frequent(symbols, shared.value.size, max(1.0, share / 2 * len(symbols)), depth))
-
-    named = texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r[0]) for r in named.where(F.col("n") >= share / 2 * total).select("word").toLocalIterator()]
-
-
-def following(texts: DataFrame, letters: Alphabet, tree: Tree) -> np.ndarray:
-    """How often each symbol follows each longest context, over all of ``texts``; added up by Spark, then put in a table."""
-    shared = texts.sparkSession.sparkContext.broadcast((letters, tree))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, tree = shared.value
-        total = np.zeros(tree.nodes * tree.symbols, np.int64)
-        for rows in _portions(batches):
-            symbols = letters.stream([words for (words,) in rows])
-            codes, times = np.unique(tree.states(symbols)[:-1].astype(np.int64) * tree.symbols + symbols[1:], return_counts=True)
-            total[codes] += times
-        codes = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(total[codes])], ["code", "n"])
-
-    counted = written(texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "following")
-    table = np.zeros(tree.nodes * tree.symbols, np.float32)
-    for part in counted.toArrow().to_batches():  # no more rows than the table has places
-        table[part.column(0).to_numpy()] = part.column(1).to_numpy()
-    return table.reshape(tree.nodes, tree.symbols)
-
-
 def gains(tree: Tree, counts: np.ndarray, root: np.ndarray, gain: float, least: float) -> np.ndarray:
     """log10 of how much likelier each symbol is at each node than at the root, float32.
 
@@ -242,18 +144,144 @@ def gains(tree: Tree, counts: np.ndarray, root: np.ndarray, gain: float, least:
     return np.log10(p / root.astype(np.float32))
 
 
-def score(docs: DataFrame, share: float = 1e-4, depth: int = 3, gain: float = 16.0, doc_id: str = "doc_id",
+def _mix(strings: np.ndarray, symbols: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of strings with one more symbol."""
+    x = (strings ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15) + symbols
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def identity() -> Column:
+    """The symbol of a word, as ``_places`` has it; that of null, the end, is END."""
+    return F.when(F.col("word").isNull(), F.lit(END).cast("long")).otherwise(F.xxhash64("word"))
+
+
+def _places(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """(text, symbol, levels) of every token; for each length (places that have a context so long, contexts, contexts with the token).
+
+    A context is hashed from its newest symbol to its oldest; none reaches over an END, which may be the oldest.
+    """
+    known = {word: xxhash.xxh64_intdigest(word, 42) for word in set().union(*texts)}
+    flat = [END]
+    for words in texts:
+        flat += map(known.__getitem__, words)
+        flat.append(END)
+    symbols = np.array(flat, np.uint64)
+    lengths = np.array([len(words) + 1 for words in texts], np.int64)
+    ends = np.zeros(len(symbols), bool)
+    ends[0] = True
+    ends[np.cumsum(lengths)] = True
+    token, places = symbols[1:], np.arange(len(symbols) - 1)
+    contexts, levels = _mix(np.zeros(len(token), np.uint64), symbols[:-1], 0), []
+    for length in range(1, depth + 1):
+        if length > 1:
+            longer = (places >= length - 1) & ~ends[places - length + 2]
+            places, contexts = places[longer], contexts[longer]
+            contexts = _mix(contexts, symbols[places - length + 1], 0)
+        levels.append((places, contexts, _mix(contexts, token[places], 1)))
+    return np.repeat(np.arange(len(texts)), lengths), token, levels
+
+
+def pairs(texts: DataFrame, depth: int) -> DataFrame:
+    """(pair, level, context, shorter, n): how often each token follows each context of up to ``depth`` symbols, added up by Spark.
+
+    ``shorter`` is the pair of the token and the context without its oldest symbol; the token itself, if that is empty.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _portions(batches):
+            _, shorter, levels = _places([words for (words,) in rows], depth)
+            before = np.arange(len(shorter))
+            for level, (places, contexts, both) in enumerate(levels, 1):
+                shorter = shorter[np.searchsorted(before, places)]
+                own, first, times = np.unique(both, return_index=True, return_counts=True)
+                columns = [own.view(np.int64), np.full(len(own), level, np.int32), contexts[first].view(np.int64),
+                           shorter[first].view(np.int64), times]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["pair", "level", "context", "shorter", "n"])
+                before, shorter = places, both
+
+    found = texts.mapInArrow(run, "pair long, level int, context long, shorter long, n long")
+    return found.groupBy("pair").agg(*[F.min(c).alias(c) for c in ("level", "context", "shorter")], F.sum("n").alias("n"))
+
+
+def model(train: DataFrame, counts: DataFrame, size: int, least: int, depth: int, gain: float) -> DataFrame:
+    """(key, value, n): what the tree adds to the log10 probability of a token, as a table that grows with the text.
+
+    A kept context has its share for tokens not seen after it (key: the context). One seen after it has the rest of its
+    ratio to the probability after the context one symbol shorter (key: the pair). The gain of a token is then the sum of
+    the entries of its contexts and pairs. The root has add-one probabilities of ``size`` events.
+    """
+    found = written(pairs(train, depth), "pairs")
+    contexts = written(found.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where(
+        F.col("total") >= least), "contexts")
+    shorter = counts.select(identity().alias("shorter"), ((F.col("c") + 1) / F.lit(float(size))).alias("p"))
+    rest = F.col("kinds") / (F.col("total") + F.col("kinds"))
+    own = (F.col("n") + F.col("kinds") * F.col("p")) / (F.col("total") + F.col("kinds"))
+    out = None
+    for level in range(1, depth + 1):
+        rows = found.where(F.col("level") == level).join(contexts, "context").join(shorter, "shorter")
+        rows = written(rows.select("pair", "context", "n", "total", "kinds", "p", own.alias("own")), "level")
+        unseen = F.greatest(F.lit(0.0), 1 - F.sum("p"))
+        kept = rows.groupBy("context", "total", "kinds").agg(F.sum(F.col("own") * F.log2(F.col("own") / F.col("p"))).alias("seen"),
+                                                             unseen.alias("unseen"))
+        kept = written(kept.where(F.col("total") * (F.col("seen") + rest * F.col("unseen") * F.log2(rest)) >= gain).select(
+            F.col("context").alias("kept"), "total", F.log10(rest).alias("rest")), "kept")
+        ratio = F.log10(F.col("own") / F.col("p")) - F.col("rest")
+        after = rows.join(kept.select("kept", "rest"), F.col("context") == F.col("kept"))
+        more = kept.select(F.col("kept").alias("key"), F.col("rest").alias("value"), F.col("total").alias("n")).unionByName(
+            after.select(F.col("pair").alias("key"), ratio.alias("value"), "n"))
+        out = more if out is None else out.unionByName(more)
+        shorter = rows.join(kept.select("kept"), F.col("context") == F.col("kept"), "left").select(
+            F.col("pair").alias("shorter"), F.when(F.col("kept").isNull(), F.col("p")).otherwise(F.col("own")).alias("p"))
+    return written(out, "model")
+
+
+class Short:
+    """What every executor has of the model: its most frequent entries, and bits that rule out most keys it doesn't have."""
+
+    def __init__(self, entries: DataFrame):
+        sizes = sorted(entries.groupBy(F.floor(F.log2("n")).alias("k")).count().collect(), reverse=True)
+        total, self.least = 0, 1 << 62
+        for k, n in sizes:
+            total += n
+            if total > ENTRIES:
+                break
+            self.least = 1 << k
+        own = entries.where(F.col("n") >= self.least).select("key", "value").toArrow()
+        keys, values = own["key"].to_numpy().view(np.uint64), own["value"].to_numpy()
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.bits = np.zeros(1 << FILTER - 3, np.uint8)
+        place = F.shiftrightunsigned("key", 64 - FILTER)
+        bits = entries.where(F.col("n") < self.least).groupBy(F.shiftright(place, 3).alias("at")).agg(
+            F.bit_or(F.expr(f"shiftleft(1, cast(shiftrightunsigned(key, {64 - FILTER}) & 7 as int))")).alias("bits")).toArrow()
+        self.bits[bits["at"].to_numpy()] = bits["bits"].to_numpy()
+
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, whether the model may have the key among the others)."""
+        values = np.zeros(len(keys))
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            values = np.where(self.keys[at] == keys, self.values[at], 0.0)
+        place = keys >> np.uint64(64 - FILTER)
+        asked = self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1
+        return values, asked.astype(bool)
+
+
+def score(docs: DataFrame, least: int = 2, depth: int = 3, gain: float = 16.0, doc_id: str = "doc_id",
           text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
     Tokens are the words of the text in small A-Z and one end. ``base_score`` adds up log10 of add-one probabilities of
-    tokens. ``score`` is the log10 probability of the same tokens by a suffix tree, whose root is that
-    base: a token has the probability of its symbol after the longest context kept, times its share of that symbol by the
-    base. Contexts are the strings of up to ``depth`` symbols before the token that make up at least ``share`` of the training text.
+    tokens. ``score`` is the log10 probability of the same tokens by a suffix tree whose root is that base: a token has its
+    probability after the longest context kept. Contexts are the strings of up to ``depth`` symbols before the token, of words as they
+    are. One is kept if it occurs ``least`` times and what follows it diverges from what follows the context one symbol
+    shorter: count x Kullback-Leibler divergence of at least ``gain`` bits. Its distribution is smoothed by that one (Witten-Bell).
 
-    Both learn from all rows whose held_out is false; all counts are exact and over all of them. Symbols and contexts are bounded in number by
-    ``share``, so what is broadcast is. Words are counted without bound: the most frequent ones, a fixed number, are
-    looked up by each task, the rest by a join, in which no word is frequent.
+    Both learn from all rows whose held_out is false; all counts are over all of them. Words, contexts and pairs are counted
+    without bound, in tables; strings of words are told apart by 64-bit hashes. The most frequent words and entries of the
+    model, a fixed number, are looked up by each task, the rest by a join.
 
     A null text counts as empty: its one token is the end. A row with a null id is not held out. With no training text
     all scores are 0. Rows that repeat an id are texts of their own.
@@ -265,21 +293,26 @@ def score(docs: DataFrame, share: float = 1e-4, depth: int = 3, gain: float = 16
     v, n, ends = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)),
                             F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("c"))), F.lit(0))).first()
 
-    letters = alphabet(counts, max(2.0, share * n))
-    root = symbol_weights(counts, letters) / (n + v + 1)
-    tree = Tree(likely_contexts(train, letters, share, depth, n), letters.size)
-    model = gains(tree, following(train, letters, tree), root, gain, max(2.0, share * n))
+    entries = model(train, counts, n + v + 1, least, depth, gain)
+    short = Short(entries)
     heavy = counts.where("word is not null").orderBy(F.desc("c"), "word").limit(HEAVY).toArrow()
     logs = dict(zip(heavy["word"].to_pylist(), np.log10(heavy["c"].to_numpy() + 1.0).tolist()))
-    shared = spark.sparkContext.broadcast((letters, tree, model, logs))
+    shared = spark.sparkContext.broadcast((short, logs))
     end_log = float(np.log10(ends + 1.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, tree, model, logs = shared.value
+        short, logs = shared.value
         for rows in _portions(batches):
-            symbols = letters.stream([words for _, words in rows])
-            gained = model[tree.states(symbols)[:-1], symbols[1:]].astype(float)
-            starts = np.flatnonzero(symbols == END)[:-1]
+            of, _, levels = _places([words for _, words in rows], depth)
+            gained, asked = np.zeros(len(rows)), []
+            for places, contexts, both in levels:
+                for own in (contexts, both):
+                    values, more = short.look_up(own)
+                    gained += np.bincount(of[places], values, len(rows))
+                    asked.append((of[places][more], own[more]))
+            texts, wanted = map(np.concatenate, zip(*asked))
+            offsets = np.r_[0, np.cumsum(np.bincount(texts, minlength=len(rows)))].astype(np.int32)
+            wanted = pa.array(wanted[np.argsort(texts, kind="stable")].view(np.int64))
             keys, lengths, known, base, rare = [], [], [], [], []
             for key, own in rows:
                 values = list(map(logs.get, own))
@@ -292,16 +325,19 @@ def score(docs: DataFrame, share: float = 1e-4, depth: int = 3, gain: float = 16
                 rare.append([{"word": word, "times": times} for word, times in others.items()])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                 pa.array(np.add.reduceat(gained, starts)), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))],
-                ["doc_id", "n_tokens", "known", "base", "gain", "rare"])
+                 pa.array(gained), pa.ListArray.from_arrays(pa.array(offsets), wanted), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))],
+                ["doc_id", "n_tokens", "known", "base", "gain", "asked", "rare"])
 
-    schema = "doc_id long, n_tokens long, known long, base double, gain double, rare array<struct<word: binary, times: long>>"
+    schema = "doc_id long, n_tokens long, known long, base double, gain double, asked array<long>, rare array<struct<word: binary, times: long>>"
     scored = written(narrow.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     # words as frequent as the last heavy one are never asked for
     light = counts.where(F.col("c") <= (heavy["c"][-1].as_py() if len(heavy) else 0)).withColumnRenamed("word", "item")
     rare = scored.select("row", F.inline("rare")).join(light, F.col("word") == F.col("item"))
     rare = rare.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("logs"))
+    others = scored.select("row", F.explode("asked").alias("key")).join(entries.where(F.col("n") < short.least), "key")
+    others = others.groupBy("row").agg(F.sum("value").alias("others"))
     base = F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(n + v + 1))
-    return scored.drop("rare").join(rare, "row", "left").select(
+    gained = F.col("gain") + F.coalesce("others", F.lit(0.0))
+    return scored.drop("rare", "asked").join(rare, "row", "left").join(others, "row", "left").select(
         "doc_id", held_out().alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
+        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + gained).alias("score"))

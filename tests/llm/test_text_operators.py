@@ -379,3 +379,46 @@ def test_contexts_are_longest_and_distributions_add_up():
     root = np.full(5, 0.2)
     model = suffix_tree.gains(tree, counts, root, 1.0, 2)
     assert np.allclose((10 ** model.astype(float) * root).sum(axis=1), 1, atol=1e-4)
+
+
+def test_rare_words_are_contexts_whatever_the_size(spark):
+    random = np.random.default_rng(8)
+    data = [(i, " ".join(f"w{x}" for x in random.integers(0, 50, 2000))) for i in range(200)]
+    # each 4 of 400 000 words, far below a share of 1e-4
+    late = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    early = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 != 2][:8]
+    data += [(i, ("zebra quagga", "okapi ibexes")[k % 2]) for k, i in enumerate(early)]
+    data += list(zip(late, ("zebra quagga", "zebra ibexes")))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    right, wrong = (r.score - r.base_score for r in suffix_tree.score(df).where(F.col("doc_id").isin(late)).orderBy("doc_id").collect())
+    assert right > wrong + 1
+
+
+def test_tables_hold_the_same_tree_as_the_plain_version(spark, monkeypatch):
+    random = np.random.default_rng(9)
+    data = [(i, " ".join(f"w{x}" for x in random.zipf(1.5, random.integers(0, 40)) % 60)) for i in range(150)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    train = [t.encode().split() for i, t in data if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for words in train for w in [*words, None])
+    number = {w: k for k, w in enumerate(sorted(w for w in counts if w), 1)} | {None: 0}
+    size = len(number)
+
+    def stream(texts):
+        return np.array([0, *(number.get(w, size) for words in texts for w in [*words, None])], np.int32)  # size: not known
+
+    symbols = stream(train)
+    tree = suffix_tree.Tree([s for s in suffix_tree.frequent(symbols, size, 2, 3)], size + 1)
+    table = np.zeros((tree.nodes, size + 1), np.float32)
+    np.add.at(table, (tree.states(symbols)[:-1], symbols[1:]), 1)
+    events = sum(counts.values()) + len(counts) + 1
+    root = np.array([*((counts[w] + 1) / events for w in sorted(number, key=number.get)), 1 / events])
+    gains = suffix_tree.gains(tree, table, root, 16.0, 2)
+    assert (gains[1:] != gains[0]).any(axis=1).sum() > 5
+    want = {}
+    for i, text in data:
+        own = stream([text.encode().split()])
+        want[i] = float(gains[tree.states(own)[:-1], own[1:]].sum())
+    for entries in (suffix_tree.ENTRIES, 8):
+        monkeypatch.setattr(suffix_tree, "ENTRIES", entries)
+        got = {r.doc_id: r.score - r.base_score for r in suffix_tree.score(df).collect()}
+        assert got == pytest.approx(want, abs=2e-3)
