@@ -17,8 +17,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many sites share; every document stays."""
-    return line_dedup.remove_boilerplate(docs).select(*docs.columns)
+    """Documents without the lines that many sites share, however short; every document stays."""
+    return line_dedup.remove_boilerplate(docs, min_words=1).select(*docs.columns)
 
 
 def simhash_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,3 +144,10 @@ def test_pipeline_stages(spark):
     pieces = stages[3](spark, kept, sf_dir).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     assert {r.doc_id: r.n for r in pieces} == {i: len(x) for i, x in packed_ids(kept)}
     assert queries.QUERIES["pipeline"](spark, sf_dir).agg(F.sum("length")).first()[0] == sum(r.n for r in pieces)
+
+
+def test_pipeline_removes_short_lines_of_many_sites(spark):
+    data = [(i, f"own {i}\nAll rights reserved.\n \n版権所有", "en", f"site{i}", 0) for i in range(9)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_deduplication(spark, docs, "").collect()}
+    assert got == {i: (data[i][1], 0) if i == 0 else (f"own {i}\n ", 7) for i in range(9)}
