@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -10,17 +9,19 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import written
 from .tokenizing import Memo, once
 
-UNITS = 1 << 14  # rows of the table of vectors; words and shapes share them by hash
-DIMENSIONS = 16
-NONZERO = 4  # of an index vector
+DIMENSIONS = 32
+NONZERO = 4  # of an index vector, one in each part of it
 WINDOW = 2  # neighbours on either side
-GROUPS = 64  # parts in which the table travels
+FREQUENT = 1 << 17  # most frequent units whose vectors every executor has
+HELD = 400_000  # units whose sums a task holds before it passes them on
+TOKENS = 1 << 26  # words whose sums a task adds up at most, so that 32 bits do
 MEMORY = 250_000  # words a worker remembers, twice
 MARKS = ".,;:!?*#$%&|"
 
@@ -28,7 +29,8 @@ _LETTERS = regex.compile(r"\p{L}+")
 
 
 def _hash(word: str, kind: int) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass"), kind) % UNITS
+    """What a unit is known by: 64 bits, so that units are told apart in a corpus of any size."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), kind)
 
 
 def _case(letters: str) -> str:
@@ -45,14 +47,13 @@ class Units:
     """Texts to pairs of units: the word in small letters, and its shape (of its own, where it repeats the word before)."""
 
     REPEATED = _hash("", 2)
-    NONE = UNITS  # stands between texts; its index vector is zero
 
     def __init__(self):
         self.memo = Memo(lambda words: list(map(self._both, words)), MEMORY)
         self.shapes: dict[tuple[str, str], int] = {}
 
-    def _both(self, word: str) -> int:
-        """Both units as one number. Most words are letters with a few marks behind them."""
+    def _both(self, word: str) -> tuple[int, int]:
+        """Both units. Most words are letters with a few marks behind them."""
         letters = word.rstrip(MARKS)
         if letters.isalpha():
             case, rest = _case(letters), word[len(letters):]
@@ -63,92 +64,128 @@ class Units:
         shape = self.shapes.get((case, rest))
         if shape is None:
             shape = self.shapes[case, rest] = _hash(case + _marks(rest), 1)
-        return _hash(letters.lower(), 0) * UNITS + shape
+        return _hash(letters.lower(), 0), shape
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word units, shape units, number of words of each text)."""
         split = [text.split() for text in texts]
-        known = self.memo.learn(set().union(*split))
+        distinct = set().union(*split)
+        known = self.memo.learn(distinct)
+        number = {word: k for k, word in enumerate(distinct)}
+        both = np.array([known[word] for word in number], np.uint64).reshape(-1, 2)
         lengths = np.fromiter(map(len, split), np.int64, len(split))
-        both = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
-        words, shapes = both // UNITS, both % UNITS
+        both = both[np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))]
+        words, shapes = both[:, 0], both[:, 1].copy()
         same = np.zeros(len(both), bool)
-        same[1:] = both[1:] == both[:-1]
+        same[1:] = (both[1:] == both[:-1]).all(axis=1)
         starts = np.cumsum(lengths)[:-1]
         same[starts[starts < len(both)]] = False
         shapes[same] = self.REPEATED
         return words, shapes, lengths
 
 
-def index_vectors() -> np.ndarray:
-    """The fixed sparse vectors of ones and minus ones, the same on every executor."""
-    random = np.random.default_rng(20240917)
-    vectors = np.zeros((UNITS, DIMENSIONS), np.float32)
-    places = random.random((UNITS, DIMENSIONS)).argsort(axis=1)[:, :NONZERO]
-    np.put_along_axis(vectors, places, random.choice(np.float32([-1, 1]), (UNITS, NONZERO)), axis=1)
+def index_vectors(units: np.ndarray) -> np.ndarray:
+    """The fixed sparse vectors of ones and minus ones, a function of the unit: each of the parts has one at a place of its own."""
+    part = DIMENSIONS // NONZERO
+    vectors = np.zeros((len(units), DIMENSIONS), np.float32)
+    for k in range(NONZERO):
+        bits = (units >> np.uint64(16 * k)).astype(np.int64) & 0xFFFF
+        vectors[np.arange(len(units)), part * k + (bits >> 1) % part] = 2 * (bits & 1) - 1
     return vectors
 
 
-def _contexts(words: np.ndarray, shapes: np.ndarray, lengths: np.ndarray, index: np.ndarray, total: np.ndarray) -> None:
-    """Add to ``total`` (last row: how often) the index vectors of the neighbours of each unit.
-
-    ``index`` has a column for each unit and a last one of zeros, which stands between texts.
-    """
+def _contexts(words: np.ndarray, shapes: np.ndarray, lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of words and of shapes (units, sums): how often, and the sum of the index vectors of the neighbours."""
     apart = np.repeat(np.cumsum(lengths)[:-1], WINDOW)
-    words, shapes = (np.insert(units, apart, Units.NONE) for units in (words, shapes))
-    own = index[:, words] + index[:, shapes]
+    between = np.insert(np.zeros(len(words), bool), apart, True)
+    found = [np.unique(units, return_inverse=True) for units in (words, shapes)]
+    own = np.zeros((DIMENSIONS, len(between)), np.float32)
+    own[:, ~between] = sum(index_vectors(units).T[:, at] for units, at in found)
     around = np.zeros_like(own)
     for step in range(1, WINDOW + 1):
         around[:, step:] += own[:, :-step]
         around[:, :-step] += own[:, step:]
-    for units in (words, shapes):
-        for row, context in zip(total, around):
-            row += np.bincount(units, context, UNITS + 1)
-        total[-1] += np.bincount(units, minlength=UNITS + 1)
+    around = around[:, ~between]
+    return [(units, np.stack([np.bincount(at, minlength=len(units)), *(np.bincount(at, row, len(units)) for row in around)], 1))
+            for units, at in found]
 
 
-def unit_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Vectors of all units, from every document: a unit's own index vector and the mean of its contexts.
+class Sums:
+    """Sums by unit, passed on before they get too many or too large."""
 
-    The table has a fixed size, whatever the corpus. Each task adds up its documents; the parts of
-    the table are then added up by part, in two steps, and streamed, so that no task holds more than one table.
-    All sums are of whole numbers, so their order doesn't matter.
+    NAMES = ["unit", "n", *(f"s{k}" for k in range(DIMENSIONS))]
+
+    def __init__(self):
+        self.rows: dict[int, int] = {}
+        self.table = np.zeros((1 << 14, DIMENSIONS + 1), np.int32)
+        self.tokens = 0
+
+    def add(self, units: np.ndarray, sums: np.ndarray) -> None:
+        rows = self.rows
+        at = np.array([rows.setdefault(unit, len(rows)) for unit in units.tolist()], np.int64)
+        if len(rows) > len(self.table):
+            more = np.zeros((max(len(rows), 2 * len(self.table)), DIMENSIONS + 1), np.int32)
+            more[:len(self.table)] = self.table
+            self.table = more
+        self.table[at] += sums.astype(np.int32)
+        self.tokens += int(sums[:, 0].sum())
+
+    def full(self) -> bool:
+        return len(self.rows) >= HELD or self.tokens >= TOKENS
+
+    def passed_on(self) -> Iterator[pa.RecordBatch]:
+        units = np.fromiter(self.rows, np.uint64, len(self.rows)).view(np.int64)
+        for at in range(0, len(units), 20_000):
+            some = self.table[at:min(at + 20_000, len(units))]
+            yield pa.RecordBatch.from_arrays([pa.array(units[at:at + 20_000]), *(pa.array(np.ascontiguousarray(c)) for c in some.T)], self.NAMES)
+        self.__init__()
+
+
+def unit_sums(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(unit, n, s0, ...) of every word and shape of all documents: how often it is there, and the sum of its contexts.
+
+    The table grows with the vocabulary. Each task adds up what it has room for, Spark the rest; all sums are
+    of whole numbers, so their order doesn't matter.
     """
-    rows = UNITS // GROUPS
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, index = once(Units), np.c_[index_vectors().T, np.zeros((DIMENSIONS, 1), np.float32)]
-        total = np.zeros((DIMENSIONS + 1, UNITS + 1))
-        seen = False
+        units, sums = once(Units), Sums()
         for batch in batches:
             texts = [x or "" for x in batch.column(0).to_pylist()]
             for at in range(0, len(texts), 256):
                 words, shapes, lengths = units.of(texts[at:at + 256])
                 if len(words):
-                    _contexts(words, shapes, lengths, index, total)
-                    seen = True
-        if seen:
-            yield _parts(dict(enumerate(total[:, :UNITS].T.reshape(GROUPS, rows, -1))))
+                    for found in _contexts(words, shapes, lengths):
+                        sums.add(*found)
+                if sums.full():
+                    yield from sums.passed_on()
+        yield from sums.passed_on()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[part] = sums.get(part, 0) + np.frombuffer(data).reshape(rows, DIMENSIONS + 1)
-        if sums:
-            yield _parts(sums)
-
-    schema = "part int, sums binary, task int"
+    schema = ", ".join(["unit long", *(f"{name} int" for name in Sums.NAMES[1:])])
     parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(local, schema)
-    for salt in (16, 1):
-        salted = parts.select("part", "sums").withColumn("task", F.spark_partition_id() % salt)
-        parts = salted.repartition("part", "task").mapInArrow(merge, schema)
-    total = np.zeros((GROUPS, rows, DIMENSIONS + 1))
-    for part, data in parts.select("part", "sums").toLocalIterator():
-        total[part] += np.frombuffer(data).reshape(rows, -1)
-    total = total.reshape(UNITS, -1)
-    mean = total[:, :-1] / np.maximum(total[:, -1:], 1)
-    return (_unit_length(mean) + index_vectors() / np.sqrt(NONZERO)).astype(np.float32)
+    return written(parts.groupBy("unit").agg(*[F.sum(name).alias(name) for name in Sums.NAMES[1:]]), "units")
+
+
+def _vectors(units: np.ndarray, n: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """A unit's own index vector and the mean of its contexts."""
+    return (_unit_length(sums / n[:, None]) + index_vectors(units) / np.sqrt(NONZERO)).astype(np.float32)
+
+
+def _read(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    units = batch.column(0).to_numpy().view(np.uint64)
+    n, *sums = (batch.column(k).to_numpy().astype(float) for k in range(1, DIMENSIONS + 2))
+    return units, _vectors(units, n, np.stack(sums, 1))
+
+
+def frequent(sums: DataFrame) -> int:
+    """The least power of two that at most FREQUENT units occur as often as."""
+    total, least = 0, 1 << 62
+    for k, n in sorted(sums.groupBy(F.floor(F.log2("n")).alias("k")).count().collect(), reverse=True):
+        total += n
+        if total > FREQUENT:
+            break
+        least = 1 << k
+    return least
 
 
 def _unit_length(x: np.ndarray) -> np.ndarray:
@@ -160,30 +197,63 @@ def _parts(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
                                        pa.array([0] * len(sums), pa.int32())], ["part", "sums", "task"])
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, features): per row of ``docs`` the mean vector of its words, that of its shapes, and the log of its length."""
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)  # UNITS x DIMENSIONS floats: 2 MB
+def pooled(docs: DataFrame, sums: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, features): per row of ``docs`` the mean vector of its words, that of its shapes, and the log of its length.
+
+    Vectors of frequent units, a fixed number, are looked up by each task, the others by a join.
+    """
+    least = frequent(sums)
+    units, vectors = _read(sums.where(F.col("n") >= least).toArrow())
+    order = np.argsort(units)
+    shared = docs.sparkSession.sparkContext.broadcast((units[order], vectors[order]))  # at most 18 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, table = once(Units), shared.value
+        units, (keys, vectors) = once(Units), shared.value
+        table = np.r_[vectors, np.zeros((1, DIMENSIONS), np.float32)]
         for batch in batches:
-            keys, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
+            texts = [x or "" for x in batch.column(1).to_pylist()]
             for at in range(0, len(texts), 256):
-                words, shapes, lengths = units.of(texts[at:at + 256])
-                sums = np.zeros((len(lengths), 2 * DIMENSIONS + 1))
-                ends = np.cumsum(lengths).tolist()
-                for k, own in enumerate((table[words], table[shapes])):
-                    for row, (first, end) in enumerate(zip([0, *ends], ends)):
-                        sums[row, k * DIMENSIONS:(k + 1) * DIMENSIONS] = own[first:end].sum(axis=0, dtype=np.float64)
-                sums /= np.maximum(lengths, 1)[:, None]
-                sums[:, -1] = np.log1p(lengths) / 10
-                flat = pa.array(sums.astype(np.float32).ravel())
-                offsets = pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * sums.shape[1])
-                yield pa.RecordBatch.from_arrays([keys.slice(at, 256), pa.ListArray.from_arrays(offsets, flat)],
-                                                 ["doc_id", "features"])
+                *both, lengths = units.of(texts[at:at + 256])
+                sums = np.zeros((len(lengths), 2 * DIMENSIONS))
+                ends = np.cumsum(lengths)
+                of = np.repeat(np.arange(len(lengths)), lengths)
+                columns = []
+                for k, own in enumerate(both):
+                    distinct, places = np.unique(own, return_inverse=True)
+                    found = np.searchsorted(keys, distinct)
+                    known = found < len(keys)
+                    known[known] = keys[found[known]] == distinct[known]
+                    found[~known] = len(keys)
+                    values = table[found[places]]
+                    for row, (first, end) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
+                        sums[row, k * DIMENSIONS:(k + 1) * DIMENSIONS] = values[first:end].sum(axis=0, dtype=np.float64)
+                    rare = ~known[places]
+                    offsets = np.r_[0, np.cumsum(np.bincount(of[rare], minlength=len(lengths)))].astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(own[rare].view(np.int64))))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * sums.shape[1]), pa.array(sums.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(lengths), flat, *columns],
+                                                 ["doc_id", "n", "sums", "words", "shapes"])
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                units, vectors = _read(batch)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in vectors.T)], ["unit", *names])
 
     narrow = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string"))
-    return narrow.mapInArrow(run, "doc_id long, features array<float>")
+    rows = narrow.mapInArrow(run, "doc_id long, n long, sums array<double>, words array<long>, shapes array<long>")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "sums")
+    names = [f"v{k}" for k in range(DIMENSIONS)]
+    rare = sums.where(F.col("n") < least).mapInArrow(looked_up, "unit long, " + ", ".join(f"{name} float" for name in names))
+    asked = rows.select("row", F.lit("words").alias("kind"), F.explode("words").alias("unit")).unionByName(
+        rows.select("row", F.lit("shapes").alias("kind"), F.explode("shapes").alias("unit")))
+    added = asked.join(rare, "unit").groupBy("row", "kind").agg(F.array(*[F.sum(name) for name in names]).alias("more"))
+    added = added.groupBy("row").agg(*[F.max(F.when(F.col("kind") == kind, F.col("more"))).alias("more_" + kind) for kind in ("words", "shapes")])
+    zeros = F.array_repeat(F.lit(0.0), DIMENSIONS)
+    more = F.concat(F.coalesce("more_words", zeros), F.coalesce("more_shapes", zeros))
+    means = F.zip_with("sums", more, lambda a, b: (a + b) / F.greatest(F.col("n"), F.lit(1)))
+    features = F.concat(means, F.array(F.log1p("n") / 10)).cast("array<float>")
+    return rows.drop("words", "shapes").join(added, "row", "left").select("doc_id", features.alias("features"))
 
 
 @dataclass
@@ -263,7 +333,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: f
     contradict each other for one id are not learned from; of rows that repeat an id one is. A row with a null id is
     scored, and not held out.
     """
-    features = written(pooled(docs, unit_vectors(docs, text), doc_id, text), "pooled")
+    features = written(pooled(docs, unit_sums(docs, text), doc_id, text), "pooled")
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(
         F.min(label).alias("y"), F.max(label).alias("high")).where("y = high and doc_id is not null")
     learn = features.withColumn("fold", fold()).where("fold != 2").join(known, "doc_id").select(

@@ -422,3 +422,21 @@ def test_tables_hold_the_same_tree_as_the_plain_version(spark, monkeypatch):
         monkeypatch.setattr(suffix_tree, "ENTRIES", entries)
         got = {r.doc_id: r.score - r.base_score for r in suffix_tree.score(df).collect()}
         assert got == pytest.approx(want, abs=2e-3)
+
+
+def test_every_word_has_a_unit_of_its_own():
+    words, shapes, lengths = quality.Units().of([" ".join(f"{a}{b}{c}" for a in "abcdefghijklmnopqrstuvwxyzäöüßéèàç" for b in "abcdefghijklmnopqrstuvwxyzäöüßéèàç"
+                                                          for c in "abcdefghijklmnopqrstuvwxyzäöüßéèàç"), ""])
+    assert lengths.tolist() == [34 ** 3, 0] and len(set(words.tolist())) == 34 ** 3 and len(set(shapes.tolist())) == 1
+
+
+def test_frequent_units_are_only_a_short_cut(spark, documents, monkeypatch):
+    want = quality.unit_sums(documents.limit(20))
+    assert want.agg(F.sum("n")).first()[0] == 2 * sum(len(t.split()) for _, t in _texts(documents.limit(20)))
+    for most in (quality.FREQUENT, 50):
+        monkeypatch.setattr(quality, "FREQUENT", most)
+        rows = sorted(map(tuple, quality.pooled(documents.limit(20), want).collect()))
+        if most > 50:
+            plain = rows
+    assert [r[0] for r in rows] == [r[0] for r in plain] and np.allclose([r[1] for r in rows], [r[1] for r in plain], atol=1e-6)
+    assert {len(r[1]) for r in rows} == {2 * quality.DIMENSIONS + 1}
