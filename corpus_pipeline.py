@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siftline.llm import line_dedup, quality, simhash, sum_squares
 from siftline.llm.tables import table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; one with a null id can't be told apart and goes."""
-    scored = quality.score(docs, table(spark, sf_dir, "labels"))
-    accepted = scored.where("predicted = 1").select("doc_id")
-    return docs.join(accepted, "doc_id", "left_semi").select(*docs.columns)
+    """Rows that the classifier accepts, each by its own score, whatever its id."""
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    scored = quality.score(numbered, table(spark, sf_dir, "labels"), row="_row")
+    accepted = scored.where("predicted = 1").select("_row")
+    return numbered.join(accepted, "_row", "left_semi").select(*docs.columns)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +24,11 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
+    """The document with the smallest id of each group of near-duplicates; a row with a null id is a group of its own."""
     found = simhash.near_duplicates(docs, width=3, distance=2)
     kept = found.where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    own = docs.where("doc_id is null")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(own)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

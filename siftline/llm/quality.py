@@ -197,10 +197,10 @@ def _parts(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
                                        pa.array([0] * len(sums), pa.int32())], ["part", "sums", "task"])
 
 
-def pooled(docs: DataFrame, sums: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, features): per row of ``docs`` the mean vector of its words, that of its shapes, and the log of its length.
+def pooled(docs: DataFrame, sums: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """(doc_id, features, number): per row of ``docs`` the mean vector of its words, that of its shapes, and the log of its length.
 
-    Vectors of frequent units, a fixed number, are looked up by each task, the others by a join.
+    ``number`` is the column ``row``, if that is given. Vectors of frequent units, a fixed number, are looked up by each task, the others by a join.
     """
     least = frequent(sums)
     units, vectors = _read(sums.where(F.col("n") >= least).toArrow())
@@ -231,8 +231,8 @@ def pooled(docs: DataFrame, sums: DataFrame, doc_id: str = "doc_id", text: str =
                     offsets = np.r_[0, np.cumsum(np.bincount(of[rare], minlength=len(lengths)))].astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(own[rare].view(np.int64))))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * sums.shape[1]), pa.array(sums.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(lengths), flat, *columns],
-                                                 ["doc_id", "n", "sums", "words", "shapes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(lengths), flat, *columns, batch.column(2).slice(at, 256)],
+                                                 ["doc_id", "n", "sums", "words", "shapes", "number"])
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,8 +240,9 @@ def pooled(docs: DataFrame, sums: DataFrame, doc_id: str = "doc_id", text: str =
                 units, vectors = _read(batch)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in vectors.T)], ["unit", *names])
 
-    narrow = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string"))
-    rows = narrow.mapInArrow(run, "doc_id long, n long, sums array<double>, words array<long>, shapes array<long>")
+    number = F.lit(None) if row is None else F.col(row)
+    narrow = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string"), number.cast("long"))
+    rows = narrow.mapInArrow(run, "doc_id long, n long, sums array<double>, words array<long>, shapes array<long>, number long")
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "sums")
     names = [f"v{k}" for k in range(DIMENSIONS)]
     rare = sums.where(F.col("n") < least).mapInArrow(looked_up, "unit long, " + ", ".join(f"{name} float" for name in names))
@@ -253,7 +254,7 @@ def pooled(docs: DataFrame, sums: DataFrame, doc_id: str = "doc_id", text: str =
     more = F.concat(F.coalesce("more_words", zeros), F.coalesce("more_shapes", zeros))
     means = F.zip_with("sums", more, lambda a, b: (a + b) / F.greatest(F.col("n"), F.lit(1)))
     features = F.concat(means, F.array(F.log1p("n") / 10)).cast("array<float>")
-    return rows.drop("words", "shapes").join(added, "row", "left").select("doc_id", features.alias("features"))
+    return rows.drop("words", "shapes").join(added, "row", "left").select("doc_id", features.alias("features"), "number")
 
 
 @dataclass
@@ -324,16 +325,16 @@ def fold(doc_id: str = "doc_id") -> F.Column:
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: float = 0.7, doc_id: str = "doc_id",
-          text: str = "text", label: str = "quality") -> DataFrame:
+          text: str = "text", label: str = "quality", row: str | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``.
 
     Word and shape vectors come from all texts. The network learns from at most ``sample`` labelled documents (those with
     the smallest hashes of their ids) whose fold isn't 2: folds 0 and 1 train, fold 3 sets the temperature. A score
     depends on the text alone; empty and null texts get one as well. Labels that are null, other than 0 and 1, or
     contradict each other for one id are not learned from; of rows that repeat an id one is. A row with a null id is
-    scored, and not held out.
+    scored, and not held out. ``row`` names a column that is carried to the result.
     """
-    features = written(pooled(docs, unit_sums(docs, text), doc_id, text), "pooled")
+    features = written(pooled(docs, unit_sums(docs, text), doc_id, text, row), "pooled")
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(
         F.min(label).alias("y"), F.max(label).alias("high")).where("y = high and doc_id is not null")
     learn = features.withColumn("fold", fold()).where("fold != 2").join(known, "doc_id").select(
@@ -347,8 +348,10 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype(float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.probability(x))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.probability(x)), batch.column(2)],
+                                             ["doc_id", "score", "number"])
 
-    scored = features.mapInArrow(run, "doc_id long, score double")
+    scored = features.mapInArrow(run, "doc_id long, score double, number long")
     return scored.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "score",
-                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+                         (F.col("score") >= threshold).cast("int").alias("predicted"),
+                         *([F.col("number").alias(row)] if row else []))

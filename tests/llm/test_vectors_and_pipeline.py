@@ -151,3 +151,16 @@ def test_pipeline_removes_short_lines_of_many_sites(spark):
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_deduplication(spark, docs, "").collect()}
     assert got == {i: (data[i][1], 0) if i == 0 else (f"own {i}\n ", 7) for i in range(9)}
+
+
+def test_pipeline_decides_each_row_by_its_own_score(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    good, bad = (docs.join(labels.where(F.col("quality") == q), "doc_id", "left_semi").orderBy("doc_id").first() for q in (1, 0))
+    odd = [(None, good.text), (None, bad.text), (good.doc_id, bad.text)]
+    more = spark.createDataFrame([(i, text, "en", "s", 0) for i, text in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    more = more.select(*[F.col(f.name).cast(f.dataType) for f in docs.schema])
+    kept = corpus_pipeline.quality_classifier(spark, docs.unionByName(more), sf_dir)
+    found = kept.where(F.col("doc_id").isNull() | (F.col("doc_id") == good.doc_id)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, found), key=str) == sorted([(None, good.text), (good.doc_id, good.text)], key=str)
+    assert [r.doc_id for r in corpus_pipeline.simhash_near_duplicates(spark, more.limit(2), sf_dir).collect()] == [None, None]
