@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,21 +37,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 32, ri
     distance, and stops on either side at the first that the triangle inequality excludes.
 
     Components must be finite and whole sums exact in double precision for exact ties. Rows with a null id or vector, null
-    or non-finite components take no part, nor do those of another length than most. Rows that repeat an id are one
-    vector, of which the least is taken.
+    or non-finite components take no part. Rows that repeat an id are one vector, of which the least is taken. Vectors of
+    different lengths have no inner product: each length that has queries is searched by itself.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("x"), is_query.alias("query"))
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = rows.where("vec_id is not null and x is not null").where(finite)
     rows = rows.groupBy("vec_id").agg(F.min(F.struct("x", "query")).alias("v")).select("vec_id", "v.*")
     rows = written(rows, "vectors")
-    width = rows.agg(F.mode(F.size("x"))).first()[0]
-    rows = rows.where(F.size("x") == (width or 0))
+    widths = sorted(r[0] for r in rows.where("query").select(F.size("x")).distinct().collect())
+    if not widths:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [_top_k_of_one_length(rows.where(F.size("x") == width), k, pivots, rings, sample_size) for width in widths]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _top_k_of_one_length(rows: DataFrame, k: int, pivots: int, rings: int, sample_size: int) -> DataFrame:
+    """``top_k`` of (vec_id, x, query) rows whose vectors are equally long."""
     norm = F.aggregate("x", F.lit(0.0), lambda total, v: total + v * v)
     most = rows.agg(F.max(norm)).first()[0]
-    empty = "query_id long, rank int, vec_id long, score double"
-    if most is None:
-        return vectors.sparkSession.createDataFrame([], empty)
     points = _lifted(sample(rows, "vec_id", "x", sample_size), most, False)
     centres = codebook(points, pivots)
     distances = np.sqrt(squared_distances(points, centres))

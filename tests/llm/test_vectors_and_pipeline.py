@@ -164,3 +164,15 @@ def test_pipeline_decides_each_row_by_its_own_score(spark):
     found = kept.where(F.col("doc_id").isNull() | (F.col("doc_id") == good.doc_id)).select("doc_id", "text").collect()
     assert sorted(map(tuple, found), key=str) == sorted([(None, good.text), (good.doc_id, good.text)], key=str)
     assert [r.doc_id for r in corpus_pipeline.simhash_near_duplicates(spark, more.limit(2), sf_dir).collect()] == [None, None]
+
+
+def test_search_within_each_length(spark):
+    random = np.random.default_rng(7)
+    data = [(int(i), random.integers(-9, 10, 6 if i % 3 else 4).astype(float).tolist()) for i in range(120)]
+    df = spark.createDataFrame(data, "vec_id long, vector array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in pivot_search.top_k(df, F.col("vec_id") % 10 == 0, k=3, pivots=4).collect()}
+    want = {}
+    for q, x in data[::10]:
+        best = sorted((-float(np.dot(x, y)), i) for i, y in data if i != q and len(x) == len(y))[:3]
+        want |= {(q, rank): (i, -s) for rank, (s, i) in enumerate(best, 1)}
+    assert got == want
