@@ -6,20 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (best_fit, byte_bpe, embedding_dedup, line_dedup, pivot_search, quality, simhash, suffix_tree, sum_squares,
+from . import (best_fit, byte_bpe, embedding_dedup, hard_negatives, line_dedup, pivot_search, quality, simhash, suffix_tree, sum_squares,
                token_counts)
 from .tables import table
 
 
+def _whole_numbers(vectors: DataFrame, *more: str) -> DataFrame:
+    """(vec_id, vector): each component times 256, rounded down; vectors that hold null or non-finite components are left out."""
+    scaled = F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vectors.where(finite).select("vec_id", scaled.alias("vector"), *more)
+
+
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
 def op2_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    scaled = F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")))
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = vectors.where(finite).select("vec_id", scaled.alias("vector"))
+    whole = _whole_numbers(table(spark, sf_dir, "embeddings"))
     return pivot_search.top_k(whole, F.col("vec_id") % 50 == 0, k=5).select(
         "query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
 
@@ -60,6 +64,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = _whole_numbers(table(spark, sf_dir, "embeddings"), "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(whole.withColumn("label", moved), F.col("vec_id") % 100 == 0, positives=5, k=10, low=30, high=90)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_embedding_dedup, op2_pivot_search, op3_token_matrices, op4_token_counts, op5_quality, op6_sum_squares,
-    op7_line_dedup, op8_suffix_tree, op9_simhash, op10_byte_bpe, pipeline)}
+    op7_line_dedup, op8_suffix_tree, op9_simhash, op10_byte_bpe, op13_hard_negatives, pipeline)}
 
 ORACLE_SQL = {"op1_embedding_dedup": embedding_dedup.SQL, "op2_pivot_search": pivot_search.SQL,
-              "op7_line_dedup": line_dedup.SQL}
+              "op7_line_dedup": line_dedup.SQL, "op13_hard_negatives": hard_negatives.SQL}
