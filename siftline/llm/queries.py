@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (best_fit, byte_bpe, conversations, embedding_dedup, hard_negatives, line_dedup, pivot_search, quality, simhash,
-               suffix_tree, sum_squares, token_counts)
+from . import (best_fit, byte_bpe, conversations, embedding_dedup, hard_negatives, language, line_dedup, pivot_search, quality,
+               simhash, suffix_tree, sum_squares, token_counts)
 from .tables import table
 
 
@@ -64,6 +64,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = conversations.damaged(table(spark, sf_dir, "conversations"))
     return conversations.repair_summary(damaged, F.col("present"))
@@ -83,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_embedding_dedup, op2_pivot_search, op3_token_matrices, op4_token_counts, op5_quality, op6_sum_squares,
-    op7_line_dedup, op8_suffix_tree, op9_simhash, op10_byte_bpe, op12_conversation_repair, op13_hard_negatives, pipeline)}
+    op7_line_dedup, op8_suffix_tree, op9_simhash, op10_byte_bpe, op11_language, op12_conversation_repair, op13_hard_negatives, pipeline)}
 
 ORACLE_SQL = {"op1_embedding_dedup": embedding_dedup.SQL, "op2_pivot_search": pivot_search.SQL,
               "op7_line_dedup": line_dedup.SQL, "op13_hard_negatives": hard_negatives.SQL}
