@@ -45,13 +45,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a table that has fewer files than there are cores.
+    """Give every core a share of a table that is smaller than one split per core, by the planner's estimate of its bytes.
 
     Rule evaluation is bound by CPU, and a small file with one row group would run in one task.
-    A large table has many files and isn't shuffled.
+    A larger table comes in enough splits and isn't shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * split else df
 
 
 def cycle(values: tuple[str, ...], by: Column) -> Column:

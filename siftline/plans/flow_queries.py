@@ -43,9 +43,8 @@ def match_existing(spark, sf):
 
 
 def _retractions(spark, sf):
-    """Addresses of stored documents: undated for one source, with an earlier date for the others."""
-    docs = D.stored_jobs(spark, sf).where(c("company").startswith("A") | c("company").startswith("O"))
-    return docs.select("key", F.lit(None).cast("string").alias("alt_key"), F.when(
+    """Addresses of all stored documents: undated for one source, with an earlier date for the others."""
+    return D.stored_jobs(spark, sf).select("key", F.lit(None).cast("string").alias("alt_key"), F.when(
         c("source") != "src7", F.lit("2026-09-08").cast("date")).alias("seen_date"))
 
 
@@ -133,8 +132,7 @@ def status_counts(spark, sf):
 
 
 def apply_company_types(spark, sf):
-    run = _typed_postings(spark, sf).where(c("company").startswith("Orchard") | c("company").startswith("Quiet"))
-    types = cumulative.strongest_company_type(run, D.rules())
+    types = cumulative.strongest_company_type(_typed_postings(spark, sf), D.rules())
     out = cumulative.apply_company_types(D.stored_jobs(spark, sf), types, D.rules())
     return out.select("key", "company", "company_type")
 

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.patterns import WORD, extract
 from ..functions.places import HOME, classify_location
+from ..functions.staging import stage
 from ..functions.urls import authority, search_result_target
 from ..vocab import RuleSet
 
@@ -149,38 +144,49 @@ def workday_base(url: Column) -> Column:
 def workday_home_facets(payloads: DataFrame, home_pattern: str) -> DataFrame:
     """(payload columns but the body, facet, ids): the one facet that selects postings at home.
 
-    The facet tree nests without a fixed depth, so each payload is walked in an Arrow batch. A payload that is no
-    JSON object has no facet.
+    The facet tree nests without a fixed depth: each step puts the values of an item behind it, so the list of items ends up in
+    document order; there are as many steps as the text has lists of values. What isn't of the expected type - a payload that is no
+    object, facets that are no list, an item that is no object, a descriptor that is no text - gives nothing.
     """
+    def kind(v: Column, name: str) -> Column:
+        return F.coalesce(F.schema_of_variant(v).startswith(name), F.lit(False))
+
+    def field(v: Column, name: str) -> Column:
+        return F.when(kind(v, "OBJECT"), F.try_variant_get(v, f"$.{name}", "variant"))
+
+    def text(v: Column) -> Column:
+        return F.when(kind(v, "STRING"), F.try_variant_get(v, "$", "string"))
+
+    def items(v: Column) -> Column:
+        return F.when(kind(v, "ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+
+    def opened(values: Column, facet: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(v.alias("v"), F.when(
+            field(v, "facetParameter").isNotNull(), text(field(v, "facetParameter"))).otherwise(facet).alias("facet"), F.lit(True).alias("todo")))
+
+    none = F.array().cast("array<struct<v:variant,facet:string,todo:boolean>>")
+
+    def step(at: Column, _: Column) -> Column:
+        return F.flatten(F.transform(at, lambda x: F.when(x["todo"], F.concat(
+            F.array(F.struct(x["v"].alias("v"), x["facet"].alias("facet"), F.lit(False).alias("todo"))),
+            F.coalesce(opened(items(field(x["v"], "values")), x["facet"]), none))).otherwise(F.array(x))))
+
+    tree = F.coalesce(opened(items(field(F.try_parse_json("body"), "facets")), F.lit(None).cast("string")), none)
+    depth = F.size(F.regexp_extract_all("body", F.lit(r'"values"\s*:\s*\['), F.lit(0)))
+    walked = F.aggregate(F.sequence(F.lit(0), F.greatest(depth, F.lit(0))), tree, lambda at, n: F.when(
+        F.exists(at, lambda x: x["todo"]), step(at, n)).otherwise(at))
+    number = F.try_variant_get  # an id may be written as a number
+    hits = F.transform(
+        F.filter(walked, lambda x: F.coalesce(text(field(x["v"], "descriptor")).rlike(f"(?i){home_pattern}"), F.lit(False))),
+        lambda x: F.struct(x["facet"].alias("facet"), number(field(x["v"], "id"), "$", "string").alias("id")))
+    hits = F.filter(hits, lambda h: h["facet"].isNotNull() & (F.coalesce(h["id"], F.lit("")) != ""))
+    found = stage(payloads, _hits=hits).where(F.size("_hits") > 0)
+    facets = F.transform("_hits", lambda h: h["facet"])
+    named = [F.when(F.array_contains(facets, name), F.lit(name)) for name in WORKDAY_FACETS]
+    found = stage(found, facet=F.coalesce(*named, F.get(F.filter(facets, lambda f: F.contains(F.lower(f), F.lit("location"))), 0)))
+    ids = F.transform(F.filter("_hits", lambda h: h["facet"] == F.col("facet")), lambda h: h["id"])
     kept = [c for c in payloads.columns if c != "body"]
-    home = re.compile(home_pattern, re.I)
-
-    def pick(body: str | None) -> tuple[str | None, list[str]]:
-        try:
-            payload = json.loads(body or "")
-        except ValueError:
-            return None, []
-        if not isinstance(payload, dict):
-            return None, []
-        found: dict[str, list[str]] = {}
-        # depth first in document order: children are put on the stack in reverse
-        open_items = [(item, None) for item in reversed(payload.get("facets") or [])]
-        while open_items:
-            item, inherited = open_items.pop()
-            facet = item.get("facetParameter", inherited)
-            if item.get("id") and home.search(item.get("descriptor") or ""):
-                found.setdefault(facet, []).append(item["id"])
-            open_items.extend((child, facet) for child in reversed(item.get("values") or []))
-        named = [f for f in WORKDAY_FACETS if f in found] or [f for f in found if f and "location" in f.lower()]
-        return (named[0], found[named[0]]) if named else (None, [])
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            picked = [pick(body) for body in batch["body"]]
-            yield batch[kept].assign(facet=[p[0] for p in picked], ids=[p[1] for p in picked])
-
-    schema = payloads.select(*kept).schema.add("facet", T.StringType()).add("ids", T.ArrayType(T.StringType()))
-    return payloads.mapInPandas(walk, schema).where("facet is not null")
+    return found.where("facet is not null").select(*kept, "facet", ids.alias("ids"))
 
 
 def jobvite_rewrite(url: Column) -> Column:

@@ -161,8 +161,7 @@ CANDIDATES = f"""cand AS (SELECT {S.cycle(KINDS + ('unknown',), 'c_custkey')} AS
     'probe' AS via, c_custkey AS ord, 0 AS finder FROM customer
   UNION ALL SELECT 'lever', 'BOARD' || CAST(s_suppkey AS VARCHAR), '', 'search', s_suppkey, 1 FROM supplier)"""
 
-ST_RETR = """sret AS (SELECT key, CASE WHEN source <> 'src7' THEN DATE '2026-09-08' END AS seen_date FROM stored
-  WHERE company[1] IN ('A', 'O')),
+ST_RETR = """sret AS (SELECT key, CASE WHEN source <> 'src7' THEN DATE '2026-09-08' END AS seen_date FROM stored),
 srest AS (SELECT * FROM stored s WHERE NOT EXISTS (SELECT 1 FROM sret r WHERE r.key = s.key AND
   (r.seen_date IS NULL OR s.date_iso IS NULL OR r.seen_date >= s.date_iso)))"""
 
@@ -241,9 +240,7 @@ SQL = {
     "foreign_location_audit": f"WITH {EV}, {ABROAD} SELECT location, n FROM abroad ORDER BY n DESC, first LIMIT 3",
     "strongest_company_type": f"""{P} SELECT company_key, company_type FROM
       {strongest('postings', industry=_INDUSTRY)}""",
-    "apply_company_types": f"""{P}, {STORED}, types AS (SELECT * FROM {strongest(
-        "(SELECT * FROM postings WHERE starts_with(company, 'Orchard') OR starts_with(company, 'Quiet'))",
-        industry=_INDUSTRY)})
+    "apply_company_types": f"""{P}, {STORED}, types AS (SELECT * FROM {strongest('postings', industry=_INDUSTRY)})
       SELECT key, company, CASE WHEN t.company_type IS NOT NULL THEN t.company_type WHEN s.company_type <> ''
         THEN s.company_type ELSE split_part(n.x, '|', 1) END AS company_type
       FROM stored s LEFT JOIN types t ON t.company_key = {S.company_key('s.company')}

@@ -206,3 +206,29 @@ def test_payloads_that_are_no_object_have_no_facet(spark):
     good = '{"facets":[{"facetParameter":"locationCountry","values":[{"id":"x","descriptor":"Haifa"}]}]}'
     df = spark.createDataFrame([(1, "<html>"), (2, None), (3, "[1]"), (4, good)], "k long, body string")
     assert [(r.k, r.ids) for r in boards.workday_home_facets(df, "haifa").collect()] == [(4, ["x"])]
+
+
+def test_odd_facets_give_nothing(spark):
+    odd = ['{"facets":5}', '{"facets":["x", null, 7, {"values":["y"]}]}', '{"facets":[{"facetParameter":"locations","values":[{"id":"a","descriptor":7}]}]}',
+           '{"facets":[{"facetParameter":null,"values":[{"id":"a","descriptor":"Haifa"}]}]}', '{"facets":[{"facetParameter":"jobs","id":"a","descriptor":"Haifa"}]}',
+           '{"facets":[{"facetParameter":"locations","values":{"id":"a","descriptor":"Haifa"}}]}', '{"facets":null}', "{}"]
+    good = ['{"facets":[{"facetParameter":"city-location","values":[{"id":7,"descriptor":"HAIFA"},{"values":[{"id":"b","descriptor":"Haifa bay"}]},{"id":"c"}]}]}',
+            '{"facets":[{"facetParameter":"locationsX","id":"1","descriptor":"Haifa"},{"facetParameter":"locations","values":[{"id":"2","descriptor":"Haifa"},'
+            '{"facetParameter":"Location_Country","id":"3","descriptor":"haifa"}]}]}']
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(odd + good)], "k long, body string")
+    found = boards.workday_home_facets(df, "haifa")
+    assert [(r.k, r.facet, r.ids) for r in found.orderBy("k").collect()] == [(8, "city-location", ["7", "b"]), (9, "Location_Country", ["3"])]
+    assert "MapInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_main_text(spark):
+    long, longer = "word " * 50, "more " * 60
+    html = [f'<body><div class="description">{long}</div><article><p>{longer}</p><nav>menu</nav><div id="x share-box">no</div></article></body>',
+            f'<html><body class="nav"><p>{long}</p><section class="Top MENU_bar">x</section><template>t</template><p>a\n\nb</p></body></html>',
+            f'<div role="main">{long}<script>s()</script></div><p>outside</p>', "<p>short</p><form>f</form>", "", None,
+            f'<body><main class="menu"><div class="job-posting">{longer}</div>tail</main><footer><article>{longer * 2}</article></footer></body>',
+            f'<body><article>{long}</article><article>{long[::-1]}</article></body>', '<body><div class="menuitem">kept</div></body>']
+    df = spark.createDataFrame(list(enumerate(html)), "k int, html string")
+    got = {r.k: r.main_text for r in pages.main_content_text(df).collect()}
+    assert got == {0: longer.strip(), 1: f"{long.strip()}\na\nb", 2: long.strip(), 3: "short", 4: "", 5: "", 6: f"{longer.strip()}\ntail", 7: long.strip(),
+                   8: "kept"}
