@@ -340,19 +340,21 @@ def _card_pages(spark, sf):
     secret = cat('<div class="wpjb-grid-row"><div class="wpjb-col-title"><a href="https://s.example.com/job/', k, '/">Analyst ', k,
                  '</a><span class="wpjb-sub">Comp ', c("cust"), '</span></div><div class="wpjb-col-location">'
                  '<span class="wpjb-glyphs">Lod &amp; Haifa</span></div></div>')
-    return _orders(spark, sf).select(
-        "k", "o_orderkey", (c("o_orderkey") % 3).alias("board"),
-        F.when(c("o_orderkey") % 3 == 0, linkedin).when(c("o_orderkey") % 3 == 1, alljobs).otherwise(secret).alias("html"))
+    jobmaster = cat('<article class="JobItem" id="misra', k, '"><a class="CardHeader">Analyst <b>', k, '</b></a><span class="CompanyNameLink">Comp ',
+                    c("cust"), '</span><div class="jobLocation">Haifa</div><div class="paddingTop10px"><span class="Gray">', c("day"),
+                    "</span></div></article>")
+    adamtotal = cat('<div class="job-card-logo"><img alt="לוגו Comp ', c("cust"), ', join us"></div><article class="job-card" data-job-title="Analyst ',
+                    k, '"><div class="job-meta"><span><i class="fas fa-map-marker-alt"></i>Haifa</span></div><a class="job-detail-link" href="/Jobs/', k,
+                    '">x</a><div class="description-text"><p>Do SQL</p></div></article><article class="job-card" data-job-title="No link"></article>')
+    by_board = dict(linkedin=linkedin, alljobs=alljobs, secret=secret, jobmaster=jobmaster, adamtotal=adamtotal)
+    board = D.cycle(tuple(by_board), c("o_orderkey"))
+    html = F.coalesce(*[F.when(board == name, page) for name, page in by_board.items()])
+    return _orders(spark, sf).select("k", "o_orderkey", board.alias("board"), html.alias("html"))
 
 
 def extract_cards(spark, sf):
-    pages = _card_pages(spark, sf)
-    out = None
-    for position, board in enumerate(("linkedin", "alljobs", "secret")):
-        cards = P.extract_cards(pages.where(c("board") == position), P.CARD_BOARDS[board]).select(
-            "k", lit(board).alias("board_name"), "job_id", "title", "company", "location", "date_text", "closed")
-        out = cards if out is None else out.unionByName(cards)
-    return out
+    cards = P.extract_cards(_card_pages(spark, sf), P.CARD_BOARDS)
+    return cards.select("k", c("board").alias("board_name"), "job_id", "title", "company", "location", "date_text", "description", "closed")
 
 
 def extract_detail_page(spark, sf):

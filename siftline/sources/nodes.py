@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -45,7 +46,7 @@ class Node:
             self.parent = None
 
     def select(self, selector: str) -> Iterator["Node"]:
-        tests = [_compile(alternative) for alternative in selector.split(",")]
+        tests = _alternatives(selector)
         for node in self.walk():
             if any(_matches(node, test, self) for test in tests):
                 yield node
@@ -61,6 +62,11 @@ class Node:
 _STEP = re.compile(r"([#.]?[\w-]+)|\[([\w:-]+)(?:([*^]?=)[\"']?([^\"'\]]*)[\"']?)?\]")
 
 
+@lru_cache(maxsize=256)
+def _alternatives(selector: str) -> list[list[list[tuple]]]:
+    return [_compile(alternative) for alternative in selector.split(",")]
+
+
 def _compile(selector: str) -> list[list[tuple]]:
     """'div.card a[href]' -> one list of (attribute, operator, value) tests per step."""
     steps = []

@@ -131,12 +131,14 @@ SQL = {
       UNION ALL SELECT page_id, 'https://jobs.lever.co/z' || page_id || '/12', 'Market Gardener' FROM lp WHERE page_id % 3 = 0""",
     "page_yield_status": f"""SELECT page_id, CASE WHEN page_id % 3 = 2 THEN {lit(L.PARTIAL)} ELSE {lit(L.OK)} END AS status,
       CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN {lit(L.NO_RELEVANT_NOW)} ELSE {lit(L.NOT_READABLE)} END AS note FROM pages""",
-    "extract_cards": f"""WITH {O} SELECT k, ['linkedin', 'alljobs', 'secret'][o_orderkey % 3 + 1] AS board_name,
-      CASE WHEN o_orderkey % 3 = 2 THEN 'https://s.example.com/job/' || k || '/' ELSE k END AS job_id, 'Analyst ' || k AS title,
-      CASE WHEN o_orderkey % 3 = 1 THEN '' ELSE 'Comp ' || cust END AS company,
-      CASE WHEN o_orderkey % 3 = 2 THEN 'Lod & Haifa' ELSE 'Haifa' END AS location,
-      CASE WHEN o_orderkey % 3 = 0 THEN day ELSE '' END AS date_text,
-      o_orderkey % 3 = 1 AND o_orderstatus <> 'O' AS closed FROM o""",
+    "extract_cards": f"""WITH {O}, b AS (SELECT *, {S.cycle(('linkedin', 'alljobs', 'secret', 'jobmaster', 'adamtotal'), 'o_orderkey')}
+        AS board_name FROM o)
+      SELECT k, board_name, CASE board_name WHEN 'secret' THEN 'https://s.example.com/job/' || k || '/' WHEN 'adamtotal' THEN '/Jobs/' || k
+        ELSE k END AS job_id, 'Analyst ' || k AS title, CASE WHEN board_name = 'alljobs' THEN '' ELSE 'Comp ' || cust END AS company,
+      CASE WHEN board_name = 'secret' THEN 'Lod & Haifa' ELSE 'Haifa' END AS location,
+      CASE WHEN board_name IN ('linkedin', 'jobmaster') THEN day ELSE '' END AS date_text,
+      CASE WHEN board_name = 'adamtotal' THEN 'Do SQL' ELSE '' END AS description,
+      board_name = 'alljobs' AND o_orderstatus <> 'O' AS closed FROM b""",
     "extract_detail_page": f"""WITH {O} SELECT k, 'Do SQL ' || k || {NL} || 'More' AS description, '3 days ago' AS posted_rel,
       CASE WHEN o_orderstatus = 'O' THEN '' ELSE 'Senior' END AS seniority, 'Banking' AS industry, 'Analyst ' || k AS title
       FROM o WHERE o_custkey % 5 <> 0""",
