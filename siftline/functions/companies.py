@@ -7,22 +7,25 @@ from pyspark.sql import functions as F
 
 from .. import labels as L
 from ..vocab import RuleSet
-from .patterns import WORD, let, text_or_empty, word_matcher
+from .patterns import WORD, built_once, let, text_or_empty, word_matcher
 from .places import location_key
 from .text import normalize_text, strip
 from .urls import canonical_url
 
 
+@built_once
 def company_key(company: Column, rules: RuleSet) -> Column:
     """A company name without legal forms, filler words and separators."""
     bare = F.regexp_replace(normalize_text(company), word_matcher(rules.company_suffixes), " ")
     return F.regexp_replace(bare, f"[^{WORD}]", "")
 
 
+@built_once
 def company_title_key(company: Column, title: Column, rules: RuleSet) -> Column:
     return F.concat_ws("|", company_key(company, rules), normalize_text(title))
 
 
+@built_once
 def job_keys(url: Column, company: Column, title: Column, location: Column, rules: RuleSet) -> dict[str, Column]:
     """key = address; alt_key = company, title and place; company_title = the third tier."""
     return {
@@ -33,6 +36,7 @@ def job_keys(url: Column, company: Column, title: Column, location: Column, rule
     }
 
 
+@built_once
 def company_sector(company: Column, industry: Column, listing_url: Column, url: Column, description: Column,
                    rules: RuleSet) -> Column:
     """struct(type, strength) from the strongest signal of one posting; the rules are tried in order."""

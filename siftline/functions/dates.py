@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import labels as L
 from ..vocab import RuleSet
-from .patterns import SPACE, WORD, bounded, extract, let
+from .patterns import SPACE, WORD, bounded, built_once, extract, let
 from .text import strip
 
 # Day counts of the units in relative dates.
@@ -87,6 +87,7 @@ def _back(as_of: Column, count: Column, unit_days: Column) -> Column:
     return F.date_sub(as_of, F.when(F.length(count) <= 6, days))
 
 
+@built_once
 def parse_posting_date(raw: Column, as_of: Column, rules: RuleSet) -> Column:
     """Absolute and relative date texts to a local date; null when it cannot be told.
 
@@ -132,6 +133,7 @@ def relevant_date(posted: Column, updated: Column, as_of: Column) -> Column:
     return F.when(latest.isNotNull(), F.least(latest, as_of))
 
 
+@built_once
 def latest_date(raws: list[Column], as_of: Column, rules: RuleSet) -> Column:
     """``relevant_date`` straight from the texts; every text goes through the same expression."""
     known = F.transform(F.array(*raws), lambda raw: parse_posting_date(raw, as_of, rules))

@@ -7,8 +7,10 @@ classes and case is folded by lower-casing the text first or with ``(?iu)``.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,3 +68,39 @@ def literal_array(values: Iterable[str]) -> Column:
 def let(column: Column, body) -> Column:
     """Evaluate ``column`` once and hand it to ``body``."""
     return F.element_at(F.transform(F.array(column), body), 1)
+
+
+_PLAIN = {"UnresolvedAttribute": re.compile(r"[A-Za-z_]\w*"), "Literal": re.compile(r".{0,80}"), "Cast": re.compile(r"CAST\('[\d-]+' AS DATE\)")}
+
+
+def _name(argument) -> tuple | None:
+    """What tells a plain column (one by its name, a short literal, a literal date) or another argument apart; None for any other column."""
+    if isinstance(argument, Column):
+        kind = argument._jc.node().getClass().getSimpleName()
+        shown = str(argument)[8:-2]
+        return ("column", kind, shown) if kind in _PLAIN and _PLAIN[kind].fullmatch(shown) else None
+    if isinstance(argument, (list, tuple)) and any(isinstance(x, Column) for x in argument):
+        names = tuple(map(_name, argument))
+        return None if None in names else names
+    return (type(argument), argument)
+
+
+def built_once(build: Callable) -> Callable:
+    """Keep what ``build`` gives for the same plain columns and values.
+
+    A large expression takes thousands of calls into the JVM to build, seconds for a cascade; the expression doesn't change and can stand
+    in any plan. Other columns, such as the variable of a lambda, are never kept.
+    """
+    known: dict[tuple, object] = {}
+
+    @wraps(build)
+    def run(*arguments, **named):
+        names = tuple(map(_name, arguments))
+        if named or None in names:
+            return build(*arguments, **named)
+        key = (id(SparkContext._gateway), *names)
+        if key not in known:
+            known[key] = build(*arguments)
+        return known[key]
+
+    return run

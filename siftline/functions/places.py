@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import labels as L
 from ..vocab import RuleSet
-from .patterns import (SPACE, WORD, alternation, bounded, extract, let, literal_array, text_or_empty,
-                       word_matcher)
+from .patterns import SPACE, WORD, alternation, bounded, built_once, extract, let, literal_array, text_or_empty, word_matcher
 from .text import normalize_text, strip
 
 HOME, EXCLUDED, FOREIGN, UNKNOWN = "israel", "excluded", "foreign", "unknown"
@@ -90,6 +89,7 @@ def place_parts(location: Column, rules: RuleSet) -> Column:
         p["raw"].alias("raw"), kind(p).alias("kind"), F.coalesce(p["bare"], p["region"]).alias("region")))
 
 
+@built_once
 def classify_location(location: Column, description: Column, url: Column, context: Column, rules: RuleSet) -> Column:
     """struct(decision, display, note): one row at a time, without a shuffle.
 
@@ -151,6 +151,7 @@ def classify_location(location: Column, description: Column, url: Column, contex
     return let(facts, lambda f: let(branch(f), lambda b: outcome(f, b)))
 
 
+@built_once
 def title_says_abroad(title: Column, rules: RuleSet) -> Column:
     """The title itself names a foreign place or a relocation."""
     home = place_matcher(rules.home_terms, rules)
@@ -160,6 +161,7 @@ def title_says_abroad(title: Column, rules: RuleSet) -> Column:
         text_or_empty(title).rlike(moving)))
 
 
+@built_once
 def location_key(location: Column, rules: RuleSet) -> Column:
     """The first home term in a place without its trailing qualifier, else the normalised place."""
     home = f"(?<![{WORD}])({place_alternation(rules.home_terms, rules)})(?![{WORD}])"

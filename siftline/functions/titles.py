@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..vocab import RuleSet
-from .patterns import alternation, let, text_or_empty, word_matcher
+from .patterns import alternation, built_once, let, text_or_empty, word_matcher
 from .text import fold_gender, normalize_text, normalize_title
 
 LISTED, VARIANT, COMBINED, EXCLUDED, CANDIDATE = "listed", "variant", "combined", "excluded", "candidate"
@@ -32,6 +32,7 @@ def normal_terms(terms: tuple[str, ...], rules: RuleSet) -> tuple[str, ...]:
     return _normal_cache[key]
 
 
+@built_once
 def title_class(title: Column, rules: RuleSet) -> Column:
     """listed / variant / combined / excluded / candidate, or null.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import extract, let, text_or_empty
+from .patterns import built_once, extract, let, text_or_empty
 from .text import strip
 
 # Query parameters that only track where a visitor came from (matched by prefix).
@@ -79,6 +79,7 @@ def clean_query(text: Column) -> Column:
     return F.array_join(F.transform(kept, lambda p: F.concat(encode_part(p["k"]), F.lit("="), encode_part(p["v"]))), "&")
 
 
+@built_once
 def canonical_url(url: Column) -> Column:
     """One spelling per address: https, no www, no trailing slash, no fragment, no tracking parameters."""
     trimmed = strip(url)
@@ -97,6 +98,7 @@ def canonical_url(url: Column) -> Column:
     return result.otherwise(generic)
 
 
+@built_once
 def site_name(url: Column) -> Column:
     """Display name of a site: a known suffix, else the host without its usual first label."""
     name = host(url)
@@ -113,6 +115,7 @@ def link_identity(url: Column) -> Column:
     return F.when(name.rlike(SHARED_HOSTS), canonical_url(url)).otherwise(name)
 
 
+@built_once
 def resolve_url(base: Column, href: Column) -> Column:
     """``href`` of an anchor as an absolute address, fragment dropped."""
     link = F.regexp_replace(strip(href), "(?s)#.*$", "")

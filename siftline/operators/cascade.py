@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import labels as L
 from ..functions import companies, dates, places, text, titles
-from ..functions.patterns import let, text_or_empty
+from ..functions.patterns import built_once, let, text_or_empty
 from ..functions.staging import stage
 from ..vocab import RuleSet
 
@@ -33,6 +33,7 @@ def role_essence(cls: Column, analytics: Column, engineering: Column) -> Column:
             .otherwise(verdict(False, L.TITLE_NOT_RELEVANT)))
 
 
+@built_once
 def essence_of(cls: Column, low: Column, rules: RuleSet) -> Column:
     """``role_essence`` over the signals of a lower-cased description.
 

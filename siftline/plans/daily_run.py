@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import audit, cascade, cumulative, dedupe
-from ..session import scratch_path
+from ..session import persisted
 from ..vocab import RuleSet
 
 
@@ -28,14 +28,6 @@ class Run:
     company_types: DataFrame
 
 
-def persisted(df: DataFrame, name: str) -> DataFrame:
-    """Write a table once to the shared folder and read it back: several outputs use it, and a lost
-    executor costs a re-read instead of the whole cascade."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def run(postings: DataFrame, stored: DataFrame, as_of: Column, rules: RuleSet,
         subscriber_urls: DataFrame | None = None) -> Run:
     """The cascade runs once and is written without the texts; everything after it reads narrow columns of that table.

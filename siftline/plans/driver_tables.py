@@ -203,3 +203,84 @@ def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "P", L.NOT_SCANNED).otherwise("").alias("error"),
         F.lit(0).cast("bigint").alias("count"), F.col("o_orderkey").alias("ord"))
     return links.unionByName(orders)
+
+
+#: How the postings are dealt over sources, by doc_id.
+LANDED_KINDS = ("greenhouse", "workable", "linkedin", "adamtotal", "page", "lever")
+
+
+def _text(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(part) if isinstance(part, str) else part for part in parts])
+
+
+def _escaped(text: Column) -> Column:
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(mark), F.lit(name))
+    return text
+
+
+def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, rank, source, part, slug, item, url, body): the postings as boards, lists and pages would answer."""
+    p = postings(spark, sf_dir)
+    key, k = F.col("ord"), F.col("ord").cast("string")
+    html = _text("<p>", _escaped(F.col("description")), "</p>")
+    title, place = _escaped(F.col("title")), F.col("location")
+    nothing = F.lit("")
+
+    def row(part: str, slug: Column, body: Column, item: Column = nothing, url: Column = nothing) -> Column:
+        return F.struct(F.lit(part).alias("part"), slug.alias("slug"), item.alias("item"), url.alias("url"), body.alias("body"))
+
+    def list_of(name: str, *jobs: Column) -> Column:
+        return _text(f'{{"{name}":[', F.concat_ws(",", *[F.to_json(job) for job in jobs]), "]}")
+
+    board = _text("gh-", k)
+    greenhouse = (row("list", board, list_of("jobs", F.struct(
+        key.alias("id"), "title", F.col("url").alias("absolute_url"), F.struct(place.alias("name")).alias("location"),
+        _escaped(html).alias("content"), F.col("posted_raw").alias("first_published"), F.col("updated_raw").alias("updated_at")))),
+        F.when(key % 12 == 0, row("board", board, F.to_json(F.struct(F.col("company").alias("name"))))))
+    account = _text("wk-", block(key, 20))
+    workable = (row("list", account, list_of("results", F.struct("title", _text("SC", k).alias("shortcode"), F.lit(False).alias("remote"), F.col(
+        "posted_raw").alias("published"), F.struct(place.alias("city"), nothing.alias("country")).alias("location"))), url=_text("https://w.example.com/", k)),
+        # a third of the details were not landed
+        F.when(key % 3 < 2, row("detail", account, F.to_json(F.struct(html.alias("description"))), _text("SC", k))),
+        F.when(key % 40 == 1, row("board", account, F.to_json(F.struct(F.col("company").alias("name"))))))
+    search = _text("https://www.linkedin.com/jobs-guest/search?start=", block(key, 60))
+    linkedin = (row("list", search, _text(
+        '<ul><li><div data-entity-urn="urn:li:job:', k, '"><h3>', title, "</h3><h4>", F.col("company"), '</h4><span class="job-search-card__location">', place,
+        '</span><time datetime="', F.col("posted_raw"), '">x</time></div><li><p>no card</p></ul>'), url=_text(search, "&p=", k)),
+        row("detail", search, _text('<div class="show-more-less-html__markup">', _escaped(F.col("description")), "</div>"), k))
+    firm = _text("https://career.adamtotal.co.il/c", block(key, 30))
+    adamtotal = (row("list", firm, _text(
+        '<div class="job-card-logo"><img alt="לוגו ', F.col("company"), ', join us"></div><article class="job-card" data-job-title="', title,
+        '"><div class="job-meta"><span><i class="fa-map-marker-alt"></i>', place, '</span></div><a class="job-detail-link" href="/Jobs/', k,
+        '">x</a><div class="description-text">', html, "</div></article>"), url=_text(firm, "/", k)),)
+    page = (row("page", F.col("listing_url"), _text('<html><script type="application/ld+json">', F.to_json(F.struct(
+        F.lit("JobPosting").alias("@type"), title.alias("title"), html.alias("description"), F.col("posted_raw").alias("datePosted"),
+        F.col("updated_raw").alias("dateModified"), F.struct(F.col("company").alias("name")).alias("hiringOrganization"),
+        F.struct(place.alias("address")).alias("jobLocation"))), "</script></html>"), nothing, F.col("url")),)
+    team = _text("lv-", block(key, 500))
+    lever = (row("list", team, F.concat(F.lit("["), F.to_json(F.struct(F.lit("Cook").alias("text"), F.lit("https://c.example.com/").alias("hostedUrl"))), F.lit(","),
+                                        F.to_json(F.struct(
+        F.col("title").alias("text"), F.col("url").alias("hostedUrl"), (1790000000000 - (key % 40) * 86_400_000).alias("createdAt"), k.alias("id"),
+        F.struct(place.alias("location")).alias("categories"), F.col("description").alias("descriptionPlain"))), F.lit("]")),
+        url=_text("https://l.example.com/", k)),)
+    parts = dict(greenhouse=greenhouse, workable=workable, linkedin=linkedin, adamtotal=adamtotal, page=page, lever=lever)
+    kind = cycle(LANDED_KINDS, key)
+    rows = F.coalesce(*[F.when(kind == name, F.array_compact(F.array(*own))) for name, own in parts.items()])
+    return p.select(key.alias("key"), kind.alias("source"), F.posexplode(rows).alias("rank", "r")).select("key", "rank", "source", "r.*")
+
+
+def landed_files(spark: SparkSession, sf_dir: str, files: int = 8) -> str:
+    """A new folder in the shared one with ``landed`` in the order of the documents."""
+    from ..session import scratch_path
+
+    folder = scratch_path(spark, "landed")
+    rows = landed(spark, sf_dir).repartitionByRange(files, "key", "rank").sortWithinPartitions("key", "rank")
+    rows.drop("key", "rank").write.parquet(folder)
+    return folder
+
+
+def hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names under which some boards are known."""
+    return table(spark, sf_dir, "nation").select(F.lit("lever").alias("kind"), F.concat(F.lit("LV-"), (F.col("n_nationkey") * 2).cast("string")).alias("slug"),
+                                                 F.initcap("n_name").alias("company"))

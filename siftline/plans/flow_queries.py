@@ -6,10 +6,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import labels as L
 from ..operators import audit, cascade, cumulative, dedupe, discovery, firsts, report
-from ..sources import boards, fetches, pages as page_ops, payloads, state
+from ..sources import boards, fetches, landing, pages as page_ops, payloads, quarantine, state
 from . import daily_run
 from . import driver_tables as D
 from .scalar_queries import iso
@@ -284,21 +285,35 @@ def history_tail(spark, sf):
 
 
 def union_sources(spark, sf):
+    """Documents in their own order, conversations as their file has them, their messages as JSON lines of which some are cut off, and a lost table."""
+    from ..session import scratch_path
+
     everything = D.postings(spark, sf)
     talks = D.table(spark, sf, "conversations")
+    folder = scratch_path(spark, "lines")
+    line = F.to_json(F.struct((c("conv_id") * 1000 + c("turn")).alias("ord"), c("role").alias("title"), c("text").alias("description")))
+    # every seventh line ends too early
+    talks.select(F.when((c("conv_id") + c("turn")) % 7 == 0, F.substring(line, 1, 20)).otherwise(line)).write.text(folder)
 
     def conversations():
         return talks.select(c("role").alias("title"), c("text").alias("description"), F.lit("talk").alias("source"))
 
+    def messages():
+        rows, bad = quarantine.sound_json(spark, folder, T.StructType.fromDDL("ord long, title string, description string"))
+        return rows.withColumn("source", F.lit("line")), quarantine.failed_files(bad, "messages")
+
     def missing():
         return spark.read.parquet(f"{sf}/no_such_table.parquet")
 
     rows, broken = fetches.union_sources(
-        {"documents": lambda: everything, "conversations": conversations, "lost": missing}, everything)
-    out = rows.groupBy(F.when(c("source") == "talk", "conversations").otherwise("documents").alias("part")).agg(
+        {"documents": lambda: everything, "conversations": conversations, "messages": messages, "lost": missing}, everything)
+    part = F.when(c("source") == "talk", "conversations").when(c("source") == "line", "messages").otherwise("documents")
+    out = rows.groupBy(part.alias("part")).agg(
         F.count("*").alias("n"), F.count_if(c("url") == "").alias("without_url"), F.count_distinct("ord").alias("ords"))
-    nothing = [F.lit(0).cast("bigint").alias(name) for name in ("n", "without_url", "ords")]
-    return out.unionByName(broken.select(c("site").alias("part"), *nothing))
+    lost = broken.groupBy("site").agg(F.sum(F.coalesce(F.try_to_number(F.regexp_extract("error", r": (\d+)$", 1), F.lit("999999999999")), F.lit(0)).cast(
+        "bigint")).alias("n"))
+    nothing = [F.lit(0).cast("bigint").alias(name) for name in ("without_url", "ords")]
+    return out.unionByName(lost.select(F.concat(F.lit("not read: "), "site").alias("part"), "n", *nothing))
 
 
 # ---------------------------------------------------------------- state
@@ -329,6 +344,14 @@ def daily_cumulative(spark, sf):
     return _current(_run(spark, sf).current)
 
 
+def landed_cumulative(spark, sf):
+    """From landed payloads, lists of cards and pages to the cumulative table."""
+    rules = D.rules().with_(low_priority_sources=(f"{D.LOW_PRIORITY_SOURCE}.example.com",))
+    rows, bad = landing.read_landed(spark, D.landed_files(spark, sf))
+    found = landing.landed_postings(rows, D.as_of(), rules, D.hints(spark, sf), bad)
+    return _current(daily_run.run(found.postings, D.stored_jobs(spark, sf), D.as_of(), rules, found.subscriber_urls).current)
+
+
 def src_state(spark, sf):
     """Rows kept as JSON with an unknown field and without some known ones."""
     doc = D.postings(spark, sf)
@@ -414,5 +437,5 @@ QUERIES = {f.__name__: f for f in (
     link_status, predetail_prune, board_has_home_jobs, reason_counts, foreign_location_audit, strongest_company_type,
     company_first_site, status_rollup, unique_sites, status_notes, run_audit, visit_once, greedy_dedupe,
     dedupe_postings, source_priority_order, newest_first, report_order, history_tail, union_sources, upsert_cumulative,
-    expire_cumulative, collect_retractions, removed_count, daily_cumulative, src_state, state_sink, report_tables,
+    expire_cumulative, collect_retractions, removed_count, daily_cumulative, landed_cumulative, src_state, state_sink, report_tables,
     report_verify, summary_table, stream_upsert, stream_visit_once)}

@@ -84,7 +84,11 @@ def flatten_payload_greenhouse(spark, sf):
     two = F.struct((c("o_orderkey") + 1_000_000).alias("id"), lit("No place").alias("title"))
     # the two postings have different fields, as real payloads do
     body = cat('{"name":"Board ', c("cust"), '","jobs":[', F.to_json(one), ",", F.to_json(two), "]}")
-    return payloads.flatten_greenhouse(o.select(cat("b", c("cust")).alias("slug"), body.alias("body")))
+    # every third customer's board has a payload of its own with a better name
+    own = o.where(c("o_custkey") % 3 == 0).select(cat("b", c("cust")).alias("slug"), F.to_json(F.struct(
+        cat("Company ", c("cust")).alias("name"))).alias("body"))
+    flat = payloads.flatten_greenhouse(o.select(cat("b", c("cust")).alias("slug"), body.alias("body")))
+    return payloads.named_boards(flat, payloads.board_names(own))
 
 
 def flatten_payload_lever(spark, sf):
@@ -122,6 +126,9 @@ def flatten_payload_workable(spark, sf):
             F.struct(lit("Haifa").alias("city"), lit("Israel").alias("country")),
             F.struct(lit("").alias("city"), lit("France").alias("country")))).alias("locations"))
     rows = payloads.flatten_workable(o.select(cat("s", c("cust")).alias("slug"), cat('{"results":[', F.to_json(one), "]}").alias("body")))
+    accounts = o.where(c("o_custkey") % 3 == 0).select(cat("s", c("cust")).alias("slug"), F.to_json(F.struct(
+        cat("Company ", c("cust")).alias("name"))).alias("body"))
+    rows = payloads.named_boards(rows, payloads.board_names(accounts))
     detail = o.where("o_orderstatus <> 'F'").select(
         cat("s", c("cust")).alias("slug"), cat("SC", c("k")).alias("job_id"), F.to_json(F.struct(
             cat("<p>About ", c("k"), "</p>").alias("description"), lit("").alias("requirements"),

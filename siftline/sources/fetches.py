@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from .. import labels as L
 from ..schemas import POSTINGS_RAW, SOURCE_STATUS, conform
+from ..session import persisted
 
 # Answer codes that mean 'unreachable', by family of sources.
 UNREACHABLE_CODES = {"page": (401, 403, 404), "board": (404,), "search": (403, 999), "guarded": (401, 403)}
 
-#: Ordinals of one source lie below this; a row's place in its source takes 19 bits of partitions and 33 of rows.
-SOURCE_STEP = 1 << 52
+#: Ordinals of one source lie below this.
+SOURCE_STEP = 1 << 56
 
 
 def _unreachable(family: Column, code: Column) -> Column:
@@ -52,24 +53,41 @@ def link_status(log: DataFrame) -> DataFrame:
         .otherwise("").alias("error"))
 
 
+def _by_file(rows: DataFrame) -> DataFrame:
+    """Rows of a table of files, numbered by where they stand: the path of the file, the row in it."""
+    from .landing import file_offsets
+
+    columns = rows.columns
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    placed = rows.select("*", at.alias("_at"))
+    offsets = persisted(file_offsets(placed), "files")
+    joined = placed.join(offsets, F.col("_at.file") == offsets["file"])
+    return joined.select(*columns, (F.col("before") + F.col("_at.row")).alias("ord"))
+
+
 def union_sources(sources: dict[str, object], template: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All readable sources as one posting table, and one status row per source that could not be read.
+    """All readable sources as one posting table, and one status row per source, or file of it, that could not be read.
 
-    ``sources`` maps a name to a function returning a DataFrame. Only planning errors (a missing path,
-    an unknown column) are caught here; an error inside a task fails the job as usual.
-    ``ord`` is unique: the source's place in ``sources``, then its own ``ord``, or the row's place where it has none.
+    ``sources`` maps a name to a function returning a DataFrame, or a pair of one and the status rows of what it had to leave out
+    (see ``quarantine``). A source that can't even be planned (a missing path, an unknown column) is a failed one.
+    ``ord`` is unique and the same in every run: the source's place in ``sources``, then its own ``ord``; a source without
+    one must be read from Parquet files, and its rows stand as they do there.
     """
     spark = template.sparkSession
-    out, broken = conform(template, POSTINGS_RAW).limit(0), []
+    out, statuses, broken = conform(template, POSTINGS_RAW).limit(0), spark.createDataFrame([], SOURCE_STATUS), []
     for place, (name, read) in enumerate(sources.items()):
         try:
-            rows = read()
-            own = F.col("ord") if "ord" in rows.columns else F.monotonically_increasing_id()
-            out = out.unionByName(conform(rows.withColumn("ord", F.lit(place * SOURCE_STEP) + own), POSTINGS_RAW))
+            found = read()
+            rows, left_out = found if isinstance(found, tuple) else (found, None)
+            if "ord" not in rows.columns:
+                rows = _by_file(rows)
+            out = out.unionByName(conform(rows.withColumn("ord", F.lit(place * SOURCE_STEP) + F.col("ord")), POSTINGS_RAW))
+            if left_out is not None:
+                statuses = statuses.unionByName(left_out.select(*SOURCE_STATUS.names))
         except Exception as error:  # noqa: BLE001 - one broken source must not stop the run
             text = f"{type(error).__name__}: {str(error).splitlines()[0]}"
             broken.append((f"internal://{name}", name, "", L.FAILED, text, 0, []))
-    return out, spark.createDataFrame(broken, SOURCE_STATUS)
+    return out, statuses.unionByName(spark.createDataFrame(broken, SOURCE_STATUS))
 
 
 def only_sources(postings: DataFrame, group: str, wanted: tuple[str, ...]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import extract, text_or_empty
+from ..functions.staging import stage
 from ..functions.text import html_to_text, strip
 
 FLAT = ("slug", "board_name", "title", "url", "location", "description", "posted_raw", "updated_raw", "job_id")
@@ -68,13 +69,23 @@ def _strip_commas(text: Column) -> Column:
     return F.regexp_replace(text, r"^[, ]+|[, ]+$", "")
 
 
-def _flat(df: DataFrame, **columns: Column) -> DataFrame:
+def carried(df: DataFrame) -> list[str]:
+    """Where a row of a landed file was read (``_at``) and its place in the payload, if the input says so."""
+    return [name for name in ("_at", "_pos") if name in df.columns and "_at" in df.columns]
+
+
+def _flat(df: DataFrame, *more: str, **columns: Column) -> DataFrame:
     filled = {name: columns.get(name, F.lit("")) for name in FLAT if name != "slug"}
-    return df.select("slug", *[_or_empty(column).alias(name) for name, column in filled.items()])
+    return df.select("slug", *[_or_empty(column).alias(name) for name, column in filled.items()], *more, *carried(df))
+
+
+def _each(payloads: DataFrame, array: Column | str) -> DataFrame:
+    """One row per item ``j`` of an array, with its place."""
+    return payloads.select("*", F.posexplode(array).alias("_pos", "j"))
 
 
 def _jobs(payloads: DataFrame, schema: str, array: str) -> DataFrame:
-    return payloads.withColumn("p", F.from_json("body", schema)).withColumn("j", F.explode(array))
+    return _each(payloads.withColumn("p", F.from_json("body", schema)), array)
 
 
 def flatten_greenhouse(payloads: DataFrame) -> DataFrame:
@@ -96,7 +107,7 @@ def flatten_lever(payloads: DataFrame, home_code: str = "IL", home_name: str = "
     description = join_filled_array(F.concat(F.array("j.descriptionPlain"), sections, F.array("j.additionalPlain")), "\n")
     # an object instead of a list is an error answer, not a posting
     answers = payloads.where(F.ltrim("body").startswith("["))
-    jobs = answers.withColumn("j", F.explode(F.from_json("body", LEVER)))
+    jobs = _each(answers, F.from_json("body", LEVER))
     return _flat(jobs, board_name=F.col("slug"), title=F.col("j.text"), url=F.col("j.hostedUrl"), location=named,
                  description=description, posted_raw=F.col("j.createdAt").cast("string"), job_id=F.col("j.id"))
 
@@ -161,13 +172,13 @@ def comeet_positions(pages: DataFrame) -> DataFrame:
     found = pages.where(F.contains("html", F.lit(COMEET_POSITIONS_MARK)))
     # the JSON reader takes the first value and leaves the rest of the script alone
     return found.select("slug", _or_empty(extract(F.col("html"), COMEET_COMPANY)).alias("board_name"),
-                        strip(tail).alias("body"))
+                        strip(tail).alias("body"), *carried(pages))
 
 
 def flatten_comeet(payloads: DataFrame, home_code: str = "IL", home_name: str = "Israel") -> DataFrame:
     """Positions of a company page or the API; the company of a position wins over the board's."""
     answers = payloads.where(F.ltrim("body").startswith("["))
-    jobs = answers.withColumn("p", F.from_json("body", COMEET_POSITIONS)).withColumn("j", F.explode("p"))
+    jobs = _jobs(answers, COMEET_POSITIONS, "p")
     country = F.when(F.col("j.location.country") == home_code, home_name).otherwise(F.col("j.location.country"))
     place = F.coalesce(F.nullif(join_filled(", ", F.col("j.location.city"), country), F.lit("")), "j.location.name")
     details = F.when(F.size("j.details") > 0, F.col("j.details")).otherwise(F.col("j.custom_fields.details"))
@@ -185,9 +196,9 @@ def flatten_workday(lists: DataFrame, details: DataFrame) -> tuple[DataFrame, Da
 
     ``slug`` is the site root of the board. Returns (postings, missing details per slug).
     """
-    rows = _jobs(lists, WORKDAY_LIST, "p.jobPostings").select(
-        "slug", F.col("j.title").alias("title"), F.col("j.externalPath").alias("path"),
-        F.col("j.postedOn").alias("posted_on")).where(_or_empty(F.col("path")) != "")
+    rows = _jobs(lists, WORKDAY_LIST, "p.jobPostings")
+    rows = rows.select("slug", F.col("j.title").alias("title"), F.col("j.externalPath").alias("path"),
+                       F.col("j.postedOn").alias("posted_on"), *carried(rows)).where(_or_empty(F.col("path")) != "")
     info = details.withColumn("p", F.from_json("body", WORKDAY_DETAIL)).select(
         "slug", "path", F.col("p.jobPostingInfo").alias("info"))
     found, missing = detail_join(rows, info, ["slug", "path"])
@@ -215,24 +226,35 @@ def flatten_drushim(payloads: DataFrame, site: str = "https://www.drushim.co.il"
     columns = dict(board_name=company, title=F.col(f"{content}.Name"), url=url,
                    location=F.coalesce(F.nullif(F.array_join(cities, ", "), F.lit("")), F.array_join(zones, " / ")),
                    posted_raw=F.col("j.JobInfo.Date"), updated_raw=F.col("j.JobInfo.JumpDate"), job_id=F.col("j.Code"))
-    return flat.select("slug", *[_or_empty(columns.get(n, F.lit(""))).alias(n) for n in FLAT if n != "slug"],
-                       "experience_hint")
+    return _flat(flat, "experience_hint", **columns)
 
 
 def flatten_embedded_cards(pages: DataFrame, job_url: str = "https://il.indeed.com/viewjob?jk=") -> DataFrame:
     """Job cards a page stores as a script assignment."""
     body = F.regexp_extract("html", EMBEDDED_CARDS_PATTERN, 1)
-    cards = pages.withColumn("j", F.explode(F.from_json(body, EMBEDDED_CARDS)["metaData"][
-        "mosaicProviderJobCardsModel"]["results"])).where(_or_empty(F.col("j.jobkey")) != "")
+    results = F.from_json(body, EMBEDDED_CARDS)["metaData"]["mosaicProviderJobCardsModel"]["results"]
+    cards = _each(pages, results).where(_or_empty(F.col("j.jobkey")) != "")
     return _flat(cards, board_name=F.col("j.company"),
                  title=F.coalesce(F.nullif("j.displayTitle", F.lit("")), "j.title"),
                  url=F.concat(F.lit(job_url), "j.jobkey"), location=F.col("j.formattedLocation"),
                  posted_raw=F.col("j.formattedRelativeTime"), job_id=F.col("j.jobkey"))
 
 
-def detail_join(rows: DataFrame, details: DataFrame, keys: list[str],
-                fetched: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """List rows with their detail, and per slug the number of list rows whose detail is missing.
+def board_names(payloads: DataFrame, *more: str) -> DataFrame:
+    """(slug, name), and the columns ``more``, of the payloads that describe a board itself: its largest name; boards without one are left out."""
+    named = payloads.select(*more, "slug", strip(_or_empty(F.get_json_object("body", "$.name"))).alias("name")).where("name <> ''")
+    return named.groupBy(*more, "slug").agg(F.max("name").alias("name"))
+
+
+def named_boards(flat: DataFrame, names: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Postings with the name that the second payload of their board gives; it wins over the one in the list."""
+    joined = flat.join(names.select(*(keys or ["slug"]), F.col("name").alias("_name")), keys or ["slug"], "left")
+    return joined.withColumn("board_name", F.coalesce("_name", "board_name")).select(flat.columns)
+
+
+def detail_join(rows: DataFrame, details: DataFrame, keys: list[str], fetched: str | None = None,
+                count_by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """List rows with their detail, and per slug (the first key, or ``count_by``) the number of list rows whose detail is missing.
 
     Details are reduced to one per key before the join, so a key that was fetched many times adds no rows: the one
     with the largest value of the column ``fetched`` (which isn't returned), else the smallest detail.
@@ -243,17 +265,17 @@ def detail_join(rows: DataFrame, details: DataFrame, keys: list[str],
     one = details.groupBy(*keys).agg(chosen.alias("_d"))
     joined = rows.join(one, keys, "left")
     found = joined.where("_d is not null").select(*rows.columns, "_d.*")
-    missing = joined.where("_d is null").groupBy(keys[0]).agg(F.count("*").alias("missing"))
+    missing = joined.where("_d is null").groupBy(count_by or keys[0]).agg(F.count("*").alias("missing"))
     return found, missing
 
 
-def predetail_prune(rows: DataFrame, rules, keep_foreign: bool = False) -> DataFrame:
-    """Rows worth a detail read: a potential title, an address, and no clearly foreign place."""
+def predetail_prune(rows: DataFrame, rules, keep_foreign: bool | Column = False) -> DataFrame:
+    """Rows worth a detail read: a potential title, an address, and no clearly foreign place (unless ``keep_foreign`` holds)."""
     from ..functions.places import FOREIGN, classify_location
     from ..functions.titles import is_potential, title_class
 
-    wanted = rows.where((_or_empty(F.col("url")) != "") & is_potential(title_class(F.col("title"), rules)))
-    if keep_foreign:
-        return wanted
+    # staged, as a filter would be repeated in every branch of a union below
+    keep = F.lit(keep_foreign) if isinstance(keep_foreign, bool) else keep_foreign
+    step = stage(rows, _open=(_or_empty(F.col("url")) != "") & is_potential(title_class(F.col("title"), rules))).where("_open")
     place = classify_location(F.col("location"), F.lit(""), F.lit(""), F.lit(False), rules)
-    return wanted.where(place["decision"] != FOREIGN)
+    return stage(step, _near=F.when(keep, True).otherwise(place["decision"] != FOREIGN)).where("_near").select(rows.columns)

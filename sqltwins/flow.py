@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from siftline import labels as L
 from siftline.functions.text import SLUG_STOP_WORDS
 from siftline.plans import driver_tables as D
 from siftline.sources.boards import KINDS, OTHER_KINDS
+from siftline.sources.landing import ORDER
 
 from . import snippets as S
 from .scalar import SECTOR, evaluated_ctes, iso
@@ -280,7 +283,10 @@ SQL = {
     "history_tail": """WITH h AS (SELECT CAST(ts AS DATE) AS d, count(*) AS links, max(event_id) AS r FROM events GROUP BY 1),
       t AS (SELECT * FROM h ORDER BY d DESC, r DESC LIMIT 10) SELECT strftime(d, '%Y-%m-%d') AS run_date, links FROM t""",
     "union_sources": """SELECT 'documents' AS part, count(*) AS n, 0 AS without_url, count(*) AS ords FROM documents
-      UNION ALL SELECT 'conversations', count(*), count(*), count(*) FROM conversations UNION ALL SELECT 'lost', 0, 0, 0""",
+      UNION ALL SELECT 'conversations', count(*), count(*), count(*) FROM conversations
+      UNION ALL SELECT 'messages', count(*), count(*), count(DISTINCT (conv_id, turn)) FROM conversations WHERE (conv_id + turn) % 7 <> 0
+      UNION ALL SELECT 'not read: messages', count(*), 0, 0 FROM conversations WHERE (conv_id + turn) % 7 = 0
+      UNION ALL SELECT 'not read: lost', 0, 0, 0""",
     "upsert_cumulative": f"""{BASE}, {UPSERTED} SELECT {CURRENT}, CASE WHEN is_new THEN 'new' ELSE company_type END
       AS company_type FROM upserted""",
     "expire_cumulative": f"""{P}, {STORED} SELECT key, coalesce({iso('date_iso')}, '') AS date_iso FROM stored
@@ -307,3 +313,35 @@ SQL = {
 # the stream starts from an empty table: everything kept is new
 _EMPTY = STORED.replace("ORDER BY ord) = 1", "ORDER BY ord) = 0")
 SQL["stream_upsert"] = RUN.replace(STORED, _EMPTY) + f" SELECT {CURRENT}, company_type FROM cur"
+
+# the same run over landed postings: each kind of source answers with part of a posting
+_KIND = S.cycle(D.LANDED_KINDS, "ord")
+_FIRM = "'adamtotal.co.il'"
+_TITLES = re.sub(r"\b(tc1|tc2|title_class)\b", r"landed_\1", S.title_ctes("landed1"))
+LANDED = f"""{POSTINGS.replace("postings AS", "postings0 AS", 1)},
+hints AS (SELECT 'lv-' || n_nationkey * 2 AS slug, upper(n_name[1]) || lower(n_name[2:]) AS hint FROM nation),
+landed0 AS (SELECT p.*, {_KIND} AS kind, 'lv-' || ord // 500 AS team, 'wk-' || ord // 20 AS account FROM postings0 p),
+accounts AS (SELECT account, max(company) AS name FROM landed0 WHERE kind = 'workable' AND ord % 40 = 1 GROUP BY 1),
+landed1 AS (SELECT l.ord AS ord, kind, title, CASE kind
+    WHEN 'greenhouse' THEN CASE WHEN l.ord % 12 = 0 THEN company ELSE 'Gh ' || l.ord END
+    WHEN 'workable' THEN coalesce(name, 'Wk ' || l.ord // 20) WHEN 'lever' THEN coalesce(hint, 'Lv ' || l.ord // 500) ELSE company END AS company,
+  CASE kind WHEN 'workable' THEN 'https://apply.workable.com/' || l.account || '/j/SC' || l.ord || '/'
+    WHEN 'linkedin' THEN 'https://www.linkedin.com/jobs/view/' || l.ord WHEN 'adamtotal' THEN 'https://career.adamtotal.co.il/Jobs/' || l.ord
+    ELSE url END AS url, description, location, source AS source0,
+  CASE kind WHEN 'adamtotal' THEN '' WHEN 'lever' THEN CAST(1790000000000 - (l.ord % 40) * 86400000 AS VARCHAR) ELSE posted_raw END AS posted_raw,
+  CASE WHEN kind IN ('greenhouse', 'page') THEN updated_raw ELSE '' END AS updated_raw,
+  CASE kind WHEN 'greenhouse' THEN 'https://job-boards.greenhouse.io/gh-' || l.ord WHEN 'workable' THEN 'https://apply.workable.com/' || l.account || '/'
+    WHEN 'linkedin' THEN 'https://www.linkedin.com/jobs-guest/search?start=' || l.ord // 60
+    WHEN 'adamtotal' THEN 'https://career.adamtotal.co.il/c' || l.ord // 30 WHEN 'lever' THEN 'https://jobs.lever.co/' || team
+    ELSE listing_url END AS listing_url, kind IN ('linkedin', 'adamtotal') AS home_context
+  FROM landed0 l LEFT JOIN accounts ON accounts.account = l.account AND kind = 'workable' LEFT JOIN hints ON hints.slug = l.team AND kind = 'lever'
+  WHERE kind <> 'workable' OR l.ord % 3 < 2),
+{_TITLES},
+landed2 AS (SELECT landed1.*, row_number() OVER (ORDER BY list_position({S.arr(ORDER)}, kind), ord) AS place FROM landed1
+  JOIN landed_title_class USING (ord) WHERE kind = 'page' OR (class IS NOT NULL AND class <> 'excluded')),
+landed3 AS (SELECT * FROM landed2 QUALIFY row_number() OVER (PARTITION BY {S.canonical('url')} ORDER BY place) = 1),
+postings AS (SELECT * EXCLUDE (ord, place, source0), place AS ord, CASE kind WHEN 'linkedin' THEN 'LinkedIn' WHEN 'adamtotal' THEN {_FIRM}
+    WHEN 'page' THEN source0 || '.example.com' ELSE company END AS source, kind = 'page' AND source0 = '{D.LOW_PRIORITY_SOURCE}' AS is_low
+  FROM landed3)"""
+SQL["landed_cumulative"] = (RUN.replace(S.place_ctes("postings", "FALSE"), S.place_ctes("postings", "home_context")).replace(
+    STORED, STORED.replace("FROM postings", "FROM postings0")).replace(POSTINGS, LANDED) + f" SELECT {CURRENT}, company_type FROM cur")

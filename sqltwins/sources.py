@@ -26,6 +26,7 @@ _MISSING = "SELECT {slug} AS slug, '' AS board_name, '' AS title, '' AS url, ''
            "'' AS posted_raw, '' AS updated_raw, CAST(count(*) AS VARCHAR) AS job_id FROM o WHERE o_orderstatus = 'F' GROUP BY 1"
 
 NL = "chr(10)"
+_OWN_NAME = "CASE WHEN o_custkey % 3 = 0 THEN 'Company ' || cust ELSE {} END"
 _LEVER_PLACE = "CASE WHEN o_custkey % 2 = 0 THEN 'Haifa | Town ' || cust ELSE 'Single' END"
 _ASHBY_PLACE = ("'Tel Aviv' || CASE WHEN o_custkey % 3 = 0 THEN ' | Remote Europe' ELSE '' END || "
                 "CASE WHEN o_custkey % 2 = 0 THEN ', Israel' ELSE '' END")
@@ -58,10 +59,10 @@ SQL = {
         contains(l.url, 'lever.co') THEN {S.canonical('l.url')}
         ELSE {S.sub(S.authority('l.url'), r'^www\.', '', '')} END AS identity FROM links)
       SELECT identity, path, url FROM i QUALIFY row_number() OVER (PARTITION BY identity ORDER BY path, line, pos) = 1""",
-    "flatten_payload_greenhouse": f"""WITH {O} {flat("'b' || cust", board_name="'Board ' || cust",
+    "flatten_payload_greenhouse": f"""WITH {O} {flat("'b' || cust", board_name=_OWN_NAME.format("'Board ' || cust"),
         title="'Analyst ' || o_orderpriority", url="'https://boards.greenhouse.io/b' || cust || '/jobs/' || k",
         location="'City ' || cust", description=f"'Order & ' || k || {NL} || 'prio ' || o_orderpriority", posted_raw="day",
-        updated_raw="day || 'T10:00:00Z'", job_id="k")} UNION ALL {flat("'b' || cust", board_name="'Board ' || cust",
+        updated_raw="day || 'T10:00:00Z'", job_id="k")} UNION ALL {flat("'b' || cust", board_name=_OWN_NAME.format("'Board ' || cust"),
         title="'No place'", job_id="CAST(o_orderkey + 1000000 AS VARCHAR)")}""",
     "flatten_payload_lever": f"""WITH {O} {flat("'s' || cust", board_name="'s' || cust", title="'Analyst ' || k",
         url="'https://jobs.lever.co/s/' || k",
@@ -72,7 +73,7 @@ SQL = {
         url="'https://jobs.ashbyhq.com/s/' || k", location=f"({_ASHBY_PLACE}) || CASE WHEN o_orderstatus <> 'F' AND "
         "o_custkey % 3 <> 0 THEN ' (Remote)' ELSE '' END",
         description="CASE WHEN o_orderstatus = 'O' THEN 'Plain ' ELSE 'Rich ' END || k", posted_raw="day", job_id="k")}""",
-    "flatten_payload_workable": f"""WITH {O} {flat("'s' || cust", board_name="'s' || cust", title="'Analyst ' || k",
+    "flatten_payload_workable": f"""WITH {O} {flat("'s' || cust", board_name=_OWN_NAME.format("'s' || cust"), title="'Analyst ' || k",
         url="'https://apply.workable.com/s' || cust || '/j/SC' || k || '/'",
         location=f"({_WORKABLE_PLACE}) || CASE WHEN o_orderstatus = 'P' THEN ' (Remote)' ELSE '' END",
         description=f"'About ' || k || {NL} || 'Perks'", posted_raw="day", job_id="'SC' || k",

@@ -187,11 +187,28 @@ def test_union_sources_reports_a_broken_one(spark, bad):
     assert [(r.site, r.status) for r in broken.collect()] == [(bad, L.FAILED)]
 
 
-def test_sources_without_an_order_can_be_deduplicated(spark, rules):
+def test_sources_without_an_order_stand_as_in_their_files(spark, rules, tmp_path):
     from siftline.sources.fetches import union_sources
 
-    first, second = raw(spark, {}, {}).drop("ord"), raw(spark, {"url": "https://other.example.com/1"})
-    rows, _ = union_sources({"first": lambda: first, "second": lambda: second}, first)
-    assert rows.select("ord").distinct().count() == 3
+    for name, n in (("b", 3), ("a", 2)):
+        raw(spark, *[{"job_id": f"{name}{i}", "url": f"https://{name}.com/{i % 2}"} for i in range(n)]).drop("ord").coalesce(1).write.mode(
+            "append").parquet(str(tmp_path / name))
+    folders = [str(tmp_path / name) for name in "ab"]
+    second = raw(spark, {"url": "https://other.example.com/1", "job_id": "c0"})
+
+    def orders(split):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        rows, broken = union_sources({"files": lambda: spark.read.parquet(*folders), "table": lambda: second,
+                                      "no order": lambda: second.drop("ord")}, second)
+        found = {r.job_id: r.ord for r in rows.collect()}
+        assert [r.site for r in broken.collect()] == ["no order"]
+        return found, rows
+
+    try:
+        found, rows = orders("1k")
+        again, _ = orders("128m")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == again and sorted(found, key=found.get) == ["a0", "a1", "b0", "b1", "b2", "c0"]
     jobs = cascade.accepted_jobs(cascade.evaluate(rows, F.lit("2026-09-24").cast("date"), rules))
     assert dedupe.greedy_dedupe(jobs).count() == 1
