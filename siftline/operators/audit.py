@@ -117,17 +117,6 @@ def run_audit(totals: DataFrame, reasons: DataFrame, abroad: DataFrame) -> DataF
         "reasons", "locations_treated_as_abroad")
 
 
-def run_totals(**tables: DataFrame) -> DataFrame:
-    """One (item, n) row per named table: its row count, or its single number for 'removed'."""
-    out: DataFrame | None = None
-    for position, (item, df) in enumerate(tables.items()):
-        count = F.sum("removed") if df.columns == ["removed"] else F.count("*")
-        row = df.agg(count.cast("bigint").alias("n")).select(
-            F.lit(position).alias("pos"), F.lit(item).alias("item"), "n")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 def summary_table(totals: DataFrame, reasons: DataFrame) -> DataFrame:
     """Headline numbers first, then the outcomes by count."""
     headline = totals.select(F.lit(0).alias("part"), "item", "n", F.col("pos").cast("bigint").alias("pos"))

@@ -11,8 +11,14 @@ from ..functions.dates import date_display, freshness
 from ..functions.patterns import text_or_empty
 from ..functions.urls import canonical_url
 from ..schemas import POSTINGS_CURRENT, conform
+from ..session import persisted
 from ..vocab import RuleSet
-from .firsts import first_per_key
+
+
+def identities(stored: DataFrame, rules: RuleSet) -> DataFrame:
+    """What stored rows are found by, narrow: key, alt_key, company and title, and what decides between equal ones."""
+    title = companies.company_title_key(F.col("company"), F.col("title"), rules)
+    return stored.select("key", "alt_key", title.alias("company_title"), "first_seen", "ord")
 
 
 def match_existing(accepted: DataFrame, stored: DataFrame, rules: RuleSet) -> DataFrame:
@@ -22,12 +28,13 @@ def match_existing(accepted: DataFrame, stored: DataFrame, rules: RuleSet) -> Da
     low-priority sources - by company and title. Of equal stored identities the last one counts.
     The accepted side is free of duplicates by key and alt_key, and stored rows are reduced to one
     per identity before the join, so no group grows. The third tier reads low-priority rows only.
+    The stored rows' identities are written once for the three.
     """
-    stored = stored.withColumn("company_title", companies.company_title_key(F.col("company"), F.col("title"), rules))
+    known = persisted(identities(stored, rules), "known")
 
     def last_by(identity: str) -> DataFrame:
         last = F.max(F.struct("first_seen", "ord", "key"))["key"]
-        return stored.groupBy(F.col(identity).alias(f"_{identity}")).agg(last.alias(f"by_{identity}"))
+        return known.groupBy(F.col(identity).alias(f"_{identity}")).agg(last.alias(f"by_{identity}"))
 
     out = accepted
     for identity in ("key", "alt_key"):
@@ -51,8 +58,12 @@ def upsert_cumulative(stored: DataFrame, accepted: DataFrame, as_of: Column, rul
     first known place and the first known experience fill a gap. Title, source, reason and address
     stay as first seen. ``key`` identifies a stored row; ``ord`` only orders the rows of one run.
     """
+    return apply_matches(stored, persisted(match_existing(accepted, stored, rules), "matched"), as_of)
+
+
+def apply_matches(stored: DataFrame, matched: DataFrame, as_of: Column) -> DataFrame:
+    """``upsert_cumulative`` of postings whose ``stored_key`` is known; ``stored`` must have every row that one of them continues."""
     stored = conform(stored, POSTINGS_CURRENT)
-    matched = match_existing(accepted, stored, rules)
     order = F.struct("is_low_priority", "ord")
     known_place = F.when(F.col("location") != L.UNKNOWN_PLACE, order)
     known_experience = F.when(text_or_empty(F.col("experience")) != "", order)
@@ -96,22 +107,32 @@ def collect_retractions(evaluated: DataFrame, subscriber_urls: DataFrame | None
     return out
 
 
-def retract_join(current: DataFrame, retractions: DataFrame) -> DataFrame:
-    """Current rows that no retraction removes.
+def mark_retracted(current: DataFrame, retractions: DataFrame) -> DataFrame:
+    """``current`` and ``retracted``: whether a retraction removes the row.
 
     A retraction counts when it has no date, when the stored date is unknown, or when it is not older
     than the stored date. Retractions are first reduced to one per key: undated beats the latest date.
     """
-    reduced = retractions.where("key is not null").groupBy("key").agg(
+    reduced = retractions.where("key is not null").groupBy(F.col("key").alias("_key")).agg(
         F.max("seen_date").alias("_seen"), F.bool_or(F.col("seen_date").isNull()).alias("_always"))
-    reduced = reduced.withColumnRenamed("key", "_key")
-    counts = (F.col("_always") | F.col("date_iso").isNull() | (F.col("_seen") >= F.col("date_iso")))
-    return current.join(reduced, (current["key"] == reduced["_key"]) & counts, "left_anti")
+    counts = F.col("_always") | F.col("date_iso").isNull() | (F.col("_seen") >= F.col("date_iso"))
+    joined = current.join(reduced, current["key"] == reduced["_key"], "left")
+    return joined.withColumn("retracted", F.coalesce(counts, F.lit(False)) & F.col("_key").isNotNull()).drop("_key", "_seen", "_always")
+
+
+def retract_join(current: DataFrame, retractions: DataFrame) -> DataFrame:
+    """Current rows that no retraction removes (see ``mark_retracted``)."""
+    return mark_retracted(current, retractions).where("not retracted").drop("retracted")
+
+
+def is_fresh(as_of: Column, rules: RuleSet) -> Column:
+    """Whether a row is within the freshness window; rows without a date never expire."""
+    return F.coalesce(freshness(F.col("date_iso"), as_of, rules.fresh_days), F.lit(True))
 
 
 def expire_cumulative(current: DataFrame, as_of: Column, rules: RuleSet) -> DataFrame:
     """Rows within the freshness window; rows without a date never expire."""
-    return current.where(F.coalesce(freshness(F.col("date_iso"), as_of, rules.fresh_days), F.lit(True)))
+    return current.where(is_fresh(as_of, rules))
 
 
 def apply_company_types(current: DataFrame, run_types: DataFrame, rules: RuleSet) -> DataFrame:
@@ -158,8 +179,3 @@ def strongest_company_type(postings: DataFrame, rules: RuleSet, company: str = "
     best = F.max_by("type", F.struct(
         F.col("strength"), (-F.col("is_low_priority").cast("int")).alias("low"), (-F.col("ord")).alias("o")))
     return judged.groupBy("company_key").agg(best.alias("company_type"))
-
-
-def first_sighting(stored: DataFrame) -> DataFrame:
-    """One stored row per key, the first."""
-    return first_per_key(stored, ["key"])

@@ -38,6 +38,12 @@ def probe_leftover(planned: DataFrame, completed: DataFrame) -> DataFrame:
     return planned.select("slug").distinct().join(completed.select("slug"), "slug", "left_anti")
 
 
+def probe_cache(probed: DataFrame, completed: DataFrame, as_of: Column) -> DataFrame:
+    """(slug, probed_on) with the slugs that this run completed; the last date of a slug counts."""
+    now = completed.select("slug", as_of.alias("probed_on"))
+    return probed.select("slug", "probed_on").unionByName(now).groupBy("slug").agg(F.max("probed_on").alias("probed_on"))
+
+
 def union_boards(*found: DataFrame) -> DataFrame:
     """All candidate boards (kind, slug, company, via, ord) of the finders, in the order given."""
     out: DataFrame | None = None

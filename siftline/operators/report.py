@@ -25,11 +25,15 @@ def report_tables(new_jobs: DataFrame, cumulative: DataFrame, statuses: DataFram
 
 
 def write_report(tables: dict[str, DataFrame], folder: str, run_date: str, csv: bool = False) -> None:
-    """``<folder>/<table>/run_date=<date>``; also empty tables are written. CSV is one file per table."""
+    """``<folder>/<table>/run_date=<date>``; also empty tables are written.
+
+    The order of a table is one of ranges, and its files are numbered by them: read in the order of their names, they are the table in
+    report order, and no task has more of it than its range. CSV files have a header each.
+    """
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}/run_date={run_date}")
         if csv:
-            df.coalesce(1).write.mode("overwrite").csv(f"{folder}/csv/{name}/run_date={run_date}", header=True)
+            df.write.mode("overwrite").csv(f"{folder}/csv/{name}/run_date={run_date}", header=True)
 
 
 def report_verify(spark: SparkSession, folder: str, run_date: str, expected_new: int) -> bool:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import WORD
 from ..functions.text import normalize_text
+from ..session import persisted
+
 
 def terms_to_matcher(vocab: DataFrame, chunk_terms: int = 1000) -> DataFrame:
     """(list, chunk, terms, pattern) of a vocab(list, term) table.
@@ -26,24 +30,53 @@ def terms_to_matcher(vocab: DataFrame, chunk_terms: int = 1000) -> DataFrame:
         F.lit(f")(?![{WORD}])")).alias("pattern"))
 
 
-def _ngrams(words: Column, size: int) -> Column:
+#: Bits of the filter over a vocabulary: sixteen a term, and no more than this many (half a MB).
+MOST_BITS = 1 << 22
+
+
+def _runs(words: Column, size: int) -> Column:
     """All runs of ``size`` words."""
     starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(
         F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
 
 
-def match_terms(rows: DataFrame, text: str, vocab: DataFrame, key: str = "ord", max_words: int = 4) -> DataFrame:
+def term_filter(terms: DataFrame, count: int) -> Callable[[Column], Column] | None:
+    """A test that holds for every one of ``terms`` and fails for most other texts; None, where there are too many terms for it to rule anything out.
+
+    Each term sets the bit of its hash; the bits come to the driver as at most ``MOST_BITS`` / 64 numbers and stand in the plan.
+    """
+    bits = 1 << max(count * 16 - 1, 63).bit_length()
+    if bits > MOST_BITS:
+        if count > MOST_BITS:
+            return None
+        bits = MOST_BITS
+
+    def place(term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(bits))
+
+    own = terms.select(place(F.col("term")).alias("at"))
+    words = own.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    held = [0] * (bits // 64)
+    for word, value in words.collect():
+        held[word] = value
+    # one call builds the array; the least number can't be written without its sign apart
+    table = F.expr("array(" + ", ".join(f"{x}L" if x != -(1 << 63) else "shiftleft(1L, 63)" for x in held) + ")")
+    return lambda term: F.expr("1") == F.getbit(F.get(table, F.shiftright(place(term), 6).cast("int")), place(term).bitwiseAND(F.lit(63)).cast("int"))
+
+
+def match_terms(rows: DataFrame, text: str, vocab: DataFrame, key: str = "ord") -> DataFrame:
     """(key, list, term) for every term of a long vocabulary that occurs in a text as whole words.
 
-    The distinct word runs of a row are joined to the distinct terms by equality, so the cost does not
-    grow with rows x terms. Terms of more than ``max_words`` words are refused, not skipped.
+    The word runs of a row, of the lengths that terms have, are tested against a filter over the vocabulary where they are; the few
+    that pass are joined to the distinct terms by equality. So what is shuffled is near the number of hits, not of words.
     """
-    terms = vocab.select("list", normalize_text(F.col("term")).alias("term")).where("term <> ''").distinct()
-    length = F.size(F.split("term", " "))
-    terms = terms.select("list", F.when(length <= max_words, F.col("term")).otherwise(
-        F.raise_error(F.lit(f"a term has more than {max_words} words"))).alias("term"))
-    words = F.split(normalize_text(F.col(text)), " ")
-    runs = F.array_distinct(F.concat(*[_ngrams(F.col("_words"), n) for n in range(1, max_words + 1)]))
-    found = rows.select(key, words.alias("_words")).select(key, F.explode(runs).alias("term"))
-    return found.join(terms, "term").select(key, "list", "term")
+    terms = persisted(vocab.select("list", normalize_text(F.col("term")).alias("term")).where("term <> ''").distinct(), "terms")
+    sizes = terms.groupBy(F.size(F.split("term", " ")).alias("size")).agg(F.count("*").alias("n")).orderBy("size").collect()
+    words = rows.select(key, F.split(normalize_text(F.col(text)), " ").alias("_words"))
+    if not sizes:
+        return words.select(key).limit(0).join(terms, F.lit(False)).select(key, "list", "term")
+    may_be = term_filter(terms.select("term"), sum(n for _, n in sizes))
+    runs = F.array_distinct(F.concat(*[_runs(F.col("_words"), size) for size, _ in sizes]))
+    runs = runs if may_be is None else F.filter(runs, may_be)
+    return words.select(key, F.explode(runs).alias("term")).join(terms, "term").select(key, "list", "term")

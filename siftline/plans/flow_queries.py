@@ -363,17 +363,43 @@ def src_state(spark, sf):
 
 
 def state_sink(spark, sf):
-    """Write two versions and read the current one back."""
+    """Commit a version, then one in which only the buckets with expired rows are new, and read that back."""
     from ..session import scratch_path
 
     folder = scratch_path(spark, "state")
-    stored = D.stored_jobs(spark, sf)
-    state.write_state(stored, folder, "2026-09-10", 0)
-    state.write_state(cumulative.expire_cumulative(state.read_state(spark, folder), D.as_of(), D.rules()), folder,
-                      D.AS_OF, 1)
+    state.write_state(D.stored_jobs(spark, sf), folder, "2026-09-10", 0)
+    first = state.current_version(spark, folder)
+    rows = state.read_state(spark, folder, version=first)
+    fresh = cumulative.is_fresh(D.as_of(), D.rules())
+    touched = state.buckets_of([rows.where(~fresh)], first["buckets"])
+    left = state.read_state(spark, folder, touched, first).where(fresh)
+    state.write_state(left, folder, D.AS_OF, 1, base=first, touched=touched)
     return state.read_state(spark, folder).select("key", F.coalesce(iso(c("date_iso")), F.lit("")).alias("date_iso"))
 
 
+def daily_state(spark, sf):
+    """The whole run on a state folder: what its next version holds."""
+    from ..session import scratch_path
+
+    folder = scratch_path(spark, "state")
+    state.write_state(D.stored_jobs(spark, sf), folder, "2026-09-10")
+    daily_run.run_on_state(D.postings(spark, sf), folder, D.as_of(), D.AS_OF, D.rules())
+    return _current(state.read_state(spark, folder))
+
+
+def run_ledger(spark, sf):
+    """Three runs on one folder, a third of the documents each, one of them repeated; the last two as the ledger has them."""
+    from ..session import scratch_path
+
+    folder = scratch_path(spark, "state")
+    for day in (0, 1, 1, 2):
+        part = D.postings(spark, sf).where(c("ord") % 3 == day)
+        date = F.date_add(D.as_of(), day)
+        daily_run.run_on_state(part, folder, date, f"2026-09-{24 + day}", D.rules())
+    tail = audit.history_tail(state.history(spark, folder), 2)
+    return tail.select(iso(c("run_date")).alias("run_date"), "run_id", "raw")
+
+
 # ---------------------------------------------------------------- report
 def report_tables(spark, sf):
     tables = daily_run.run_report(_run(spark, sf), D.statuses(spark, sf))
@@ -395,10 +421,8 @@ def report_verify(spark, sf):
 
 
 def summary_table(spark, sf):
-    result, statuses = _run(spark, sf), D.statuses(spark, sf)
-    totals = audit.run_totals(raw=result.evaluated, accepted=result.kept, new=result.new_jobs,
-                              cumulative=result.current, removed=result.removed, links=statuses)
-    return audit.summary_table(totals, result.reasons)
+    result = _run(spark, sf)
+    return audit.summary_table(daily_run.totals(result, D.statuses(spark, sf)), result.reasons)
 
 
 # ---------------------------------------------------------------- streams
@@ -437,5 +461,5 @@ QUERIES = {f.__name__: f for f in (
     link_status, predetail_prune, board_has_home_jobs, reason_counts, foreign_location_audit, strongest_company_type,
     company_first_site, status_rollup, unique_sites, status_notes, run_audit, visit_once, greedy_dedupe,
     dedupe_postings, source_priority_order, newest_first, report_order, history_tail, union_sources, upsert_cumulative,
-    expire_cumulative, collect_retractions, removed_count, daily_cumulative, landed_cumulative, src_state, state_sink, report_tables,
+    expire_cumulative, collect_retractions, removed_count, daily_cumulative, landed_cumulative, src_state, state_sink, daily_state, run_ledger, report_tables,
     report_verify, summary_table, stream_upsert, stream_visit_once)}

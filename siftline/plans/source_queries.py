@@ -68,7 +68,7 @@ def match_terms(spark, sf):
     vocab = bench.select(lit("word").alias("list"), F.explode("w").alias("term")).unionByName(
         bench.where(F.size("w") > 1).select(lit("pair").alias("list"), F.explode(pairs).alias("term")))
     doc = D.spread(D.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    return vocabulary.match_terms(doc, "text", vocab, "doc_id", max_words=2)
+    return vocabulary.match_terms(doc, "text", vocab, "doc_id")
 
 
 # ---------------------------------------------------------------- payloads

@@ -296,6 +296,9 @@ SQL = {
     "removed_count": f"""{P}, {STORED}, {ST_RETR} SELECT (SELECT count(*) FROM stored) -
       (SELECT count(*) FROM srest WHERE {FRESH}) AS removed""",
     "daily_cumulative": f"{RUN} SELECT {CURRENT}, company_type FROM cur",
+    "daily_state": f"{RUN} SELECT {CURRENT}, company_type FROM cur",
+    "run_ledger": """SELECT strftime(DATE '2026-09-24' + CAST(doc_id % 3 AS INT), '%Y-%m-%d') AS run_date, doc_id % 3 AS run_id, count(*) AS raw
+      FROM documents WHERE doc_id % 3 > 0 GROUP BY 1, 2""",
     "src_state": f"""{P} SELECT ord, title, url, '' AS company_type, '' AS experience,
       CASE WHEN ord % 2 = 0 THEN '2026-09-01' ELSE '' END AS date_iso FROM postings""",
     "state_sink": f"""{P}, {STORED} SELECT key, coalesce({iso('date_iso')}, '') AS date_iso FROM stored
