@@ -11,16 +11,20 @@ from siftline.llm.tables import table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier accepts, each by its own score, whatever its id."""
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    scored = quality.score(numbered, table(spark, sf_dir, "labels"), row="_row")
-    accepted = scored.where("predicted = 1").select("_row")
-    return numbered.join(accepted, "_row", "left_semi").select(*docs.columns)
+    """Rows that the classifier accepts, each by its own score, whatever its id. The rows' number has a name that no column has."""
+    row = "row_" + max(docs.columns, key=len)
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    scored = quality.score(numbered, table(spark, sf_dir, "labels"), row=row)
+    accepted = scored.where("predicted = 1").select(row)
+    return numbered.join(accepted, row, "left_semi").select(*docs.columns)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many sites share, however short; every document stays."""
-    return line_dedup.remove_boilerplate(docs, min_words=1).select(*docs.columns)
+    """Documents without the lines that many sites share, however short; every document stays, and so does every column."""
+    told = "removed_lines"
+    aside = told + "_" + max(docs.columns, key=len)
+    cleaned = line_dedup.remove_boilerplate(docs.withColumnRenamed(told, aside))
+    return cleaned.drop(told).withColumnRenamed(aside, told).select(*docs.columns)
 
 
 def simhash_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

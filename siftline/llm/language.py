@@ -178,8 +178,12 @@ def _sampled(rows: DataFrame, sample: int) -> DataFrame:
     known = rows.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & (fold() != 2) & F.col("text").rlike(r"\p{L}"))
     ids = written(known.groupBy("doc_id", "lang").agg(F.lit(1).alias("one")).drop("one"), "labelled")
     quota = max(sample // max(ids.select("lang").distinct().count(), 1), 1)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = written(ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= quota).drop("place"), "sample")
+    # a language may have a third of all rows: only those whose hashes are among the least, about twice as many as wanted, are put in order
+    sizes = written(ids.groupBy("lang").agg(F.count("*").alias("n")), "sizes")
+    place = F.xxhash64("doc_id")
+    few = ids.join(sizes, "lang").where(place.cast("double") / float(1 << 64) + 0.5 < (2 * quota + 30) / F.col("n"))
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    chosen = written(few.withColumn("place", F.row_number().over(order)).where(F.col("place") <= quota).select("doc_id", "lang"), "sample")
     return known.join(chosen, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
 

@@ -42,16 +42,17 @@ def site_spread(docs: DataFrame, site: str, min_words: int, lg_k: int, threshold
     return sure.unionByName(near.join(exact.select("line"), "line", "left_semi"))
 
 
-def remove_boilerplate(docs: DataFrame, site: str = "source", threshold: int = 8, min_words: int = 5, lg_k: int = 10,
+def remove_boilerplate(docs: DataFrame, site: str = "source", threshold: int = 8, min_words: int = 1, lg_k: int = 10,
                        doc_id: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """``docs`` without the lines that appear on ``threshold`` or more distinct sites, and ``removed_lines``.
 
-    A line is what lies between line feeds, compared exactly; one of under ``min_words`` words is never removed. The
+    A line is what lies between line feeds, compared exactly; a blank one, or one of under ``min_words`` words, is never removed. The
     first document with such a line (the smallest id; of one id the smallest text hash) keeps it, so that copies of
     a document don't vanish altogether. A null site counts as no site; a null text stays null, an empty one empty. A
     document of nothing but such lines becomes empty and stays. Rows with a null id come first and are told apart by
-    their texts. ``length``, if the table has it, is made to match the text.
+    their texts. ``length``, if the table has it, is made to match the text. A column ``removed_lines`` of ``docs`` gives way.
     """
+    docs = docs.drop("removed_lines")
     spread = written(site_spread(docs, site, min_words, lg_k, threshold, doc_id, text), "boilerplate")
     own = docs.select(_document(doc_id, text).alias("doc"), F.explode(F.transform(_lines(text), lambda line: F.xxhash64(line))).alias("line"))
     hits = own.join(spread, "line").where(~F.col("doc").eqNullSafe(F.col("first")))
@@ -82,7 +83,7 @@ WITH lines AS (
   SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents
 ), spread AS (
   SELECT line, min(doc_id) AS first FROM lines
-  WHERE regexp_matches(line, '^\s*(\S+\s+){4}\S') GROUP BY line HAVING count(DISTINCT source) >= 8
+  WHERE regexp_matches(line, '\S') GROUP BY line HAVING count(DISTINCT source) >= 8
 ), pieces AS (
   SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars,
          string_split(coalesce(d.text, ''), chr(10)) AS parts,

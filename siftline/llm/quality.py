@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -20,12 +21,14 @@ DIMENSIONS = 32
 NONZERO = 4  # of an index vector, one in each part of it
 WINDOW = 2  # neighbours on either side
 FREQUENT = 1 << 17  # most frequent units whose vectors every executor has
-HELD = 400_000  # units whose sums a task holds before it passes them on
+HELD = 131_072  # units whose sums a task holds before it passes them on
+PIECE = 1 << 18  # characters of a text that a task works on at a time, and eight times the words of several
 TOKENS = 1 << 26  # words whose sums a task adds up at most, so that 32 bits do
-MEMORY = 250_000  # words a worker remembers, twice
+MEMORY = 60_000  # words a worker remembers, twice
 MARKS = ".,;:!?*#$%&|"
 
 _LETTERS = regex.compile(r"\p{L}+")
+_SPACE = re.compile(r"\s")
 
 
 def _hash(word: str, kind: int) -> int:
@@ -66,9 +69,8 @@ class Units:
             shape = self.shapes[case, rest] = _hash(case + _marks(rest), 1)
         return _hash(letters.lower(), 0), shape
 
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word units, shape units, number of words of each text)."""
-        split = [text.split() for text in texts]
+    def of(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word units, shape units, number of words of each list of words)."""
         distinct = set().union(*split)
         known = self.memo.learn(distinct)
         number = {word: k for k, word in enumerate(distinct)}
@@ -84,6 +86,39 @@ class Units:
         return words, shapes, lengths
 
 
+def _pieces(texts: Iterable[str]) -> Iterator[tuple[int, list[str], int, int]]:
+    """(number of the text, words, how many in front and behind are only neighbours): a long text comes in several pieces."""
+    for number, text in enumerate(texts):
+        if len(text) <= PIECE:
+            yield number, text.split(), 0, 0
+            continue
+        before, own, at = [], [], 0
+        while at < len(text):
+            space = _SPACE.search(text, at + PIECE)
+            end = space.start() if space else len(text)
+            more, at = text[at:end].split(), end
+            if len(own) < WINDOW or len(more) < WINDOW and at < len(text):
+                own += more
+                continue
+            after = more[:WINDOW]
+            yield number, before + own + after, len(before), len(after)
+            before, own = (before + own)[-WINDOW:], more
+        yield number, before + own, len(before), 0
+
+
+def _portions(texts: Iterable[str]) -> Iterator[tuple[list[int], list[list[str]], np.ndarray]]:
+    """(numbers of the texts, their words, which of all these words count) of as many pieces as a task works on at a time."""
+    held, size = [], 0
+    for piece in chain(_pieces(texts), (None,)):
+        if piece is not None:
+            held.append(piece)
+            size += len(piece[1])
+        if held and (piece is None or size >= PIECE // 8):
+            counts = [np.r_[np.zeros(a, bool), np.ones(len(w) - a - b, bool), np.zeros(b, bool)] for _, w, a, b in held]
+            yield [n for n, _, _, _ in held], [w for _, w, _, _ in held], np.concatenate(counts)
+            held, size = [], 0
+
+
 def index_vectors(units: np.ndarray) -> np.ndarray:
     """The fixed sparse vectors of ones and minus ones, a function of the unit: each of the parts has one at a place of its own."""
     part = DIMENSIONS // NONZERO
@@ -94,8 +129,8 @@ def index_vectors(units: np.ndarray) -> np.ndarray:
     return vectors
 
 
-def _contexts(words: np.ndarray, shapes: np.ndarray, lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of words and of shapes (units, sums): how often, and the sum of the index vectors of the neighbours."""
+def _contexts(words: np.ndarray, shapes: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of the words that count, and of their shapes, (units, sums): how often, and the sum of the index vectors of the neighbours."""
     apart = np.repeat(np.cumsum(lengths)[:-1], WINDOW)
     between = np.insert(np.zeros(len(words), bool), apart, True)
     found = [np.unique(units, return_inverse=True) for units in (words, shapes)]
@@ -105,9 +140,12 @@ def _contexts(words: np.ndarray, shapes: np.ndarray, lengths: np.ndarray) -> lis
     for step in range(1, WINDOW + 1):
         around[:, step:] += own[:, :-step]
         around[:, :-step] += own[:, step:]
-    around = around[:, ~between]
-    return [(units, np.stack([np.bincount(at, minlength=len(units)), *(np.bincount(at, row, len(units)) for row in around)], 1))
-            for units, at in found]
+    around = around[:, ~between][:, counts]
+    sums = []
+    for units, at in found:
+        there, at = np.unique(at[counts], return_inverse=True)
+        sums.append((units[there], np.stack([np.bincount(at, minlength=len(there)), *(np.bincount(at, row, len(there)) for row in around)], 1)))
+    return sums
 
 
 class Sums:
@@ -151,11 +189,9 @@ def unit_sums(docs: DataFrame, text: str = "text") -> DataFrame:
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, sums = once(Units), Sums()
         for batch in batches:
-            texts = [x or "" for x in batch.column(0).to_pylist()]
-            for at in range(0, len(texts), 256):
-                words, shapes, lengths = units.of(texts[at:at + 256])
-                if len(words):
-                    for found in _contexts(words, shapes, lengths):
+            for _, split, counts in _portions(x.as_py() or "" for x in batch.column(0)):
+                if counts.any():
+                    for found in _contexts(*units.of(split), counts):
                         sums.add(*found)
                 if sums.full():
                     yield from sums.passed_on()
@@ -192,11 +228,6 @@ def _unit_length(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def _parts(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary()),
-                                       pa.array([0] * len(sums), pa.int32())], ["part", "sums", "task"])
-
-
 def pooled(docs: DataFrame, sums: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """(doc_id, features, number): per row of ``docs`` the mean vector of its words, that of its shapes, and the log of its length.
 
@@ -211,27 +242,33 @@ def pooled(docs: DataFrame, sums: DataFrame, doc_id: str = "doc_id", text: str =
         units, (keys, vectors) = once(Units), shared.value
         table = np.r_[vectors, np.zeros((1, DIMENSIONS), np.float32)]
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for at in range(0, len(texts), 256):
-                *both, lengths = units.of(texts[at:at + 256])
-                sums = np.zeros((len(lengths), 2 * DIMENSIONS))
-                ends = np.cumsum(lengths)
-                of = np.repeat(np.arange(len(lengths)), lengths)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sums, total = np.zeros((part.num_rows, 2 * DIMENSIONS)), np.zeros(part.num_rows, np.int64)
+                others: list[list[list[np.ndarray]]] = [[[] for _ in range(part.num_rows)] for _ in range(2)]
+                for numbers, split, counts in _portions(x.as_py() or "" for x in part.column(1)):
+                    *both, lengths = units.of(split)
+                    ends = np.cumsum(lengths).tolist()
+                    for k, own in enumerate(both):
+                        distinct, places = np.unique(own, return_inverse=True)
+                        found = np.searchsorted(keys, distinct)
+                        known = found < len(keys)
+                        known[known] = keys[found[known]] == distinct[known]
+                        found[~known] = len(keys)
+                        values = table[found[places]]
+                        for number, first, end in zip(numbers, [0, *ends], ends):
+                            here = counts[first:end]
+                            sums[number, k * DIMENSIONS:(k + 1) * DIMENSIONS] += values[first:end][here].sum(axis=0, dtype=np.float64)
+                            others[k][number].append(own[first:end][here & ~known[places[first:end]]])
+                            if k == 0:
+                                total[number] += int(here.sum())
                 columns = []
-                for k, own in enumerate(both):
-                    distinct, places = np.unique(own, return_inverse=True)
-                    found = np.searchsorted(keys, distinct)
-                    known = found < len(keys)
-                    known[known] = keys[found[known]] == distinct[known]
-                    found[~known] = len(keys)
-                    values = table[found[places]]
-                    for row, (first, end) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
-                        sums[row, k * DIMENSIONS:(k + 1) * DIMENSIONS] = values[first:end].sum(axis=0, dtype=np.float64)
-                    rare = ~known[places]
-                    offsets = np.r_[0, np.cumsum(np.bincount(of[rare], minlength=len(lengths)))].astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(own[rare].view(np.int64))))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * sums.shape[1]), pa.array(sums.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(lengths), flat, *columns, batch.column(2).slice(at, 256)],
+                for lists in others:
+                    rare = [np.concatenate(own) if own else np.empty(0, np.uint64) for own in lists]
+                    offsets = np.r_[0, np.cumsum([len(own) for own in rare])].astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rare).view(np.int64))))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1, dtype=np.int32) * sums.shape[1]), pa.array(sums.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total), flat, *columns, part.column(2)],
                                                  ["doc_id", "n", "sums", "words", "shapes", "number"])
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +367,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: f
 
     Word and shape vectors come from all texts. The network learns from at most ``sample`` labelled documents (those with
     the smallest hashes of their ids) whose fold isn't 2: folds 0 and 1 train, fold 3 sets the temperature. A score
-    depends on the text alone; empty and null texts get one as well. Labels that are null, other than 0 and 1, or
+    depends on the text and on the vectors that all texts gave; empty and null texts get one as well. A text of any length is worked on in pieces. Labels that are null, other than 0 and 1, or
     contradict each other for one id are not learned from; of rows that repeat an id one is. A row with a null id is
     scored, and not held out. ``row`` names a column that is carried to the result.
     """

@@ -16,6 +16,7 @@ from .tokenizing import once
 MARK = "▁"
 #: Nodes of the trie a worker keeps; it starts anew beyond, which changes no count.
 NODES = 1_000_000
+LONG = 256  # characters of a pre-token that the trie takes
 
 
 class UnigramCounter:
@@ -44,7 +45,9 @@ class UnigramCounter:
         self.terminal: dict[str, int] = {}  # tokens of each distinct pre-token met
 
     def tokens(self, word: str) -> int:
-        """Tokens of one pre-token."""
+        """Tokens of one pre-token. A long one, which shares little more than its start with others, isn't put into the trie."""
+        if len(word) > LONG:
+            return self._along(MARK + word)
         known = self.terminal.get(word)
         if known is None:
             if len(self.children) > NODES or len(self.terminal) > NODES:
@@ -65,6 +68,22 @@ class UnigramCounter:
             path.append(node)
         return self.count[node]
 
+    def _along(self, text: str) -> int:
+        """The same scores for one text alone: a prefix needs those of the prefixes shorter by up to the longest piece, and only these are kept."""
+        window, get = self.longest, self.pieces.get
+        score, count = [0.0] * window, [0] * window  # of the prefix that ends at a place, by its rest modulo the window
+        for end in range(1, len(text) + 1):
+            last, n = (end - 1) % window, len(text[end - 1].encode("utf-8", "surrogatepass"))
+            best, fewest = score[last] + n * self.byte, count[last] + n
+            for start in range(max(0, end - window), end):
+                own = get(text[start:end])
+                if own is not None:
+                    total, tokens = score[start % window] + own, count[start % window] + 1
+                    if total > best or total == best and tokens < fewest:
+                        best, fewest = total, tokens
+            score[end % window], count[end % window] = best, fewest
+        return count[len(text) % window]
+
     def _extend(self, text: str, end: int, path: list[int]) -> None:
         """Forward score of the prefix that ends at ``end`` from those of the shorter ones on ``path``."""
         score, count, get = self.score, self.count, self.pieces.get
@@ -85,7 +104,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
     """(doc_id, n_words, n_tokens) of every row of ``docs``.
 
     Pre-tokens are what lies between white space. A null, empty or blank text counts 0. Distinct pre-tokens are kept
-    by each worker in a bounded trie; nothing is shuffled.
+    by each worker in a trie of bounded size, which is emptied when it is full; those of over ``LONG`` characters are scored
+    along their length in constant memory. Nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -426,7 +426,7 @@ def test_tables_hold_the_same_tree_as_the_plain_version(spark, monkeypatch):
 
 def test_every_word_has_a_unit_of_its_own():
     words, shapes, lengths = quality.Units().of([" ".join(f"{a}{b}{c}" for a in "abcdefghijklmnopqrstuvwxyzäöüßéèàç" for b in "abcdefghijklmnopqrstuvwxyzäöüßéèàç"
-                                                          for c in "abcdefghijklmnopqrstuvwxyzäöüßéèàç"), ""])
+                                                          for c in "abcdefghijklmnopqrstuvwxyzäöüßéèàç").split(), []])
     assert lengths.tolist() == [34 ** 3, 0] and len(set(words.tolist())) == 34 ** 3 and len(set(shapes.tolist())) == 1
 
 
@@ -440,3 +440,60 @@ def test_frequent_units_are_only_a_short_cut(spark, documents, monkeypatch):
             plain = rows
     assert [r[0] for r in rows] == [r[0] for r in plain] and np.allclose([r[1] for r in rows], [r[1] for r in plain], atol=1e-6)
     assert {len(r[1]) for r in rows} == {2 * quality.DIMENSIONS + 1}
+
+
+def brute_quality(texts):
+    """(sums of contexts by unit, features of each text), word by word."""
+    units, where = quality.Units(), []
+    for text in texts:
+        own = [tuple(units._both(word)) for word in text.split()]
+        where.append([(w, quality.Units.REPEATED if k and own[k] == own[k - 1] else s) for k, (w, s) in enumerate(own)])
+    vector = {u: quality.index_vectors(np.array([u], np.uint64))[0].astype(int) for pairs in where for pair in pairs for u in pair}
+    sums = {}
+    for pairs in where:
+        for k, pair in enumerate(pairs):
+            near = pairs[max(k - quality.WINDOW, 0):k] + pairs[k + 1:k + 1 + quality.WINDOW]
+            around = sum((vector[u] for other in near for u in other), np.zeros(quality.DIMENSIONS, int))
+            for u in pair:
+                n, total = sums.get(u, (0, 0))
+                sums[u] = n + 1, total + around
+
+    def unit_vector(u):
+        n, total = sums[u]
+        mean = total / n
+        return mean / max(np.linalg.norm(mean), 1e-9) + vector[u] / np.sqrt(quality.NONZERO)
+
+    features = []
+    for pairs in where:
+        means = [np.mean([unit_vector(pair[k]) for pair in pairs], axis=0) if pairs else np.zeros(quality.DIMENSIONS) for k in (0, 1)]
+        features.append(np.r_[means[0], means[1], np.log1p(len(pairs)) / 10])
+    return sums, features
+
+
+@pytest.mark.parametrize("piece, most", [(1 << 18, 1 << 17), (40, 30)])
+def test_context_sums_and_pooling_against_a_plain_loop(spark, monkeypatch, piece, most):
+    """Also with texts cut into small pieces, and with most units joined instead of looked up."""
+    monkeypatch.setattr(quality, "PIECE", piece)
+    monkeypatch.setattr(quality, "FREQUENT", most)
+    monkeypatch.setattr(quality, "HELD", 300 if piece < 100 else quality.HELD)
+    texts = ["The cat sat. The cat SAT, the the the dog!", "", "one", "a b", "x " * 90 + "end", " \n  odd   spaces \x1c here\u2003now ", "12 34 ** ab-cd Ef" * 9,
+             "w" * 200 + " tail of it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sums, features = brute_quality(texts)
+    table = quality.unit_sums(docs)
+    got = {r.unit % (1 << 64): (r.n, [r[f"s{k}"] for k in range(quality.DIMENSIONS)]) for r in table.collect()}
+    assert got == {u: (n, total.tolist()) for u, (n, total) in sums.items()}
+    rows = {r.doc_id: r.features for r in quality.pooled(docs, table).collect()}
+    assert all(np.allclose(rows[k], features[k], atol=1e-5) for k in range(len(texts)))
+
+
+def test_long_pre_tokens_need_no_trie():
+    from siftline.llm import token_counts
+
+    counter = token_counts.UnigramCounter(public_tokenizers.path("piece_bpe_32k.model"))
+    random = np.random.default_rng(3)
+    for n in (1, 7, 200):
+        word = "".join(random.choice(list("abcdehinorst-é日"), n))
+        assert counter._along(token_counts.MARK + word) == counter._insert(token_counts.MARK + word)
+    before = len(counter.children)
+    assert counter.tokens("abc" * 100_000) > 1000 and len(counter.children) == before

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftline.llm import components, embedding_dedup, pivot_search, queries, vectors
+from siftline.llm import components, embedding_dedup, line_dedup, pivot_search, queries, vectors
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "vec_id long, embedding array<float>, label int, cell int, home int, x int, score double, query boolean, n long"
@@ -176,3 +176,20 @@ def test_search_within_each_length(spark):
         best = sorted((-float(np.dot(x, y)), i) for i, y in data if i != q and len(x) == len(y))[:3]
         want |= {(q, rank): (i, -s) for rank, (s, i) in enumerate(best, 1)}
     assert got == want
+
+
+def test_pipeline_keeps_columns_with_clashing_names(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({
+        "_row": F.lit(-5), "removed_lines": F.lit("mine"), "predicted": F.lit(9), "line": F.lit("l"), "doc": F.lit(1), "gone": F.lit(2), "key": F.lit(3)})
+    for stage in (corpus_pipeline.quality_classifier, corpus_pipeline.line_deduplication, corpus_pipeline.simhash_near_duplicates):
+        kept = stage(spark, docs, sf_dir)
+        assert kept.columns == docs.columns
+        assert [tuple(r) for r in kept.select("_row", "removed_lines", "predicted", "line", "doc", "gone", "key").distinct().collect()] == [
+            (-5, "mine", 9, "l", 1, 2, 3)]
+    cleaned = line_dedup.remove_boilerplate(docs)
+    assert cleaned.columns.count("removed_lines") == 1 and cleaned.agg(F.max("removed_lines")).first()[0] > 0
+    nulls = docs.withColumn("text", F.lit(None).cast("string"))
+    for stage in corpus_pipeline.STAGES[:3]:
+        assert stage[1](spark, docs.limit(0), sf_dir).count() == 0
+        stage[1](spark, nulls, sf_dir).count()
