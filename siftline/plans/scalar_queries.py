@@ -253,7 +253,10 @@ def search_result_links(spark, sf):
     code = F.regexp_replace(F.translate(F.base64(url.cast("binary")), "+/", "-_"), "[=\r\n]+", "")
     href = F.when(c("c_custkey") % 2 == 0, F.concat(F.lit("https://www.bing.com/ck/a?p=1&u=a1"), code, F.lit("&ntb=1")))\
         .otherwise(url)
-    out = boards.search_result_links(cust.select("c_custkey", href.alias("href")))
+    # landed result pages: one result, and links that are none
+    html = F.concat(F.lit('<header><a href="https://jobs.lever.co/menu">m</a></header><ol><li class="b_ad"><a href="https://jobs.lever.co/ad">ad</a></li>'
+                          '<li class="b_algo x"><h2><a href="'), F.replace(href, F.lit("&"), F.lit("&amp;")), F.lit('">t</a></h2></li></ol>'))
+    out = boards.search_result_links(cust.select("c_custkey", html.alias("html")))
     return out.select("c_custkey", "target", F.coalesce("kind", F.lit("-")).alias("kind"),
                       F.coalesce("slug", F.lit("-")).alias("slug"))
 

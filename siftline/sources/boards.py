@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.patterns import WORD, extract
 from ..functions.places import HOME, classify_location
@@ -214,8 +215,24 @@ def page_route(url: Column, html: Column, has_posting: Column) -> Column:
             .otherwise("listing"))
 
 
+# Fixed value: where a search page has its results.
+SEARCH_RESULT = "li.b_algo a[href]"
+
+
+def search_page_links(found: DataFrame) -> DataFrame:
+    """(page columns but the html, pos, href): the links of the results on landed search pages, in page order; other links are left out."""
+    from .pages import map_pages
+
+    def read(root, _) -> list[tuple]:
+        return [(place, node.attrs["href"]) for place, node in enumerate(root.select(SEARCH_RESULT))]
+
+    return map_pages(found, T.StructType.fromDDL("pos long, href string"), read)
+
+
 def search_result_links(results: DataFrame) -> DataFrame:
-    """(result columns, target, kind, slug): boards behind the links of a search page."""
+    """(result columns, target, kind, slug): boards behind the links of search pages, given as ``href`` or as landed pages (``html``)."""
+    if "html" in results.columns:
+        results = search_page_links(results)
     target = results.withColumn("target", search_result_target(F.col("href")))
     board = board_from_url(F.col("target"))
     page = extract(F.col("target"), rf"(https?://[^?#]*comeet\.com/jobs/[{WORD}\-]+/[{WORD}.]+)")

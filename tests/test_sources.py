@@ -232,3 +232,11 @@ def test_main_text(spark):
     got = {r.k: r.main_text for r in pages.main_content_text(df).collect()}
     assert got == {0: longer.strip(), 1: f"{long.strip()}\na\nb", 2: long.strip(), 3: "short", 4: "", 5: "", 6: f"{longer.strip()}\ntail", 7: long.strip(),
                    8: "kept"}
+
+
+def test_links_of_a_search_page(spark):
+    html = ('<ol><li class="b_algo"><h2><a href="https://jobs.lever.co/one/1">1</a></h2><p><a href="https://www.comeet.com/jobs/co/1A.00B?x=1">2</a></p></li>'
+            '<li class="b_algo"><a name="none">x</a><a href="https://plain.example.com">3</a></li></ol><a href="https://jobs.lever.co/two">4</a>')
+    pages_ = spark.createDataFrame([(1, html), (2, ""), (3, None)], "page int, html string")
+    found = boards.search_result_links(pages_).orderBy("page", "pos").collect()
+    assert [(r.page, r.pos, r.kind, r.slug) for r in found] == [(1, 0, "lever", "one"), (1, 1, "comeet", "https://www.comeet.com/jobs/co/1A.00B"), (1, 2, None, None)]
