@@ -17,6 +17,8 @@ from tokenizers import Tokenizer
 from siftline.llm import (best_fit, byte_bpe, line_dedup, quality, queries, simhash, suffix_tree, sum_squares, token_counts,
                           tokenizing)
 
+from . import plain_suffix_tree
+
 SF = "/root/testdata/sf0.001"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -364,8 +366,8 @@ def test_heavy_words_are_only_a_short_cut(spark, monkeypatch):
 def test_contexts_are_longest_and_distributions_add_up():
     random = np.random.default_rng(6)
     symbols = np.r_[0, random.integers(1, 5, 3000), 0].astype(np.int32)
-    found = suffix_tree.frequent(symbols, 5, 40, 3)
-    tree = suffix_tree.Tree(list(found), 5)
+    found = plain_suffix_tree.frequent(symbols, 5, 40, 3)
+    tree = plain_suffix_tree.Tree(list(found), 5)
     strings = {tuple(np.frombuffer(s, "<u4").tolist()) for s in found}
     states = tree.states(symbols)
     for at in range(3, 400):
@@ -377,7 +379,7 @@ def test_contexts_are_longest_and_distributions_add_up():
     counts = np.zeros((tree.nodes, 5), np.float32)
     np.add.at(counts, (states[:-1], symbols[1:]), 1)
     root = np.full(5, 0.2)
-    model = suffix_tree.gains(tree, counts, root, 1.0, 2)
+    model = plain_suffix_tree.gains(tree, counts, root, 1.0, 2)
     assert np.allclose((10 ** model.astype(float) * root).sum(axis=1), 1, atol=1e-4)
 
 
@@ -407,12 +409,12 @@ def test_tables_hold_the_same_tree_as_the_plain_version(spark, monkeypatch):
         return np.array([0, *(number.get(w, size) for words in texts for w in [*words, None])], np.int32)  # size: not known
 
     symbols = stream(train)
-    tree = suffix_tree.Tree([s for s in suffix_tree.frequent(symbols, size, 2, 3)], size + 1)
+    tree = plain_suffix_tree.Tree([s for s in plain_suffix_tree.frequent(symbols, size, 2, 3)], size + 1)
     table = np.zeros((tree.nodes, size + 1), np.float32)
     np.add.at(table, (tree.states(symbols)[:-1], symbols[1:]), 1)
     events = sum(counts.values()) + len(counts) + 1
     root = np.array([*((counts[w] + 1) / events for w in sorted(number, key=number.get)), 1 / events])
-    gains = suffix_tree.gains(tree, table, root, 16.0, 2)
+    gains = plain_suffix_tree.gains(tree, table, root, 16.0, 2)
     assert (gains[1:] != gains[0]).any(axis=1).sum() > 5
     want = {}
     for i, text in data:
