@@ -43,7 +43,7 @@ def _ymd(year: Column, month: Column, day: Column) -> Column:
     return F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
 
 
-def _utc_to_local_date(utc: Column, zone: str) -> Column:
+def local_date(utc: Column, zone: str) -> Column:
     """A UTC wall-clock time (no zone) as a date in ``zone``; independent of the session time zone."""
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc).cast("date")
 
@@ -52,7 +52,7 @@ def epoch_to_local_date(number: Column, zone: str) -> Column:
     """Epoch seconds, or milliseconds above 1e11, as a local date."""
     seconds = F.when(number > F.lit(100_000_000_000), number / 1000).otherwise(number)
     start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return _utc_to_local_date(start + F.make_dt_interval(secs=seconds.cast("decimal(18,6)")), zone)
+    return local_date(start + F.make_dt_interval(secs=seconds.cast("decimal(18,6)")), zone)
 
 
 def _iso_date(low: Column, zone: str) -> Column:
@@ -66,7 +66,7 @@ def _iso_date(low: Column, zone: str) -> Column:
     minutes = (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")) * F.when(
         offset.startswith("-"), -1).otherwise(1)
     shift = F.when(offset == "z", 0).when(offset != "", minutes)
-    instant = _utc_to_local_date(wall - F.make_dt_interval(mins=shift), zone)
+    instant = local_date(wall - F.make_dt_interval(mins=shift), zone)
     return F.coalesce(instant, _ymd(piece(1), piece(2), piece(3)))
 
 
@@ -147,8 +147,3 @@ def freshness(date: Column, as_of: Column, days: int) -> Column:
 
 def date_display(date: Column) -> Column:
     return F.coalesce(F.date_format(date, "dd/MM/yyyy"), F.lit(L.UNKNOWN_DATE))
-
-
-def local_date(instant: Column, zone: str) -> Column:
-    """The business date of an instant."""
-    return epoch_to_local_date(F.unix_millis(instant), zone)

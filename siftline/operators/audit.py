@@ -10,22 +10,39 @@ from ..functions.patterns import text_or_empty
 from ..functions.text import strip
 
 
-def reason_counts(evaluated: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows per outcome; duplicates are an extra row on top of their 'accepted' count."""
-    counts = evaluated.groupBy(F.col("outcome").alias("reason")).agg(F.count("*").alias("n"))
-    passed = counts.where(F.col("reason") == L.ACCEPTED)
-    survivors = kept.agg((-F.count("*")).alias("n"))
-    duplicates = passed.select("n").unionByName(survivors).agg(F.sum("n").alias("n")).where("n > 0")
+def outcome_tally(evaluated: DataFrame) -> DataFrame:
+    """(outcome, location, n, first): rows per outcome, and of those rejected as abroad per place text, with the first of them.
+
+    What ``reason_counts`` and ``foreign_location_audit`` say, from one pass over the evaluated rows.
+    """
+    abroad = F.col("outcome").startswith(L.PLACE_PREFIX + L.PLACE_NOT_HOME) | F.col("outcome").startswith(L.PLACE_PREFIX + "מחוץ")
+    return evaluated.groupBy("outcome", F.when(abroad, F.col("location")).alias("location")).agg(
+        F.count("*").alias("n"), F.min(F.when(abroad, F.struct("is_low_priority", "ord"))).alias("first"))
+
+
+def reasons_of(tally: DataFrame, survivors: DataFrame) -> DataFrame:
+    """Rows per outcome; duplicates are an extra row on top of their 'accepted' count. ``survivors`` (n) is one row, the accepted rows that were kept."""
+    counts = tally.groupBy(F.col("outcome").alias("reason")).agg(F.sum("n").alias("n"))
+    passed = counts.where(F.col("reason") == L.ACCEPTED).select("n")
+    duplicates = passed.unionByName(survivors.select((-F.col("n")).alias("n"))).agg(F.sum("n").alias("n")).where("n > 0")
     return counts.unionByName(duplicates.select(F.lit(L.DUPLICATE).alias("reason"), "n"))
 
 
-def foreign_location_audit(evaluated: DataFrame, limit: int | None = None) -> DataFrame:
+def places_of(tally: DataFrame, limit: int | None = None) -> DataFrame:
     """The most frequent place texts rejected as abroad; ties to the one seen first."""
-    abroad = evaluated.where(F.col("outcome").startswith(L.PLACE_PREFIX + L.PLACE_NOT_HOME)
-                             | F.col("outcome").startswith(L.PLACE_PREFIX + "מחוץ"))
-    counts = abroad.groupBy("location").agg(F.count("*").alias("n"), F.min(F.struct("is_low_priority", "ord")).alias("_first"))
-    ordered = counts.orderBy(F.desc("n"), "_first")
-    return (ordered if limit is None else ordered.limit(limit)).drop("_first")
+    abroad = tally.where("first is not null").groupBy("location").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    ordered = abroad.orderBy(F.desc("n"), "first")
+    return (ordered if limit is None else ordered.limit(limit)).drop("first")
+
+
+def reason_counts(evaluated: DataFrame, kept: DataFrame) -> DataFrame:
+    """``reasons_of`` a table of evaluated rows and the accepted ones that were kept."""
+    return reasons_of(outcome_tally(evaluated), kept.agg(F.count("*").alias("n")))
+
+
+def foreign_location_audit(evaluated: DataFrame, limit: int | None = None) -> DataFrame:
+    """``places_of`` a table of evaluated rows."""
+    return places_of(outcome_tally(evaluated), limit)
 
 
 def company_first_site(sightings: DataFrame) -> DataFrame:

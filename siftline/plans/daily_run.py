@@ -25,10 +25,14 @@ class Run:
     new_jobs: DataFrame
     current: DataFrame
     retractions: DataFrame
-    reasons: DataFrame
+    tally: DataFrame
     company_types: DataFrame
     counts: dict[str, int]
 
+    @property
+    def reasons(self) -> DataFrame:
+        return audit.reasons_of(self.tally, self.current.sparkSession.createDataFrame([(self.counts["accepted"],)], "n long"))
+
     @property
     def removed(self) -> DataFrame:
         return self.current.sparkSession.createDataFrame([(self.counts["removed"],)], "removed long")
@@ -65,7 +69,7 @@ def _merge(merged: DataFrame, as_of: Column, rules: RuleSet, evaluated: DataFram
         evaluated=evaluated, kept=kept,
         # new rows are reported even when a retraction of the same run removes them from the table
         new_jobs=table.where("is_new").drop("stays"), current=table.where("stays").drop("stays"), retractions=retractions,
-        reasons=persisted(audit.reason_counts(evaluated, kept), "reasons"), company_types=types, counts=counts | more)
+        tally=persisted(audit.outcome_tally(evaluated), "tally"), company_types=types, counts=counts | more)
 
 
 def run(postings: DataFrame, stored: DataFrame, as_of: Column, rules: RuleSet,
@@ -127,4 +131,4 @@ def totals(result: Run, statuses: DataFrame) -> DataFrame:
 
 
 def run_audit(result: Run, statuses: DataFrame) -> DataFrame:
-    return audit.run_audit(totals(result, statuses), result.reasons, audit.foreign_location_audit(result.evaluated))
+    return audit.run_audit(totals(result, statuses), result.reasons, audit.places_of(result.tally))

@@ -134,8 +134,7 @@ def date_display(spark, sf):
 def local_today(spark, sf):
     events = D.table(spark, sf, "events")
     # the table's times are UTC wall clock, whatever the session zone is
-    utc = F.convert_timezone(F.lit("UTC"), F.lit("Asia/Jerusalem"), c("ts").cast("timestamp_ntz"))
-    return events.select("event_id", iso(utc.cast("date")).alias("local_day"))
+    return events.select("event_id", iso(dates.local_date(c("ts").cast("timestamp_ntz"), D.rules().business_zone)).alias("local_day"))
 
 
 def title_class(spark, sf):
