@@ -1,4 +1,7 @@
-"""Every registered query next to its SQL twin on the smallest tables, and checks of the plans."""
+"""Every registered posting query next to its SQL twin on the smallest tables, and checks of the plans.
+
+The training-data queries, where they are there, have tests of their own.
+"""
 
 import os
 
@@ -10,9 +13,9 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables
 
 
 def _names():
-    import __spark_entry__ as entry
+    from siftline.plans.registry import all_queries
 
-    return sorted(entry.queries())
+    return sorted(all_queries())
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +83,15 @@ def test_queries_work_on_values_not_only_on_ids(spark, name):
     plan += _plan(entry.queries()[name](spark, SF_DIR))
     scanned = {column for schema in re.findall(r"ReadSchema: struct<([^>]*)>", plan) for column in re.findall(r"(\w+):", schema)}
     assert scanned - {"doc_id", "c_custkey", "o_orderkey", "p_partkey"}
+
+
+def test_a_library_that_is_missing_takes_no_other_query_away(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    for name in [n for n in sys.modules if n == "corpus_pipeline" or n.startswith("siftline.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "sentencepiece", None)
+    monkeypatch.setitem(sys.modules, "siftline.llm.token_counts", None)
+    assert sorted(entry.queries()) == _names() and set(entry.oracle_sql()) <= set(_names())
