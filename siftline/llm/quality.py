@@ -204,13 +204,16 @@ def unit_sums(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _vectors(units: np.ndarray, n: np.ndarray, sums: np.ndarray) -> np.ndarray:
     """A unit's own index vector and the mean of its contexts."""
-    return (_unit_length(sums / n[:, None]) + index_vectors(units) / np.sqrt(NONZERO)).astype(np.float32)
+    return _unit_length(sums / n[:, None]) + index_vectors(units) / np.float32(np.sqrt(NONZERO))
 
 
 def _read(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    units = batch.column(0).to_numpy().view(np.uint64)
-    n, *sums = (batch.column(k).to_numpy().astype(float) for k in range(1, DIMENSIONS + 2))
-    return units, _vectors(units, n, np.stack(sums, 1))
+    """Units and their vectors, in single precision from the start: the driver and each worker hold many."""
+    units, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.float32)
+    sums = np.empty((len(units), DIMENSIONS), np.float32)
+    for k in range(DIMENSIONS):
+        sums[:, k] = batch.column(k + 2).to_numpy()
+    return units, _vectors(units, n, sums)
 
 
 def frequent(sums: DataFrame) -> int:
@@ -225,7 +228,7 @@ def frequent(sums: DataFrame) -> int:
 
 
 def _unit_length(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), x.dtype.type(1e-9))
 
 
 def pooled(docs: DataFrame, sums: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
