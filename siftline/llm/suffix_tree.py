@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import discard, written
 
 END = 0  # the symbol after a text and before each
 STREAM = 1 << 22  # bytes of text worked on at a time
@@ -78,10 +79,30 @@ def identity() -> Column:
     return F.when(F.col("word").isNull(), F.lit(END).cast("long")).otherwise(F.xxhash64("word"))
 
 
-def _places(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """(text, symbol, levels) of every token; for each length (places that have a context so long, contexts, contexts with the token).
+def _hash_longs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of two longs."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63,
+                                                 0x27D4EB2F165667C5))
 
-    A context is hashed from its newest symbol to its oldest; none reaches over an END, which may be the oldest.
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+    seed = np.full(len(first), 42, np.uint64)
+    for value in (first, second):
+        x = (seed + p5 + np.uint64(8)) ^ (turned(value * p2, 31) * p1)
+        x = turned(x, 27) * p1 + p4
+        for shift, factor in ((33, p2), (29, p3)):
+            x = (x ^ (x >> np.uint64(shift))) * factor
+        seed = x ^ (x >> np.uint64(32))
+    return seed
+
+
+def _places(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """(text, symbol, levels) of every token; for each length (places that have a context so long, contexts, the strings that
+    they are, pairs of the token and the context one symbol shorter, pairs of the token and the context).
+
+    A context is hashed from its newest symbol to its oldest; none reaches over an END, which may be the oldest. As a string
+    it is the pair of its newest symbol and the others, a single symbol is itself: where that pair, or symbol, is seen, the context follows.
     """
     known = {word: xxhash.xxh64_intdigest(word, 42) for word in set().union(*texts)}
     flat = [END]
@@ -93,37 +114,52 @@ def _places(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarra
     ends = np.zeros(len(symbols), bool)
     ends[0] = True
     ends[np.cumsum(lengths)] = True
-    token, places = symbols[1:], np.arange(len(symbols) - 1)
-    contexts, levels = _mix(np.zeros(len(token), np.uint64), symbols[:-1], 0), []
+    places = np.arange(len(symbols) - 1)
+    contexts, strings, shorter, levels = _mix(np.zeros(len(places), np.uint64), symbols[:-1], 0), symbols[:-1], symbols[1:], []
     for length in range(1, depth + 1):
         if length > 1:
             longer = (places >= length - 1) & ~ends[places - length + 2]
-            places, contexts = places[longer], contexts[longer]
+            before, pairs, places, contexts = places, levels[-1][-1], places[longer], contexts[longer]
+            strings, shorter = pairs[np.searchsorted(before, places - 1)], pairs[longer]
             contexts = _mix(contexts, symbols[places - length + 1], 0)
-        levels.append((places, contexts, _mix(contexts, token[places], 1)))
-    return np.repeat(np.arange(len(texts)), lengths), token, levels
+        levels.append((places, contexts, strings, shorter, _hash_longs(contexts, shorter)))
+    return np.repeat(np.arange(len(texts)), lengths), symbols[1:], levels
+
 
+class Bits:
+    """Bits of the hashes of keys, which rule out most others: a key that isn't among them is seldom told to be."""
 
-def pairs(texts: DataFrame, depth: int) -> DataFrame:
-    """(pair, level, context, shorter, n): how often each token follows each context of up to ``depth`` symbols, added up by Spark.
+    def __init__(self, keys: DataFrame):
+        self.bits = np.zeros(1 << FILTER - 3, np.uint8)
+        # Spark ORs the bits into blocks of 4 KB, so that at most 2 ** (FILTER - 15) rows come to the driver
+        place = F.shiftrightunsigned("key", 64 - FILTER) + 1
+        blocks = keys.groupBy(F.bitmap_bucket_number(place).alias("block")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+        for block, bits in blocks.collect():
+            self.bits[(block - 1) * len(bits):block * len(bits)] = np.frombuffer(bits, np.uint8)
 
-    ``shorter`` is the pair of the token and the context without its oldest symbol; the token itself, if that is empty.
+    def may_have(self, keys: np.ndarray) -> np.ndarray:
+        place = keys >> np.uint64(64 - FILTER)
+        return (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def pairs(texts: DataFrame, level: int, shared: Broadcast) -> DataFrame:
+    """(context, shorter, n): how often each token follows each context of ``level`` symbols whose string the shared ``Bits`` may have.
+
+    ``shorter`` is the pair of the token and the context without its oldest symbol; the token itself, if that is empty. Spark adds up.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings = shared.value
         for rows in _portions(batches):
-            _, shorter, levels = _places([words for (words,) in rows], depth)
-            before = np.arange(len(shorter))
-            for level, (places, contexts, both) in enumerate(levels, 1):
-                shorter = shorter[np.searchsorted(before, places)]
-                own, first, times = np.unique(both, return_index=True, return_counts=True)
-                columns = [own.view(np.int64), np.full(len(own), level, np.int32), contexts[first].view(np.int64),
-                           shorter[first].view(np.int64), times]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["pair", "level", "context", "shorter", "n"])
-                before, shorter = places, both
+            _, contexts, own, shorter, both = _places([words for (words,) in rows], level)[2][-1]
+            wanted = np.flatnonzero(strings.may_have(own))
+            _, first, times = np.unique(both[wanted], return_index=True, return_counts=True)
+            first = wanted[first]
+            columns = [contexts[first].view(np.int64), shorter[first].view(np.int64), times]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["context", "shorter", "n"])
 
-    found = texts.mapInArrow(run, "pair long, level int, context long, shorter long, n long")
-    return found.groupBy("pair").agg(*[F.min(c).alias(c) for c in ("level", "context", "shorter")], F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "context long, shorter long, n long").groupBy("context", "shorter").agg(F.sum("n").alias("n"))
 
 
 def model(train: DataFrame, counts: DataFrame, size: int, least: int, depth: int, gain: float) -> DataFrame:
@@ -132,30 +168,37 @@ def model(train: DataFrame, counts: DataFrame, size: int, least: int, depth: int
     A kept context has its share for tokens not seen after it (key: the context). One seen after it has the rest of its
     ratio to the probability after the context one symbol shorter (key: the pair). The gain of a token is then the sum of
     the entries of its contexts and pairs. The root has add-one probabilities of ``size`` events.
+
+    A context occurs as often as its string, so only places whose string was counted ``least`` times at the length before give
+    pairs at all. Each length's tables go when the next one has its own.
     """
-    found = written(pairs(train, depth), "pairs")
-    contexts = written(found.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where(
-        F.col("total") >= least), "contexts")
     shorter = counts.select(identity().alias("shorter"), ((F.col("c") + 1) / F.lit(float(size))).alias("p"))
+    strings = counts.where(F.col("c") >= least).select(identity().alias("key"))
     rest = F.col("kinds") / (F.col("total") + F.col("kinds"))
     own = (F.col("n") + F.col("kinds") * F.col("p")) / (F.col("total") + F.col("kinds"))
-    out = None
+    out, before = None, []
     for level in range(1, depth + 1):
-        rows = found.where(F.col("level") == level).join(contexts, "context").join(shorter, "shorter")
-        rows = written(rows.select("pair", "context", "n", "total", "kinds", "p", own.alias("own")), "level")
+        shared = train.sparkSession.sparkContext.broadcast(Bits(strings))
+        found = written(pairs(train, level, shared), "pairs")
+        shared.destroy()
+        contexts = found.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where(F.col("total") >= least)
+        rows = found.join(shorter, "shorter").join(contexts, "context")
+        rows = written(rows.select(F.xxhash64("context", "shorter").alias("pair"), "context", "n", "total", "kinds", "p"), "level")
         unseen = F.greatest(F.lit(0.0), 1 - F.sum("p"))
-        kept = rows.groupBy("context", "total", "kinds").agg(F.sum(F.col("own") * F.log2(F.col("own") / F.col("p"))).alias("seen"),
-                                                             unseen.alias("unseen"))
+        kept = rows.groupBy("context", "total", "kinds").agg(F.sum(own * F.log2(own / F.col("p"))).alias("seen"), unseen.alias("unseen"))
         kept = written(kept.where(F.col("total") * (F.col("seen") + rest * F.col("unseen") * F.log2(rest)) >= gain).select(
             F.col("context").alias("kept"), "total", F.log10(rest).alias("rest")), "kept")
-        ratio = F.log10(F.col("own") / F.col("p")) - F.col("rest")
         after = rows.join(kept.select("kept", "rest"), F.col("context") == F.col("kept"))
-        more = kept.select(F.col("kept").alias("key"), F.col("rest").alias("value"), F.col("total").alias("n")).unionByName(
-            after.select(F.col("pair").alias("key"), ratio.alias("value"), "n"))
+        more = written(kept.select(F.col("kept").alias("key"), F.col("rest").alias("value"), F.col("total").alias("n")).unionByName(
+            after.select(F.col("pair").alias("key"), (F.log10(own / F.col("p")) - F.col("rest")).alias("value"), "n")), "model")
         out = more if out is None else out.unionByName(more)
+        discard(found, *before)
+        before = [rows, kept]
         shorter = rows.join(kept.select("kept"), F.col("context") == F.col("kept"), "left").select(
-            F.col("pair").alias("shorter"), F.when(F.col("kept").isNull(), F.col("p")).otherwise(F.col("own")).alias("p"))
-    return written(out, "model")
+            F.col("pair").alias("shorter"), F.when(F.col("kept").isNull(), F.col("p")).otherwise(own).alias("p"))
+        strings = rows.where(F.col("n") >= least).select(F.col("pair").alias("key"))
+    discard(*before)
+    return out
 
 
 class Short:
@@ -173,23 +216,17 @@ class Short:
         keys, values = own["key"].to_numpy().view(np.uint64), own["value"].to_numpy()
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
-        self.bits = np.zeros(1 << FILTER - 3, np.uint8)
-        # Spark ORs the bits into blocks of 4 KB, so that at most 2 ** (FILTER - 15) rows come to the driver
-        place = F.shiftrightunsigned("key", 64 - FILTER) + 1
-        blocks = entries.where(F.col("n") < self.least).groupBy(F.bitmap_bucket_number(place).alias("block")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-        for block, bits in blocks.collect():
-            self.bits[(block - 1) * len(bits):block * len(bits)] = np.frombuffer(bits, np.uint8)
+        self.bits = Bits(entries)
 
-    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(values, whether the model may have the key among the others)."""
-        values = np.zeros(len(keys))
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            values = np.where(self.keys[at] == keys, self.values[at], 0.0)
-        place = keys >> np.uint64(64 - FILTER)
-        asked = self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1
-        return values, asked.astype(bool)
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of keys that the model may have, their values, whether each may be one of the other entries)."""
+        places = np.flatnonzero(self.bits.may_have(keys))
+        keys = keys[places]
+        if not len(self.keys):
+            return places, np.zeros(len(keys)), np.ones(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        here = self.keys[at] == keys
+        return places, np.where(here, self.values[at], 0.0), ~here
 
 
 def score(docs: DataFrame, least: int = 2, depth: int = 3, gain: float = 16.0, doc_id: str = "doc_id",
@@ -228,11 +265,12 @@ def score(docs: DataFrame, least: int = 2, depth: int = 3, gain: float = 16.0, d
         for rows in _portions(batches):
             of, _, levels = _places([words for _, words in rows], depth)
             gained, asked = np.zeros(len(rows)), []
-            for places, contexts, both in levels:
+            for places, contexts, _, _, both in levels:
                 for own in (contexts, both):
-                    values, more = short.look_up(own)
-                    gained += np.bincount(of[places], values, len(rows))
-                    asked.append((of[places][more], own[more]))
+                    found, values, more = short.look_up(own)
+                    text = of[places[found]]
+                    gained += np.bincount(text, values, len(rows))
+                    asked.append((text[more], own[found[more]]))
             texts, wanted = map(np.concatenate, zip(*asked))
             offsets = np.r_[0, np.cumsum(np.bincount(texts, minlength=len(rows)))].astype(np.int32)
             wanted = pa.array(wanted[np.argsort(texts, kind="stable")].view(np.int64))

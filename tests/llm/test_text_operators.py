@@ -356,6 +356,30 @@ def test_suffix_tree(spark, odd, nothing):
     assert suffix_tree.score(nothing).count() == 0
 
 
+def test_suffix_tree_gathers_repeated_contexts_only(spark):
+    train = spark.createDataFrame([("a b c d",), ("a b e f",), ("g h i j",)], "text string").select(F.col("text").cast("binary"))
+    counts = suffix_tree.word_counts(train).groupBy("word").agg(F.sum("n").alias("c"))
+    shared = spark.sparkContext.broadcast(suffix_tree.Bits(counts.where("c >= 2").select(suffix_tree.identity().alias("key"))))
+    found = suffix_tree.pairs(train, 1, shared)
+    # after the start a and g, after a only b, after b both c and e
+    assert sorted(r.n for r in found.collect()) == [1, 1, 1, 2, 2]
+    both = found.select("context", "shorter", F.xxhash64("context", "shorter").alias("pair")).toArrow()
+    first, second, pair = (both[name].to_numpy().view(np.uint64) for name in both.column_names)
+    assert (suffix_tree._hash_longs(first, second) == pair).all()
+
+
+def test_suffix_tree_leaves_no_working_tables(spark, documents):
+    from pathlib import Path
+
+    from siftline.session import shared_folder
+
+    place = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(place.iterdir())
+    assert suffix_tree.score(documents).count() == documents.count()
+    left = [path.name.split("-")[0] for path in place.iterdir() if path not in before and any(path.iterdir())]
+    assert sorted(left) == ["model", "model", "model", "scored", "words"]
+
+
 def test_heavy_words_are_only_a_short_cut(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in suffix_tree.score(docs).collect()}
