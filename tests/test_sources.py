@@ -240,3 +240,45 @@ def test_links_of_a_search_page(spark):
     pages_ = spark.createDataFrame([(1, html), (2, ""), (3, None)], "page int, html string")
     found = boards.search_result_links(pages_).orderBy("page", "pos").collect()
     assert [(r.page, r.pos, r.kind, r.slug) for r in found] == [(1, 0, "lever", "one"), (1, 1, "comeet", "https://www.comeet.com/jobs/co/1A.00B"), (1, 2, None, None)]
+
+
+def test_plain_pages_give_the_tree_of_the_parser():
+    from siftline.sources import nodes
+
+    def shown(node):
+        return node if isinstance(node, str) else (node.tag, node.attrs, [shown(c) for c in node.children])
+
+    def whole(html):
+        builder = nodes._Builder()
+        builder.feed(html)
+        builder.close()
+        return shown(builder.root)
+
+    plain = ('<ul><li class="a b">one &amp; two<li id="x" id="y">three</ul><br><p a="">4<div><script type="t">if (a) b()</script></div>&lt',
+             "no markup", "", "</p></b>end <h2>x\n</h2>")
+    for html in plain:
+        assert shown(nodes._plain_tree(html)) == whole(html) == shown(nodes.parse(html))
+    for html in ("<!-- c --><p>x", "<P>x</P>", "<a href=x>y</a>", "a < b", "<title>a</title>", "<script>a<b</script>", '<a b="1"c="2">', "<br/>", "<p"):
+        assert nodes._plain_tree(html) is None
+        assert shown(nodes.parse(html)) == whole(html)
+
+
+def test_pages_are_read_in_small_pieces(monkeypatch):
+    """Python holds the texts of PAGES pages at a time, however large a batch is."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from siftline.sources import pages
+
+    class Given:
+        columns = ["k", "html"]
+        schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("html", T.StringType())])
+
+        def mapInArrow(self, run, schema):
+            batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["<p>x</p>"] * 999 + [None])], ["k", "html"])
+            return list(run(iter([batch])))
+
+    out = pages.map_pages(Given(), pages._strings("text"), lambda root, _: [(root.text(),)] * 2)
+    assert max(batch.num_rows for batch in out) <= 2 * pages.PAGES
+    assert [k for batch in out for k in batch.column("k").to_pylist()] == [i for i in range(1000) for _ in range(2)]
+    assert out[-1].column("text").to_pylist()[-2:] == ["", ""]
