@@ -252,17 +252,26 @@ def named_boards(flat: DataFrame, names: DataFrame, keys: list[str] | None = Non
     return joined.withColumn("board_name", F.coalesce("_name", "board_name")).select(flat.columns)
 
 
+#: List rows of so many bytes, by the planner's estimate, are joined in twice as many pieces as the session's shuffles have.
+LARGE = 16 << 20
+
+
 def detail_join(rows: DataFrame, details: DataFrame, keys: list[str], fetched: str | None = None,
                 count_by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """List rows with their detail, and per slug (the first key, or ``count_by``) the number of list rows whose detail is missing.
 
     Details are reduced to one per key before the join, so a key that was fetched many times adds no rows: the one
     with the largest value of the column ``fetched`` (which isn't returned), else the smallest detail.
+
+    Pieces of a shuffle that are small as compressed bytes are put together, and millions of narrow rows that compress well
+    would be sorted in one task. A stated number of pieces stays as it is, if it isn't the one that the grouping gave.
     """
     payload = [c for c in details.columns if c not in (*keys, fetched)]
     detail = F.struct(*payload)
     chosen = F.min(detail) if fetched is None else F.max(F.struct(fetched, detail.alias("d")))["d"]
     one = details.groupBy(*keys).agg(chosen.alias("_d"))
+    if int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= LARGE:
+        one = one.repartition(2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     joined = rows.join(one, keys, "left")
     found = joined.where("_d is not null").select(*rows.columns, "_d.*")
     missing = joined.where("_d is null").groupBy(count_by or keys[0]).agg(F.count("*").alias("missing"))

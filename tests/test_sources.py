@@ -282,3 +282,20 @@ def test_pages_are_read_in_small_pieces(monkeypatch):
     assert max(batch.num_rows for batch in out) <= 2 * pages.PAGES
     assert [k for batch in out for k in batch.column("k").to_pylist()] == [i for i in range(1000) for _ in range(2)]
     assert out[-1].column("text").to_pylist()[-2:] == ["", ""]
+
+
+def test_large_detail_joins_keep_their_pieces(spark, monkeypatch):
+    from siftline.sources import payloads
+
+    monkeypatch.setattr(payloads, "LARGE", 0)
+    rows = spark.range(50_000).selectExpr("id % 1000 as slug", "id as job_id")
+    details = spark.range(900).selectExpr("id as slug", "'d' as body")
+    pieces = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found, missing = payloads.detail_join(rows, details, ["slug"])
+        assert found.rdd.getNumPartitions() == pieces
+        assert found.count() == 45_000 and missing.agg({"missing": "sum"}).first()[0] == 5_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
