@@ -68,6 +68,12 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> list[list[int]]:
     return windows
 
 
+def _as_binary(matrix: np.ndarray) -> pa.Array:
+    """Each row of a matrix as its bytes, without a copy."""
+    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * matrix[0].nbytes
+    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(offsets), pa.py_buffer(matrix)])
+
+
 def pack_matrices(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, pad_id: int = 0,
                   block_tokens: int = 1 << 22, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per window: a row of the token-id matrix with what attention within documents needs.
@@ -84,7 +90,8 @@ def pack_matrices(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, number = word_encoder(tokenizer), TaskContext.get().partitionId() << 33
-        eos = np.array([end_id], "<u4")
+        eos, ramp = np.array([end_id], "<u4").tobytes(), np.arange(size, dtype="<u4")
+        names = [part.split()[0] for part in SCHEMA.split(", ")]
         pieces: list[tuple[int | None, int, np.ndarray]] = []
         held = 0
 
@@ -93,27 +100,29 @@ def pack_matrices(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int
             lengths = np.fromiter((len(x[2]) for x in pieces), np.int64, len(pieces))
             windows = best_fit_decreasing(lengths, size)
             for at in range(0, len(windows), 256):
-                out = []
-                for window in windows[at:at + 256]:
-                    own = [pieces[i] for i in window]
-                    ends = np.cumsum([0, *(len(x[2]) for x in own)])
-                    ids, positions = np.full(size, pad_id, "<u4"), np.empty(size, "<u4")
-                    ids[:ends[-1]] = np.concatenate([x[2] for x in own])
-                    for a, b in zip(ends.tolist(), [*ends[1:].tolist(), size]):
-                        positions[a:b] = np.arange(b - a)
-                    out.append((number, int(ends[-1]), ids.tobytes(), ends.tolist(), positions.tobytes(),
-                                [x[0] for x in own], [x[1] for x in own]))
-                    number += 1
-                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()),
-                         pa.list_(pa.int64()))
-                names = [part.split()[0] for part in SCHEMA.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                some, doc_ids, starts, ends = windows[at:at + 256], [], [], []
+                ids, positions = np.full((len(some), size), pad_id, "<u4"), np.empty((len(some), size), "<u4")
+                for row, window in enumerate(some):
+                    own, end = [pieces[i] for i in window], 0
+                    ends.append([0])
+                    for _, _, piece in own:
+                        start, end = end, end + len(piece)
+                        ids[row, start:end], positions[row, start:end] = piece, ramp[:len(piece)]
+                        ends[-1].append(end)
+                    positions[row, end:] = ramp[:size - end]
+                    doc_ids.append([x[0] for x in own])
+                    starts.append([x[1] for x in own])
+                numbers = pa.array(np.arange(number, number + len(some)))
+                number += len(some)
+                yield pa.RecordBatch.from_arrays(
+                    [numbers, pa.array([x[-1] for x in ends], pa.int32()), _as_binary(ids), pa.array(ends, pa.list_(pa.int32())),
+                     _as_binary(positions), pa.array(doc_ids, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int64()))], names)
             pieces, held = [], 0
 
         for batch in batches:
             texts = (x or "" for x in batch.column(1).to_pylist())
             for key, data in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
-                ids = np.concatenate([np.frombuffer(data, "<u4"), eos])
+                ids = np.frombuffer(data + eos, "<u4")
                 for start in range(0, len(ids), size):
                     pieces.append((key, start, ids[start:start + size]))
                 held += len(ids)

@@ -356,6 +356,13 @@ def test_suffix_tree(spark, odd, nothing):
     assert suffix_tree.score(nothing).count() == 0
 
 
+def test_matrix_rows_become_binary_without_a_copy():
+    matrix = np.arange(12, dtype="<u4").reshape(3, 4)
+    found = best_fit._as_binary(matrix)
+    assert found.to_pylist() == [row.tobytes() for row in matrix]
+    assert found.buffers()[2].address == matrix.ctypes.data
+
+
 def test_suffix_tree_gathers_repeated_contexts_only(spark):
     train = spark.createDataFrame([("a b c d",), ("a b e f",), ("g h i j",)], "text string").select(F.col("text").cast("binary"))
     counts = suffix_tree.word_counts(train).groupBy("word").agg(F.sum("n").alias("c"))
