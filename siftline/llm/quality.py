@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import discard, release, written
 from .tokenizing import Memo, once
 
 DIMENSIONS = 32
@@ -199,7 +199,9 @@ def unit_sums(docs: DataFrame, text: str = "text") -> DataFrame:
 
     schema = ", ".join(["unit long", *(f"{name} int" for name in Sums.NAMES[1:])])
     parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(local, schema)
-    return written(parts.groupBy("unit").agg(*[F.sum(name).alias(name) for name in Sums.NAMES[1:]]), "units")
+    sums = written(parts.groupBy("unit").agg(*[F.sum(name).alias(name) for name in Sums.NAMES[1:]]), "units")
+    release(docs.sparkSession)
+    return sums
 
 
 def _vectors(units: np.ndarray, n: np.ndarray, sums: np.ndarray) -> np.ndarray:
@@ -239,11 +241,11 @@ def pooled(docs: DataFrame, sums: DataFrame, doc_id: str = "doc_id", text: str =
     least = frequent(sums)
     units, vectors = _read(sums.where(F.col("n") >= least).toArrow())
     order = np.argsort(units)
-    shared = docs.sparkSession.sparkContext.broadcast((units[order], vectors[order]))  # at most 18 MB
+    # at most 18 MB; the last row is that of units which aren't among them, so that no task copies the table to add it
+    shared = docs.sparkSession.sparkContext.broadcast((units[order], np.r_[vectors[order], np.zeros((1, DIMENSIONS), np.float32)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, (keys, vectors) = once(Units), shared.value
-        table = np.r_[vectors, np.zeros((1, DIMENSIONS), np.float32)]
+        units, (keys, table) = once(Units), shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -294,7 +296,9 @@ def pooled(docs: DataFrame, sums: DataFrame, doc_id: str = "doc_id", text: str =
     more = F.concat(F.coalesce("more_words", zeros), F.coalesce("more_shapes", zeros))
     means = F.zip_with("sums", more, lambda a, b: (a + b) / F.greatest(F.col("n"), F.lit(1)))
     features = F.concat(means, F.array(F.log1p("n") / 10)).cast("array<float>")
-    return rows.drop("words", "shapes").join(added, "row", "left").select("doc_id", features.alias("features"), "number")
+    found = written(rows.drop("words", "shapes").join(added, "row", "left").select("doc_id", features.alias("features"), "number"), "pooled")
+    discard(rows)
+    return found
 
 
 @dataclass
@@ -374,7 +378,9 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: f
     contradict each other for one id are not learned from; of rows that repeat an id one is. A row with a null id is
     scored, and not held out. ``row`` names a column that is carried to the result.
     """
-    features = written(pooled(docs, unit_sums(docs, text), doc_id, text, row), "pooled")
+    sums = unit_sums(docs, text)
+    features = pooled(docs, sums, doc_id, text, row)
+    discard(sums)
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(
         F.min(label).alias("y"), F.max(label).alias("high")).where("y = high and doc_id is not null")
     learn = features.withColumn("fold", fold()).where("fold != 2").join(known, "doc_id").select(

@@ -387,6 +387,18 @@ def test_suffix_tree_leaves_no_working_tables(spark, documents):
     assert sorted(left) == ["model", "model", "model", "scored", "words"]
 
 
+def test_quality_leaves_no_working_tables(spark, documents):
+    from pathlib import Path
+
+    from siftline.session import shared_folder
+
+    place = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(place.iterdir())
+    few = documents.limit(20)
+    assert quality.score(few, few.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")).count() == 20
+    assert [path.name.split("-")[0] for path in place.iterdir() if path not in before and any(path.iterdir())] == ["pooled"]
+
+
 def test_heavy_words_are_only_a_short_cut(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in suffix_tree.score(docs).collect()}
