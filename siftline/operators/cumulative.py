@@ -135,6 +135,11 @@ def expire_cumulative(current: DataFrame, as_of: Column, rules: RuleSet) -> Data
     return current.where(is_fresh(as_of, rules))
 
 
+def without_sector() -> Column:
+    """Stored rows that no run has classified yet."""
+    return text_or_empty(F.col("company_type")) == ""
+
+
 def apply_company_types(current: DataFrame, run_types: DataFrame, rules: RuleSet) -> DataFrame:
     """This run's sector of a company wins; a stored row without one is classified by name and address."""
     empty = F.lit("")
@@ -143,7 +148,7 @@ def apply_company_types(current: DataFrame, run_types: DataFrame, rules: RuleSet
     by_name = companies.company_sector(F.col("company"), empty, empty, F.col("url"), empty, rules)["type"]
     joined = keyed.join(types, keyed["company_key"] == types["_company"], "left")
     chosen = F.when(F.col("_run_type").isNotNull(), F.col("_run_type")).when(
-        text_or_empty(F.col("company_type")) != "", F.col("company_type")).otherwise(by_name)
+        without_sector(), by_name).otherwise(F.col("company_type"))
     return joined.withColumn("company_type", chosen).drop("_company", "_run_type", "company_key")
 
 

@@ -84,7 +84,7 @@ def run_on_state(postings: DataFrame, folder: str, as_of: Column, run_date: str,
     """One run on a state folder: only the buckets that it changes are read as a whole and written again.
 
     Postings find their rows by the identities of all stored rows, a narrow scan. A bucket changes where one of its rows is continued, added,
-    retracted, expired, or belongs to a company whose sector the run has seen. The new version is committed on the one that was
+    retracted, expired, without a sector, or belongs to a company whose sector the run has seen. The new version is committed on the one that was
     read; if another run has been faster, the commit fails (``state.Superseded``) and what was written stays where it is. A run date that is
     committed already, or a batch no newer than the last one, changes nothing: the answer is None. Slugs probed in this
     run (slug) go into the cache of probes with the same commit. ``current`` of the answer has the changed buckets; the counts are of all.
@@ -98,11 +98,11 @@ def run_on_state(postings: DataFrame, folder: str, as_of: Column, run_date: str,
     stored = state.read_state(spark, folder, version=version)
     matched = persisted(cumulative.match_existing(kept, stored, rules), "matched")
     company = cumulative.companies.company_key(F.col("company"), rules)
-    narrow = stored.select("key", "date_iso", company.alias("company_key"))
+    narrow = stored.select("key", "date_iso", "company_type", company.alias("company_key"))
     changed = [matched.select(F.coalesce("stored_key", "key").alias("key")),
                narrow.join(retractions.select("key"), "key", "left_semi").select("key"),
                narrow.join(types.select("company_key"), "company_key", "left_semi").select("key"),
-               narrow.where(~cumulative.is_fresh(as_of, rules)).select("key")]
+               narrow.where(~cumulative.is_fresh(as_of, rules) | cumulative.without_sector()).select("key")]
     touched = state.buckets_of(changed, buckets)
     merged = cumulative.apply_matches(state.read_state(spark, folder, touched, version), matched, as_of)
     result = _merge(merged, as_of, rules, evaluated, kept, types, retractions, counts)

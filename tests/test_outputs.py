@@ -96,6 +96,19 @@ def test_a_run_that_touches_one_bucket_writes_one(spark, rules, tmp_path):
     assert len(state.current_version(spark, folder)["written"]) == 1 and state.read_state(spark, folder).count() == 30
 
 
+def test_stored_rows_without_a_sector_get_one_in_any_bucket(spark, rules, tmp_path):
+    """A run that touches nothing else classifies them by name and address, as a run on the whole table does."""
+    folder, day = str(tmp_path / "state"), F.lit("2026-09-24").cast("date")
+    stored = current(spark, *({"key": f"k{i}", "company": f"Firm {i}", "company_type": "" if i % 2 else L.MEDIA} for i in range(12)))
+    state.write_state(stored, folder, "2026-09-10", buckets=16)
+    nothing = raw(spark, {"url": "https://x.com/1", "title": "Plumber"})
+    found = daily_run.run_on_state(nothing, folder, day, "2026-09-24", rules)
+    whole = daily_run.run(nothing, stored, day, rules)
+    types = {r.key: r.company_type for r in state.read_state(spark, folder).collect()}
+    assert types == {r.key: r.company_type for r in whole.current.collect()}
+    assert set(types.values()) == {L.MEDIA, L.OTHER} and found.counts == whole.counts
+
+
 def test_lenient_state(spark):
     df = spark.createDataFrame([('{"title":"T","key":"k","nope":1,"date_iso":"2026-09-01","ord":3}',), ("{}",)], "json string")
     rows = state.parse_state(df).orderBy("key").collect()
