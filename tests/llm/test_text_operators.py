@@ -241,6 +241,22 @@ def test_encoders_are_exact():
         assert all(encoder.decode(ids[k:k + 1]) in text[a:b].encode() for k, (a, b) in enumerate(zip(starts, ends)))
 
 
+def test_letters_that_become_a_letter_and_a_mark():
+    """A mark and what follows it are one pre-token, so a letter that isn't one any more is not cut off."""
+    encoder = tokenizing.WordEncoder(WORDS)
+    texts = ["\u0958. a", "x \u095c!?", "\u0130. I\u0307.", "a.'s b.'ll don't. \u00e9t\u00e9, \u0416.", "h\u0331. H\u0331. T\u0308,", "A.B. 3.5! ...z"]
+    whole = [np.asarray(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for text in texts]
+    assert list(encoder.encode(texts)) == whole
+
+
+def test_a_worker_keeps_what_it_works_with_now(monkeypatch):
+    monkeypatch.setattr(tokenizing, "_loaded", {})
+    first = tokenizing.once(list)
+    assert tokenizing.once(list) is first
+    other = tokenizing.once(dict)
+    assert tokenizing.once(dict) is other and list(tokenizing._loaded.values()) == [other]
+
+
 def test_byte_bpe_query(spark, documents):
     exact = tiktoken.Encoding("own", pat_str=BYTES[1], mergeable_ranks=tokenizing.read_ranks(BYTES[0]), special_tokens={})
     texts = dict(_texts(documents))
