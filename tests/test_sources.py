@@ -299,3 +299,14 @@ def test_large_detail_joins_keep_their_pieces(spark, monkeypatch):
         assert found.count() == 45_000 and missing.agg({"missing": "sum"}).first()[0] == 5_000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_an_element_is_walked_once_until_something_is_removed(monkeypatch):
+    from siftline.sources import nodes
+
+    walked, walk = [], nodes.Node.walk
+    monkeypatch.setattr(nodes.Node, "walk", lambda self: walked.append(self) or walk(self))
+    root = nodes.parse('<div class="a"><p><b>x</b></p></div><p id="q"><i>y</i></p>')
+    assert [root.first(s).tag for s in ("p", "div.a b", "#q, i", "i")] == ["p", "b", "p", "i"] and len(walked) == 1
+    root.first("b").parent.remove()
+    assert root.first("b") is None and root.first(".a").children == [] and root.first_text("p") == "y" and len(walked) == 2
