@@ -101,7 +101,7 @@ def pack_matrices(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int
             windows = best_fit_decreasing(lengths, size)
             for at in range(0, len(windows), 256):
                 some, doc_ids, starts, ends = windows[at:at + 256], [], [], []
-                ids, positions = np.full((len(some), size), pad_id, "<u4"), np.empty((len(some), size), "<u4")
+                ids, positions = np.empty((len(some), size), "<u4"), np.empty((len(some), size), "<u4")
                 for row, window in enumerate(some):
                     own, end = [pieces[i] for i in window], 0
                     ends.append([0])
@@ -109,7 +109,7 @@ def pack_matrices(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int
                         start, end = end, end + len(piece)
                         ids[row, start:end], positions[row, start:end] = piece, ramp[:len(piece)]
                         ends[-1].append(end)
-                    positions[row, end:] = ramp[:size - end]
+                    ids[row, end:], positions[row, end:] = pad_id, ramp[:size - end]
                     doc_ids.append([x[0] for x in own])
                     starts.append([x[1] for x in own])
                 numbers = pa.array(np.arange(number, number + len(some)))
