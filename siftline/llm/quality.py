@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -14,17 +15,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .suffix_tree import Bits
 from .tables import discard, release, written
-from .tokenizing import Memo, once
 
 DIMENSIONS = 32
 NONZERO = 4  # of an index vector, one in each part of it
 WINDOW = 2  # neighbours on either side
 FREQUENT = 1 << 17  # most frequent units whose vectors every executor has
-HELD = 131_072  # units whose sums a task holds before it passes them on
+HELD = 3 << 17  # units whose sums a task holds before it passes them on
 PIECE = 1 << 18  # characters of a text that a task works on at a time, and eight times the words of several
 TOKENS = 1 << 26  # words whose sums a task adds up at most, so that 32 bits do
-MEMORY = 60_000  # words a worker remembers, twice
+MEMORY = 200_000  # words a task remembers before it forgets them
+FILTER = 27  # bits of a unit by which a task tells that it is there only once
 MARKS = ".,;:!?*#$%&|"
 
 _LETTERS = regex.compile(r"\p{L}+")
@@ -46,15 +48,31 @@ def _marks(text: str) -> str:
     return regex.sub(r"(.)\1+", r"\1+", marks)
 
 
-class Units:
-    """Texts to pairs of units: the word in small letters, and its shape (of its own, where it repeats the word before)."""
+class Units(dict):
+    """Words to numbers, each word with two units: the word in small letters, and its shape (of its own, where it repeats the word before).
+
+    The units have numbers too, in the order they come; ``units`` holds them by number.
+    """
 
     REPEATED = _hash("", 2)
 
     def __init__(self):
-        self.memo = Memo(lambda words: list(map(self._both, words)), MEMORY)
+        super().__init__()
+        self.units = array("Q", [self.REPEATED])
+        self.known = {self.REPEATED: 0}
+        self.pairs = array("i")
         self.shapes: dict[tuple[str, str], int] = {}
 
+    def __missing__(self, word: str) -> int:
+        for unit in self._both(word):
+            number = self.known.get(unit)
+            if number is None:
+                number = self.known[unit] = len(self.units)
+                self.units.append(unit)
+            self.pairs.append(number)
+        self[word] = at = len(self)
+        return at
+
     def _both(self, word: str) -> tuple[int, int]:
         """Both units. Most words are letters with a few marks behind them."""
         letters = word.rstrip(MARKS)
@@ -62,29 +80,35 @@ class Units:
             case, rest = _case(letters), word[len(letters):]
         else:
             letters, case, rest = "".join(_LETTERS.findall(word)), "", word
-        if len(self.shapes) > MEMORY:
+        if len(self.shapes) > MEMORY // 4:
             self.shapes = {}
         shape = self.shapes.get((case, rest))
         if shape is None:
             shape = self.shapes[case, rest] = _hash(case + _marks(rest), 1)
         return _hash(letters.lower(), 0), shape
 
-    def of(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word units, shape units, number of words of each list of words)."""
-        distinct = set().union(*split)
-        known = self.memo.learn(distinct)
-        number = {word: k for k, word in enumerate(distinct)}
-        both = np.array([known[word] for word in number], np.uint64).reshape(-1, 2)
+    def numbers(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of the word units, numbers of the shape units, number of words of each list of words)."""
+        if len(self) >= MEMORY:
+            self.clear()
+            self.pairs = array("i")
         lengths = np.fromiter(map(len, split), np.int64, len(split))
-        both = both[np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))]
-        words, shapes = both[:, 0], both[:, 1].copy()
-        same = np.zeros(len(both), bool)
-        same[1:] = (both[1:] == both[:-1]).all(axis=1)
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int32, int(lengths.sum()))
+        words, shapes = np.array(self.pairs, np.int32).reshape(-1, 2).T
+        words, shapes = words[at], shapes[at]
+        same = np.zeros(len(at), bool)
+        same[1:] = (words[1:] == words[:-1]) & (shapes[1:] == shapes[:-1])
         starts = np.cumsum(lengths)[:-1]
-        same[starts[starts < len(both)]] = False
-        shapes[same] = self.REPEATED
+        same[starts[starts < len(at)]] = False
+        shapes[same] = 0
         return words, shapes, lengths
 
+    def of(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word units, shape units, number of words of each list of words)."""
+        words, shapes, lengths = self.numbers(split)
+        units = np.array(self.units, np.uint64)
+        return units[words], units[shapes], lengths
+
 
 def _pieces(texts: Iterable[str]) -> Iterator[tuple[int, list[str], int, int]]:
     """(number of the text, words, how many in front and behind are only neighbours): a long text comes in several pieces."""
@@ -129,23 +153,45 @@ def index_vectors(units: np.ndarray) -> np.ndarray:
     return vectors
 
 
-def _contexts(words: np.ndarray, shapes: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of the words that count, and of their shapes, (units, sums): how often, and the sum of the index vectors of the neighbours."""
-    apart = np.repeat(np.cumsum(lengths)[:-1], WINDOW)
-    between = np.insert(np.zeros(len(words), bool), apart, True)
-    found = [np.unique(units, return_inverse=True) for units in (words, shapes)]
-    own = np.zeros((DIMENSIONS, len(between)), np.float32)
-    own[:, ~between] = sum(index_vectors(units).T[:, at] for units, at in found)
+class Grown:
+    """An array with a row for each number of a unit, which ``make`` gives for units that are new."""
+
+    def __init__(self, make: Callable[[np.ndarray], np.ndarray]):
+        self.make, self.size = make, 0
+        self.table = make(np.empty(0, np.uint64))
+
+    def of(self, units: Units) -> np.ndarray:
+        new = np.array(units.units[self.size:], np.uint64)
+        if len(new):
+            if len(units.units) > len(self.table):
+                more = np.zeros((max(5 * len(self.table) // 4, len(units.units)), *self.table.shape[1:]), self.table.dtype)
+                more[:self.size] = self.table[:self.size]
+                self.table = more
+            self.table[self.size:len(units.units)] = self.make(new)
+            self.size = len(units.units)
+        return self.table
+
+
+def _small_vectors(units: np.ndarray) -> np.ndarray:
+    return index_vectors(units).astype(np.int8)
+
+
+def _contexts(words: np.ndarray, shapes: np.ndarray, lengths: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """For each word the sum of the index vectors of its neighbours and of their shapes; none is over 4 * WINDOW, so a byte holds it."""
+    between = np.insert(np.zeros(len(words), bool), np.repeat(np.cumsum(lengths)[:-1], WINDOW), True)
+    own = np.zeros((len(between), DIMENSIONS), np.int8)
+    own[~between] = vectors.take(words, axis=0) + vectors.take(shapes, axis=0)
     around = np.zeros_like(own)
     for step in range(1, WINDOW + 1):
-        around[:, step:] += own[:, :-step]
-        around[:, :-step] += own[:, step:]
-    around = around[:, ~between][:, counts]
-    sums = []
-    for units, at in found:
-        there, at = np.unique(at[counts], return_inverse=True)
-        sums.append((units[there], np.stack([np.bincount(at, minlength=len(there)), *(np.bincount(at, row, len(there)) for row in around)], 1)))
-    return sums
+        around[step:] += own[:-step]
+        around[:-step] += own[step:]
+    return around[~between]
+
+
+def _added(keys: np.ndarray, rows: np.ndarray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sums of their rows) of sorted keys."""
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, int)
+    return keys[starts], np.add.reduceat(rows, starts, axis=0, dtype=dtype) if len(keys) else rows.astype(dtype)
 
 
 class Sums:
@@ -154,52 +200,100 @@ class Sums:
     NAMES = ["unit", "n", *(f"s{k}" for k in range(DIMENSIONS))]
 
     def __init__(self):
-        self.rows: dict[int, int] = {}
-        self.table = np.zeros((1 << 14, DIMENSIONS + 1), np.int32)
+        self.units, self.vectors = Units(), Grown(_small_vectors)
+        self.sums = Grown(lambda new: np.zeros((len(new), DIMENSIONS + 1), np.int32))
         self.tokens = 0
 
-    def add(self, units: np.ndarray, sums: np.ndarray) -> None:
-        rows = self.rows
-        at = np.array([rows.setdefault(unit, len(rows)) for unit in units.tolist()], np.int64)
-        if len(rows) > len(self.table):
-            more = np.zeros((max(len(rows), 2 * len(self.table)), DIMENSIONS + 1), np.int32)
-            more[:len(self.table)] = self.table
-            self.table = more
-        self.table[at] += sums.astype(np.int32)
-        self.tokens += int(sums[:, 0].sum())
+    def add(self, split: list[list[str]], counts: np.ndarray) -> None:
+        """Of the words that count, and of their shapes: how often, and the sum of their contexts."""
+        words, shapes, lengths = self.units.numbers(split)
+        around = _contexts(words, shapes, lengths, self.vectors.of(self.units))
+        table = self.sums.of(self.units)
+        for own in (words, shapes):
+            at = np.flatnonzero(counts)
+            at = at[np.argsort(own[at], kind="stable")]
+            there, sums = _added(own[at], around.take(at, axis=0), np.int32)
+            table[there, 1:] += sums
+            table[there, 0] += np.diff(np.r_[np.searchsorted(own[at], there), len(at)]).astype(np.int32)
+        self.tokens += 2 * int(counts.sum())
 
     def full(self) -> bool:
-        return len(self.rows) >= HELD or self.tokens >= TOKENS
+        return len(self.units.units) >= HELD or self.tokens >= TOKENS
 
     def passed_on(self) -> Iterator[pa.RecordBatch]:
-        units = np.fromiter(self.rows, np.uint64, len(self.rows)).view(np.int64)
-        for at in range(0, len(units), 20_000):
-            some = self.table[at:min(at + 20_000, len(units))]
-            yield pa.RecordBatch.from_arrays([pa.array(units[at:at + 20_000]), *(pa.array(np.ascontiguousarray(c)) for c in some.T)], self.NAMES)
+        units, table = np.array(self.units.units, np.uint64).view(np.int64), self.sums.of(self.units)
+        there = np.flatnonzero(table[:len(units), 0])
+        for at in range(0, len(there), 20_000):
+            some = there[at:at + 20_000]
+            yield from _narrow(units[some], table[some, 0], table[some, 1:])
         self.__init__()
 
 
+def _narrow(units: np.ndarray, n: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(unit, n, sums), where the sums of a row have half a byte each, or one, two, four or eight, as the largest needs."""
+    largest, least = np.abs(sums).max(axis=1, initial=0), -1
+    for bits, most in ((4, 7), (8, 127), (16, 32767), (32, (1 << 31) - 1), (64, (1 << 63) - 1)):
+        here = np.flatnonzero((largest > least) & (largest <= most))
+        least = most
+        if len(here):
+            own = sums[here]
+            data = ((own[:, ::2] + 8) << 4 | own[:, 1::2] + 8).astype(np.uint8) if bits == 4 else own.astype(f"<i{bits // 8}")
+            ends = np.arange(len(here) + 1, dtype=np.int32) * (DIMENSIONS * bits // 8)
+            packed = pa.Array.from_buffers(pa.binary(), len(here), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+            yield pa.RecordBatch.from_arrays([pa.array(units[here]), pa.array(n[here], pa.int64()), packed], ["unit", "n", "sums"])
+
+
+def _wide(packed: pa.Array) -> np.ndarray:
+    """The sums of ``_narrow``."""
+    sums = np.empty((len(packed), DIMENSIONS), np.int64)
+    if not len(packed):
+        return sums
+    _, ends, data = packed.buffers()
+    ends = np.frombuffer(ends, np.int32)[packed.offset:packed.offset + len(packed) + 1]
+    data = np.frombuffer(data, np.uint8)
+    for width in np.unique(np.diff(ends)).tolist():
+        here = np.flatnonzero(np.diff(ends) == width)
+        own = data[ends[here][:, None] + np.arange(width)]
+        if 2 * width == DIMENSIONS:
+            sums[here, ::2], sums[here, 1::2] = (own >> 4).astype(int) - 8, (own & 15).astype(int) - 8
+        else:
+            sums[here] = own.view(f"<i{width // DIMENSIONS}")
+    return sums
+
+
 def unit_sums(docs: DataFrame, text: str = "text") -> DataFrame:
     """(unit, n, s0, ...) of every word and shape of all documents: how often it is there, and the sum of its contexts.
 
-    The table grows with the vocabulary. Each task adds up what it has room for, Spark the rest; all sums are
-    of whole numbers, so their order doesn't matter.
+    The table grows with the vocabulary. Each task adds up what it has room for; the sums of a unit come together in
+    order, so that adding up needs no room. All sums are of whole numbers, so their order doesn't matter.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, sums = once(Units), Sums()
+        sums = Sums()
         for batch in batches:
             for _, split, counts in _portions(x.as_py() or "" for x in batch.column(0)):
                 if counts.any():
-                    for found in _contexts(*units.of(split), counts):
-                        sums.add(*found)
+                    sums.add(split, counts)
                 if sums.full():
                     yield from sums.passed_on()
         yield from sums.passed_on()
 
-    schema = ", ".join(["unit long", *(f"{name} int" for name in Sums.NAMES[1:])])
-    parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(local, schema)
-    sums = written(parts.groupBy("unit").agg(*[F.sum(name).alias(name) for name in Sums.NAMES[1:]]), "units")
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, sums = np.empty(0, np.int64), np.empty((0, DIMENSIONS + 1), np.int64)
+        for batch in chain(batches, (None,)):
+            last = batch is None
+            if not last:
+                units = np.r_[units, batch.column(0).to_numpy()]
+                sums = np.r_[sums, np.c_[batch.column(1).to_numpy(), _wide(batch.column(2))]]
+            units, sums = _added(units, sums, np.int64)
+            done = len(units) - (not last)  # rows of the last unit may follow
+            if done > 0:
+                yield pa.RecordBatch.from_arrays([pa.array(units[:done]), *(pa.array(np.ascontiguousarray(c)) for c in sums[:done].T)], Sums.NAMES)
+                units, sums = units[done:], sums[done:]
+
+    parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(local, "unit long, n long, sums binary")
+    parts = parts.repartition("unit").sortWithinPartitions("unit")
+    sums = written(parts.mapInArrow(together, ", ".join(f"{name} long" for name in Sums.NAMES)), "units")
     release(docs.sparkSession)
     return sums
 
@@ -236,68 +330,102 @@ def _unit_length(x: np.ndarray) -> np.ndarray:
 def pooled(docs: DataFrame, sums: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """(doc_id, features, number): per row of ``docs`` the mean vector of its words, that of its shapes, and the log of its length.
 
-    ``number`` is the column ``row``, if that is given. Vectors of frequent units, a fixed number, are looked up by each task, the others by a join.
+    ``number`` is the column ``row``, if that is given. Vectors of frequent units, a fixed number, are looked up by each task. A
+    unit that is there only once has its whole context where it is met. The sums of the others come by a join.
     """
+    spark = docs.sparkSession
     least = frequent(sums)
     units, vectors = _read(sums.where(F.col("n") >= least).toArrow())
     order = np.argsort(units)
+    bits = Bits(sums.where((F.col("n") > 1) & (F.col("n") < least)).select(F.col("unit").alias("key")), FILTER)
     # at most 18 MB; the last row is that of units which aren't among them, so that no task copies the table to add it
-    shared = docs.sparkSession.sparkContext.broadcast((units[order], np.r_[vectors[order], np.zeros((1, DIMENSIONS), np.float32)]))
+    shared = spark.sparkContext.broadcast((units[order], np.r_[vectors[order], np.zeros((1, DIMENSIONS), np.float32)], bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, (keys, table) = once(Units), shared.value
+        keys, table, bits = shared.value
+
+        def places(units: np.ndarray) -> np.ndarray:
+            """Where the table has the unit's vector; -1: the join has its sums; -2: it is there only once."""
+            found = np.searchsorted(keys, units)
+            known = found < len(keys)
+            known[known] = keys[found[known]] == units[known]
+            return np.where(known, found, np.where(bits.may_have(units), -1, -2)).astype(np.int32)
+
+        units, place, small = Units(), Grown(places), Grown(_small_vectors)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sums, total = np.zeros((part.num_rows, 2 * DIMENSIONS)), np.zeros(part.num_rows, np.int64)
-                others: list[list[list[np.ndarray]]] = [[[] for _ in range(part.num_rows)] for _ in range(2)]
+                others: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
                 for numbers, split, counts in _portions(x.as_py() or "" for x in part.column(1)):
-                    *both, lengths = units.of(split)
+                    if len(units.units) >= HELD:
+                        units, place, small = Units(), Grown(places), Grown(_small_vectors)
+                    *both, lengths = units.numbers(split)
                     ends = np.cumsum(lengths).tolist()
+                    text = np.repeat(numbers, lengths)
+                    total += np.bincount(text[counts], minlength=part.num_rows)
+                    found, around = place.of(units), _contexts(*both, lengths, small.of(units))
                     for k, own in enumerate(both):
-                        distinct, places = np.unique(own, return_inverse=True)
-                        found = np.searchsorted(keys, distinct)
-                        known = found < len(keys)
-                        known[known] = keys[found[known]] == distinct[known]
-                        found[~known] = len(keys)
-                        values = table[found[places]]
+                        here = found[own]
+                        values = table.take(here, axis=0, mode="wrap")
+                        values[(here < 0) | ~counts] = 0
+                        once = np.flatnonzero((here == -2) & counts)
+                        seen = np.array(units.units, np.uint64)
+                        values[once] = _vectors(seen[own[once]], np.ones(len(once), np.float32), around[once].astype(np.float32))
                         for number, first, end in zip(numbers, [0, *ends], ends):
-                            here = counts[first:end]
-                            sums[number, k * DIMENSIONS:(k + 1) * DIMENSIONS] += values[first:end][here].sum(axis=0, dtype=np.float64)
-                            others[k][number].append(own[first:end][here & ~known[places[first:end]]])
-                            if k == 0:
-                                total[number] += int(here.sum())
+                            sums[number, k * DIMENSIONS:(k + 1) * DIMENSIONS] += values[first:end].sum(axis=0, dtype=np.float64)
+                        asked = np.flatnonzero((here == -1) & counts)
+                        others[k].append((text[asked], seen[own[asked]]))
                 columns = []
-                for lists in others:
-                    rare = [np.concatenate(own) if own else np.empty(0, np.uint64) for own in lists]
-                    offsets = np.r_[0, np.cumsum([len(own) for own in rare])].astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rare).view(np.int64))))
+                for found in others:
+                    text, rare = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+                    offsets = np.r_[0, np.cumsum(np.bincount(text, minlength=part.num_rows))].astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare.view(np.int64))))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1, dtype=np.int32) * sums.shape[1]), pa.array(sums.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total), flat, *columns, part.column(2)],
                                                  ["doc_id", "n", "sums", "words", "shapes", "number"])
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All units that a task may ask for."""
         for batch in batches:
-            if batch.num_rows:
-                units, vectors = _read(batch)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in vectors.T)], ["unit", *names])
+            may = np.flatnonzero(shared.value[2].may_have(batch.column(0).to_numpy().view(np.uint64)))
+            units, n, *own = (column.to_numpy()[may] for column in batch.columns)
+            yield from _narrow(units, n, np.stack(own, 1))
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Features of documents with the units asked for, half of them words and half of them shapes."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc_ids, n, sums, asked, number = batch.columns
+            sums, n = sums.flatten().to_numpy().reshape(-1, 2 * DIMENSIONS).copy(), n.to_numpy()
+            kinds, units, times, packed = asked.flatten().flatten()
+            text = np.repeat(np.arange(len(n)), asked.value_lengths().fill_null(0).to_numpy())
+            slot = 2 * text + kinds.to_numpy()
+            order = np.argsort(slot, kind="stable")
+            vectors = _vectors(units.to_numpy().view(np.uint64), times.to_numpy().astype(np.float32), _wide(packed).astype(np.float32))
+            there, more = _added(slot[order], vectors[order], np.float64)
+            sums.reshape(-1, DIMENSIONS)[there] += more
+            features = np.c_[sums / np.maximum(n, 1)[:, None], np.log1p(n) / 10].astype(np.float32)
+            offsets = np.arange(len(n) + 1, dtype=np.int32) * features.shape[1]
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(features.ravel())), number],
+                                             ["doc_id", "features", "number"])
 
     number = F.lit(None) if row is None else F.col(row)
     narrow = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string"), number.cast("long"))
+    release(spark)
     rows = narrow.mapInArrow(run, "doc_id long, n long, sums array<double>, words array<long>, shapes array<long>, number long")
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "sums")
-    names = [f"v{k}" for k in range(DIMENSIONS)]
-    rare = sums.where(F.col("n") < least).mapInArrow(looked_up, "unit long, " + ", ".join(f"{name} float" for name in names))
-    asked = rows.select("row", F.lit("words").alias("kind"), F.explode("words").alias("unit")).unionByName(
-        rows.select("row", F.lit("shapes").alias("kind"), F.explode("shapes").alias("unit")))
-    added = asked.join(rare, "unit").groupBy("row", "kind").agg(F.array(*[F.sum(name) for name in names]).alias("more"))
-    added = added.groupBy("row").agg(*[F.max(F.when(F.col("kind") == kind, F.col("more"))).alias("more_" + kind) for kind in ("words", "shapes")])
-    zeros = F.array_repeat(F.lit(0.0), DIMENSIONS)
-    more = F.concat(F.coalesce("more_words", zeros), F.coalesce("more_shapes", zeros))
-    means = F.zip_with("sums", more, lambda a, b: (a + b) / F.greatest(F.col("n"), F.lit(1)))
-    features = F.concat(means, F.array(F.log1p("n") / 10)).cast("array<float>")
-    found = written(rows.drop("words", "shapes").join(added, "row", "left").select("doc_id", features.alias("features"), "number"), "pooled")
-    discard(rows)
+    rare = sums.where(F.col("n") < least).mapInArrow(looked_up, "unit long, n long, sums binary")
+    asked = rows.select("row", F.lit(0).alias("kind"), F.explode("words").alias("unit")).unionByName(
+        rows.select("row", F.lit(1).alias("kind"), F.explode("shapes").alias("unit")))
+    given = written(asked.join(rare, "unit").select("row", "kind", "unit", "n", "sums"), "given")
+    shared.destroy()
+    release(spark)
+    given_by_row = given.groupBy("row").agg(F.collect_list(F.struct("kind", "unit", "n", "sums")).alias("asked"))
+    together = rows.drop("words", "shapes").join(given_by_row, "row", "left").select("doc_id", "n", "sums", "asked", "number")
+    found = written(together.mapInArrow(means, "doc_id long, features array<float>, number long"), "pooled")
+    discard(rows, given)
     return found
 
 

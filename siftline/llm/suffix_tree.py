@@ -129,17 +129,17 @@ def _places(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarra
 class Bits:
     """Bits of the hashes of keys, which rule out most others: a key that isn't among them is seldom told to be."""
 
-    def __init__(self, keys: DataFrame):
-        self.bits = np.zeros(1 << FILTER - 3, np.uint8)
-        # Spark ORs the bits into blocks of 4 KB, so that at most 2 ** (FILTER - 15) rows come to the driver
-        place = F.shiftrightunsigned("key", 64 - FILTER) + 1
+    def __init__(self, keys: DataFrame, size: int = FILTER):
+        self.size, self.bits = size, np.zeros(1 << size - 3, np.uint8)
+        # Spark ORs the bits into blocks of 4 KB, so that at most 2 ** (size - 15) rows come to the driver
+        place = F.shiftrightunsigned("key", 64 - size) + 1
         blocks = keys.groupBy(F.bitmap_bucket_number(place).alias("block")).agg(
             F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
         for block, bits in blocks.collect():
             self.bits[(block - 1) * len(bits):block * len(bits)] = np.frombuffer(bits, np.uint8)
 
     def may_have(self, keys: np.ndarray) -> np.ndarray:
-        place = keys >> np.uint64(64 - FILTER)
+        place = keys >> np.uint64(64 - self.size)
         return (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 

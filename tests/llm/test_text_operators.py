@@ -558,3 +558,34 @@ def test_long_pre_tokens_need_no_trie():
         assert counter._along(token_counts.MARK + word) == counter._insert(token_counts.MARK + word)
     before = len(counter.children)
     assert counter.tokens("abc" * 100_000) > 1000 and len(counter.children) == before
+
+
+def test_sums_are_passed_on_in_few_bytes_and_read_again():
+    random = np.random.default_rng(11)
+    words = [f"{''.join(random.choice(list('abcdefgh'), 6))}" for _ in range(5000)] + ["the"] * 3000
+    sums = quality.Sums()
+    sums.add([words], np.ones(len(words), bool))
+    want = {unit: row.tolist() for unit, row in zip(sums.units.units, sums.sums.of(sums.units).copy()) if row[0]}
+    batches = list(sums.passed_on())
+    got = {unit % (1 << 64): [n, *row] for b in batches for unit, n, row in
+           zip(b.column(0).to_pylist(), b.column(1).to_pylist(), quality._wide(b.column(2)).tolist())}
+    assert got == want
+    assert sum(b.column(2).buffers()[2].size for b in batches) < 17 * len(want) + 1000
+    values = np.array([[0, -7] * 16, [8, -128] * 16, [127, 0] * 16, [-40_000, 3] * 16, [1 << 40, -5] * 16])
+    back = {u: row for b in quality._narrow(np.arange(5), np.ones(5, int), values) for u, row in zip(b.column(0).to_pylist(), quality._wide(b.column(2)).tolist())}
+    assert [back[k] for k in range(5)] == values.tolist()
+
+
+def test_units_that_occur_once_are_not_joined(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FREQUENT", 0)
+    tables = {}
+    plain = quality.written
+    monkeypatch.setattr(quality, "written", lambda df, name: tables.setdefault(name, plain(df, name)))
+    monkeypatch.setattr(quality, "discard", lambda *_: None)
+    texts = ["alpha beta gamma beta delta", "epsilon zeta, gamma!", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, features = brute_quality(texts)
+    rows = {r.doc_id: r.features for r in quality.pooled(docs, quality.unit_sums(docs)).collect()}
+    assert all(np.allclose(rows[k], features[k], atol=1e-5) for k in range(3))
+    asked = {r.doc_id: len(r.words) for r in tables["sums"].collect()}
+    assert asked == {0: 3, 1: 1, 2: 0}  # beta twice and gamma; gamma
