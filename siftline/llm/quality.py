@@ -229,8 +229,33 @@ class Sums:
         self.__init__()
 
 
-def _narrow(units: np.ndarray, n: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(unit, n, sums), where the sums of a row have half a byte each, or one, two, four or eight, as the largest needs."""
+HEAD = 10  # bytes in front of the sums, of a unit that a document asks for
+
+
+def _head(units: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What ``_vectors`` needs besides the sums: the bits of the unit that ``index_vectors`` reads, and how often it is there."""
+    bits = sum((units >> np.uint64(16 * k) & np.uint64(15)) << np.uint64(4 * k) for k in range(NONZERO))
+    return np.c_[bits.astype("<u2")[:, None].view(np.uint8), n.astype("<i8")[:, None].view(np.uint8)]
+
+
+def _asked(packed: pa.Array) -> np.ndarray:
+    """The vectors of units that were asked for."""
+    at = _starts(packed)[:-1, None] + np.arange(HEAD)
+    head = np.frombuffer(packed.buffers()[2], np.uint8)[at] if len(packed) else np.empty((0, HEAD), np.uint8)
+    bits = np.ascontiguousarray(head[:, :2]).view("<u2")[:, 0].astype(np.uint64)
+    units = sum((bits >> np.uint64(4 * k) & np.uint64(15)) << np.uint64(16 * k) for k in range(NONZERO))
+    return _vectors(units, np.ascontiguousarray(head[:, 2:]).view("<i8")[:, 0].astype(np.float32), _wide(packed, HEAD).astype(np.float32))
+
+
+def _starts(packed: pa.Array) -> np.ndarray:
+    """Where each value begins, and the end of the last."""
+    if not len(packed):
+        return np.zeros(1, np.int32)
+    return np.frombuffer(packed.buffers()[1], np.int32)[packed.offset:packed.offset + len(packed) + 1]
+
+
+def _narrow(units: np.ndarray, n: np.ndarray, sums: np.ndarray, head: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """(unit, n, sums), where the sums of a row have half a byte each, or one, two, four or eight, as the largest needs; behind ``head``."""
     largest, least = np.abs(sums).max(axis=1, initial=0), -1
     for bits, most in ((4, 7), (8, 127), (16, 32767), (32, (1 << 31) - 1), (64, (1 << 63) - 1)):
         here = np.flatnonzero((largest > least) & (largest <= most))
@@ -238,26 +263,26 @@ def _narrow(units: np.ndarray, n: np.ndarray, sums: np.ndarray) -> Iterator[pa.R
         if len(here):
             own = sums[here]
             data = ((own[:, ::2] + 8) << 4 | own[:, 1::2] + 8).astype(np.uint8) if bits == 4 else own.astype(f"<i{bits // 8}")
-            ends = np.arange(len(here) + 1, dtype=np.int32) * (DIMENSIONS * bits // 8)
-            packed = pa.Array.from_buffers(pa.binary(), len(here), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+            data = np.ascontiguousarray(data).view(np.uint8).reshape(len(here), -1)
+            data = data if head is None else np.c_[head[here], data]
+            ends = np.arange(len(here) + 1, dtype=np.int32) * data.shape[1]
+            packed = pa.Array.from_buffers(pa.binary(), len(here), [None, pa.py_buffer(ends), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays([pa.array(units[here]), pa.array(n[here], pa.int64()), packed], ["unit", "n", "sums"])
 
 
-def _wide(packed: pa.Array) -> np.ndarray:
+def _wide(packed: pa.Array, head: int = 0) -> np.ndarray:
     """The sums of ``_narrow``."""
     sums = np.empty((len(packed), DIMENSIONS), np.int64)
     if not len(packed):
         return sums
-    _, ends, data = packed.buffers()
-    ends = np.frombuffer(ends, np.int32)[packed.offset:packed.offset + len(packed) + 1]
-    data = np.frombuffer(data, np.uint8)
+    ends, data = _starts(packed), np.frombuffer(packed.buffers()[2], np.uint8)
     for width in np.unique(np.diff(ends)).tolist():
         here = np.flatnonzero(np.diff(ends) == width)
-        own = data[ends[here][:, None] + np.arange(width)]
-        if 2 * width == DIMENSIONS:
+        own = data[ends[here][:, None] + np.arange(head, width)]
+        if 2 * (width - head) == DIMENSIONS:
             sums[here, ::2], sums[here, 1::2] = (own >> 4).astype(int) - 8, (own & 15).astype(int) - 8
         else:
-            sums[here] = own.view(f"<i{width // DIMENSIONS}")
+            sums[here] = own.view(f"<i{(width - head) // DIMENSIONS}")
     return sums
 
 
@@ -368,7 +393,8 @@ def pooled(docs: DataFrame, sums: DataFrame, doc_id: str = "doc_id", text: str =
                     for k, own in enumerate(both):
                         here = found[own]
                         values = table.take(here, axis=0, mode="wrap")
-                        values[(here < 0) | ~counts] = 0
+                        if not counts.all():
+                            values[~counts] = 0
                         once = np.flatnonzero((here == -2) & counts)
                         seen = np.array(units.units, np.uint64)
                         values[once] = _vectors(seen[own[once]], np.ones(len(once), np.float32), around[once].astype(np.float32))
@@ -390,22 +416,20 @@ def pooled(docs: DataFrame, sums: DataFrame, doc_id: str = "doc_id", text: str =
         for batch in batches:
             may = np.flatnonzero(shared.value[2].may_have(batch.column(0).to_numpy().view(np.uint64)))
             units, n, *own = (column.to_numpy()[may] for column in batch.columns)
-            yield from _narrow(units, n, np.stack(own, 1))
+            for found in _narrow(units, n, np.stack(own, 1), _head(units.view(np.uint64), n)):
+                yield found.select(["unit", "sums"])
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Features of documents with the units asked for, half of them words and half of them shapes."""
+        """Features of documents with the units that they asked for."""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            doc_ids, n, sums, asked, number = batch.columns
+            doc_ids, n, sums, *asked, number = batch.columns
             sums, n = sums.flatten().to_numpy().reshape(-1, 2 * DIMENSIONS).copy(), n.to_numpy()
-            kinds, units, times, packed = asked.flatten().flatten()
-            text = np.repeat(np.arange(len(n)), asked.value_lengths().fill_null(0).to_numpy())
-            slot = 2 * text + kinds.to_numpy()
-            order = np.argsort(slot, kind="stable")
-            vectors = _vectors(units.to_numpy().view(np.uint64), times.to_numpy().astype(np.float32), _wide(packed).astype(np.float32))
-            there, more = _added(slot[order], vectors[order], np.float64)
-            sums.reshape(-1, DIMENSIONS)[there] += more
+            for k, lists in enumerate(asked):
+                text = np.repeat(np.arange(len(n)), lists.value_lengths().fill_null(0).to_numpy())
+                there, more = _added(text, _asked(lists.flatten()), np.float64)
+                sums[there, k * DIMENSIONS:(k + 1) * DIMENSIONS] += more
             features = np.c_[sums / np.maximum(n, 1)[:, None], np.log1p(n) / 10].astype(np.float32)
             offsets = np.arange(len(n) + 1, dtype=np.int32) * features.shape[1]
             yield pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(features.ravel())), number],
@@ -416,14 +440,14 @@ def pooled(docs: DataFrame, sums: DataFrame, doc_id: str = "doc_id", text: str =
     release(spark)
     rows = narrow.mapInArrow(run, "doc_id long, n long, sums array<double>, words array<long>, shapes array<long>, number long")
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "sums")
-    rare = sums.where(F.col("n") < least).mapInArrow(looked_up, "unit long, n long, sums binary")
+    rare = sums.where(F.col("n") < least).mapInArrow(looked_up, "unit long, sums binary")
     asked = rows.select("row", F.lit(0).alias("kind"), F.explode("words").alias("unit")).unionByName(
         rows.select("row", F.lit(1).alias("kind"), F.explode("shapes").alias("unit")))
-    given = written(asked.join(rare, "unit").select("row", "kind", "unit", "n", "sums"), "given")
+    given = written(asked.join(rare, "unit").select("row", "kind", F.col("sums").alias("given")), "given")
     shared.destroy()
     release(spark)
-    given_by_row = given.groupBy("row").agg(F.collect_list(F.struct("kind", "unit", "n", "sums")).alias("asked"))
-    together = rows.drop("words", "shapes").join(given_by_row, "row", "left").select("doc_id", "n", "sums", "asked", "number")
+    lists = given.groupBy("row").agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("given"))).alias(f"given{k}") for k in (0, 1)])
+    together = rows.drop("words", "shapes").join(lists, "row", "left").select("doc_id", "n", "sums", "given0", "given1", "number")
     found = written(together.mapInArrow(means, "doc_id long, features array<float>, number long"), "pooled")
     discard(rows, given)
     return found
