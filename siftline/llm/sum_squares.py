@@ -15,6 +15,7 @@ from .tokenizing import word_encoder
 
 Piece = tuple  # (document, first id within it, ids)
 FLUSH = 512  # sequences a batch returns
+NONE = 1 << 62  # of a level without a window
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_tokens long")
 
@@ -29,6 +30,9 @@ class Packer:
     def __init__(self, size: int):
         self.size = size
         self.levels = np.zeros(size + 1, np.int64)
+        self.into = np.zeros(size + 1, np.int64)  # what a window more changes the sum by, less 1
+        self.out = np.full(size + 1, NONE)  # what a window less changes it by, less 1
+        self.into[size] = self.out[0] = -1
         self.windows: list[list[list[Piece]]] = [[] for _ in range(size)]
         self.closed: list[list[Piece]] = []
 
@@ -39,14 +43,11 @@ class Packer:
             return
         # Taking a window from level h changes the sum by 1 - 2 counts, putting it on h + n by 1 + 2 counts. Both ones
         # are left out, but for a new window, which is taken from no level, and a full one, which is put on none.
-        levels, room = self.levels, self.size - n + 1
-        change = 2 * (levels[n:] - levels[:room])
-        change[[0, -1]] -= 1
-        change[1:][levels[1:room] == 0] = np.iinfo(np.int64).max  # no window there
+        change = self.into[n:] + self.out[:self.size - n + 1]
         level = int(change.argmin())
         if level:
             window = self.windows[level].pop()
-            levels[level] -= 1
+            self._count(level, -1)
         else:
             window = []
         window.append(piece)
@@ -54,12 +55,16 @@ class Packer:
             self.closed.append(window)
         else:
             self.windows[level + n].append(window)
-            levels[level + n] += 1
+            self._count(level + n, 1)
+
+    def _count(self, level: int, more: int) -> None:
+        count = int(self.levels[level]) + more
+        self.levels[level], self.into[level], self.out[level] = count, 2 * count, -2 * count if count else NONE
 
     def finish(self) -> None:
         """Fill the windows still open by cutting up the emptiest of them; what is left over fills windows of powers of two."""
         left = [(level, window) for level in range(self.size) for window in self.windows[level]]
-        self.levels[:], self.windows = 0, [[] for _ in range(self.size)]
+        self.levels[:], self.into[:-1], self.out[1:], self.windows = 0, 0, NONE, [[] for _ in range(self.size)]
         spare: list[Piece] = []  # a stack of pieces taken out of the emptiest windows
         low, high = 0, len(left) - 1
         while low <= high:

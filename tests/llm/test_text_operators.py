@@ -589,3 +589,15 @@ def test_units_that_occur_once_are_not_joined(spark, monkeypatch):
     assert all(np.allclose(rows[k], features[k], atol=1e-5) for k in range(3))
     asked = {r.doc_id: len(r.words) for r in tables["sums"].collect()}
     assert asked == {0: 3, 1: 1, 2: 0}  # beta twice and gamma; gamma
+
+
+def test_levels_are_kept_with_what_a_window_changes():
+    random = np.random.default_rng(12)
+    packer = sum_squares.Packer(64)
+    for n in random.integers(1, 65, 300).tolist():
+        packer.place((None, 0, np.zeros(n, "<u4")))
+        assert packer.into[1:64].tolist() == (2 * packer.levels[1:64]).tolist()
+        assert packer.out[1:64].tolist() == [-2 * c if c else sum_squares.NONE for c in packer.levels[1:64].tolist()]
+        assert packer.levels[1:].tolist() == [*map(len, packer.windows[1:]), 0] and packer.out[0] == packer.into[64] == -1
+    packer.finish()
+    assert not packer.levels.any() and not packer.into[:64].any() and (packer.out[1:] == sum_squares.NONE).all()
