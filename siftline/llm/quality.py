@@ -352,11 +352,13 @@ def _unit_length(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), x.dtype.type(1e-9))
 
 
-def pooled(docs: DataFrame, sums: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+def pooled(docs: DataFrame, sums: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None,
+           spent: bool = False) -> DataFrame:
     """(doc_id, features, number): per row of ``docs`` the mean vector of its words, that of its shapes, and the log of its length.
 
     ``number`` is the column ``row``, if that is given. Vectors of frequent units, a fixed number, are looked up by each task. A
-    unit that is there only once has its whole context where it is met. The sums of the others come by a join.
+    unit that is there only once has its whole context where it is met. The sums of the others come by a join. With ``spent``
+    the table ``sums`` goes as soon as it has been read.
     """
     spark = docs.sparkSession
     least = frequent(sums)
@@ -445,8 +447,10 @@ def pooled(docs: DataFrame, sums: DataFrame, doc_id: str = "doc_id", text: str =
         rows.select("row", F.lit(1).alias("kind"), F.explode("shapes").alias("unit")))
     given = written(asked.join(rare, "unit").select("row", "kind", F.col("sums").alias("given")), "given")
     shared.destroy()
+    discard(*[sums] * spent)
     release(spark)
-    lists = given.groupBy("row").agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("given"))).alias(f"given{k}") for k in (0, 1)])
+    # lists of a few units are larger than the units, so these are dealt out first
+    lists = given.repartition("row").groupBy("row").agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("given"))).alias(f"given{k}") for k in (0, 1)])
     together = rows.drop("words", "shapes").join(lists, "row", "left").select("doc_id", "n", "sums", "given0", "given1", "number")
     found = written(together.mapInArrow(means, "doc_id long, features array<float>, number long"), "pooled")
     discard(rows, given)
@@ -531,8 +535,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: f
     scored, and not held out. ``row`` names a column that is carried to the result.
     """
     sums = unit_sums(docs, text)
-    features = pooled(docs, sums, doc_id, text, row)
-    discard(sums)
+    features = pooled(docs, sums, doc_id, text, row, spent=True)
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(
         F.min(label).alias("y"), F.max(label).alias("high")).where("y = high and doc_id is not null")
     learn = features.withColumn("fold", fold()).where("fold != 2").join(known, "doc_id").select(
