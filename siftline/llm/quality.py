@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ FREQUENT = 1 << 17  # most frequent units whose vectors every executor has
 HELD = 3 << 17  # units whose sums a task holds before it passes them on
 PIECE = 1 << 18  # characters of a text that a task works on at a time, and eight times the words of several
 TOKENS = 1 << 26  # words whose sums a task adds up at most, so that 32 bits do
-MEMORY = 200_000  # words a task remembers before it forgets them
+MEMORY = 200_000  # words a task remembers before it forgets the less frequent half
 FILTER = 27  # bits of a unit by which a task tells that it is there only once
 MARKS = ".,;:!?*#$%&|"
 
@@ -48,53 +49,77 @@ def _marks(text: str) -> str:
     return regex.sub(r"(.)\1+", r"\1+", marks)
 
 
-class Units(dict):
+def _new(numbers: np.ndarray, known: int) -> list[int]:
+    """Where each number that isn't below ``known`` comes first, if they were given in the order they come."""
+    highest = np.maximum.accumulate(np.r_[known - 1, numbers])
+    return np.flatnonzero(highest[1:] > highest[:-1]).tolist()
+
+
+class Units:
     """Words to numbers, each word with two units: the word in small letters, and its shape (of its own, where it repeats the word before).
 
-    The units have numbers too, in the order they come; ``units`` holds them by number.
+    The units have numbers too, in the order they come; ``units`` holds them by number. New words are worked on many at a time.
     """
 
     REPEATED = _hash("", 2)
 
     def __init__(self):
-        super().__init__()
         self.units = array("Q", [self.REPEATED])
-        self.known = {self.REPEATED: 0}
+        self.known: dict[int, int] = defaultdict(count(1).__next__, {self.REPEATED: 0})
+        self.shapes: dict[str, int] = {}
+        self.words: dict[str, int] = defaultdict(count().__next__)
         self.pairs = array("i")
-        self.shapes: dict[tuple[str, str], int] = {}
-
-    def __missing__(self, word: str) -> int:
-        for unit in self._both(word):
-            number = self.known.get(unit)
-            if number is None:
-                number = self.known[unit] = len(self.units)
-                self.units.append(unit)
-            self.pairs.append(number)
-        self[word] = at = len(self)
-        return at
+        self.times = np.empty(0, np.int64)
+
+    def _forget(self) -> None:
+        """Of the words, all but the most frequent that came more than once, at most half of what is remembered."""
+        again = np.flatnonzero(self.times > 1)
+        kept = np.sort(again[np.argsort(-self.times[again], kind="stable")[:MEMORY // 2]])
+        words = list(self.words)
+        self.words = defaultdict(count(len(kept)).__next__, zip(map(words.__getitem__, kept.tolist()), range(len(kept))))
+        self.pairs = array("i", np.array(self.pairs, np.int32).reshape(-1, 2)[kept].tobytes())
+        self.times = self.times[kept]
 
     def _both(self, word: str) -> tuple[int, int]:
-        """Both units. Most words are letters with a few marks behind them."""
-        letters = word.rstrip(MARKS)
-        if letters.isalpha():
-            case, rest = _case(letters), word[len(letters):]
-        else:
-            letters, case, rest = "".join(_LETTERS.findall(word)), "", word
+        """Both units."""
+        (unit,), (shape,) = self._all([word])
+        return unit, shape
+
+    def _all(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """Word units and shape units. Most words are letters with a few marks behind them."""
+        letters = [word.rstrip(MARKS) for word in words]
+        looks = [("a" if own.islower() else _case(own)) + word[len(own):] if own.isalpha() else word for own, word in zip(letters, words)]
+        for at in [k for k, own in enumerate(letters) if not own.isalpha()]:
+            letters[at] = "".join(_LETTERS.findall(words[at]))
         if len(self.shapes) > MEMORY // 4:
             self.shapes = {}
-        shape = self.shapes.get((case, rest))
-        if shape is None:
-            shape = self.shapes[case, rest] = _hash(case + _marks(rest), 1)
-        return _hash(letters.lower(), 0), shape
+        for look in set(looks).difference(self.shapes):
+            # a word that looks like a case with marks behind it is one of letters with marks behind them
+            plain = look[0] in "aAC" and not look[1:].strip(MARKS)
+            self.shapes[look] = _hash(look[0] + _marks(look[1:]) if plain else _marks(look), 1)
+        digest = xxhash.xxh64_intdigest
+        return [digest(own.lower().encode("utf-8", "surrogatepass"), 0) for own in letters], list(map(self.shapes.__getitem__, looks))
+
+    def _learn(self, words: list[str]) -> None:
+        """Give the units of words that are new, in the order of their numbers, numbers of their own."""
+        units = list(chain.from_iterable(zip(*self._all(words))))
+        numbers = np.fromiter(map(self.known.__getitem__, units), np.int32, len(units))
+        self.pairs.frombytes(numbers.tobytes())
+        self.units.extend([units[k] for k in _new(numbers, len(self.units))])
 
     def numbers(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(numbers of the word units, numbers of the shape units, number of words of each list of words)."""
-        if len(self) >= MEMORY:
-            self.clear()
-            self.pairs = array("i")
+        if len(self.words) >= MEMORY:
+            self._forget()
         lengths = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int32, int(lengths.sum()))
-        words, shapes = np.array(self.pairs, np.int32).reshape(-1, 2).T
+        flat, old = list(chain.from_iterable(split)), len(self.words)
+        at = np.fromiter(map(self.words.__getitem__, flat), np.int32, len(flat))
+        if len(self.words) > old:
+            self._learn([flat[k] for k in _new(at, old)])
+        times = np.bincount(at, minlength=len(self.words))
+        times[:old] += self.times
+        self.times = times
+        words, shapes = np.frombuffer(self.pairs, np.int32).reshape(-1, 2).T if len(self.pairs) else np.empty((2, 0), np.int32)
         words, shapes = words[at], shapes[at]
         same = np.zeros(len(at), bool)
         same[1:] = (words[1:] == words[:-1]) & (shapes[1:] == shapes[:-1])
@@ -392,13 +417,13 @@ def pooled(docs: DataFrame, sums: DataFrame, doc_id: str = "doc_id", text: str =
                     text = np.repeat(numbers, lengths)
                     total += np.bincount(text[counts], minlength=part.num_rows)
                     found, around = place.of(units), _contexts(*both, lengths, small.of(units))
+                    seen = np.array(units.units, np.uint64)
                     for k, own in enumerate(both):
                         here = found[own]
                         values = table.take(here, axis=0, mode="wrap")
                         if not counts.all():
                             values[~counts] = 0
                         once = np.flatnonzero((here == -2) & counts)
-                        seen = np.array(units.units, np.uint64)
                         values[once] = _vectors(seen[own[once]], np.ones(len(once), np.float32), around[once].astype(np.float32))
                         for number, first, end in zip(numbers, [0, *ends], ends):
                             sums[number, k * DIMENSIONS:(k + 1) * DIMENSIONS] += values[first:end].sum(axis=0, dtype=np.float64)

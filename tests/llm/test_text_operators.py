@@ -491,6 +491,20 @@ def test_every_word_has_a_unit_of_its_own():
     assert lengths.tolist() == [34 ** 3, 0] and len(set(words.tolist())) == 34 ** 3 and len(set(shapes.tolist())) == 1
 
 
+def test_frequent_words_are_worked_on_once(monkeypatch):
+    monkeypatch.setattr(quality, "MEMORY", 6)
+    asked, plain = [], quality._case
+    monkeypatch.setattr(quality, "_case", lambda letters: asked.append(letters) or plain(letters))
+    units = quality.Units()
+    for k in "abcdef":
+        words = ["Often", "Often", *(f"Once{k}{x}" for x in "abcd"), "a,b", "A..", "Often"]
+        own, fresh = units.of([words, []]), quality.Units().of([words, []])
+        assert all((a == b).all() for a, b in zip(own, fresh))
+        assert list(zip(*map(np.ndarray.tolist, own[:2])))[2:6] == [units._both(word) for word in words[2:6]]
+    # the six fresh memories ask once each, and so does the one that is kept
+    assert asked.count("Often") == 7
+
+
 def test_frequent_units_are_only_a_short_cut(spark, documents, monkeypatch):
     want = quality.unit_sums(documents.limit(20))
     assert want.agg(F.sum("n")).first()[0] == 2 * sum(len(t.split()) for _, t in _texts(documents.limit(20)))
