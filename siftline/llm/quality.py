@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .suffix_tree import Bits
 from .tables import discard, release, written
+from .tokenizing import let_go
 
 DIMENSIONS = 32
 NONZERO = 4  # of an index vector, one in each part of it
@@ -64,6 +65,7 @@ class Units:
     REPEATED = _hash("", 2)
 
     def __init__(self):
+        let_go()
         self.units = array("Q", [self.REPEATED])
         self.known: dict[int, int] = defaultdict(count(1).__next__, {self.REPEATED: 0})
         self.shapes: dict[str, int] = {}

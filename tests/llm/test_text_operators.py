@@ -491,6 +491,21 @@ def test_every_word_has_a_unit_of_its_own():
     assert lengths.tolist() == [34 ** 3, 0] and len(set(words.tolist())) == 34 ** 3 and len(set(shapes.tolist())) == 1
 
 
+@pytest.mark.parametrize("other", [quality.Units, lambda: tokenizing.once(dict)])
+def test_a_worker_lets_go_of_an_encoder_for_another_operator(other):
+    import gc
+    import weakref
+
+    gc.disable()
+    try:
+        kept = weakref.ref(tokenizing.word_encoder(WORDS))
+        assert kept() is not None
+        other()
+        assert kept() is None
+    finally:
+        gc.enable()
+
+
 def test_frequent_words_are_worked_on_once(monkeypatch):
     monkeypatch.setattr(quality, "MEMORY", 6)
     asked, plain = [], quality._case
