@@ -2,68 +2,88 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import discard, written
+from .tables import discard, release, written
 
 END = 0  # the symbol after a text and before each
 STREAM = 1 << 22  # bytes of text worked on at a time
+TEXTS = 1 << 16  # texts worked on at a time
 WORDS = 400_000  # distinct words a task counts before it passes the counts on
 HEAVY = 1 << 17  # most frequent words whose counts every executor has
-ENTRIES = 1 << 20  # most frequent entries of the model that every executor has
-FILTER = 28  # bits of a key by which an executor tells that the model can't have it
+ENTRIES = 1 << 20  # places in the texts whose entries of the model a task works out at a time
+PARTS = 3  # parts of the contexts, by their newest symbol, that are worked on one after the other
+DEAL = 1  # tells the hashes that deal out symbols from those of contexts
+FILTER = 28  # bits of a key by which an executor tells that it isn't among those asked for
 
 
-def normal(text: bytes) -> list[bytes]:
-    """Words in small A-Z. Of bytes, white space is 0x20 and 0x09-0x0D."""
-    return text.lower().split()
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(number of words of each text, each word's place among the distinct ones, the distinct words).
 
-
-def held_out(doc_id: str = "doc_id") -> Column:
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    Words are in small A-Z. Of bytes, white space is 0x20 and 0x09-0x0D.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.binary()), b"").view(pa.string())))
+    offsets, words = lists.offsets.to_numpy(), lists.flatten()
+    some = pc.greater(pc.binary_length(words), 0)
+    before = np.r_[0, np.cumsum(some.to_numpy(zero_copy_only=False))]
+    words = words.filter(some).dictionary_encode()
+    return np.diff(before[offsets - offsets[0]]), words.indices.to_numpy(), words.dictionary.view(pa.binary())
 
 
-def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows whose last column, a text, has become a list of words, in bounded portions; a long text is one of its own."""
-    rows, size = [], 0
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array]]:
+    """Rows in bounded portions, with the words of their last column, a text, as ``_split`` has them; a long text is one of its own."""
     for batch in batches:
-        for *others, text in zip(*(column.to_pylist() for column in batch.columns)):
-            rows.append((*others, normal(text or b"")))
-            size += len(text or b"")
-            if size >= STREAM:
-                yield rows
-                rows, size = [], 0
-    if rows:
-        yield rows
+        texts = batch.column(batch.num_columns - 1)
+        filled = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            most = int(np.searchsorted(filled, (filled[start - 1] if start else 0) + STREAM, side="right"))
+            end = min(max(start + 1, most), start + TEXTS)
+            yield batch.slice(start, end - start), *_split(texts.slice(start, end - start))
+            start = end
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) with repeated words, not yet added up; a null word stands for the end, once for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes | None] = Counter()
-        for rows in _portions(batches):
-            for (words,) in rows:
-                counts.update(words)
-            counts[None] += len(rows)
-            if len(counts) >= WORDS:
-                yield _counted(counts)
-                counts = Counter()
-        yield _counted(counts)
+        held, size = [], 0
+        for rows, _, numbers, words in _portions(batches):
+            held += [_counted(words, np.bincount(numbers, minlength=len(words))), _counted(pa.nulls(1, pa.binary()), np.array([rows.num_rows]))]
+            size += len(words) + 1
+            if size >= 2 * WORDS:
+                held = [_added(held)]
+                size = held[0].num_rows
+                if size >= WORDS:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+        if held:
+            yield from _added(held).to_batches()
 
     return texts.mapInArrow(run, "word binary, n long")
 
 
-def _counted(counts: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+def _counted(words: pa.Array, counts: np.ndarray) -> pa.Table:
+    return pa.table({"word": words, "n": pa.array(counts, pa.int64())})
+
+
+def _added(counts: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(counts).group_by("word").aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["word", "n"])
 
 
 def _mix(strings: np.ndarray, symbols: np.ndarray, seed: int) -> np.ndarray:
@@ -74,11 +94,19 @@ def _mix(strings: np.ndarray, symbols: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _dealt(symbols: np.ndarray) -> np.ndarray:
+    return _mix(np.zeros(len(symbols), np.uint64), symbols, DEAL)
+
+
 def identity() -> Column:
-    """The symbol of a word, as ``_places`` has it; that of null, the end, is END."""
+    """The symbol of a word, as ``_identities`` has it; that of null, the end, is END."""
     return F.when(F.col("word").isNull(), F.lit(END).cast("long")).otherwise(F.xxhash64("word"))
 
 
+def _identities(words: pa.Array) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(word, 42) for word in words.to_numpy(zero_copy_only=False).tolist()), np.uint64, len(words))
+
+
 def _hash_longs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """Spark's xxhash64 of two longs."""
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63,
@@ -97,33 +125,35 @@ def _hash_longs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return seed
 
 
-def _places(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
-    """(text, symbol, levels) of every token; for each length (places that have a context so long, contexts, the strings that
-    they are, pairs of the token and the context one symbol shorter, pairs of the token and the context).
+def _stream(lengths: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The symbols of texts, one END after each text."""
+    out = np.full(len(symbols) + len(lengths), END, symbols.dtype)
+    words = np.ones(len(out), bool)
+    words[np.cumsum(lengths + 1) - 1] = False
+    out[words] = symbols
+    return out
+
+
+def _places(stream: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, the strings that they are, pairs of the token and the context one symbol shorter) at the places of a stream that have
+    a context of ``depth`` symbols.
 
     A context is hashed from its newest symbol to its oldest; none reaches over an END, which may be the oldest. As a string
     it is the pair of its newest symbol and the others, a single symbol is itself: where that pair, or symbol, is seen, the context follows.
     """
-    known = {word: xxhash.xxh64_intdigest(word, 42) for word in set().union(*texts)}
-    flat = [END]
-    for words in texts:
-        flat += map(known.__getitem__, words)
-        flat.append(END)
-    symbols = np.array(flat, np.uint64)
-    lengths = np.array([len(words) + 1 for words in texts], np.int64)
+    symbols = np.r_[np.uint64(END), stream]
     ends = np.zeros(len(symbols), bool)
     ends[0] = True
-    ends[np.cumsum(lengths)] = True
+    ends[np.cumsum(lengths + 1)] = True
     places = np.arange(len(symbols) - 1)
-    contexts, strings, shorter, levels = _mix(np.zeros(len(places), np.uint64), symbols[:-1], 0), symbols[:-1], symbols[1:], []
-    for length in range(1, depth + 1):
-        if length > 1:
-            longer = (places >= length - 1) & ~ends[places - length + 2]
-            before, pairs, places, contexts = places, levels[-1][-1], places[longer], contexts[longer]
-            strings, shorter = pairs[np.searchsorted(before, places - 1)], pairs[longer]
-            contexts = _mix(contexts, symbols[places - length + 1], 0)
-        levels.append((places, contexts, strings, shorter, _hash_longs(contexts, shorter)))
-    return np.repeat(np.arange(len(texts)), lengths), symbols[1:], levels
+    contexts, strings, shorter = _mix(np.zeros(len(places), np.uint64), symbols[:-1], 0), symbols[:-1], symbols[1:]
+    for length in range(2, depth + 1):
+        pairs, before = _hash_longs(contexts, shorter), places
+        longer = (places >= length - 1) & ~ends[places - length + 2]
+        places, contexts = places[longer], contexts[longer]
+        strings, shorter = pairs[np.searchsorted(before, places - 1)], pairs[longer]
+        contexts = _mix(contexts, symbols[places - length + 1], 0)
+    return contexts, strings, shorter
 
 
 class Bits:
@@ -151,82 +181,381 @@ def pairs(texts: DataFrame, level: int, shared: Broadcast) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings = shared.value
-        for rows in _portions(batches):
-            _, contexts, own, shorter, both = _places([words for (words,) in rows], level)[2][-1]
+        for _, lengths, numbers, words in _portions(batches):
+            contexts, own, shorter = _places(_stream(lengths, _identities(words)[numbers]), lengths, level)
             wanted = np.flatnonzero(strings.may_have(own))
-            _, first, times = np.unique(both[wanted], return_index=True, return_counts=True)
-            first = wanted[first]
+            contexts, shorter = contexts[wanted], shorter[wanted]
+            _, first, times = np.unique(_hash_longs(contexts, shorter), return_index=True, return_counts=True)
             columns = [contexts[first].view(np.int64), shorter[first].view(np.int64), times]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["context", "shorter", "n"])
 
     return texts.mapInArrow(run, "context long, shorter long, n long").groupBy("context", "shorter").agg(F.sum("n").alias("n"))
 
 
-def model(train: DataFrame, counts: DataFrame, size: int, least: int, depth: int, gain: float) -> DataFrame:
-    """(key, value, n): what the tree adds to the log10 probability of a token, as a table that grows with the text.
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value, the bytes of equal weight side by side."""
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    raw = b"".join([np.array([len(a) for a in arrays], np.int64).tobytes(), *planes])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(value: bytes, *kinds: type) -> list[np.ndarray]:
+    raw = pa.decompress(value[8:], int.from_bytes(value[:8], "little"), codec="zstd", asbytes=True)
+    lengths, at, arrays = np.frombuffer(raw, np.int64, len(kinds)), 8 * len(kinds), []
+    for n, kind in zip(lengths.tolist(), map(np.dtype, kinds)):
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        arrays.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
+        at += n * kind.itemsize
+    return arrays
+
+
+class Symbols:
+    """Symbols of a portion: END, the ranks of heavy words, and the identities of all others, which are far greater numbers."""
+
+    def __init__(self, heavy: pa.Table, ends: int):
+        self.top = heavy.num_rows
+        self.words = heavy["word"].cast(pa.binary()).combine_chunks()
+        self.counts = np.r_[np.int64(ends), heavy["c"].to_numpy()]
+        self.identities = np.r_[np.uint64(END), _identities(self.words)]
+
+    def ranks(self, words: pa.Array) -> np.ndarray:
+        """Ranks from 1, or 0."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy() + 1
+
+    def short(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(4 bytes for each symbol, the light ones)."""
+        light = symbols > self.top
+        return np.where(light, self.top + 1, symbols).astype(np.uint32), symbols[light]
+
+    def long(self, short: np.ndarray, light: np.ndarray) -> np.ndarray:
+        symbols = short.astype(np.uint64)
+        symbols[short > self.top] = light
+        return symbols
+
+    def identity(self, symbols: np.ndarray) -> np.ndarray:
+        out, heavy = symbols.copy(), symbols <= self.top
+        out[heavy] = self.identities[symbols[heavy]]
+        return out
+
+
+CODED = "block long, doc_id array<long>, held array<boolean>, codes binary, rare array<binary>"
+SCORED = ("block long, doc_id array<long>, held array<boolean>, n_tokens array<long>, known array<long>, base array<double>, "
+          "codes binary, light binary")
+
+
+def _names(schema: str) -> list[str]:
+    return [column.split()[0] for column in schema.split(", ")]
+
+
+def _one(values: pa.Array | np.ndarray) -> pa.ListArray:
+    """One list."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values) if isinstance(values, np.ndarray) else values)
 
-    A kept context has its share for tokens not seen after it (key: the context). One seen after it has the rest of its
-    ratio to the probability after the context one symbol shorter (key: the pair). The gain of a token is then the sum of
-    the entries of its contexts and pairs. The root has add-one probabilities of ``size`` events.
 
-    A context occurs as often as its string, so only places whose string was counted ``least`` times at the length before give
-    pairs at all. Each length's tables go when the next one has its own.
+def coded(texts: DataFrame, shared: Broadcast) -> DataFrame:
+    """A row for each portion of ``texts`` (doc_id, held, text): its tokens as numbers, those above the heavy ranks being places in ``rare``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, first = shared.value, TaskContext.get().partitionId() << 24
+        for block, (rows, lengths, numbers, words) in enumerate(_portions(batches), first):
+            code = symbols.ranks(words).astype(np.uint32)
+            light = np.flatnonzero(code == 0)
+            code[light] = symbols.top + 1 + np.arange(len(light))
+            rare = words.take(pa.array(light))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), _one(rows.column(0)), _one(rows.column(1)),
+                                              pa.array([_packed(_stream(lengths, code[numbers]))], pa.binary()), _one(rare)], _names(CODED))
+
+    return texts.mapInArrow(run, CODED)
+
+
+def answered(portions: DataFrame, light: DataFrame) -> DataFrame:
+    """(block, answers): counts of the words in ``rare`` of each portion. ``light`` has (word, c) of those that were ever counted."""
+    asked = portions.select("block", F.posexplode("rare").alias("place", "word")).join(light.hint("shuffle_hash"), "word")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, found in zip(*batch.columns):
+                place, c = (found.values.field(k).to_numpy() for k in range(2))
+                order = np.argsort(place)
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([_packed(place[order], c[order])], pa.binary())],
+                                                 ["block", "answers"])
+
+    return asked.groupBy("block").agg(F.collect_list(F.struct("place", "c"))).mapInArrow(run, "block long, answers binary")
+
+
+def counted(portions: DataFrame, answers: DataFrame, shared: Broadcast) -> DataFrame:
+    """Portions of ``coded`` with what the root has of each text, and the identities and counts of their light words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols = shared.value
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block, ids, held, packed, rare, found = (batch.column(k).slice(row, 1) for k in range(6))
+                words = rare.flatten()
+                counts = np.zeros(len(words), np.int64)
+                if found[0].is_valid:
+                    place, c = _unpacked(found[0].as_py(), np.int32, np.int64)
+                    counts[place] = c
+                codes, = _unpacked(packed[0].as_py(), np.uint32)
+                every, ends = np.r_[symbols.counts, counts], np.flatnonzero(codes == END)
+                lengths = np.diff(ends, prepend=-1)
+                of = np.repeat(np.arange(len(ends)), lengths)
+                base = np.bincount(of, np.log10(every + 1.0)[codes], len(ends))
+                known = np.bincount(of, every[codes] > 0, len(ends)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([block, ids, held, _one(lengths), _one(known), _one(base), packed,
+                                                  pa.array([_packed(_identities(words), counts)], pa.binary())], _names(SCORED))
+
+    return portions.join(answers, "block", "left").select(*_names(CODED), "answers").mapInArrow(run, SCORED)
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the group of each key, a place of each group); keys are hashes."""
+    # numbers sort faster than places of numbers: the low bits give way to the place, which is undone where they would have mattered
+    low = np.uint64((1 << len(keys).bit_length()) - 1)
+    order = keys & ~low
+    order |= np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    near = order[1:] ^ order[:-1] <= low
+    order = (order & low).astype(np.int32)
+    ordered = keys[order]
+    begins = np.ones(len(keys), bool)
+    begins[1:] = ordered[1:] != ordered[:-1]
+    if (begins[1:] & near).any():
+        order = np.argsort(keys).astype(np.int32)
+        ordered = keys[order]
+        begins[1:] = ordered[1:] != ordered[:-1]
+    of = np.empty(len(keys), np.int32)
+    of[order] = np.cumsum(begins, dtype=np.int32) - 1
+    return of, order[begins]
+
+
+def _kept(n: np.ndarray, p: np.ndarray, of: np.ndarray, contexts: int, least: int, gain: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(totals of contexts, which are kept, probabilities of pairs after theirs).
+
+    A pair is a token counted ``n`` times after the context ``of``, and has the probability ``p`` after the context one symbol shorter.
+    A kept context has its share for tokens not seen after it.
     """
-    shorter = counts.select(identity().alias("shorter"), ((F.col("c") + 1) / F.lit(float(size))).alias("p"))
-    strings = counts.where(F.col("c") >= least).select(identity().alias("key"))
-    rest = F.col("kinds") / (F.col("total") + F.col("kinds"))
-    own = (F.col("n") + F.col("kinds") * F.col("p")) / (F.col("total") + F.col("kinds"))
-    out, before = None, []
-    for level in range(1, depth + 1):
-        shared = train.sparkSession.sparkContext.broadcast(Bits(strings))
-        found = written(pairs(train, level, shared), "pairs")
-        shared.destroy()
-        contexts = found.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where(F.col("total") >= least)
-        rows = found.join(shorter, "shorter").join(contexts, "context")
-        rows = written(rows.select(F.xxhash64("context", "shorter").alias("pair"), "context", "n", "total", "kinds", "p"), "level")
-        unseen = F.greatest(F.lit(0.0), 1 - F.sum("p"))
-        kept = rows.groupBy("context", "total", "kinds").agg(F.sum(own * F.log2(own / F.col("p"))).alias("seen"), unseen.alias("unseen"))
-        kept = written(kept.where(F.col("total") * (F.col("seen") + rest * F.col("unseen") * F.log2(rest)) >= gain).select(
-            F.col("context").alias("kept"), "total", F.log10(rest).alias("rest")), "kept")
-        after = rows.join(kept.select("kept", "rest"), F.col("context") == F.col("kept"))
-        more = written(kept.select(F.col("kept").alias("key"), F.col("rest").alias("value"), F.col("total").alias("n")).unionByName(
-            after.select(F.col("pair").alias("key"), (F.log10(own / F.col("p")) - F.col("rest")).alias("value"), "n")), "model")
-        out = more if out is None else out.unionByName(more)
-        discard(found, *before)
-        before = [rows, kept]
-        shorter = rows.join(kept.select("kept"), F.col("context") == F.col("kept"), "left").select(
-            F.col("pair").alias("shorter"), F.when(F.col("kept").isNull(), F.col("p")).otherwise(own).alias("p"))
-        strings = rows.where(F.col("n") >= least).select(F.col("pair").alias("key"))
-    discard(*before)
-    return out
+    seen = n > 0
+    total, kinds = np.bincount(of, n, contexts), np.bincount(of[seen], minlength=contexts)
+    events = np.maximum(total + kinds, 1)
+    own, rest = (n + kinds[of] * p) / events[of], np.maximum(kinds, 1e-9) / events
+    likelier = np.bincount(of[seen], own[seen] * np.log2(own[seen] / p[seen]), contexts)
+    unseen = np.maximum(0.0, 1 - np.bincount(of[seen], p[seen], contexts))
+    return total, (total >= max(least, 1)) & (total * (likelier + rest * unseen * np.log2(rest)) >= gain), own
+
+
+def _grown(contexts: list[np.ndarray], tokens: np.ndarray, p: np.ndarray, train: np.ndarray, least: int, gain: float, begun: bool) -> np.ndarray:
+    """The probability of each token after the longest of its contexts that is kept.
+
+    ``contexts``: the symbols before the token, newest first; END comes last and is repeated; they are used up. All places of a context
+    must be there, or of one of two symbols if those of one are done (``begun``). A context can't occur more often than the one a symbol shorter.
+    """
+    p, at, keys = p.copy(), np.arange(len(p), dtype=np.int32), np.zeros(len(p), np.uint64)
+    for length in range(len(contexts)):
+        symbols = contexts.pop(0)[at]
+        keys, longer = _mix(keys, symbols, 0), symbols != END
+        if begun and not length:
+            at, keys = at[longer], keys[longer]
+            continue
+        if not len(at):
+            break
+        of, any_place = _groups(keys)
+        pair, first = _groups(_mix(keys, tokens[at], 0))
+        total, kept, own = _kept(np.bincount(pair, train[at]), p[at][first], of[first], len(any_place), least, gain)
+        chosen = np.flatnonzero(kept[of])
+        p[at[chosen]] = own[pair[chosen]]
+        longer &= (total >= least)[of]
+        at, keys = at[longer], keys[longer]
+    return p
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[bytes]]]:
+    """((bucket, sub), values) of rows that are in that order."""
+    key, values = None, []
+    for batch in batches:
+        for row in range(batch.num_rows):
+            bucket, sub, value = (column[row].as_py() for column in batch.columns)
+            if (bucket, sub) != key and values:
+                yield key, values
+                values = []
+            key = bucket, sub
+            values.append(value)
+    if values:
+        yield key, values
+
+
+DEALT = "bucket int, sub int, value binary"
+
+
+def _rows(found: Iterable[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    found = iter(found)
+    while some := list(islice(found, 100)):
+        bucket, sub, value = zip(*some)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(sub, pa.int32()), pa.array(value, pa.binary())], _names(DEALT))
+
+
+def _in_order(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "sub")
 
 
-class Short:
-    """What every executor has of the model: its most frequent entries, and bits that rule out most keys it doesn't have."""
-
-    def __init__(self, entries: DataFrame):
-        sizes = sorted(entries.groupBy(F.floor(F.log2("n")).alias("k")).count().collect(), reverse=True)
-        total, self.least = 0, 1 << 62
-        for k, n in sizes:
-            total += n
-            if total > ENTRIES:
-                break
-            self.least = 1 << k
-        own = entries.where(F.col("n") >= self.least).select("key", "value").toArrow()
-        keys, values = own["key"].to_numpy().view(np.uint64), own["value"].to_numpy()
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
-        self.bits = Bits(entries)
-
-    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places of keys that the model may have, their values, whether each may be one of the other entries)."""
-        places = np.flatnonzero(self.bits.may_have(keys))
-        keys = keys[places]
-        if not len(self.keys):
-            return places, np.zeros(len(keys)), np.ones(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        here = self.keys[at] == keys
-        return places, np.where(here, self.values[at], 0.0), ~here
+def _runs(keys: np.ndarray) -> zip:
+    """(begin, end) of equal keys in a row."""
+    cuts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)].tolist() if len(keys) else [0]
+    return zip(cuts[:-1], cuts[1:])
+
+
+def _deal(hashes: np.ndarray, among: int) -> np.ndarray:
+    """A number below ``among``, which grows with the hash."""
+    return (hashes >> np.uint64(32)) * np.uint64(among) >> np.uint64(32)
+
+
+def model(portions: DataFrame, frequent: DataFrame | None, shared: Broadcast, part: int, tokens: int, size: int, least: int, depth: int,
+          gain: float, entries: int) -> DataFrame:
+    """(row, value): what the contexts of one part of the tree add to the log10 probability of each text of ``counted``.
+
+    All contexts that end with the same symbol are in one part and one bucket, so that a task has all places of each, and the
+    counts and probabilities of the contexts one symbol shorter. Buckets hold about half of ``entries`` places. A newest symbol with more than that
+    has a bucket of its own: its pairs come first, as ``frequent`` (context, shorter, n, c) has them, then its places, some at a time, by the symbol before, or the token.
+    """
+    buckets = max(32, 2 * tokens // (PARTS * entries) + 1)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, kept, size = shared.value, [], 0
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block, held, packed, light = (column[row].as_py() for column in batch.columns)
+                codes, = _unpacked(packed, np.uint32)
+                identities, counts = _unpacked(light, np.uint64, np.int64)
+                known = np.r_[np.arange(symbols.top + 1, dtype=np.uint64), identities]
+                contexts = [np.r_[np.uint32(END), codes[:-1]]]
+                at = np.flatnonzero((_dealt(known) % np.uint64(PARTS) == part)[contexts[0]])
+                for _ in range(1, depth):
+                    contexts.append(np.where(contexts[-1] == END, np.uint32(END), np.r_[np.uint32(END), contexts[-1][:-1]]))
+                of = np.r_[0, np.cumsum(codes == END)[:-1]][at]
+                kept.append((known, counts, [*(x[at] for x in contexts), codes[at]], ~np.array(held, bool)[of], block, of.astype(np.uint16)))
+                size += len(at)
+                if size >= entries // 2:
+                    yield from flush(kept, symbols)
+                    kept, size = [], 0
+        if kept:
+            yield from flush(kept, symbols)
+
+    def flush(kept: list[tuple], symbols: Symbols) -> Iterator[pa.RecordBatch]:
+        def column(k: int) -> np.ndarray:
+            return np.concatenate([known[codes[k]] for known, _, codes, *_ in kept])
+
+        newest = column(0)
+        hashes, often = _dealt(newest), newest <= symbols.top
+        often[often] = symbols.counts[newest[often]] > entries
+        bucket, sub = _deal(hashes, buckets).astype(np.uint32), np.zeros(len(newest), np.uint32)
+        rest, often = np.flatnonzero(~often), np.flatnonzero(often)
+        own = newest[often]
+        bucket[often] = buckets + own
+        before = np.where(own == END, column(depth)[often], column(min(1, depth - 1))[often])  # nothing is before END
+        sub[often] = 1 + _dealt(before) % (symbols.counts[own] // max(1, entries // 2)).astype(np.uint64)
+        order = np.r_[rest[np.argsort(hashes[rest])], often[np.lexsort((sub[often], bucket[often]))]]
+        del newest, hashes, rest, often, own, before
+        bucket, sub = bucket[order], sub[order]
+        cuts = np.r_[0, np.flatnonzero((np.diff(bucket) != 0) | (np.diff(sub) != 0)) + 1, len(order)]
+        columns = []
+        for k in range(depth + 1):
+            short, light = symbols.short(column(k)[order])
+            of = np.flatnonzero(short > symbols.top)
+            columns += [(short, cuts), (light, np.searchsorted(of, cuts))]
+        count = np.concatenate([np.r_[np.zeros(symbols.top + 1, np.int64), counts][codes[-1]] for _, counts, codes, *_ in kept])[order][of]
+        train = np.concatenate([train for *_, train, _, _ in kept])[order]
+        row = np.concatenate([np.uint64(block << 16) + of for *_, block, of in kept])[order]
+        columns += [(count, columns[-1][1]), (train, cuts), (row, cuts)]
+        if len(order):
+            yield from _rows((int(bucket[begin]), int(sub[begin]), _packed(*(x[at[k]:at[k + 1]] for x, at in columns)))
+                             for k, begin in enumerate(cuts[:-1].tolist()))
+
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, kept, size = shared.value, [], 0
+        newest = np.flatnonzero(symbols.counts > entries).astype(np.uint64)
+        newest = newest[_dealt(newest) % np.uint64(PARTS) == part]
+        contexts = _mix(np.zeros(len(newest), np.uint64), symbols.identities[newest], 0)
+        newest, contexts = newest[np.argsort(contexts)], np.sort(contexts)
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            context, *values = map(np.concatenate, zip(*kept))
+            at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+            mine = np.flatnonzero(contexts[at] == context)
+            mine = mine[np.argsort(at[mine])]
+            at, values = at[mine], [x[mine] for x in values]
+            if len(mine):
+                yield from _rows((buckets + int(newest[at[begin]]), 0, _packed(*(x[begin:end] for x in values))) for begin, end in _runs(at))
+
+        for batch in batches if len(newest) else ():
+            kept.append([batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64),
+                         batch.column(2).to_numpy(), batch.column(3).to_numpy()])
+            size += batch.num_rows
+            if size >= entries:
+                yield from passed()
+                kept, size = [], 0
+        if kept:
+            yield from passed()
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, pair, found, held = shared.value, None, [], 0
+        kinds = [*(np.uint32, np.uint64) * (depth + 1), np.int64, np.bool_, np.uint64]
+        for (bucket, sub), values in _gathered(batches):
+            if bucket >= buckets and not sub:
+                word, n, c = map(np.concatenate, zip(*(_unpacked(value, np.uint64, np.int64, np.int64) for value in values)))
+                order = np.argsort(word)
+                _, kept, _ = _kept(n.astype(float), (c + 1) / size, np.zeros(len(n), np.int64), 1, least, gain)
+                pair = word[order], n[order], bool(kept[0])
+                continue
+            *short, count, train, row = map(np.concatenate, zip(*(_unpacked(value, *kinds) for value in values)))
+            *contexts, token = (symbols.long(a, b) for a, b in zip(short[::2], short[1::2]))
+            del short
+            values.clear()
+            every = np.empty(len(token), np.int64)
+            heavy = token <= symbols.top
+            every[heavy], every[~heavy] = symbols.counts[token[heavy]], count
+            root = p = (every + 1) / size
+            del every, heavy, count
+            if bucket >= buckets and pair[2]:
+                word, n, _ = pair
+                own = symbols.identity(token)
+                at = np.minimum(np.searchsorted(word, own), len(word) - 1)
+                p = (np.where(word[at] == own, n[at], 0) + len(n) * p) / (n.sum() + len(n))
+            p = _grown(contexts, token, p, train, least, gain, bucket >= buckets)
+            at = np.flatnonzero(p != root)
+            found.append(_summed(row[at], np.log10(p[at] / root[at])))
+            held += len(found[-1][0])
+            if held >= entries:
+                yield from _by_text(found, buckets)
+                found, held = [], 0
+        if found:
+            yield from _by_text(found, buckets)
+
+    dealt = portions.select("block", "held", "codes", "light").mapInArrow(places, DEALT)
+    if frequent is not None:
+        dealt = dealt.unionByName(frequent.select("context", "shorter", "n", "c").mapInArrow(summaries, DEALT))
+    return _in_order(_in_order(dealt).mapInArrow(gains, DEALT)).mapInArrow(_texts, "row long, value double")
+
+
+def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    of, first = _groups(_dealt(rows))
+    return rows[first], np.bincount(of, values, len(first))
+
+
+def _by_text(found: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Values of rows, dealt out by their portions."""
+    rows, values = _summed(*map(np.concatenate, zip(*found)))
+    bucket = _deal(_dealt(rows >> np.uint64(16)), buckets)
+    order = np.argsort(bucket)
+    bucket, rows, values = bucket[order], rows[order], values[order]
+    if len(rows):
+        yield from _rows((int(bucket[begin]), 0, _packed(rows[begin:end], values[begin:end])) for begin, end in _runs(bucket))
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, value) of values dealt out by ``_by_text``."""
+    for _, values in _gathered(batches):
+        rows, total = _summed(*map(np.concatenate, zip(*(_unpacked(value, np.uint64, np.float64) for value in values))))
+        yield pa.RecordBatch.from_arrays([pa.array(rows.view(np.int64)), pa.array(total)], ["row", "value"])
 
 
 def score(docs: DataFrame, least: int = 2, depth: int = 3, gain: float = 16.0, doc_id: str = "doc_id",
@@ -240,8 +569,8 @@ def score(docs: DataFrame, least: int = 2, depth: int = 3, gain: float = 16.0, d
     shorter: count x Kullback-Leibler divergence of at least ``gain`` bits. Its distribution is smoothed by that one (Witten-Bell).
 
     Both learn from all rows whose held_out is false; all counts are over all of them. Words, contexts and pairs are counted
-    without bound, in tables; strings of words are told apart by 64-bit hashes. The most frequent words and entries of the
-    model, a fixed number, are looked up by each task, the rest by a join.
+    without bound; strings of words are told apart by 64-bit hashes. The counts of the most frequent words, a fixed number, are
+    looked up by each task, those of the others by a join. The tree is worked out a part at a time, next to the places it is asked for.
 
     A null text counts as empty: its one token is the end. A row with a null id is not held out. With no training text
     all scores are 0. Rows that repeat an id are texts of their own.
@@ -252,53 +581,36 @@ def score(docs: DataFrame, least: int = 2, depth: int = 3, gain: float = 16.0, d
     counts = written(word_counts(train).groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "words")
     v, n, ends = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)),
                             F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("c"))), F.lit(0))).first()
-
-    entries = model(train, counts, n + v + 1, least, depth, gain)
-    short = Short(entries)
     heavy = counts.where("word is not null").orderBy(F.desc("c"), "word").limit(HEAVY).toArrow()
-    logs = dict(zip(heavy["word"].to_pylist(), np.log10(heavy["c"].to_numpy() + 1.0).tolist()))
-    shared = spark.sparkContext.broadcast((short, logs))
-    end_log = float(np.log10(ends + 1.0))
+    most, last = (heavy["c"][0].as_py(), heavy["c"][-1].as_py()) if len(heavy) else (0, 0)
+    shared = spark.sparkContext.broadcast(Symbols(heavy, ends))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        short, logs = shared.value
-        for rows in _portions(batches):
-            of, _, levels = _places([words for _, words in rows], depth)
-            gained, asked = np.zeros(len(rows)), []
-            for places, contexts, _, _, both in levels:
-                for own in (contexts, both):
-                    found, values, more = short.look_up(own)
-                    text = of[places[found]]
-                    gained += np.bincount(text, values, len(rows))
-                    asked.append((text[more], own[found[more]]))
-            texts, wanted = map(np.concatenate, zip(*asked))
-            offsets = np.r_[0, np.cumsum(np.bincount(texts, minlength=len(rows)))].astype(np.int32)
-            wanted = pa.array(wanted[np.argsort(texts, kind="stable")].view(np.int64))
-            keys, lengths, known, base, rare = [], [], [], [], []
-            for key, own in rows:
-                values = list(map(logs.get, own))
-                found = [x for x in values if x is not None]
-                keys.append(key)
-                lengths.append(len(own) + 1)
-                known.append(len(found) + (ends > 0))
-                base.append(float(np.sum(found)) + end_log)
-                others = Counter(word for word, x in zip(own, values) if x is None)
-                rare.append([{"word": word, "times": times} for word, times in others.items()])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                 pa.array(gained), pa.ListArray.from_arrays(pa.array(offsets), wanted), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))],
-                ["doc_id", "n_tokens", "known", "base", "gain", "asked", "rare"])
-
-    schema = "doc_id long, n_tokens long, known long, base double, gain double, asked array<long>, rare array<struct<word: binary, times: long>>"
-    scored = written(narrow.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    portions = written(coded(narrow.select("doc_id", held_out().alias("held"), "text"), shared), "coded")
     # words as frequent as the last heavy one are never asked for
-    light = counts.where(F.col("c") <= (heavy["c"][-1].as_py() if len(heavy) else 0)).withColumnRenamed("word", "item")
-    rare = scored.select("row", F.inline("rare")).join(light, F.col("word") == F.col("item"))
-    rare = rare.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("logs"))
-    others = scored.select("row", F.explode("asked").alias("key")).join(entries.where(F.col("n") < short.least), "key")
-    others = others.groupBy("row").agg(F.sum("value").alias("others"))
-    base = F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(n + v + 1))
-    gained = F.col("gain") + F.coalesce("others", F.lit(0.0))
-    return scored.drop("rare", "asked").join(rare, "row", "left").join(others, "row", "left").select(
-        "doc_id", held_out().alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + gained).alias("score"))
+    light = counts.where(F.col("word").isNotNull() & (F.col("c") <= last))
+    answers = written(answered(portions, light), "answers")
+    release(spark)
+    scored = written(counted(portions, answers, shared), "scored")
+    discard(portions, answers)
+
+    frequent = None
+    often = counts.where(F.col("c") > ENTRIES).select(identity().alias("key"))
+    if max(ends, most) > ENTRIES:
+        words = counts.select(identity().alias("shorter"), "c")
+        strings = spark.sparkContext.broadcast(Bits(often, 20))
+        frequent = written(pairs(train, 1, strings).join(words, "shorter"), "pairs")
+        strings.destroy()
+    found = []
+    for part in range(PARTS):
+        found.append(written(model(scored, frequent, shared, part, n, n + v + 1, least, depth, gain, ENTRIES), "model"))
+        release(spark)
+    if frequent is not None:
+        discard(frequent)
+
+    values = reduce(DataFrame.unionByName, found).groupBy("row").agg(F.sum("value").alias("gain"))
+    each = scored.select("block", F.posexplode(F.arrays_zip("doc_id", "n_tokens", "known", "base")).alias("place", "text")).select(
+        (F.col("block") * TEXTS + F.col("place")).alias("row"), "text.*")
+    base = F.col("base") - F.col("n_tokens") * float(np.log10(n + v + 1))
+    return each.join(values, "row", "left").select(
+        "doc_id", held_out().alias("held_out"), "n_tokens", F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        base.alias("base_score"), (base + F.coalesce("gain", F.lit(0.0))).alias("score"))

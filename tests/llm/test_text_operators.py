@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -485,6 +486,60 @@ def test_tables_hold_the_same_tree_as_the_plain_version(spark, monkeypatch):
         assert got == pytest.approx(want, abs=2e-3)
 
 
+def test_suffix_tree_working_tables_stay_small(spark, monkeypatch):
+    """All working tables together take less than the text; shuffled rows stay below a few for each token."""
+    from pathlib import Path
+
+    random = np.random.default_rng(3)
+    data = [(i, " ".join(f"word{x}" for x in random.zipf(1.2, 400) % 5000)) for i in range(500)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    size, written = [], suffix_tree.written
+
+    def weighed(table, name):
+        out = written(table, name)
+        size.append(sum(Path(x.removeprefix("file:")).stat().st_size for x in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(suffix_tree, "written", weighed)
+    assert suffix_tree.score(df).count() == 500
+    assert sum(size) < sum(len(text) for _, text in data)
+
+
+def test_suffix_tree_frequent_symbols_are_worked_on_in_pieces(spark, monkeypatch):
+    data = [(i, " ".join(("a", f"b{i * j % 7}", "c")[(i + j * j) % 3] for j in range(i % 50))) for i in range(400)]
+    df = spark.createDataFrame([*data, (None, None), (3, "a c a c")], "doc_id long, text string").repartition(3)
+
+    def found():
+        return sorted((str(r.doc_id), r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in suffix_tree.score(df).collect())
+
+    want = found()
+    assert any(base != score for *_, base, score in want)
+    for entries in (100, 1000):  # 1000: words only, 100: the start of texts too
+        monkeypatch.setattr(suffix_tree, "ENTRIES", entries)
+        assert found() == want
+
+
+def test_suffix_tree_splits_as_bytes_do():
+    texts = [b"  A b\xff\xc3 \x0bc\x1c d\n", None, b"", b" \t\r\x0c ", "ÀÉ x\u00a0y x".encode(), b"x"]
+    lengths, numbers, words = suffix_tree._split(pa.array([b"cut off", *texts], pa.binary()).slice(1))
+    words = words.to_pylist()
+    assert [words[x] for x in numbers] == [word for text in texts for word in (text or b"").lower().split()]
+    assert lengths.tolist() == [len((text or b"").split()) for text in texts]
+
+
+@pytest.mark.parametrize("keys", [[], [5], [5, 5], [8, 9, 8, 1 << 63, 9, 8], np.random.default_rng(2).integers(0, 1 << 63, 1000) % 300 << 40])
+def test_groups_are_exact(keys):
+    keys = np.array(keys, np.uint64)
+    of, first = suffix_tree._groups(keys)
+    assert len(first) == len(set(keys.tolist())) and (keys[first][of] == keys).all()
+
+
+def test_packed_arrays_come_back():
+    arrays = [np.arange(5, dtype=np.uint32)[1:], np.array([], np.uint64), np.array([True, False]), np.array([-1.5, 2.0])]
+    back = suffix_tree._unpacked(suffix_tree._packed(*arrays), *(x.dtype for x in arrays))
+    assert all(x.dtype == y.dtype and (x == y).all() for x, y in zip(arrays, back))
+
+
 def test_every_word_has_a_unit_of_its_own():
     words, shapes, lengths = quality.Units().of([" ".join(f"{a}{b}{c}" for a in "abcdefghijklmnopqrstuvwxyzäöüßéèàç" for b in "abcdefghijklmnopqrstuvwxyzäöüßéèàç"
                                                           for c in "abcdefghijklmnopqrstuvwxyzäöüßéèàç").split(), []])
